@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from tidemark.llm import exact_dedup, pii
+import public_tokenizers
+
+from tidemark.llm import exact_dedup, packing, pii, toxicity
 from tidemark.llm.io import table
 
 
@@ -10,9 +12,17 @@ def op2_exact_dedup(spark, sf_dir):
     return exact_dedup.exact_dedup(table(spark, sf_dir, "documents"))
 
 
+def op4_packing(spark, sf_dir):
+    return packing.pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
 def op7_pii(spark, sf_dir):
     return pii.pii_report(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_exact_dedup, op7_pii)}
+def op10_toxicity(spark, sf_dir):
+    return toxicity.toxicity_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+QUERIES = {f.__name__: f for f in (op2_exact_dedup, op4_packing, op7_pii, op10_toxicity)}
 ORACLES = {"op2_exact_dedup": exact_dedup.ORACLE_SQL}
