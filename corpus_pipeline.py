@@ -1,24 +1,48 @@
-"""A corpus pipeline of five stages over `documents`; every stage takes (spark, docs, sf_dir) and returns a DataFrame."""
+"""A corpus pipeline of five stages over `documents`; every stage takes (spark, docs, sf_dir) and returns a DataFrame.
+
+Toxic documents go, then exact copies, then near copies (five words, similarity 0.8), then personal data is masked in
+the text; the last stage packs what is left into windows of 2048 ids.
+"""
 
 from __future__ import annotations
 
-from tidemark.llm import exact_dedup, pii
+import public_tokenizers
+
+from tidemark.llm import exact_dedup, jaccard_join, packing, pii, toxicity
 from tidemark.llm.io import materialise, table
 
 
+def stage_toxicity(spark, docs, sf_dir):
+    return toxicity.drop_toxic(docs, table(spark, sf_dir, "labels"))
+
+
 def stage_exact_dedup(spark, docs, sf_dir):
     return exact_dedup.drop_exact_copies(docs)
 
 
+def stage_jaccard_join(spark, docs, sf_dir):
+    return jaccard_join.drop_near_copies(docs)
+
+
 def stage_pii(spark, docs, sf_dir):
     return pii.redact_pii(docs)
 
 
-STAGES = [("exact_dedup", stage_exact_dedup), ("pii", stage_pii)]
+def stage_packing(spark, docs, sf_dir):
+    return packing.pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"))
+
+
+STAGES = [
+    ("toxicity", stage_toxicity),
+    ("exact_dedup", stage_exact_dedup),
+    ("jaccard_join", stage_jaccard_join),
+    ("pii", stage_pii),
+    ("packing", stage_packing),
+]
 
 
 def run(spark, sf_dir):
-    """The stages in order over `documents`; each result is written to the shared folder and read again."""
+    """The stages in order over `documents`; each result but the last is written to the shared folder and read again."""
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
         docs = materialise(stage(spark, docs, sf_dir), f"pipeline-{name}")
