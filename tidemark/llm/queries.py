@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from tidemark.llm import exact_dedup, jaccard_join, packing, pii, toxicity
+from tidemark.llm import exact_dedup, fingerprints, jaccard_join, language, packing, pii, quality, toxicity
 from tidemark.llm.io import table
 
 
@@ -16,6 +16,10 @@ def op4_packing(spark, sf_dir):
     return packing.pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op5_fingerprints(spark, sf_dir):
+    return fingerprints.fingerprint_documents(table(spark, sf_dir, "documents"))
+
+
 def op6_jaccard_join(spark, sf_dir):
     return jaccard_join.jaccard_components(table(spark, sf_dir, "documents"), width=4, percent=85)
 
@@ -24,9 +28,17 @@ def op7_pii(spark, sf_dir):
     return pii.pii_report(table(spark, sf_dir, "documents"))
 
 
+def op8_language(spark, sf_dir):
+    return language.language_report(table(spark, sf_dir, "documents"))
+
+
+def op9_quality(spark, sf_dir):
+    return quality.quality_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op10_toxicity(spark, sf_dir):
     return toxicity.toxicity_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
-QUERIES = {f.__name__: f for f in (op2_exact_dedup, op4_packing, op6_jaccard_join, op7_pii, op10_toxicity)}
+QUERIES = {f.__name__: f for f in (op2_exact_dedup, op4_packing, op5_fingerprints, op6_jaccard_join, op7_pii, op8_language, op9_quality, op10_toxicity)}
 ORACLES = {"op2_exact_dedup": exact_dedup.ORACLE_SQL}
