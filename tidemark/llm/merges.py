@@ -11,12 +11,17 @@ _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 class PairTable:
     """Rank and result of each mergeable pair of ids, in an open-addressing table probed for whole arrays."""
 
-    def __init__(self, left: np.ndarray, right: np.ndarray, rank: np.ndarray, merged: np.ndarray):
-        bits = max(8, int(len(left) * 8 - 1).bit_length())
-        self.shift, self.mask = np.uint64(64 - bits), (1 << bits) - 1
+    def __init__(self, left: np.ndarray, right: np.ndarray, rank: np.ndarray, merged: np.ndarray, room: int = 0):
+        bits = max(8, int(max(len(left) * 8, room) - 1).bit_length())
+        self.shift, self.mask, self.held = np.uint64(64 - bits), (1 << bits) - 1, 0
         self.keys = np.full(1 << bits, -1, dtype=np.int64)
         self.rank = np.full(1 << bits, NONE, dtype=np.int32)
         self.merged = np.zeros(1 << bits, dtype=np.int32)
+        self.put(left, right, rank, merged)
+
+    def put(self, left: np.ndarray, right: np.ndarray, rank: np.ndarray, merged: np.ndarray) -> None:
+        """Adds pairs that are not in the table; each once."""
+        self.held += len(left)
         key, todo = left.astype(np.int64) << 32 | right.astype(np.int64), np.arange(len(left))
         slot = self._slot(left, right)
         while len(todo):

@@ -4,16 +4,27 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from tidemark.llm import exact_dedup, fingerprints, jaccard_join, language, packing, pii, quality, toxicity
+from tidemark.llm import exact_dedup, fingerprints, jaccard_join, language, packing, pii, quality, sentence_pieces, token_counts, toxicity
 from tidemark.llm.io import table
 
 
+PIECES, WORD_BPE = public_tokenizers.path("piece_bpe_32k.model"), public_tokenizers.path("word_bpe_49k.json")
+
+
+def op1_sentencepiece(spark, sf_dir):
+    return sentence_pieces.encoding_report(table(spark, sf_dir, "documents"), PIECES)
+
+
 def op2_exact_dedup(spark, sf_dir):
     return exact_dedup.exact_dedup(table(spark, sf_dir, "documents"))
 
 
+def op3_token_counts(spark, sf_dir):
+    return token_counts.token_report(table(spark, sf_dir, "documents"), PIECES)
+
+
 def op4_packing(spark, sf_dir):
-    return packing.pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+    return packing.pack_documents(table(spark, sf_dir, "documents"), WORD_BPE)
 
 
 def op5_fingerprints(spark, sf_dir):
@@ -40,5 +51,19 @@ def op10_toxicity(spark, sf_dir):
     return toxicity.toxicity_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
-QUERIES = {f.__name__: f for f in (op2_exact_dedup, op4_packing, op5_fingerprints, op6_jaccard_join, op7_pii, op8_language, op9_quality, op10_toxicity)}
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_sentencepiece,
+        op2_exact_dedup,
+        op3_token_counts,
+        op4_packing,
+        op5_fingerprints,
+        op6_jaccard_join,
+        op7_pii,
+        op8_language,
+        op9_quality,
+        op10_toxicity,
+    )
+}
 ORACLES = {"op2_exact_dedup": exact_dedup.ORACLE_SQL}
