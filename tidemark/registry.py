@@ -2,5 +2,11 @@
 
 from __future__ import annotations
 
+from tidemark.plans import sales, timeseries
+
+MODULES = (sales, timeseries)
 QUERIES: dict = {}
 ORACLES: dict = {}
+for module in MODULES:
+    QUERIES |= module.P.queries
+    ORACLES |= module.P.oracles
