@@ -1,19 +1,20 @@
 """Exact components of documents under word-shingle Jaccard similarity, as a metric-space join.
 
 d(x, y) = 1 - Jaccard is a metric, but almost all pairs of documents stand at distance 1, where pivots tell nothing
-apart: every document would be a boundary document of every region. So three exact filters first leave only documents
-that can have a partner, and regions are made among those:
+apart: every document would be a boundary document of every region. So exact filters first leave only documents that
+can have a partner, and regions are made among those:
 
-1. A partner shares at least 85 % of a document's shingles. Shingles of one slice of the hash space are counted; a
+1. A partner shares a fixed part of a document's shingles. Shingles of one slice of the hash space are counted; a
    document with more unshared ones there than the whole may have goes. Shuffled: four bytes of each fourth shingle.
-2. Equal sets become one representative (smallest id); the others are its members, at distance 0.
-3. Representatives with too few shared shingles among themselves go; the rarest of the rest is the prefix in which any
-   two partners must meet.
-
-Then pivots: each representative tries the smallest one it meets most often in its prefix; the links found make Voronoi
-regions around pivots, with every distance to the pivot computed. Regions that meet compare their pivots, and by the
-triangle inequality only boundary documents, which could reach the other region, are compared across. Links within a
-region need no search, as it is connected already.
+2. Equal sets become one representative (smallest id); the others are its members, at distance 0. Filter 1 runs again
+   over the representatives.
+3. Representatives with too few shared shingles go; the rarest of the rest is the prefix in which partners must meet.
+
+Then Voronoi regions: each representative joins the pivot it meets most often in its prefix, when within NEAR of it. A
+region's members are laid out by their distance to the pivot; by the triangle inequality two linked members lie within
+1 - threshold of each other there. A document that meets another region and could reach it by the triangle inequality
+is replicated into it. Large regions split into blocks along the distance, and only blocks within the window meet: each
+pair of blocks is one bounded task that emits at most a spanning forest of its links, never all pairs.
 """
 
 from __future__ import annotations
@@ -21,7 +22,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.llm.components import components
@@ -32,6 +33,10 @@ from tidemark.llm.words import column, slices, texts_of
 #: Share of the hash space that filter 1 looks at: one in 2 ** SLICE_BITS.
 SLICE_BITS = 2
 FLUSH_BYTES = 64 << 20
+#: A document joins a pivot's region when within this distance of it.
+NEAR = 0.5
+#: Members of a region that one side of a task holds.
+BLOCK = 256
 
 
 def _needed(n, percent: int):
@@ -39,7 +44,24 @@ def _needed(n, percent: int):
     return (n * percent + 99) // 100
 
 
-def _candidates(docs: DataFrame, width: int, percent: int) -> DataFrame:
+def _of_texts(width: int):
+    """Set hashes and offsets of each slice of a batch with a text column."""
+
+    def read(batch):
+        for some in slices(batch, "text", 2 << 20):
+            yield shingle_sets(texts_of(some, "text"), width)
+
+    return read
+
+
+def _of_sets(batch):
+    """The same for a batch with a hashes column."""
+    lists = column(batch, "hashes")
+    at = lists.offsets.to_numpy(zero_copy_only=False).astype(np.int64)
+    yield lists.flatten().to_numpy(zero_copy_only=False).view(np.uint64), at - at[0]
+
+
+def _candidates(docs: DataFrame, read, percent: int) -> DataFrame:
     """(doc_id, n, keep): set sizes, and whether filter 1 leaves the document; exact, as a partner shares needed(n)."""
     spark = docs.sparkSession
     parts = 1 << (2 * int(spark.conf.get("spark.sql.shuffle.partitions")) - 1).bit_length()
@@ -50,8 +72,7 @@ def _candidates(docs: DataFrame, width: int, percent: int) -> DataFrame:
         for batch in batches:
             hashes, sizes = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
             own = [np.zeros(0, np.int64)]
-            for some in slices(batch, "text", 2 << 20):
-                h, at = shingle_sets(texts_of(some, "text"), width)
+            for h, at in read(batch):
                 low = h >> np.uint64(64 - SLICE_BITS) == 0
                 count = np.concatenate(([0], np.cumsum(low)))[at]
                 hashes.append(h[low])
@@ -171,74 +192,112 @@ def _sets(docs: DataFrame, width: int) -> DataFrame:
 
 
 def _measured(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """pairs (a, b, ...) with inter and uni, the sizes of intersection and union of their sets."""
+    """pairs (a, b, ...) with inter and uni, the sizes of intersection and union of their sets.
+
+    Merge joins here and elsewhere: what looks small enough to broadcast grows with the corpus.
+    """
     a = sets.select(F.col("doc_id").alias("a"), F.col("n").alias("na"), F.col("hashes").alias("ha"))
     b = sets.select(F.col("doc_id").alias("b"), F.col("n").alias("nb"), F.col("hashes").alias("hb"))
-    both = pairs.join(a, "a").join(b, "b").withColumn("inter", F.size(F.array_intersect("ha", "hb")).cast("long"))
+    both = pairs.join(a.hint("merge"), "a").join(b.hint("merge"), "b").withColumn("inter", F.size(F.array_intersect("ha", "hb")).cast("long"))
     return both.select(*pairs.columns, "inter", (F.col("na") + F.col("nb") - F.col("inter")).alias("uni"))
 
 
-def _linked(percent: int) -> Column:
-    return F.col("inter") * 100 >= F.col("uni") * percent
-
-
-def _links(sets: DataFrame, percent: int) -> DataFrame:
-    """Edges (a, b) among representatives whose components are those of all links."""
+def _posts(sets: DataFrame, percent: int) -> DataFrame:
+    """(doc_id, n, h): the prefix of each set in the order of rarity, without shingles that no other set has."""
     tokens = sets.select("doc_id", "n", F.explode("hashes").alias("h"))
     counts = tokens.groupBy("h").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
     shared = tokens.join(counts, "h").groupBy("doc_id", "n").agg(F.sort_array(F.collect_list(F.struct("df", "h"))).alias("s"))
     spare = F.expr(f"n - (n * {percent} + 99) div 100")
     size = F.size("s").cast("long")
     prefix = shared.where(F.col("n") - size <= spare).select("doc_id", "n", F.explode(F.slice("s", F.lit(1), (spare + 1 - (F.col("n") - size)).cast("int"))).alias("t"))
-    posts = materialise(prefix.select("doc_id", "n", F.col("t.h").alias("h")), "posts")
-
-    # Pivots: the smallest document in each region of one prefix shingle; each document tries the one it meets most.
-    lead = posts.groupBy("h").agg(F.min(F.struct("doc_id", "n")).alias("m"))
-    met = posts.join(lead, "h").select(F.col("doc_id").alias("a"), F.col("n").alias("na"), F.col("m.doc_id").alias("b"), F.col("m.n").alias("nb"))
-    fits = (F.col("na") * 100 >= F.col("nb") * percent) & (F.col("nb") * 100 >= F.col("na") * percent)
-    best = met.where((F.col("a") != F.col("b")) & fits).groupBy("a", "b").count().groupBy("a").agg(F.max_by("b", F.struct("count", -F.col("b"))).alias("b"))
-    edges = materialise(_measured(best, sets).where(_linked(percent)).select("a", "b"), "links")
-
-    def labelled(found: DataFrame) -> DataFrame:
-        """posts with the pivot (component) of each document."""
-        label = components(found).withColumnRenamed("node", "doc_id")
-        return posts.join(label, "doc_id", "left").withColumn("pivot", F.coalesce("component", "doc_id")).drop("component")
-
-    # A second round between regions: one pair of each two regions that meet.
-    for _ in range(2):
-        marked = materialise(labelled(edges), "regions")
-        seen = marked.groupBy("h", "pivot").agg(F.min("doc_id").alias("doc_id"))
-        first = seen.groupBy("h").agg(F.min(F.struct("pivot", "doc_id")).alias("m"), F.count(F.lit(1)).alias("k")).where("k > 1")
-        across = seen.join(first, "h").where("pivot <> m.pivot").groupBy("pivot", F.col("m.pivot").alias("other")).agg(F.min(F.struct("doc_id", F.col("m.doc_id").alias("b"))).alias("x"))
-        more = materialise(_measured(across.select(F.col("x.doc_id").alias("a"), F.col("x.b").alias("b")).distinct(), sets).where(_linked(percent)).select("a", "b"), "links")
-        if more.isEmpty():
-            break
-        edges = materialise(edges.union(more), "links")
-    else:
-        marked = materialise(labelled(edges), "regions")
-
-    # Across regions: distances to the pivots, and the boundary documents that the triangle inequality leaves.
-    open_h = marked.groupBy("h").agg(F.min("pivot").alias("p"), F.max("pivot").alias("q")).where("p <> q").select("h")
-    border = materialise(marked.join(open_h, "h", "left_semi"), "border")
-    if border.isEmpty():
-        return edges
-    r = 1 - percent / 100
-    slack = 1e-9
-    member = border.select(F.col("doc_id").alias("a"), F.col("pivot").alias("b")).distinct()
-    inside = marked.select(F.col("doc_id").alias("a"), F.col("pivot").alias("b")).distinct().join(border.select(F.col("pivot").alias("b")).distinct(), "b", "left_semi").where("a <> b")
-    far = materialise(_measured(inside, sets).select("a", "b", (1 - F.col("inter") / F.col("uni")).alias("d")), "radii")
-    radius = far.groupBy("b").agg(F.max("d").alias("radius"))
-    spots = materialise(border.join(far.select(F.col("a").alias("doc_id"), "d"), "doc_id", "left").join(radius.withColumnRenamed("b", "pivot"), "pivot", "left").fillna(0.0, ["d", "radius"]), "spots")
-    regions = spots.select("h", "pivot", "radius").distinct()
-    other = regions.select("h", F.col("pivot").alias("other"), F.col("radius").alias("other_radius"))
-    meet = regions.join(other, "h").where("pivot < other").select(F.col("pivot").alias("a"), F.col("other").alias("b"), "radius", "other_radius").distinct()
-    apart = materialise(_measured(meet, sets).withColumn("gap", 1 - F.col("inter") / F.col("uni")).where(F.col("gap") <= F.col("radius") + F.col("other_radius") + r + slack).select("a", "b", "gap", "radius", "other_radius"), "apart")
-    x = spots.select("h", F.col("pivot").alias("a"), F.col("doc_id").alias("x"), F.col("n").alias("nx"), F.col("d").alias("dx")).join(apart, "a").where(F.col("dx") >= F.col("gap") - r - F.col("other_radius") - slack)
-    y = spots.select("h", F.col("pivot").alias("b"), F.col("doc_id").alias("y"), F.col("n").alias("ny"), F.col("d").alias("dy")).join(apart.select("a", "b", "gap", "radius"), "b").where(F.col("dy") >= F.col("gap") - r - F.col("radius") - slack).drop("gap", "radius")
-    reach = (F.abs(F.col("dx") - F.col("dy")) <= F.col("gap") + r + slack) & (F.col("dx") + F.col("dy") + r + slack >= F.col("gap"))
-    length = (F.col("nx") * 100 >= F.col("ny") * percent) & (F.col("ny") * 100 >= F.col("nx") * percent)
-    pairs = x.join(y, ["h", "a", "b"]).where(reach & length).select(F.col("x").alias("a"), F.col("y").alias("b")).distinct()
-    return edges.union(_measured(pairs, sets).where(_linked(percent)).select("a", "b"))
+    return prefix.select("doc_id", "n", F.col("t.h").alias("h"))
+
+
+def _regions(posts: DataFrame, sets: DataFrame) -> DataFrame:
+    """(doc_id, pivot, d): each document's Voronoi region and distance to its pivot; a pivot has its own."""
+    lead = posts.groupBy("h").agg(F.min("doc_id").alias("b"))
+    met = posts.join(lead, "h").where("doc_id <> b").groupBy("doc_id", "b").count()
+    first = materialise(met.groupBy("doc_id").agg(F.max_by("b", F.struct("count", -F.col("b"))).alias("b")), "first")
+    for _ in range(2):  # pivots of pivots, so that one group of near copies gathers around few of them
+        up = first.select(F.col("doc_id").alias("b"), F.col("b").alias("up"))
+        first = materialise(first.join(up, "b", "left").select("doc_id", F.coalesce("up", "b").alias("b")).where("doc_id <> b"), "first")
+    pivots = first.select(F.col("b").alias("doc_id")).distinct()
+    loose = first.join(pivots, "doc_id", "left_anti").select(F.col("doc_id").alias("a"), "b")
+    near = _measured(loose, sets).select(F.col("a").alias("doc_id"), F.col("b").alias("pivot"), (1 - F.col("inter") / F.col("uni")).alias("d")).where(F.col("d") <= NEAR)
+    own = posts.select("doc_id").distinct()
+    return materialise(own.join(near, "doc_id", "left").select("doc_id", F.coalesce("pivot", "doc_id").alias("pivot"), F.coalesce("d", F.lit(0.0)).alias("d")), "regions")
+
+
+def _links(sets: DataFrame, percent: int) -> DataFrame:
+    """Edges (a, b) among representatives whose components are those of all links."""
+    posts = materialise(_posts(sets, percent), "posts")
+    home = _regions(posts, sets)
+    r, slack = 1 - percent / 100, 1e-9
+    radius = home.groupBy("pivot").agg(F.max("d").alias("radius"))
+
+    # Boundary documents: those that meet a region of a smaller pivot and could reach it.
+    placed = posts.join(home, "doc_id").select("doc_id", "h", "pivot")
+    there = placed.select("h", F.col("pivot").alias("other")).distinct()
+    meets = placed.join(there, "h").where("other < pivot").select(F.col("doc_id").alias("a"), F.col("other").alias("b")).distinct()
+    guests = _measured(meets, sets).select("a", "b", (1 - F.col("inter") / F.col("uni")).alias("d")).join(radius.withColumnRenamed("pivot", "b"), "b")
+    guests = guests.where(F.col("d") <= F.col("radius") + r + slack).select(F.col("b").alias("pivot"), F.col("a").alias("doc_id"), "d", F.lit(True).alias("guest"))
+    members = materialise(home.select("pivot", "doc_id", "d", F.lit(False).alias("guest")).union(guests), "region-members")
+
+    line = Window.partitionBy("pivot").orderBy("d", "doc_id")
+    cells = materialise(members.withColumn("block", F.floor((F.row_number().over(line) - 1) / BLOCK).cast("int")), "cells")
+    spans = cells.groupBy("pivot", "block").agg(F.min("d").alias("low"), F.max("d").alias("high"), F.count(F.lit(1)).alias("k"))
+    later = spans.select("pivot", F.col("block").alias("block2"), F.col("low").alias("low2"), F.col("k").alias("k2"))
+    pairs = spans.join(later, "pivot").where((F.col("block2") >= F.col("block")) & (F.col("low2") - F.col("high") <= r + slack) & ((F.col("block2") > F.col("block")) | (F.col("k") > 1)))
+    sides = pairs.select("pivot", "block", F.explode(F.array(F.struct(F.col("block").alias("own"), F.lit(0).alias("side")), F.struct(F.col("block2").alias("own"), F.lit(1).alias("side")))).alias("x"), "block2").where("not (block = block2 and x.side = 1)")
+    dealt = sides.select("pivot", "block", "block2", F.col("x.own").alias("own"), F.col("x.side").alias("side")).join(cells.withColumnRenamed("block", "own"), ["pivot", "own"])
+    full = dealt.select("pivot", "block", "block2", "side", "doc_id", "d", "guest").join(sets.hint("merge"), "doc_id")
+    return full.groupBy("pivot", "block", "block2").applyInArrow(_compare(percent), "a long, b long")
+
+
+def _compare(percent: int):
+    """Links between the two blocks of a group (or inside one), as a spanning forest."""
+
+    def run(group: pa.Table) -> pa.Table:
+        group = group.combine_chunks()
+        get = {c: group.column(c).to_numpy() for c in ("side", "doc_id", "d", "guest", "n")}
+        lists = group.column("hashes").chunk(0) if group.num_rows else None
+        at = lists.offsets.to_numpy(zero_copy_only=False).astype(np.int64)
+        at = at - at[0]
+        _, code = np.unique(lists.flatten().to_numpy(zero_copy_only=False), return_inverse=True)
+        n, d = get["n"].astype(np.int64), get["d"]
+        owner = np.repeat(np.arange(len(n)), n)
+        mark = np.zeros(int(code.max()) + 1 if len(code) else 1, bool)
+        parent = list(range(len(n)))
+
+        def root(i: int) -> int:
+            while parent[i] != i:
+                parent[i] = parent[parent[i]]
+                i = parent[i]
+            return i
+
+        two = (get["side"] == 1).any()
+        r = 1 - percent / 100 + 1e-9
+        out = []
+        for i in range(len(n)):
+            if two and get["side"][i] == 1:
+                continue
+            can = (get["side"] == 1) if two else np.arange(len(n)) > i
+            can = can & ~(get["guest"] & get["guest"][i]) & (np.abs(d - d[i]) <= r) & (n * 100 >= n[i] * percent) & (n[i] * 100 >= n * percent)
+            if not can.any():
+                continue
+            own = code[at[i] : at[i + 1]]
+            mark[own] = True
+            inter = np.bincount(owner[mark[code]], minlength=len(n))
+            mark[own] = False
+            for j in np.flatnonzero(can & (inter * 100 >= (n + n[i] - inter) * percent)).tolist():
+                x, y = root(i), root(j)
+                if x != y:
+                    parent[x] = y
+                    out.append((int(get["doc_id"][i]), int(get["doc_id"][j])))
+        a, b = zip(*out) if out else ((), ())
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+    return run
 
 
 def jaccard_components(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -250,13 +309,15 @@ def jaccard_components(docs: DataFrame, width: int = 5, percent: int = 80, id_co
     empty table gives no rows; other columns are ignored.
     """
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).where("doc_id is not null")
-    sizes = materialise(_candidates(base, width, percent), "sizes")
+    sizes = materialise(_candidates(base, _of_texts(width), percent), "sizes")
     few = sizes.where("keep").select("doc_id")
-    sets = materialise(_sets(base.join(few, "doc_id", "left_semi"), width).dropDuplicates(["doc_id"]), "sets")
+    sets = materialise(_sets(base.join(few.hint("merge"), "doc_id", "left_semi"), width).dropDuplicates(["doc_id"]), "sets")
     classes = sets.groupBy("k1", "k2", "n").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("k"))
     member = materialise(sets.select("doc_id", "k1", "k2", "n").join(classes, ["k1", "k2", "n"]).select("doc_id", "rep", "k"), "members")
-    reps = materialise(sets.join(member.where("doc_id = rep").select("doc_id"), "doc_id", "left_semi").select("doc_id", "n", "hashes"), "reps")
-    label = components(_links(reps, percent)).withColumnRenamed("node", "rep")
+    reps = materialise(sets.join(member.where("doc_id = rep").select("doc_id").hint("merge"), "doc_id", "left_semi").select("doc_id", "n", "hashes"), "reps")
+    some = materialise(_candidates(reps.select("doc_id", "hashes"), _of_sets, percent).where("keep").select("doc_id"), "candidates")
+    left = materialise(reps.join(some.hint("merge"), "doc_id", "left_semi"), "sets")
+    label = components(_links(left, percent)).withColumnRenamed("node", "rep")
     found = member.join(label, "rep", "left").select("doc_id", F.coalesce("component", "rep").alias("component"))
     found = found.where("doc_id <> component")
     return sizes.groupBy("doc_id").agg(F.max("n").alias("n_shingles")).join(found, "doc_id", "left").select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
