@@ -5,6 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.sources.sinks import checkpointed
+
+
+def bucket_of(value: Column, cuts: list[float]) -> Column:
+    """How many cuts lie below value."""
+    return F.size(F.filter(F.array(*[F.lit(float(c)) for c in cuts]), lambda c: c < value)) if cuts else F.lit(0)
+
 
 def running_sum(df: DataFrame, value: str, key: str, descending: bool = True, out: str = "running", buckets: int = 32) -> DataFrame:
     """Adds the running sum of value in the order (value, key), including the row itself, and `out`_total.
@@ -13,11 +20,10 @@ def running_sum(df: DataFrame, value: str, key: str, descending: bool = True, ou
     adds up, split by key ranges where one value fills a bucket; the totals of earlier buckets, one row each, are
     broadcast (their number is the parameter). Nulls count as 0 and come last.
     """
+    df = checkpointed(df)
     v = F.coalesce(F.col(value), F.lit(0).cast(df.schema[value].dataType))
     cuts = sorted(set(df.agg(F.percentile_approx(v.cast("double"), [i / buckets for i in range(1, buckets)], 1000)).first()[0] or []))
-    bucket = F.lit(0)
-    for c in cuts:
-        bucket = bucket + (v.cast("double") > c).cast("int")
+    bucket = bucket_of(v.cast("double"), cuts)
     keyed = df.withColumn("_b", -bucket if descending else bucket).withColumn("_v", v)
     # a heavy value splits by its keys
     halves = keyed.groupBy("_b").agg(F.percentile_approx(key, [0.25, 0.5, 0.75], 1000).alias("_k"))
@@ -55,11 +61,9 @@ def average_rank(df: DataFrame, value: str, out: str) -> DataFrame:
 
 
 def _running_count(counts: DataFrame, value: str, buckets: int = 32) -> DataFrame:
+    counts = checkpointed(counts)
     cuts = sorted(set(counts.agg(F.percentile_approx(F.col(value).cast("double"), [i / buckets for i in range(1, buckets)], 1000)).first()[0] or []))
-    bucket = F.lit(0)
-    for c in cuts:
-        bucket = bucket + (F.col(value).cast("double") > c).cast("int")
-    keyed = counts.withColumn("_b", bucket)
+    keyed = counts.withColumn("_b", bucket_of(F.col(value).cast("double"), cuts))
     before = keyed.groupBy("_b").agg(F.sum("_n").alias("_t")).select("_b", (F.sum("_t").over(Window.orderBy("_b")) - F.col("_t")).alias("_before"))
     inside = Window.partitionBy("_b").orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
     return keyed.join(F.broadcast(before), "_b").withColumn("_upto", F.sum("_n").over(inside) + F.col("_before")).drop("_b", "_before")

@@ -35,7 +35,7 @@ TABLES = {
       (SELECT rate FROM fx_rates f WHERE f.currency_id = d.currency_id AND f.valid_from <= DATE '2000-01-01' ORDER BY valid_from DESC LIMIT 1) f ON true WHERE d.created <= DATE '2000-01-01'""",
     "task_events": """SELECT event_id, concat_ws(':', CAST(user_id AS VARCHAR), json_extract_string(props, '$.k')) AS task_key,
       CASE event_type WHEN 'signup' THEN 'generated' WHEN 'view' THEN 'open' WHEN 'click' THEN 'in_progress' WHEN 'purchase' THEN 'done' ELSE 'dismissed' END AS kind,
-      user_id AS "by", user_id % 25 AS manager_id, ts AS at, CASE WHEN event_type = 'purchase' THEN CAST(value AS DECIMAL(18,2)) END AS amount FROM events""",
+      user_id AS "by", user_id % 25 AS manager_id, ts AS "at", CASE WHEN event_type = 'purchase' THEN CAST(value AS DECIMAL(18,2)) END AS amount FROM events""",
 }
 
 

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from tidemark.plans import sales, timeseries
+from tidemark.plans import actions, assortment, pricing, reco, risk, sales, supply, timeseries
 
-MODULES = (sales, timeseries)
+MODULES = (sales, timeseries, assortment, pricing, supply, reco, risk, actions)
 QUERIES: dict = {}
 ORACLES: dict = {}
 for module in MODULES:

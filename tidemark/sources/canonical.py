@@ -132,5 +132,5 @@ def task_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     kind = F.when(F.col("event_type") == "signup", "generated").when(F.col("event_type") == "view", "open").when(F.col("event_type") == "click", "in_progress").when(F.col("event_type") == "purchase", "done").otherwise("dismissed")
     k = F.get_json_object("props", "$.k")
     return read(spark, sf_dir, "events").select(
-        "event_id", F.concat_ws(":", F.col("user_id").cast("string"), k).alias("task_key"), kind.alias("kind"), F.col("user_id").alias("by"), (F.col("user_id") % 25).alias("manager_id"), F.col("ts").alias("at"), F.when(F.col("event_type") == "purchase", F.col("value").cast("decimal(18,2)")).alias("amount")
+        "event_id", F.concat_ws(":", F.col("user_id").cast("string"), k).alias("task_key"), kind.alias("kind"), F.col("user_id").alias("by"), (F.col("user_id") % 25).alias("manager_id"), F.col("ts").cast("timestamp").alias("at"), F.when(F.col("event_type") == "purchase", F.col("value").cast("decimal(18,2)")).alias("amount")
     )
