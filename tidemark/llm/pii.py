@@ -88,7 +88,7 @@ def _proposed(text: Column, pattern: str) -> Column:
 
 def _valid(kind: str, value: Column) -> Column:
     if kind == "ip":
-        return F.forall(F.split(value, r"\."), lambda p: F.length(F.ltrim(F.lit("0"), p)).between(0, 3) & (F.coalesce(F.ltrim(F.lit("0"), p).try_cast("int"), F.lit(0)) <= 255))
+        return F.forall(F.split(value, r"\."), lambda p: (F.length(F.ltrim(p, F.lit("0"))) <= 3) & (F.coalesce(F.ltrim(p, F.lit("0")).try_cast("int"), F.lit(0)) <= 255))
     if kind == "card":
         return luhn(_digits(value))
     if kind == "phone":

@@ -109,14 +109,15 @@ def fit(docs: DataFrame, labels: DataFrame, most_train: int = 40_000, trees: int
     Without labels, or with one label only, there are no rules and the score is that label's share (0.5 for none).
     """
     known = labels.where(F.col("quality").isNotNull() & F.col("doc_id").isNotNull() & (F.crc32(F.col("doc_id").cast("string")) % 5 != 0)).groupBy("doc_id").agg(F.max("quality").cast("double").alias("label"))
-    n, ones = known.agg(F.count(F.lit(1)), F.sum("label")).first()
-    if not n or ones in (0.0, float(n)):
-        share = min(max((ones or 0) / n, 0.01), 0.99) if n else 0.5
-        return RuleEnsemble([], math.log(share / (1 - share)))
+    n = known.count()
     if n > most_train:
         known = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < int((1 << 20) * most_train / n))
     sample = docs.select(F.col("doc_id"), "text").join(F.broadcast(known), "doc_id")
     table = materialise(with_statistics(sample, ["label"]), "quality-sample").coalesce(4)
+    n, ones = table.agg(F.count(F.lit(1)), F.sum("label")).first()
+    if not n or ones in (0.0, float(n)):
+        share = min(max((ones or 0) / n, 0.01), 0.99) if n else 0.5
+        return RuleEnsemble([], math.log(share / (1 - share)))
     vectors = VectorAssembler(inputCols=[f"s_{k}" for k in STATISTICS], outputCol="x").transform(table).select("label", "x")
     forest = RandomForestClassifier(labelCol="label", featuresCol="x", numTrees=trees, maxDepth=depth, maxBins=64, minInstancesPerNode=10, featureSubsetStrategy="onethird", subsamplingRate=0.7, seed=7).fit(vectors)
     rules = [Rule(p) for p in paths(forest.toDebugString)]
