@@ -142,3 +142,20 @@ def run_rate(monthly: DataFrame, key: str, value: str, current: str, n: int = 3)
     """Mean of the n latest completed months of each key."""
     last = monthly.where(F.col("ym") < current).groupBy(key).agg(F.slice(F.sort_array(F.collect_list(F.struct("ym", value)), asc=False), 1, n).alias("x"))
     return last.select(key, (F.aggregate("x", F.lit(0.0), lambda a, r: a + r[value]) / F.size("x")).alias("target"))
+
+
+def daily_croston(daily: DataFrame, window_days: int, alpha: float = 0.1, sba: bool = True) -> DataFrame:
+    """(product_id, rate) from days with demand (product_id, created, u). The first interval looks back to what the window
+    leaves before the first demand day; with fewer than two days the total is spread over the window."""
+    events = daily.where("u > 0").groupBy("product_id").agg(F.sort_array(F.collect_list(F.struct("created", "u"))).alias("e"))
+    first, last = F.element_at("e", 1), F.element_at("e", -1)
+    look = F.greatest(F.least(F.lit(window_days), F.greatest(F.lit(window_days) - F.datediff(last["created"], first["created"]), F.lit(0))), F.lit(1)).cast("double")
+    start = F.struct(first["u"].alias("z"), look.alias("p"), first["created"].alias("prev"))
+
+    def fold(acc: Column, x: Column) -> Column:
+        gap = F.greatest(F.datediff(x["created"], acc["prev"]), F.lit(1)).cast("double")
+        return F.struct((acc["z"] + F.lit(alpha) * (x["u"] - acc["z"])).alias("z"), (acc["p"] + F.lit(alpha) * (gap - acc["p"])).alias("p"), x["created"].alias("prev"))
+
+    total = F.aggregate("e", F.lit(0.0), lambda a, x: a + x["u"])
+    smooth = F.aggregate(F.slice("e", F.lit(2), F.greatest(F.size("e") - 1, F.lit(0))), start, fold, lambda a: a["z"] / a["p"] * F.lit(1.0 - alpha / 2.0 if sba else 1.0))
+    return events.select("product_id", F.when(F.size("e") < 2, total / window_days).otherwise(smooth).alias("rate"))

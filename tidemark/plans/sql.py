@@ -52,4 +52,6 @@ def sql(body: str, **own: str) -> str:
                     order.append(name)
 
     need(body)
+    if not order:
+        return body
     return "WITH " + ",\n".join(f"{n} AS ({known[n]})" for n in order) + "\n" + body
