@@ -106,7 +106,7 @@ def overview(table: DataFrame) -> DataFrame:
     keys = ["band", "lifecycle", "action_label", "abc", "xyz"]
     sets = table.groupingSets([[k] for k in keys] + [[]], *keys)
     out = sets.agg(F.grouping_id().alias("gid"), F.count(F.lit(1)).alias("n"), F.sum("eur_value").alias("eur_value"), F.avg("health").alias("avg_health"))
-    return out.select(F.concat_ws(":", *[F.when(F.col(k).isNotNull(), F.concat(F.lit(k + "="), F.col(k))) for k in keys]).alias("slice"), "n", F.round("eur_value", 2).alias("eur_value"), F.round(F.col("avg_health") + 1e-9, 1).alias("avg_health"))
+    return out.select(F.concat_ws(":", *[F.when(F.col(k).isNotNull(), F.concat(F.lit(k + "="), F.col(k))) for k in keys]).alias("slice"), "n", F.round("eur_value", 4).alias("eur_value"), F.round(F.col("avg_health") + 1e-9, 1).alias("avg_health"))
 
 
 def stock_bands(table: DataFrame) -> DataFrame:

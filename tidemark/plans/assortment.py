@@ -86,7 +86,7 @@ def h7(spark, d):
 
 @P.add(
     "a36_overview",
-    """SELECT concat_ws(':', 'band=' || band, 'lifecycle=' || lifecycle, 'action_label=' || action_label, 'abc=' || abc, 'xyz=' || xyz) AS slice, count(*) AS n, round(sum(eur_value), 2) AS eur_value, round(avg(health) + 0.000000001::DOUBLE, 1) AS avg_health
+    """SELECT concat_ws(':', 'band=' || band, 'lifecycle=' || lifecycle, 'action_label=' || action_label, 'abc=' || abc, 'xyz=' || xyz) AS slice, count(*) AS n, round(sum(eur_value), 4) AS eur_value, round(avg(health) + 0.000000001::DOUBLE, 1) AS avg_health
     FROM portfolio GROUP BY GROUPING SETS ((band), (lifecycle), (action_label), (abc), (xyz), ())""",
     **TABLES,
 )
@@ -112,11 +112,11 @@ def a37(spark, d):
 
 @P.add(
     "a38_stock_bands",
-    "SELECT b.band, count(p.product_id) AS n, round(coalesce(sum(eur_value), 0.0::DOUBLE), 2) AS eur_value, coalesce(sum(qty_on_hand), 0.0::DOUBLE) AS qty FROM (SELECT unnest(['order_to_demand', 'healthy', 'understock', 'overstock', 'slow', 'dead']) AS band) b LEFT JOIN portfolio p ON p.band = b.band GROUP BY 1",
+    "SELECT b.band, count(p.product_id) AS n, round(coalesce(sum(eur_value), 0.0::DOUBLE), 4) AS eur_value, coalesce(sum(qty_on_hand), 0.0::DOUBLE) AS qty FROM (SELECT unnest(['order_to_demand', 'healthy', 'understock', 'overstock', 'slow', 'dead']) AS band) b LEFT JOIN portfolio p ON p.band = b.band GROUP BY 1",
     **TABLES,
 )
 def a38(spark, d):
-    return h.stock_bands(table(spark, d)).withColumn("eur_value", F.round("eur_value", 2))
+    return h.stock_bands(table(spark, d)).withColumn("eur_value", F.round("eur_value", 4))
 
 
 @P.add(

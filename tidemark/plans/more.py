@@ -276,7 +276,7 @@ def n7(spark, d):
     return actions.reorders(spark, d).join(bought, ["client_id", "group_id"], "left").select("client_id", "group_id", F.coalesce("label", F.lit(0)).alias("label"))
 
 
-@P.add("n10_vintages", "SELECT CAST(m AS VARCHAR) AS vintage, count(DISTINCT client_id) AS n_clients FROM past_sales JOIN (SELECT DATE '1999-05-01' + to_months(CAST(i AS INTEGER)) AS m FROM range(0, 6) t(i)) ON created < m AND created >= m - INTERVAL 12 MONTH GROUP BY 1")
+@P.add("n10_vintages", "SELECT CAST(CAST(m AS DATE) AS VARCHAR) AS vintage, count(DISTINCT client_id) AS n_clients FROM past_sales JOIN (SELECT DATE '1999-05-01' + to_months(CAST(i AS INTEGER)) AS m FROM range(0, 6) t(i)) ON created < m AND created >= m - INTERVAL 12 MONTH GROUP BY 1")
 def n10(spark, d):
     dates = spark.range(6).select(F.add_months(F.lit("1999-05-01").cast("date"), F.col("id").cast("int")).alias("m"))
     lines = past(spark, d).join(F.broadcast(dates), (F.col("created") < F.col("m")) & (F.col("created") >= F.add_months("m", -12)))

@@ -189,7 +189,7 @@ def t19(spark, d):
     "t20_run_rate_targets",
     """SELECT manager_id, round(target, 2) AS target, round(target / 26 * 13, 2) AS expected, coalesce(mtd, 0.0::DOUBLE) AS mtd,
     CASE WHEN target / 26 * 13 <= 0 THEN 'on' WHEN coalesce(mtd, 0.0::DOUBLE) / (target / 26 * 13) >= 1.05 THEN 'ahead' WHEN coalesce(mtd, 0.0::DOUBLE) / (target / 26 * 13) < 0.95 THEN 'behind' ELSE 'on' END AS status FROM
-    (SELECT manager_id, sum(x) / count(*) AS target FROM (SELECT manager_id, strftime(created, '%Y-%m') AS ym, CAST(sum(amount) AS DOUBLE) AS x FROM valid_sales WHERE created >= DATE '1999-10-01' AND created < DATE '2000-01-01' GROUP BY 1, 2) GROUP BY 1)
+    (SELECT manager_id, sum(x) / count(*) AS target FROM (SELECT manager_id, x, row_number() OVER (PARTITION BY manager_id ORDER BY ym DESC) AS r FROM (SELECT manager_id, strftime(created, '%Y-%m') AS ym, CAST(sum(amount) AS DOUBLE) AS x FROM past_sales GROUP BY 1, 2)) WHERE r <= 3 GROUP BY 1)
     LEFT JOIN (SELECT manager_id, CAST(sum(amount) AS DOUBLE) AS mtd FROM valid_sales WHERE created >= DATE '2000-01-01' AND created <= DATE '2000-01-15' GROUP BY 1) USING (manager_id)""",
 )
 def t20(spark, d):
