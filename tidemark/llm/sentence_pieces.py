@@ -26,7 +26,7 @@ from tidemark.llm.words import column, gather, slices, texts_of
 SPACE = "▁"
 BASE = np.uint64(0x9E3779B97F4A7C15)
 #: Remembered pairs of pieces; beyond, the memory starts anew.
-MOST_PAIRS = 1 << 21
+MOST_PAIRS = 1 << 20
 
 
 class Pieces:
@@ -248,7 +248,7 @@ def encode_documents(docs: DataFrame, model: str, id_col: str = "doc_id", text_c
     def run(batches):
         pieces = load(model)
         for whole in batches:
-            for batch in slices(whole, "text", 16 << 20):
+            for batch in slices(whole, "text", 6 << 20):
                 ids, at = pieces.encode(texts_of(batch, "text"))
                 yield pa.RecordBatch.from_arrays([column(batch, "doc_id"), pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(ids))], names=["doc_id", "ids"])
 
@@ -282,7 +282,7 @@ def encoding_report(docs: DataFrame, model: str) -> DataFrame:
         single = np.zeros(pieces.size, np.int64)
         single[pieces.byte] = 1
         for whole in batches:
-            for batch in slices(whole, "text", 16 << 20):
+            for batch in slices(whole, "text", 6 << 20):
                 texts = texts_of(batch, "text")
                 ids, at = pieces.encode(texts)
                 raw, out = pieces.decode(ids, at)

@@ -40,7 +40,7 @@ def write_token_files(docs: DataFrame, path: str, model: str, head: int = 1, end
             raise ValueError("a digit is not one piece of this model")
         held, waiting = [], 0
         for whole in batches:
-            for batch in slices(whole, "text", 16 << 20):
+            for batch in slices(whole, "text", 6 << 20):
                 ids, at = pieces.encode(texts_of(batch, "text"))
                 ids = ids.astype("<u2")
                 names = [digit[["0123456789-".index(c) for c in str(i)]].astype("<u2") for i in column(batch, "doc_id").to_pylist()]
