@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidemark.functions import columns as col
-from tidemark.operators import actions, pricing, ranking, reco, risk, supply, timeseries as ts
+from tidemark.operators import actions, catalogue, pricing, ranking, reco, risk, supply, timeseries as ts
 from tidemark.sources import canonical as c, sinks
 from tidemark.streaming import jobs
 
@@ -231,3 +231,22 @@ def test_stream_equals_batch(spark, sf_dir, tmp_path):
     daily.stop()
     assert spark.table("daily").agg(F.sum("n")).first()[0] == events.count()
     assert math.isfinite(spark.table("daily").count())
+
+
+def test_pooled_slope_equals_least_squares(spark):
+    rnd = np.random.default_rng(9)
+    rows = [("g", p, a, float(x), float(2 - 1.3 * x + 0.3 * p - 0.2 * a + e)) for p, a, x, e in zip(rnd.integers(0, 6, 300), rnd.integers(0, 5, 300), rnd.normal(size=300), rnd.normal(size=300) * 0.1)]
+    rows = [(g, int(p), int(a), x, y) for g, p, a, x, y in rows]
+    got = pricing.pooled_slope(spark.createDataFrame(rows, "g string, p int, a int, x double, y double"), "g", ["p", "a"]).first()
+    design = np.array([[x, *(float(p == k) for k in range(6)), *(float(a == k) for k in range(1, 5))] for _, p, a, x, _ in rows])
+    beta = np.linalg.lstsq(design, np.array([r[4] for r in rows]), rcond=None)[0]
+    assert got.n == 300 and got.slope == pytest.approx(beta[0], abs=1e-4)
+
+
+def test_links_and_tier_roots(spark):
+    products = spark.createDataFrame([(1, " AB-12 "), (2, "ab-12"), (3, "-"), (4, "-"), (5, None)], "product_id long, number string")
+    pairs = spark.createDataFrame([(1, 2), (3, 5)], "product_id long, other_id long")
+    got = {(r.product_id, r.other_id): r.curated for r in catalogue.links(pairs, products).collect()}
+    assert got == {(1, 2): 1, (2, 1): 1, (3, 5): 1, (5, 3): 1}
+    tiers = spark.createDataFrame([(0, None, 1.0), (1, 0, 5.0), (2, 1, 3.0)], "pricing_id int, parent_id int, extra double")
+    assert {r.pricing_id: (r.root_id, r.markup) for r in catalogue.tier_roots(tiers).collect()} == {0: (0, 1.0), 1: (0, 6.0), 2: (0, 9.0)}

@@ -7,6 +7,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.sources.sinks import checkpointed
+
 MAD_K, MAD_SCALE, MAD_ROWS = 3.5, 1.4826, 4
 
 
@@ -121,3 +123,16 @@ def elasticity(cells: DataFrame, key: str = "product_id", least_df: int = 3, lea
 def elastic_price(e: Column, cost: Column) -> Column:
     """Cost times e / (e - 1) for a sane e above 1."""
     return F.when((e > 1.0) & (e <= 5.0), cost * e / (e - 1))
+
+
+def pooled_slope(df: DataFrame, key: str, effects: list[str], sweeps: int = 8) -> DataFrame:
+    """(key, slope, n) of y on x after the means of each effect inside a key are swept out by turns. A sweep is an
+    aggregate and a join per effect, so that a large group never lands in one task; sweeps are written every other turn."""
+    df = checkpointed(df)
+    for i in range(sweeps):
+        for e in effects:
+            means = df.groupBy(key, e).agg(F.avg("x").alias("_mx"), F.avg("y").alias("_my"))
+            df = df.join(means, [key, e]).withColumns({"x": F.col("x") - F.col("_mx"), "y": F.col("y") - F.col("_my")}).drop("_mx", "_my")
+        if i % 2:
+            df = checkpointed(df)
+    return df.groupBy(key).agg(F.regr_slope("y", "x").alias("slope"), F.count(F.lit(1)).alias("n"))

@@ -8,7 +8,6 @@ from tidemark.functions import columns as col
 from tidemark.operators import sales, timeseries as ts
 from tidemark.plans.base import Plans
 from tidemark.plans.sales import END, past, valid, year
-from tidemark.sources import canonical as c
 
 P = Plans()
 MONTHS = 24

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from tidemark.plans import actions, assortment, more, pricing, reco, risk, sales, supply, timeseries
+from tidemark.plans import actions, assortment, more, pricing, reco, risk, sales, supply, timeseries, vintages
 
-MODULES = (sales, timeseries, assortment, pricing, supply, reco, risk, actions, more)
+MODULES = (sales, timeseries, assortment, pricing, supply, reco, risk, actions, more, vintages)
 QUERIES: dict = {}
 ORACLES: dict = {}
 for module in MODULES:
