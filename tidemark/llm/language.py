@@ -15,7 +15,6 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.shingles import raw_bytes
 from tidemark.llm.words import column, distinct_words, slices, texts_of
 
 DIMENSIONS, SYMBOLS, NGRAM = 1024, 64, 3
