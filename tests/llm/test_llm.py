@@ -323,6 +323,20 @@ def test_toxicity_held_out_and_disguises(spark):
     assert sum(a == 1 and b == 0 for a, b in pairs) <= 1 and sum(a == b for a, b in pairs) / len(pairs) > 0.9
 
 
+@pytest.fixture(scope="module")
+def toxicity_model(spark):
+    d = "/root/testdata/sf0.01"
+    return toxicity.fit(spark.read.parquet(f"{d}/documents.parquet"), spark.read.parquet(f"{d}/labels.parquet"))
+
+
+def test_toxicity_of_spaced_words_beside_others(toxicity_model):
+    toxic = ["such a m o r o n", "such I d i o t", "you à m 0 r 0 n", "y o u i d i o t", "i d i o t m o r o n", "m o r o n s a n d t r a s h"]
+    clean = ["c l a s s i c", "s u c h a g o o d d a y", "a b c d e f g", "日 本 語", "x y z " * 2000]
+    scores = toxicity_model.score(pa.array(toxic + clean))
+    assert (scores[:6] >= 0.5).all() and (scores[6:] < 0.5).all()
+    assert toxicity_model.segment("amoron") == ["a", "moron"] and toxicity_model.segment("") == []
+
+
 def test_toxicity_edges(spark):
     labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     rows = toxicity.toxicity_report(frame(spark, ODD).drop("score"), labels).collect()
