@@ -337,6 +337,13 @@ def test_toxicity_of_spaced_words_beside_others(toxicity_model):
     assert toxicity_model.segment("amoron") == ["a", "moron"] and toxicity_model.segment("") == []
 
 
+def test_toxicity_of_edge_symbols_as_letters(toxicity_model):
+    toxic = ["!d1ot", "such a (lown", "<lown", "the tras# is", '"!diot!!"', "((lown)", "! d i o t", "a ( l o w n", "t r a s #", "(moron)", "moron!"]
+    clean = ["(the) house!", "wow! (and) so #on", "! ( < #", "<b> good!", "!" * 5000 + " a" + "(" * 5000, "see (land #all <it"]
+    scores = toxicity_model.score(pa.array(toxic + clean))
+    assert (scores[: len(toxic)] >= 0.5).all() and (scores[len(toxic) :] < 0.5).all()
+
+
 def test_toxicity_edges(spark):
     labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     rows = toxicity.toxicity_report(frame(spark, ODD).drop("score"), labels).collect()
