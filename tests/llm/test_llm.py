@@ -378,3 +378,13 @@ def test_planted_copies_go(spark, sf_dir):
     assert not [r for r in kept.collect() if r.doc_id >= 100_000]
 
 
+def test_stages_keep_null_ids_and_one_of_repeated_rows(spark):
+    a, b, c = ("one two three four five six " + w for w in ("seven eight", "nine ten", "eleven twelve"))
+    long = " ".join(f"w{i}" for i in range(200))
+    rows = [(None, a), (None, a), (None, b), (1, c), (1, c), (1, "other words of the same id"), (None, long + " more"), (2, long), (3, None), (3, None), (None, "x"), (4, "x")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    order = lambda r: (r[0] is None, r[0] or 0, r[1] or "")
+    exact = sorted((tuple(r) for r in exact_dedup.drop_exact_copies(docs).collect()), key=order)
+    assert exact == sorted([(None, a), (None, b), (1, c), (1, "other words of the same id"), (None, long + " more"), (2, long), (3, None), (4, "x")], key=order)
+    near = sorted((tuple(r) for r in jaccard_join.drop_near_copies(docs).collect()), key=order)
+    assert near == sorted([(None, a), (None, b), (1, c), (1, "other words of the same id"), (2, long), (3, None), (4, "x")], key=order)

@@ -45,9 +45,13 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
 
 def drop_exact_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs without the copies: of equal texts the row with the smallest id stays, with all its columns."""
-    kept = exact_dedup(docs, id_col, text_col).where("kept").select(F.col("doc_id").alias("_kept_id")).distinct()
-    return docs.join(kept, docs[id_col].eqNullSafe(kept["_kept_id"]), "left_semi")
+    """docs without the copies: of equal texts the row with the smallest id stays, with all its columns.
+
+    Null ids sort after all others, as in `exact_dedup`; of repeated rows with the same id and equal text one stays.
+    """
+    rows = docs.withColumn("_norm", squeeze_whitespace(F.col(text_col))).withColumn("_h", F.unhex(F.md5("_norm")))
+    key = F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    return rows.groupBy("_h", "_norm").agg(F.min(key).alias("_first")).select("_first.row.*")
 
 
 ORACLE_SQL = r"""

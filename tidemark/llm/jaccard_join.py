@@ -324,6 +324,25 @@ def jaccard_components(docs: DataFrame, width: int = 5, percent: int = 80, id_co
 
 
 def drop_near_copies(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
-    """docs with one document of each component: the one with the smallest id."""
-    stay = jaccard_components(docs, width, percent).where("doc_id = component_id").select("doc_id")
-    return docs.join(stay, "doc_id", "left_semi").select(*docs.columns)
+    """docs with one document of each component: the one with the smallest id.
+
+    Every row counts. Of repeated rows with the same id and text one stays; other rows of one id, and rows with a null
+    id, are documents of their own that sort after all others.
+    """
+    counts = docs.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"))
+    odd = materialise(counts.where("doc_id is null or n > 1").select("doc_id"), "odd-ids")
+    if odd.isEmpty():
+        return _stay(docs.withColumn("_key", F.col("doc_id").cast("long")), width, percent).select(*docs.columns)
+    some = docs.join(odd.withColumnRenamed("doc_id", "_odd"), F.col("doc_id").eqNullSafe(F.col("_odd")), "left_semi").dropDuplicates(["doc_id", "text"])
+    first = F.col("doc_id").isNotNull() & (F.row_number().over(Window.partitionBy("doc_id", F.when(F.col("doc_id").isNull(), F.xxhash64("text"))).orderBy("text")) == 1)
+    top = docs.agg(F.coalesce(F.max(F.col("doc_id").cast("long")), F.lit(0))).first()[0]
+    own = F.when(F.col("_first"), F.col("doc_id").cast("long")).otherwise(F.lit(max(top, 0) + 1) + F.monotonically_increasing_id())
+    some = materialise(some.withColumn("_first", first).withColumn("_key", own).drop("_first"), "odd-rows")
+    rest = docs.where("doc_id is not null").join(odd, "doc_id", "left_anti").select(*docs.columns)
+    return _stay(rest.withColumn("_key", F.col("doc_id").cast("long")).unionByName(some), width, percent).select(*docs.columns)
+
+
+def _stay(keyed: DataFrame, width: int, percent: int) -> DataFrame:
+    """Rows whose _key is the smallest of its component."""
+    stay = jaccard_components(keyed, width, percent, id_col="_key").where("doc_id = component_id").select(F.col("doc_id").alias("_key"))
+    return keyed.join(stay, "_key", "left_semi")
