@@ -140,6 +140,13 @@ def test_budget_selection_equals_the_greedy_loop(spark):
     assert got == want
 
 
+def test_budget_selection_does_not_stop_silently(spark):
+    items = spark.createDataFrame([(1, 0.9, 1.0), (2, 0.8, 8.5), (3, 0.7, 1.0)], "item_id long, density double, line_cost double")
+    assert {r.item_id for r in supply.select_within_budget(items, 9.0).collect()} == {1, 3}
+    with pytest.raises(RuntimeError):
+        supply.select_within_budget(items, 9.0, most_rounds=1)
+
+
 def test_order_rounding(spark):
     rows = [(0.0, 5.0, 2.0, 0.0), (3.0, 5.0, 2.0, 6.0), (7.5, 5.0, 1.0, 7.5), (7.5, None, None, 7.5)]
     df = spark.createDataFrame(rows, "q double, moq double, m double, want double")

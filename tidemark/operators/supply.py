@@ -92,22 +92,26 @@ def value_density(plan: DataFrame) -> DataFrame:
     return df.withColumn("density", F.when(F.col("line_cost") > 0, F.round(F.col("profit_at_risk") / F.col("line_cost"), 4)).otherwise(0.0))
 
 
-def select_within_budget(items: DataFrame, budget: float, most_rounds: int = 50) -> DataFrame:
+def select_within_budget(items: DataFrame, budget: float, most_rounds: int | None = None) -> DataFrame:
     """Items by falling density, each taken if it still fits, as (item_id, line_cost): exact in rounds.
 
     A round takes the prefix that fits, then drops every item dearer than what is left; those can never fit, as what is
-    left only shrinks. Each round takes at least one item or ends.
+    left only shrinks. Each round takes at least one item or ends. With most_rounds, more rounds are an error.
     """
     left = budget
     rest = items.where("line_cost > 0").select("item_id", "density", F.col("line_cost").cast("decimal(18,2)").alias("line_cost"))
     chosen = rest.limit(0).select("item_id", "line_cost")
-    for _ in range(most_rounds):
+    rounds = 0
+    while True:
         rest = checkpointed(rest.where(F.col("line_cost") <= F.lit(left).cast("decimal(18,2)")))
         run = checkpointed(_running_cost(rest))
         take = run.where(F.col("upto") <= F.lit(left).cast("decimal(18,2)"))
         got = take.agg(F.count(F.lit(1)), F.sum("line_cost")).first()
         if not got[0]:
             break
+        rounds += 1
+        if most_rounds is not None and rounds > most_rounds:
+            raise RuntimeError(f"budget selection needs more than {most_rounds} rounds")
         chosen = chosen.union(take.select("item_id", "line_cost"))
         left = round(left - float(got[1]), 2)
         rest = run.join(take.select("item_id"), "item_id", "left_anti").select("item_id", "density", "line_cost")
