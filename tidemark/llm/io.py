@@ -13,17 +13,30 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder the cluster names in spark.checkpoint.dir; a temporary one only where that is unset, as in tests."""
+    """The folder the cluster names in spark.checkpoint.dir. Unset, it is a temporary folder where all tasks run on this
+    machine, as in tests; on a cluster, whose executors would not see that folder, it is an error."""
     at = spark.conf.get("spark.checkpoint.dir", None)
     if at is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         at = f"file://{tempfile.mkdtemp(prefix='tidemark-')}"
         spark.conf.set("spark.checkpoint.dir", at)
     return at.rstrip("/")
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """name, with underscores appended until no column of df has it."""
+    while name.lower() in {c.lower() for c in df.columns}:
+        name += "_"
+    return name
+
+
 def materialise(df: DataFrame, name: str) -> DataFrame:
-    """Writes df once to the shared folder and reads it back: lineage is cut and later reads survive lost executors."""
+    """Writes df once to the shared folder and reads it back: lineage is cut and later reads survive lost executors.
+
+    Results read these files, so they stay; all of one application lie in one folder of its id, to be removed after it.
+    """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
