@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.llm.spread import salts_of, spread_join
+
 
 def squeeze_whitespace(text: Column) -> Column:
     """Each run of space, tab, newline, vertical tab, form feed or carriage return becomes one space; null becomes empty.
@@ -25,17 +27,18 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     with the same id share its decision. An empty table gives an empty result; other columns are ignored.
 
     The grouping key is (md5, text): the hash spreads the rows, the text in the key compares bytes, and partial
-    aggregation leaves one row per distinct text and task, so a group of copies of any size never meets in one task.
+    aggregation leaves one row per distinct text and task. The rows join their group's decision under salted keys. So a
+    group of copies of any size never meets in one task.
     """
     norm = docs.select(F.col(id_col).alias("doc_id"), squeeze_whitespace(F.col(text_col)).alias("norm"))
     keyed = norm.select("doc_id", "norm", F.unhex(F.md5("norm")).alias("h"))
     groups = (
         keyed.groupBy("h", "norm")
-        .agg(F.min("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
-        .select("h", F.unhex(F.sha2("norm", 256)).alias("sha"), "keep_id", "group_size")
+        .agg(F.min("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"), salts_of("doc_id").alias("_salts"))
+        .select("h", F.unhex(F.sha2("norm", 256)).alias("sha"), "keep_id", "group_size", "_salts")
     )
     rows = keyed.select("doc_id", "h", F.unhex(F.sha2("norm", 256)).alias("sha"))
-    return rows.join(groups, ["h", "sha"]).select(
+    return spread_join(rows, groups, ["h", "sha"], "doc_id").select(
         "doc_id",
         "keep_id",
         "group_size",
@@ -47,11 +50,14 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 def drop_exact_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs without the copies: of equal texts the row with the smallest id stays, with all its columns.
 
-    Null ids sort after all others, as in `exact_dedup`; of repeated rows with the same id and equal text one stays.
+    Null ids sort after all others, as in `exact_dedup`; of repeated rows with the same id and equal text one stays, the
+    smallest by its columns. Columns of any name stay as they are; an empty table gives an empty table.
     """
-    rows = docs.withColumn("_norm", squeeze_whitespace(F.col(text_col))).withColumn("_h", F.unhex(F.md5("_norm")))
-    key = F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
-    return rows.groupBy("_h", "_norm").agg(F.min(key).alias("_first")).select("_first.row.*")
+    norm = squeeze_whitespace(F.col(f"`{text_col}`"))
+    own = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    key = F.struct(F.col(f"`{id_col}`").isNull().alias("none"), F.col(f"`{id_col}`").alias("id"), own.alias("row"))
+    rows = docs.select(key.alias("key"), norm.alias("norm")).select("key", "norm", F.unhex(F.md5("norm")).alias("h"))
+    return rows.groupBy("h", "norm").agg(F.min("key").alias("first")).select("first.row.*")
 
 
 ORACLE_SQL = r"""
