@@ -10,24 +10,31 @@ can have a partner, and regions are made among those:
    over the representatives.
 3. Representatives with too few shared shingles go; the rarest of the rest is the prefix in which partners must meet.
 
-Then Voronoi regions: each representative joins the pivot it meets most often in its prefix, when within NEAR of it. A
-region's members are laid out by their distance to the pivot; by the triangle inequality two linked members lie within
-1 - threshold of each other there. A document that meets another region and could reach it by the triangle inequality
-is replicated into it. Large regions split into blocks along the distance, and only blocks within the window meet: each
-pair of blocks is one bounded task that emits at most a spanning forest of its links, never all pairs.
+Then Voronoi regions: each representative joins the pivot it meets most often in its prefix, when within NEAR of it. By
+the triangle inequality two linked members lie within 1 - threshold of each other in distance to the pivot. A document
+that meets another region and could reach it by the triangle inequality is replicated into it. A region of more than CELL
+members is joined recursively: it gets up to PIVOTS pivots of its own, its members go to the nearest one, and to every
+other that is at most twice 1 - threshold farther, and so on while that separates them. What is within the threshold of a
+pivot is linked to it at once; members of one component known so far need not meet again. So a region that no pivot
+separates, such as thousands of copies of one form, costs one distance a member, and only members outside of its largest
+component meet the others, in pairs of bounded blocks. A task emits a spanning forest of its links, never all pairs.
+
+Sets hold 64-bit hashes of shingles, and equal sets are found by 128-bit hashes of them; a key with many rows is salted.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.llm.components import components
-from tidemark.llm.io import materialise
+from tidemark.llm.io import free_name, materialise
 from tidemark.llm.shingles import shingle_sets
+from tidemark.llm.spread import SALTS, salts_of, spread_join
 from tidemark.llm.words import column, slices, texts_of
 
 #: Share of the hash space that filter 1 looks at: one in 2 ** SLICE_BITS.
@@ -35,8 +42,14 @@ SLICE_BITS = 2
 FLUSH_BYTES = 64 << 20
 #: A document joins a pivot's region when within this distance of it.
 NEAR = 0.5
-#: Members of a region that one side of a task holds.
+#: Members of a region that one side of a task holds, and that a region may have without being split.
 BLOCK = 256
+CELL = 2 * BLOCK
+#: Pivots of a region that is split.
+PIVOTS = 8
+SLACK = 1e-9
+#: Hashes that filter 1 looks up in one table.
+TABLE = 1 << 20
 
 
 def _needed(n, percent: int):
@@ -99,13 +112,19 @@ def _candidates(docs: DataFrame, read, percent: int) -> DataFrame:
             if not waiting:
                 return
             h = np.concatenate([np.frombuffer(a, np.uint32) for _, a, _ in waiting])
-            bits = max(16, int(len(h) * 16).bit_length())
-            slot = (h.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - bits)).astype(np.int64)
-            last = np.zeros(1 << bits, np.int32)
-            last[slot] = np.arange(len(h), dtype=np.int32)
-            again = np.zeros(1 << bits, bool)
-            again[slot[last[slot] != np.arange(len(h))]] = True
-            hit = again[slot]
+            hit = np.zeros(len(h), bool)
+            pieces = len(h) // TABLE + 1  # ranges of mixed hashes, so that a table's size does not follow the input's
+            mixed = h.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+            piece = (mixed >> np.uint64(32)) * np.uint64(pieces) >> np.uint64(32)
+            for k in range(pieces):
+                own = np.flatnonzero(piece == k) if pieces > 1 else np.arange(len(h))
+                bits = max(16, int(len(own) * 16).bit_length())
+                slot = (mixed[own] * np.uint64(0xD6E8FEB86659FD93) >> np.uint64(64 - bits)).astype(np.int64)
+                last = np.zeros(1 << bits, np.int32)
+                last[slot] = np.arange(len(own), dtype=np.int32)
+                again = np.zeros(1 << bits, bool)
+                again[slot[last[slot] != np.arange(len(own))]] = True
+                hit[own] = again[slot]
             at = 0
             for key, a, b in waiting:
                 rows = np.frombuffer(b, np.uint32)
@@ -178,14 +197,14 @@ def _candidates(docs: DataFrame, read, percent: int) -> DataFrame:
 
 def _sets(docs: DataFrame, width: int) -> DataFrame:
     def run(batches):
-        for whole in batches:
-            for batch in slices(whole, "text", 2 << 20):
+        for given in batches:
+            for batch in slices(given, "text", 2 << 20):
                 h, at = shingle_sets(texts_of(batch, "text"), width)
                 signed = h.view(np.int64)
                 hashes = pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(signed))
-                total = np.concatenate((np.zeros(1, np.uint64), np.cumsum(h)))
-                turned = np.concatenate((np.zeros(1, np.uint64), np.cumsum(h * (h >> np.uint64(7) | np.uint64(1)))))
-                keys = [(x[at[1:]] - x[at[:-1]]).view(np.int64) for x in (total, turned)]
+                ends = at.tolist()
+                whole = b"".join(xxhash.xxh3_128_digest(h[a:b].tobytes()) for a, b in zip(ends, ends[1:]))
+                keys = np.frombuffer(whole, "<i8").reshape(-1, 2).T.copy()
                 yield pa.RecordBatch.from_arrays([column(batch, "doc_id"), pa.array(np.diff(at)), *map(pa.array, keys), hashes], names=["doc_id", "n", "k1", "k2", "hashes"])
 
     return docs.mapInArrow(run, "doc_id long, n long, k1 long, k2 long, hashes array<long>")
@@ -205,8 +224,8 @@ def _measured(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 def _posts(sets: DataFrame, percent: int) -> DataFrame:
     """(doc_id, n, h): the prefix of each set in the order of rarity, without shingles that no other set has."""
     tokens = sets.select("doc_id", "n", F.explode("hashes").alias("h"))
-    counts = tokens.groupBy("h").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
-    shared = tokens.join(counts, "h").groupBy("doc_id", "n").agg(F.sort_array(F.collect_list(F.struct("df", "h"))).alias("s"))
+    counts = tokens.groupBy("h").agg(F.count(F.lit(1)).alias("df"), salts_of("doc_id").alias("_salts")).where("df > 1")
+    shared = spread_join(tokens, counts, ["h"], "doc_id").groupBy("doc_id", "n").agg(F.sort_array(F.collect_list(F.struct("df", "h"))).alias("s"))
     spare = F.expr(f"n - (n * {percent} + 99) div 100")
     size = F.size("s").cast("long")
     prefix = shared.where(F.col("n") - size <= spare).select("doc_id", "n", F.explode(F.slice("s", F.lit(1), (spare + 1 - (F.col("n") - size)).cast("int"))).alias("t"))
@@ -215,8 +234,8 @@ def _posts(sets: DataFrame, percent: int) -> DataFrame:
 
 def _regions(posts: DataFrame, sets: DataFrame) -> DataFrame:
     """(doc_id, pivot, d): each document's Voronoi region and distance to its pivot; a pivot has its own."""
-    lead = posts.groupBy("h").agg(F.min("doc_id").alias("b"))
-    met = posts.join(lead, "h").where("doc_id <> b").groupBy("doc_id", "b").count()
+    lead = posts.groupBy("h").agg(F.min("doc_id").alias("b"), salts_of("doc_id").alias("_salts"))
+    met = spread_join(posts, lead, ["h"], "doc_id").where("doc_id <> b").groupBy("doc_id", "b").count()
     first = materialise(met.groupBy("doc_id").agg(F.max_by("b", F.struct("count", -F.col("b"))).alias("b")), "first")
     for _ in range(2):  # pivots of pivots, so that one group of near copies gathers around few of them
         up = first.select(F.col("doc_id").alias("b"), F.col("b").alias("up"))
@@ -232,26 +251,93 @@ def _links(sets: DataFrame, percent: int) -> DataFrame:
     """Edges (a, b) among representatives whose components are those of all links."""
     posts = materialise(_posts(sets, percent), "posts")
     home = _regions(posts, sets)
-    r, slack = 1 - percent / 100, 1e-9
+    r = 1 - percent / 100
     radius = home.groupBy("pivot").agg(F.max("d").alias("radius"))
 
     # Boundary documents: those that meet a region of a smaller pivot and could reach it.
     placed = posts.join(home, "doc_id").select("doc_id", "h", "pivot")
-    there = placed.select("h", F.col("pivot").alias("other")).distinct()
-    meets = placed.join(there, "h").where("other < pivot").select(F.col("doc_id").alias("a"), F.col("other").alias("b")).distinct()
+    there = placed.select("h", F.col("pivot").alias("other")).distinct().join(placed.groupBy("h").agg(salts_of("doc_id").alias("_salts")), "h")
+    meets = spread_join(placed, there, ["h"], "doc_id").where("other < pivot").select(F.col("doc_id").alias("a"), F.col("other").alias("b")).distinct()
     guests = _measured(meets, sets).select("a", "b", (1 - F.col("inter") / F.col("uni")).alias("d")).join(radius.withColumnRenamed("pivot", "b"), "b")
-    guests = guests.where(F.col("d") <= F.col("radius") + r + slack).select(F.col("b").alias("pivot"), F.col("a").alias("doc_id"), "d", F.lit(True).alias("guest"))
-    members = materialise(home.select("pivot", "doc_id", "d", F.lit(False).alias("guest")).union(guests), "region-members")
-
-    line = Window.partitionBy("pivot").orderBy("d", "doc_id")
-    cells = materialise(members.withColumn("block", F.floor((F.row_number().over(line) - 1) / BLOCK).cast("int")), "cells")
-    spans = cells.groupBy("pivot", "block").agg(F.min("d").alias("low"), F.max("d").alias("high"), F.count(F.lit(1)).alias("k"))
-    later = spans.select("pivot", F.col("block").alias("block2"), F.col("low").alias("low2"), F.col("k").alias("k2"))
-    pairs = spans.join(later, "pivot").where((F.col("block2") >= F.col("block")) & (F.col("low2") - F.col("high") <= r + slack) & ((F.col("block2") > F.col("block")) | (F.col("k") > 1)))
-    sides = pairs.select("pivot", "block", F.explode(F.array(F.struct(F.col("block").alias("own"), F.lit(0).alias("side")), F.struct(F.col("block2").alias("own"), F.lit(1).alias("side")))).alias("x"), "block2").where("not (block = block2 and x.side = 1)")
-    dealt = sides.select("pivot", "block", "block2", F.col("x.own").alias("own"), F.col("x.side").alias("side")).join(cells.withColumnRenamed("block", "own"), ["pivot", "own"])
-    full = dealt.select("pivot", "block", "block2", "side", "doc_id", "d", "guest").join(sets.hint("merge"), "doc_id")
-    return full.groupBy("pivot", "block", "block2").applyInArrow(_compare(percent), "a long, b long")
+    guests = guests.where(F.col("d") <= F.col("radius") + r + SLACK).select(F.col("b").alias("pivot"), F.col("a").alias("doc_id"), "d", F.lit(True).alias("guest"))
+    members = home.select("pivot", "doc_id", "d", F.lit(False).alias("guest")).union(guests)
+    cells = materialise(members.select(F.col("pivot").cast("string").alias("region"), "doc_id", "d", "guest"), "cells")
+    direct = home.where((F.col("doc_id") != F.col("pivot")) & (F.col("d") <= r - SLACK)).select(F.col("doc_id").alias("a"), F.col("pivot").alias("b"))
+
+    settled, more = _recurse(cells, sets, percent)
+    if more is None:
+        label = home.select("doc_id", F.when(F.col("d") <= r - SLACK, F.col("pivot")).otherwise(F.col("doc_id")).alias("label"))
+    else:
+        direct = direct.union(more)
+        label = components(direct).select(F.col("node").alias("doc_id"), F.col("component").alias("label"))
+    settled = settled.join(label.hint("merge"), "doc_id", "left").withColumn("label", F.coalesce("label", "doc_id"))
+    return direct.union(_met(materialise(settled, "settled"), sets, percent))
+
+
+def _recurse(cells: DataFrame, sets: DataFrame, percent: int) -> tuple[DataFrame, DataFrame | None]:
+    """cells with the regions of more than CELL members split as far as pivots separate them, and the links to new pivots.
+
+    A split counts when it puts a member into two cells on average at most and no cell has over three quarters of the
+    region; other regions stay whole.
+    """
+    r = 1 - percent / 100
+    settled, edges = [], []
+    now = cells
+    for level in range(1, 40):
+        sizes = now.groupBy("region").agg(F.count(F.lit(1)).alias("k"), salts_of("doc_id").alias("_salts")).where(F.col("k") > CELL)
+        sizes = materialise(sizes, "large-regions")
+        if sizes.isEmpty():
+            break
+        large = materialise(spread_join(now, sizes, ["region"], "doc_id"), "large")
+        settled.append(now.join(sizes.select("region").hint("merge"), "region", "left_anti"))
+        order = lambda k: F.xxhash64("doc_id", F.lit(level * 2 + k))
+        chosen = large.groupBy("region", F.pmod(order(0), F.lit(PIVOTS)).alias("nth")).agg(F.min_by("doc_id", order(1)).alias("pivot"))
+        own_sets = sets.select("doc_id", "n", "hashes")
+        pivots = chosen.join(own_sets.withColumnRenamed("doc_id", "pivot").hint("merge"), "pivot").groupBy("region").agg(F.collect_list(F.struct("pivot", "n", "hashes")).alias("pivots"))
+        asked = spread_join(large.join(own_sets.hint("merge"), "doc_id"), pivots.join(sizes.select("region", "_salts"), "region"), ["region"], "doc_id")
+
+        def to(p):
+            inter = F.size(F.array_intersect("hashes", p["hashes"])).cast("long")
+            return F.struct((1 - inter / (F.col("n") + p["n"] - inter)).alias("d"), p["pivot"].alias("pivot"), (inter * 100 >= (F.col("n") + p["n"] - inter) * percent).alias("linked"))
+
+        far = asked.select("region", "doc_id", "guest", "k", "d", F.sort_array(F.transform("pivots", to)).alias("far"))
+        far = materialise(far, "distances")
+        edges.append(far.select(F.col("doc_id").alias("a"), F.explode(F.filter("far", lambda x: x["linked"] & (x["pivot"] != F.col("doc_id")))).alias("x")).select("a", F.col("x.pivot").alias("b")))
+        within = far.select("region", "doc_id", "guest", "k", F.col("d").alias("old"), F.posexplode(F.filter("far", lambda x: x["d"] <= F.expr("far[0].d") + 2 * r + SLACK)).alias("nth", "x"))
+        split = within.select("region", "k", F.concat_ws("/", "region", F.col("x.pivot").cast("string")).alias("cell"), "doc_id", F.col("x.d").alias("d"), (F.col("guest") | (F.col("nth") > 0)).alias("guest"))
+        split = materialise(split, "split")
+        gain = split.groupBy("region", "cell", "k").agg(F.count(F.lit(1)).alias("c")).groupBy("region", "k").agg(F.sum("c").alias("total"), F.max("c").alias("most"))
+        good = materialise(gain.where("total <= 2 * k and most <= 0.75 * k").select("region"), "good-splits")
+        settled.append(far.select("region", "doc_id", "d", "guest").join(good.hint("merge"), "region", "left_anti"))
+        now = split.join(good.hint("merge"), "region", "left_semi").select(F.col("cell").alias("region"), "doc_id", "d", "guest")
+    else:
+        raise RuntimeError("regions did not come to an end")
+    every = now
+    for part in settled:
+        every = every.unionByName(part)
+    links = None
+    for part in edges:
+        links = part if links is None else links.union(part)
+    return every.select("region", "doc_id", "d", "guest"), links
+
+
+def _met(cells: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links between members of one region that have different labels, found in pairs of blocks.
+
+    Members with a region's commonest label meet only the others. A region of up to CELL members is one block.
+    """
+    counts = cells.groupBy("region", "label").agg(F.count(F.lit(1)).alias("c"), F.bit_or(F.expr(f"shiftleft(1L, cast(pmod(xxhash64(doc_id), {SALTS}) as int))")).alias("s"))
+    region = counts.groupBy("region").agg(F.sum("c").alias("k"), F.max("c").alias("main"), F.max_by("label", F.struct("c", "label")).alias("main_label"), F.count(F.lit(1)).alias("labels"), F.bit_or("s").alias("_salts")).where("labels > 1")
+    minor, main = (F.when(F.col("k") <= CELL, one).otherwise(F.ceil(x / BLOCK)).cast("int") for x, one in ((F.col("k") - F.col("main"), 1), (F.col("main"), 0)))
+    region = region.select("region", "main_label", minor.alias("m"), main.alias("rest"), "_salts")
+    there = spread_join(cells, region, ["region"], "doc_id")
+    first = (F.col("rest") == 0) | (F.col("label") != F.col("main_label"))
+    own = F.when(first, F.pmod(F.xxhash64("doc_id", F.lit(1)), F.col("m"))).otherwise(F.col("m") + F.pmod(F.xxhash64("doc_id", F.lit(1)), F.greatest("rest", F.lit(1)))).cast("int")
+    others = F.sequence(F.lit(0), F.when(F.col("own") < F.col("m"), F.col("m") + F.col("rest")).otherwise(F.col("m")) - 1)
+    dealt = there.withColumn("own", own).select("region", "own", "doc_id", "d", "guest", "label", F.explode(others).alias("other"))
+    dealt = dealt.select("region", F.least("own", "other").alias("block"), F.greatest("own", "other").alias("block2"), (F.col("own") > F.col("other")).cast("int").alias("side"), "doc_id", "d", "guest", "label")
+    full = dealt.join(sets.select("doc_id", "n", "hashes").hint("merge"), "doc_id")
+    return full.groupBy("region", "block", "block2").applyInArrow(_compare(percent), "a long, b long")
 
 
 def _compare(percent: int):
@@ -259,7 +345,7 @@ def _compare(percent: int):
 
     def run(group: pa.Table) -> pa.Table:
         group = group.combine_chunks()
-        get = {c: group.column(c).to_numpy() for c in ("side", "doc_id", "d", "guest", "n")}
+        get = {c: group.column(c).to_numpy() for c in ("side", "doc_id", "d", "guest", "label", "n")}
         lists = group.column("hashes").chunk(0) if group.num_rows else None
         at = lists.offsets.to_numpy(zero_copy_only=False).astype(np.int64)
         at = at - at[0]
@@ -275,14 +361,14 @@ def _compare(percent: int):
                 i = parent[i]
             return i
 
-        two = (get["side"] == 1).any()
+        two = bool((get["side"] == 1).any())
         r = 1 - percent / 100 + 1e-9
         out = []
         for i in range(len(n)):
             if two and get["side"][i] == 1:
                 continue
             can = (get["side"] == 1) if two else np.arange(len(n)) > i
-            can = can & ~(get["guest"] & get["guest"][i]) & (np.abs(d - d[i]) <= r) & (n * 100 >= n[i] * percent) & (n[i] * 100 >= n * percent)
+            can = can & (get["label"] != get["label"][i]) & ~(get["guest"] & get["guest"][i]) & (np.abs(d - d[i]) <= r) & (n * 100 >= n[i] * percent) & (n[i] * 100 >= n * percent)
             if not can.any():
                 continue
             own = code[at[i] : at[i + 1]]
@@ -305,15 +391,18 @@ def jaccard_components(docs: DataFrame, width: int = 5, percent: int = 80, id_co
 
     Words are [^\\x20\\x09-\\x0D]+ with A-Z lower-cased; a set holds the distinct shingles of width words, or the whole
     sequence of a shorter text; a null or empty text has the empty set and no link. Two documents link when
-    100 * intersection >= percent * union. Rows with a null id are left out; of rows with the same id one counts. An
-    empty table gives no rows; other columns are ignored.
+    100 * intersection >= percent * union. Rows with a null id are left out; of rows with the same id the one with most
+    shingles counts, of several such the one with the largest set hash. An empty table gives no rows; other columns are
+    ignored.
     """
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).where("doc_id is not null")
     sizes = materialise(_candidates(base, _of_texts(width), percent), "sizes")
     few = sizes.where("keep").select("doc_id")
-    sets = materialise(_sets(base.join(few.hint("merge"), "doc_id", "left_semi"), width).dropDuplicates(["doc_id"]), "sets")
-    classes = sets.groupBy("k1", "k2", "n").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("k"))
-    member = materialise(sets.select("doc_id", "k1", "k2", "n").join(classes, ["k1", "k2", "n"]).select("doc_id", "rep", "k"), "members")
+    found = _sets(base.join(few.hint("merge"), "doc_id", "left_semi"), width)
+    one = found.groupBy("doc_id").agg(F.max_by(F.struct("n", "k1", "k2", "hashes"), F.struct("n", "k1", "k2")).alias("s"))
+    sets = materialise(one.select("doc_id", "s.*"), "sets")
+    classes = sets.groupBy("k1", "k2", "n").agg(F.min("doc_id").alias("rep"), salts_of("doc_id").alias("_salts"))
+    member = materialise(spread_join(sets.select("doc_id", "k1", "k2", "n"), classes, ["k1", "k2", "n"], "doc_id").select("doc_id", "rep"), "members")
     reps = materialise(sets.join(member.where("doc_id = rep").select("doc_id").hint("merge"), "doc_id", "left_semi").select("doc_id", "n", "hashes"), "reps")
     some = materialise(_candidates(reps.select("doc_id", "hashes"), _of_sets, percent).where("keep").select("doc_id"), "candidates")
     left = materialise(reps.join(some.hint("merge"), "doc_id", "left_semi"), "sets")
@@ -327,22 +416,25 @@ def drop_near_copies(docs: DataFrame, width: int = 5, percent: int = 80) -> Data
     """docs with one document of each component: the one with the smallest id.
 
     Every row counts. Of repeated rows with the same id and text one stays; other rows of one id, and rows with a null
-    id, are documents of their own that sort after all others.
+    id, are documents of their own that sort after all others. Null and empty texts are linked with nothing and stay;
+    columns of any name stay as they are; an empty table stays empty.
     """
+    key, first = free_name(docs, "key"), free_name(docs, "first")
     counts = docs.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"))
-    odd = materialise(counts.where("doc_id is null or n > 1").select("doc_id"), "odd-ids")
+    odd = materialise(counts.where("doc_id is null or n > 1").select(F.col("doc_id").alias("odd")), "odd-ids")
     if odd.isEmpty():
-        return _stay(docs.withColumn("_key", F.col("doc_id").cast("long")), width, percent).select(*docs.columns)
-    some = docs.join(odd.withColumnRenamed("doc_id", "_odd"), F.col("doc_id").eqNullSafe(F.col("_odd")), "left_semi").dropDuplicates(["doc_id", "text"])
-    first = F.col("doc_id").isNotNull() & (F.row_number().over(Window.partitionBy("doc_id", F.when(F.col("doc_id").isNull(), F.xxhash64("text"))).orderBy("text")) == 1)
+        return _stay(docs.withColumn(key, F.col("doc_id").cast("long")), key, width, percent)
+    mine = F.col("doc_id").eqNullSafe(odd["odd"])
+    some = docs.join(odd, mine, "left_semi").dropDuplicates(["doc_id", "text"])
+    lead = F.col("doc_id").isNotNull() & (F.row_number().over(Window.partitionBy("doc_id", F.when(F.col("doc_id").isNull(), F.xxhash64("text"))).orderBy("text")) == 1)
     top = docs.agg(F.coalesce(F.max(F.col("doc_id").cast("long")), F.lit(0))).first()[0]
-    own = F.when(F.col("_first"), F.col("doc_id").cast("long")).otherwise(F.lit(max(top, 0) + 1) + F.monotonically_increasing_id())
-    some = materialise(some.withColumn("_first", first).withColumn("_key", own).drop("_first"), "odd-rows")
-    rest = docs.where("doc_id is not null").join(odd, "doc_id", "left_anti").select(*docs.columns)
-    return _stay(rest.withColumn("_key", F.col("doc_id").cast("long")).unionByName(some), width, percent).select(*docs.columns)
+    own = F.when(F.col(first), F.col("doc_id").cast("long")).otherwise(F.lit(max(top, 0) + 1) + F.monotonically_increasing_id())
+    some = materialise(some.withColumn(first, lead).withColumn(key, own).drop(first), "odd-rows")
+    rest = docs.where("doc_id is not null").join(odd, mine, "left_anti")
+    return _stay(rest.withColumn(key, F.col("doc_id").cast("long")).unionByName(some), key, width, percent)
 
 
-def _stay(keyed: DataFrame, width: int, percent: int) -> DataFrame:
-    """Rows whose _key is the smallest of its component."""
-    stay = jaccard_components(keyed, width, percent, id_col="_key").where("doc_id = component_id").select(F.col("doc_id").alias("_key"))
-    return keyed.join(stay, "_key", "left_semi")
+def _stay(keyed: DataFrame, key: str, width: int, percent: int) -> DataFrame:
+    """Rows whose key is the smallest of its component, without the key."""
+    stay = jaccard_components(keyed, width, percent, id_col=key).where("doc_id = component_id").select(F.col("doc_id").alias(key))
+    return keyed.join(stay, key, "left_semi").drop(key)

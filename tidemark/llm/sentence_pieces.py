@@ -20,8 +20,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.merges import NONE, PairTable, merge_words
-from tidemark.llm.shingles import mix, raw_bytes
-from tidemark.llm.words import column, gather, slices, texts_of
+from tidemark.llm.shingles import mix
+from tidemark.llm.words import column, gather, raw_bytes, slices, texts_of
 
 SPACE = "▁"
 BASE = np.uint64(0x9E3779B97F4A7C15)

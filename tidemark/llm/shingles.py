@@ -2,29 +2,15 @@
 
 from __future__ import annotations
 
-from functools import lru_cache
-
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+import xxhash
+
+from tidemark.llm.words import distinct_words, raw_bytes
 
 _RANDOM = np.random.default_rng(20_240_229)
-BYTE = _RANDOM.integers(1, 2**63, 256, dtype=np.uint64) << np.uint64(1) | np.uint64(1)
-BYTE[65:91] = BYTE[97:123]  # A-Z as a-z
 PLACE = _RANDOM.integers(1, 2**63, 16, dtype=np.uint64) << np.uint64(1) | np.uint64(1)
-SPACE = np.zeros(256, dtype=bool)
-SPACE[[32, 9, 10, 11, 12, 13]] = True
-BASE = 0x9E3779B97F4A7C15
-
-
-@lru_cache(maxsize=1)
-def _powers(bits: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of BASE and of its inverse modulo 2**64, 2**bits of each."""
-    both = []
-    for base in (BASE, pow(BASE, -1, 1 << 64)):
-        out = np.full(1 << bits, base, dtype=np.uint64)
-        out[0] = 1
-        both.append(np.multiply.accumulate(out))
-    return both[0], both[1]
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -33,32 +19,15 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(33))
 
 
-def raw_bytes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """UTF-8 bytes of all texts and their offsets."""
-    texts = texts.cast(pa.large_string())
-    at = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1] if len(texts) else np.zeros(1, np.int64)
-    data = np.frombuffer(texts.buffers()[2], np.uint8)[at[0] : at[-1]] if texts.buffers()[2] is not None else np.zeros(0, np.uint8)
-    return data, at - at[0]
-
-
 def word_hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """A 64-bit hash of each word [^\\x20\\x09-\\x0D]+, A-Z lower-cased, and the texts' offsets in words."""
-    data, at = raw_bytes(texts)
-    if not len(data):
-        return np.zeros(0, np.uint64), np.zeros(len(at), np.int64)
-    up, down = _powers(max(21, int(len(data)).bit_length()))
-    word = ~SPACE[data]
-    fresh = np.ones(len(data) + 1, dtype=bool)
-    fresh[1:-1] = ~word[:-1]
-    fresh[at] = True
-    start = np.flatnonzero(word & fresh[:-1])
-    ending = np.ones(len(data), dtype=bool)
-    ending[:-1] = ~word[1:]
-    ending[at[1:][at[1:] > 0] - 1] = True
-    end = np.flatnonzero(word & ending) + 1
-    total = np.zeros(len(data) + 1, dtype=np.uint64)
-    np.cumsum(BYTE[data] * up[: len(data)], out=total[1:])
-    return mix((total[end] - total[start]) * down[start]), np.searchsorted(start, at)
+    """A 64-bit hash of each word [^\\x20\\x09-\\x0D]+, A-Z lower-cased, and the texts' offsets in words. Each distinct word is
+    hashed once, by a function whose collisions do not follow from a word's form."""
+    dictionary, index, rows = distinct_words(pc.ascii_lower(texts))
+    data, at = raw_bytes(dictionary)
+    view, ends = memoryview(data), at.tolist()
+    hashes = np.fromiter((xxhash.xxh3_64_intdigest(view[a:b]) for a, b in zip(ends, ends[1:])), np.uint64, len(dictionary))
+    real = (np.diff(at) > 0)[index] if len(dictionary) else np.zeros(0, bool)
+    return hashes[index[real]], np.concatenate(([0], np.cumsum(real)))[rows]
 
 
 def shingle_sets(texts: pa.Array, width: int) -> tuple[np.ndarray, np.ndarray]:
