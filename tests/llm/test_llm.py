@@ -4,6 +4,7 @@ import collections
 import hashlib
 import random
 import re
+import time
 import zlib
 
 import numpy as np
@@ -143,6 +144,25 @@ def test_fingerprints_against_a_loop(spark, sf_dir):
         assert (r.near_edited, r.near_next) == (fingerprints.likeness(a, b), fingerprints.likeness(a, c))
 
 
+def test_chunk_ends_against_a_byte_loop():
+    """The cuts against a plain gear hash over the bytes of each chunk, byte by byte."""
+    rnd = random.Random(2)
+    for n in [0, 1, 16, 17, 48, 200, 5000]:
+        raw = bytes(rnd.choices(b"abcdef \n", k=n))
+        ends, a = [], 0
+        while a < n:
+            b = a
+            while b < n:
+                b += 1
+                size = b - a
+                h = sum(int(fingerprints.GEAR[x]) << k for k, x in enumerate(reversed(raw[max(a, b - fingerprints.WINDOW) : b]))) & 0xFFFFFFFF
+                if size == fingerprints.MOST or size >= fingerprints.LEAST and h & int(fingerprints.HARD if size <= fingerprints.NORMAL else fingerprints.EASY) == 0:
+                    break
+            ends.append(b)
+            a = b
+        assert fingerprints.chunk_ends(raw) == ends
+
+
 def test_fingerprint_edges(spark):
     assert len(fingerprints.fingerprint_documents(frame(spark, ODD)).collect()) == len(ODD)
     assert fingerprints.fingerprint_documents(frame(spark, [])).count() == 0
@@ -199,6 +219,47 @@ def test_jaccard_groups_near_the_threshold(spark):
     assert jaccard_join.jaccard_components(frame(spark, [])).count() == 0
 
 
+def test_jaccard_regions_split_recursively(spark, monkeypatch):
+    """Families around shared forms, some split by pivots, some not, some linked in chains; cells of a few members."""
+    monkeypatch.setattr(jaccard_join, "BLOCK", 6)
+    monkeypatch.setattr(jaccard_join, "CELL", 12)
+    split = []
+    real = jaccard_join._recurse
+    monkeypatch.setattr(jaccard_join, "_recurse", lambda *a: split.append(real(*a)[1]) or (real(*a)))
+    rnd = random.Random(11)
+    texts = []
+    for edits in (3, 8, 14, 25):
+        form = [f"f{edits}w{rnd.randrange(4000)}" for _ in range(110)]
+        for k in range(60):
+            words = form.copy()
+            for _ in range(rnd.randrange(edits)):
+                words[rnd.randrange(len(words))] = f"e{rnd.randrange(10**6)}"
+            texts.append(" ".join(words))
+    chain = [f"c{i}" for i in range(260)]
+    texts += [" ".join(chain[k : k + 100]) for k in range(0, 160, 3)]
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard_join.jaccard_components(frame(spark, texts), 4, 85).collect()}
+    assert got == brute_components(enumerate(texts), 4, 85)
+    assert split and split[0] is not None
+
+
+def test_words_of_regular_form_stay_apart(spark):
+    """Words made by one doubling rule hash alike under a polynomial of any base modulo a power of two."""
+    a = "a"
+    while len(a) < 4096:
+        a += a.translate(str.maketrans("ab", "ba"))
+    b = a.translate(str.maketrans("ab", "ba"))
+    hashes, _ = shingles.word_hashes(pa.array([a, b, " a  B ", ""]))
+    assert len(set(hashes.tolist())) == 4
+    rest = " ".join(f"w{i}" for i in range(30))
+    rows = jaccard_join.jaccard_components(frame(spark, [f"{a} x y {a}", f"{b} x y {b}", rest, rest + " more"])).orderBy("doc_id").collect()
+    assert [r.component_id for r in rows] == [0, 1, 2, 2]
+
+
+def test_one_id_with_several_texts(spark):
+    df = spark.createDataFrame([(1, "a b c d e f"), (1, "a b c d e f g h"), (2, "a b c d e f g h"), (2, None), (None, "x")], "doc_id long, text string")
+    assert sorted(map(tuple, jaccard_join.jaccard_components(df).collect())) == [(1, 4, 1), (2, 4, 1)]
+
+
 def test_components_of_a_path(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 101), (7, 7)], "a long, b long")
     got = {r.node: r.component for r in components.components(edges).collect()}
@@ -263,6 +324,56 @@ def test_redaction(spark):
     assert pii.redact_pii(df).columns == df.columns
 
 
+def test_pii_is_linear_in_long_texts(spark, tmp_path):
+    """Unbroken letters and digits before one address, and very many spans of two kinds, in minutes if any step were quadratic."""
+    many = " ".join(f"user{i}@mail.example.com DE89 3704 0044 0532 0130 00" for i in range(20_000))
+    texts = ["a" * 1_000_000 + "@ x a@b.co", "1" * 1_000_000 + " 1.2.3.4", many]
+    frame(spark, texts).write.parquet(str(tmp_path / "long"))
+    df = spark.read.parquet(str(tmp_path / "long"))
+    began = time.time()
+    got = {r.doc_id: r for r in pii.pii_report(df).collect()}
+    assert (got[0].n_email, got[1].n_ip, got[2].n_email, got[2].spans.count("iban")) == (1, 1, 20_000, 20_000)
+    masked = {r.doc_id: r.text for r in pii.redact_pii(df).collect()}
+    assert masked[0] == "a" * 1_000_000 + "@ x <EMAIL>" and masked[1] == "1" * 1_000_000 + " <IP>"
+    assert masked[2] == " ".join(["<EMAIL> <IBAN>"] * 20_000)
+    assert time.time() - began < 100
+
+
+def test_pii_context_is_whole_words_on_both_sides(spark):
+    texts = ["ssn 123-45-6789", "123-45-6789 is the SSN", "assn 123-45-6789", "123-45-6789 nationally", "ssn " + "x" * 45 + " 123-45-6789"]
+    assert [bool(r.spans) for r in pii.find_pii(frame(spark, texts)).orderBy("doc_id").collect()] == [True, True, False, False, False]
+    ship = pii.find_pii(frame(spark, ["ship 1.2.3.4", "hotel +1 555 123 4567", "the IP 1.2.3.4"])).orderBy("doc_id").collect()
+    assert [r.spans[0].score for r in ship] == [0.6, 0.6, pytest.approx(0.8)]
+
+
+def test_overlapping_spans_and_added_kinds_against_a_loop(spark):
+    rnd = random.Random(3)
+    parts = ["a@b.co", "+1 4111 1111 1111 1111", "1.2.3.4", "DE89 3704 0044 0532 0130 00", "GB82WEST12345698765432@x.yz", "123-45-6789", "ssn", "x", "4111111111111111", "+49 30 1234567"]
+    texts = [" ".join(rnd.choices(parts, k=rnd.randrange(1, 400))) for _ in range(12)]
+    masked = {r.doc_id: r.text for r in pii.redact_pii(frame(spark, texts)).collect()}
+    for r in pii.find_pii(frame(spark, texts)).collect():
+        t, base = texts[r.doc_id], brute_spans(texts[r.doc_id])
+        assert [(s.start, s.ord, s.kind, s.end) for s in r.base] == base
+        added = [(m.start(), m.end()) for m in re.finditer(r"(?<![A-Za-z0-9])(?:DE89 3704 0044 0532 0130 00|GB82WEST12345698765432)(?![A-Za-z0-9])", t)]
+        clear = [(a, b) for a, b in added if not any(x < b and a < y for x, _, _, y in base)]
+        assert [(s.start, s.end) for s in r.spans if s.kind == "iban"] == clear
+        out, at = [], 0
+        for s in r.spans:
+            if s.start >= at:
+                out += [t[at : s.start], f"<{s.kind.upper()}>"]
+            at = max(at, s.end)
+        assert masked[r.doc_id] == "".join(out) + t[at:]
+
+
+def test_redaction_with_columns_of_internal_names(spark):
+    names = ["_text", "_base", "_spans", "_line", "_more", "_mixed", "_reach", "_following", "_cuts", "_new", "_k0", "_k1", "_row_text", "doc_id", "base", "spans", "_found_email", "_between_email", "_ends_email"]
+    df = spark.createDataFrame([("call a@b.co", *names)], ", ".join(f"`{c}` string" for c in ["text", *names]))
+    out = pii.redact_pii(df)
+    assert out.columns == df.columns and tuple(out.first()) == ("call <EMAIL>", *names)
+    wide = pii.find_pii(df, keep=("_text", "base")).first()
+    assert wide[1] == "_text" and wide.spans[0].kind == "email"
+
+
 # --- 8, 9, 10 --------------------------------------------------------------------------------------------------------
 
 
@@ -283,12 +394,55 @@ def test_language_edges(spark):
     assert language.identify(frame(spark, ["the"]), nothing).first().lang_pred == "und"
 
 
+def test_letters_of_all_scripts_count(spark):
+    assert not any(chr(c).isalpha() for c in range(language.LAST, 0x110000))
+    docs = [("привет как дела сегодня", "ru"), ("добар дан како сте ви", "sr"), ("𐌲𐌿𐍄𐌹𐍃𐌺 𐍂𐌰𐌶𐌳𐌰", "got"), ("καλημέρα σας κόσμε", "el")]
+    profiles = language.fit(spark.createDataFrame(docs, "text string, lang string"))
+    got = [r.lang_pred for r in language.identify(frame(spark, [t for t, _ in docs] + ["𠀀𠀁", "1 𝟘"]), profiles).orderBy("doc_id").collect()]
+    assert got[:4] == [g for _, g in docs] and got[4] != "und" and got[5] == "und"
+    cyrillic = language.symbols()[[ord(c) for c in "абвгдежзийклмнопрстуфхцчшщъыьэюя"]]
+    assert len(set(cyrillic.tolist())) == 32
+
+
+def test_language_against_dense_vectors(spark, sf_dir):
+    """op8 over the table against whole document vectors, bound letter by letter and compared by cosine."""
+    rows = spark.read.parquet(f"{sf_dir}/documents.parquet").collect()
+
+    def vector(text):
+        out = np.zeros(language.DIMENSIONS)
+        letters = language.letter_vectors().astype(np.int64)
+        for word in re.findall(r"[^\x20\x09-\x0D]+", text):
+            code = [0, *[int(x) for x in language.symbols()[[ord(c) for c in word]] if x >= 0], 0]
+            for a, b, c in zip(code, code[1:], code[2:]):
+                out += np.roll(letters[a], 2) * np.roll(letters[b], 1) * letters[c]
+        return out
+
+    sums = {}
+    for r in rows:
+        if r.text is not None and r.lang is not None and zlib.crc32(str(r.doc_id).encode()) % 3 != 1:
+            sums[r.lang] = sums.get(r.lang, 0) + vector(r.text)
+    names = sorted(sums)
+    raw = np.stack([sums[k] / np.linalg.norm(sums[k]) for k in names])
+    own = raw - raw.mean(axis=0)
+    own /= np.linalg.norm(own, axis=1, keepdims=True)
+    got = {r.doc_id: r for r in queries.op8_language(spark, sf_dir).collect()}
+    for r in rows[:60]:
+        value = own @ vector(r.text or "")
+        if not any(c.isalpha() for c in r.text or ""):
+            assert (got[r.doc_id].lang_pred, got[r.doc_id].score) == ("und", 0.0)
+            continue
+        positive = np.maximum(value, 0)
+        assert got[r.doc_id].score == pytest.approx(positive.max() / max(positive.sum(), 1e-12), abs=1e-3)
+        if np.sort(value)[-1] - np.sort(value)[-2] > 1e-3 * np.abs(value).max():
+            assert got[r.doc_id].lang_pred == names[int(value.argmax())]
+
+
 def test_bundling_by_words_equals_the_bound_vectors():
     letters = language.letter_vectors().astype(float)
     profiles = language.Profiles(["a", "b"], np.random.default_rng(0).normal(size=(2, language.DIMENSIONS)).astype(np.float32))
     grams, _ = language.trigrams(pa.array(["hello", "wörld"]))
     direct = language.bound(grams, letters).sum(axis=0) @ profiles.prototypes.T
-    assert profiles.table()[grams].sum(axis=0) == pytest.approx(direct, rel=1e-3, abs=1e-2)
+    assert profiles.products(grams).sum(axis=0) == pytest.approx(direct, rel=1e-3, abs=1e-2)
 
 
 def held_out(rows, labels, name):
@@ -304,6 +458,35 @@ def test_quality_held_out(spark):
     assert all(0 <= r.score <= 1 and r.predicted == (r.score >= 0.3) for r in rows)
 
 
+def test_quality_scores_equal_the_rules_in_python(spark, sf_dir):
+    """op9's column expressions against statistics and conjunctions worked out text by text in Python."""
+    docs, labels = spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/labels.parquet")
+    model = quality.fit(docs, labels)
+
+    def stats(t):
+        words = re.findall(r"[^ \t-\r]+", t)
+        n, chars = len(words), max(1, len(t))
+        import unicodedata
+
+        kind = [unicodedata.category(c) for c in t]
+        return {
+            "n_words": np.log1p(n), "word_length": sum(c not in " \n" for c in t) / max(1, n), "distinct_share": len(set(words)) / max(1, n),
+            "upper_share": kind.count("Lu") / chars, "digit_share": sum(c in "0123456789" for c in t) / chars, "symbol_share": sum(c in quality.SYMBOLS for c in t) / chars,
+            "bang_share": t.count("!") / chars, "bar_share": t.count("|") / chars, "letter_share": sum(k[0] == "L" for k in kind) / chars,
+            "line_words": n / (t.count("\n") + 1), "stop_share": sum(len(w) <= 3 for w in words) / max(1, n), "repeat_share": sum(a == b for a, b in zip(words, words[1:])) / max(1, n),
+        }
+
+    texts = [t or "" for t in ODD if t is None or "\x1c" not in t] + [r.text or "" for r in docs.limit(80).collect()]
+    found = quality.with_statistics(frame(spark, texts), ["doc_id"]).select("*", model.score().alias("p")).collect()
+    assert model.rules
+    for r in found:
+        want = stats(texts[r.doc_id])
+        for k in quality.STATISTICS:
+            assert r[f"s_{k}"] == pytest.approx(want[k]), (k, texts[r.doc_id][:50])
+        z = model.intercept + sum(rule.weight for rule in model.rules if all(a < want[k] <= b for k, a, b in rule.bounds))
+        assert r.p == pytest.approx(1 / (1 + np.exp(-z)), rel=1e-9)
+
+
 def test_quality_edges(spark):
     labels = spark.createDataFrame([(i, i % 2, 0) for i in range(40)], "doc_id long, quality int, toxic int")
     assert quality.quality_report(frame(spark, ODD), labels.limit(0)).count() == len(ODD)
@@ -323,6 +506,53 @@ def test_toxicity_held_out_and_disguises(spark):
     assert sum(a == 1 and b == 0 for a, b in pairs) <= 1 and sum(a == b for a, b in pairs) / len(pairs) > 0.9
 
 
+def test_decoding_equals_all_readings():
+    """The channel's Viterbi path of short words has the best probability of all letter strings and alignments."""
+    rnd = np.random.default_rng(5)
+    counts = rnd.integers(1, 50, (27, 27)).astype(float)
+    channel = toxicity.Channel(np.log(counts / counts.sum(axis=1, keepdims=True)).astype(np.float32))
+
+    def readings(word):
+        best = {}
+        stack = [(0, toxicity.START, "", 0.0)]
+        while stack:
+            i, state, out, p = stack.pop()
+            if i == len(word):
+                best[out] = max(best.get(out, -1e30), p + channel.pairs[state, toxicity.START])
+                continue
+            code = ord(word[i])
+            if channel.skip[code, state] > -1e8:
+                stack.append((i + 1, state, out, p + channel.skip[code, state]))
+            for letter in np.flatnonzero(channel.emit[code] > -1e8).tolist():
+                stack.append((i + 1, letter, out + chr(97 + letter), p + channel.pairs[state, letter] + channel.emit[code, letter]))
+        return best
+
+    words = ["1d10t", "m0r0n", "aaab", "6!9", "s.t.u", "l00ser", "$|+", "b@d"]
+    for word, decoded in zip(words, channel.decode(words)):
+        best = readings(word)
+        assert best[decoded] == pytest.approx(max(best.values()), abs=1e-3)
+
+
+def test_scores_equal_noisy_or_in_python(spark, toxicity_model):
+    m = toxicity_model
+    word = next(w for w in m.evidence if not w.endswith("*"))
+    texts = [f"a clean start {word} end", f"{word} {word}", "nothing here", "", f"{word.upper()}, and more"]
+    for text, score in zip(texts, m.score(pa.array(texts))):
+        clear = 1 - toxicity.BASE_SCORE
+        for w in {x.strip(",").lower() for x in text.split()}:
+            clear *= 1 - max((m.evidence.get(f, 0.0) for f in toxicity.features(w)), default=0.0)
+        assert score == pytest.approx(1 - clear)
+
+
+def test_score_column_that_exists_gives_way(spark, toxicity_model):
+    df = frame(spark, ["plain", None]).withColumn("toxicity", F.lit("mine"))
+    out = toxicity.score_documents(df, toxicity_model, score_col="score")
+    assert out.columns == [c for c in df.columns if c != "score"] + ["score"] and out.first().score < 0.5
+    labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
+    kept = toxicity.drop_toxic(df, labels)
+    assert kept.columns == df.columns and {r.toxicity for r in kept.collect()} == {"mine"}
+
+
 @pytest.fixture(scope="module")
 def toxicity_model(spark):
     d = "/root/testdata/sf0.01"
