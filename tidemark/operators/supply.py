@@ -9,9 +9,10 @@ from tidemark.functions.columns import inv_norm_cdf
 from tidemark.operators.ranking import bucket_of
 from tidemark.sources.sinks import checkpointed
 
-#: Default lead time in days by currency, and otherwise.
-LEAD_BY_CURRENCY = {0: 30.0, 1: 45.0, 2: 60.0}
-LEAD_DEFAULT, LEAD_CV = 45.0, 0.5
+#: Lead time in days by the agreement's currency (domestic, PLN, EUR, USD), and otherwise.
+LEAD_BY_CURRENCY = {3: 7.0, 2: 14.0, 0: 18.0, 1: 35.0}
+LEAD_DEFAULT, LEAD_CV = 30.0, 0.5
+FACTOR_MIN, FACTOR_MAX, FACTOR_LEAST = 0.5, 1.5, 5
 FLOORS = {"A": 0.95, "B": 0.85}
 SL_MIN, SL_MAX, HOLDING, LEAST_MARGIN = 0.50, 0.99, 0.25, 0.1
 URGENCY_ORDER = {"critical": 0, "high": 1, "normal": 2, "none": 3}
@@ -30,7 +31,7 @@ def lead_times(ordered: DataFrame, low: int = 1, high: int = 120, least: int = 3
     mean = F.when(enough, F.col("m")).otherwise(F.coalesce(by_currency, F.lit(LEAD_DEFAULT)))
     df = modal.join(seen, "producer_id", "left").withColumn("lead_days", mean)
     std = F.when(enough, F.greatest(F.col("s"), 0.1 * F.col("lead_days"))).otherwise(LEAD_CV * F.col("lead_days"))
-    return df.select("producer_id", "lead_days", std.alias("lead_std"), F.when(enough, "empirical").when(by_currency.isNotNull(), "currency").otherwise("default").alias("lead_source"))
+    return df.select("producer_id", "lead_days", std.alias("lead_std"), F.when(enough, "empirical").when(by_currency.isNotNull(), "geo").otherwise("default").alias("lead_source"))
 
 
 def modal_currency(ordered: DataFrame) -> DataFrame:
@@ -71,16 +72,63 @@ def round_order(qty: Column, moq: Column, multiple: Column) -> Column:
     return F.when(qty <= 0, 0.0).when(multiple > 1, F.ceil(q / multiple) * multiple).otherwise(q)
 
 
+def inventory_position(on_hand: DataFrame, reserved: DataFrame, on_order: DataFrame) -> DataFrame:
+    """(product_id, on_hand, reserved, on_order, position) of every product in any of the three; what is missing is 0."""
+    df = on_hand.join(reserved, "product_id", "full_outer").join(on_order, "product_id", "full_outer").fillna(0.0, ["on_hand", "reserved", "on_order"])
+    return df.select("product_id", "on_hand", "reserved", "on_order", (F.col("on_hand") - F.col("reserved") + F.col("on_order")).alias("position"))
+
+
+def learned_factors(feedback: DataFrame, least: int = FACTOR_LEAST) -> DataFrame:
+    """(producer_id, abc, factor, n): the median of final over suggested quantity, clamped, from `least` changes on."""
+    agg = feedback.groupBy("producer_id", "abc").agg(F.percentile("ratio", 0.5).alias("m"), F.count(F.lit(1)).alias("n")).where(F.col("n") >= least)
+    return agg.select("producer_id", "abc", F.round(F.least(F.greatest("m", F.lit(FACTOR_MIN)), F.lit(FACTOR_MAX)) + 1e-9, 4).alias("factor"), "n")
+
+
 def purchase_plan(items: DataFrame, horizon: int = 30) -> DataFrame:
-    """items (producer_id, product_id, mean_daily, std_daily, lead_days, lead_std, position, abc, cost, sale, moq, multiple)
-    with reorder point, safety stock, cover, urgency and suggested quantity; one pass, no loop over producers."""
+    """items (producer_id, product_id, mean_daily, std_daily, lead_days, lead_std, position, abc, cost, sale, moq, multiple,
+    factor) with reorder point, safety stock, cover, urgency, the policy's own quantity (raw_qty) and the suggested one:
+    scaled by the learned factor, then rounded to the terms. One pass, no loop over producers; null terms or factor do nothing."""
     df = items.withColumn("sl", service_level(F.col("sale"), F.col("cost"), F.col("abc"), horizon))
     spread = F.sqrt(F.col("lead_days") * F.col("std_daily") ** 2 + F.col("mean_daily") ** 2 * F.col("lead_std") ** 2)
     df = df.withColumn("safety_stock", inv_norm_cdf(F.col("sl")) * spread)
     df = df.withColumn("reorder_point", F.col("mean_daily") * F.col("lead_days") + F.col("safety_stock")).withColumn("order_upto", F.col("reorder_point") + F.col("mean_daily") * horizon)
     need = F.when(F.col("position") <= F.col("reorder_point"), F.greatest(F.lit(0.0), F.col("order_upto") - F.col("position"))).otherwise(0.0)
     cover = F.when(F.col("mean_daily") > 0, F.greatest(F.lit(0.0), F.col("position") / F.col("mean_daily"))).otherwise(99999.0)
-    return df.withColumns({"urgency": urgency(F.col("position"), F.col("safety_stock"), F.col("reorder_point"), F.col("order_upto")), "days_of_cover": cover, "suggested_qty": round_order(F.round(need, 2), F.col("moq"), F.col("multiple"))})
+    df = df.withColumns({"urgency": urgency(F.col("position"), F.col("safety_stock"), F.col("reorder_point"), F.col("order_upto")), "days_of_cover": cover, "raw_qty": F.round(need, 2)})
+    scaled = F.round(F.col("raw_qty") * F.coalesce("factor", F.lit(1.0)), 2)
+    return df.withColumn("suggested_qty", F.round(round_order(scaled, F.col("moq"), F.col("multiple")), 2))
+
+
+def plan_backtest(plan: DataFrame, demand: DataFrame, window: int, overstock_factor: float = 1.5) -> DataFrame:
+    """One row: how a plan (position, suggested_qty, urgency, cost, sale) meets the demand (product_id, need) of the window.
+
+    Rates of service are means over items with demand; excess units and the economic cost (lost margin of what falls
+    short, holding of what is left over) take all items.
+    """
+    df = plan.join(demand, "product_id", "left").withColumn("need", F.coalesce("need", F.lit(0.0)))
+    have, need, position = F.col("position") + F.col("suggested_qty"), F.col("need"), F.col("position")
+    df = df.withColumns({"have": have, "excess": F.greatest(F.lit(0.0), have - need), "short": F.greatest(F.lit(0.0), need - have)})
+    wanted = need > 0
+
+    def share(test: Column) -> Column:
+        return F.round(F.coalesce(F.avg(F.when(wanted, test.cast("double"))), F.lit(0.0)) + 1e-9, 3)
+
+    loss = F.sum(F.coalesce(F.col("short") * F.greatest(F.lit(0.0), F.col("sale") - F.col("cost")), F.lit(0.0)))
+    hold = F.sum(F.coalesce(F.col("excess") * (HOLDING / 365.0) * window * F.col("cost"), F.lit(0.0)))
+    return df.agg(
+        F.sum(wanted.cast("long")).alias("products"),
+        F.count(F.lit(1)).alias("total_items"),
+        F.round(F.avg((F.col("urgency") == "critical").cast("double")) + 1e-9, 4).alias("critical_share"),
+        F.round(F.coalesce(F.avg(F.when(wanted, F.least("have", "need") / need)), F.lit(0.0)) + 1e-9, 3).alias("fill_rate"),
+        share(F.col("have") < need).alias("stockout_rate"),
+        share(F.col("have") >= need).alias("coverage_with_policy"),
+        share(position >= need).alias("coverage_without_policy"),
+        F.round(F.sum("excess"), 2).alias("overstock_units"),
+        F.round(F.avg((F.col("suggested_qty") > need * overstock_factor).cast("double")) + 1e-9, 3).alias("overstock_rate"),
+        F.round(loss, 2).alias("understock_loss"),
+        F.round(hold, 2).alias("overstock_hold"),
+        F.round(loss + hold, 2).alias("economic_cost"),
+    )
 
 
 def value_density(plan: DataFrame) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.functions.columns import croston, ewma, holt_path, mean_of, month_of
+from tidemark.functions.columns import croston, ewma, half_open, holt_path, mean_of
 
 METHODS = ("moving_avg", "croston", "sba", "ewma", "damped_trend")
 ALPHA, CROSTON_ALPHA = 0.3, 0.1
@@ -13,17 +13,25 @@ ADI_CUT, CV2_CUT = 1.32, 0.49
 
 
 def month_grid(as_of: str, months: int) -> list[str]:
-    """The last `months` month labels before the month of as_of."""
+    """The last `months` month labels, oldest first, ending with the month of as_of."""
     y, m = int(as_of[:4]), int(as_of[5:7])
-    at = [y * 12 + m - 1 - k for k in range(months, 0, -1)]
+    at = [y * 12 + m - 1 - k for k in range(months - 1, -1, -1)]
     return [f"{k // 12:04d}-{k % 12 + 1:02d}" for k in at]
 
 
+def future_months(as_of: str, horizon: int) -> list[str]:
+    """The labels of the `horizon` months after the month of as_of."""
+    y, m = int(as_of[:4]), int(as_of[5:7])
+    return [f"{k // 12:04d}-{k % 12 + 1:02d}" for k in range(y * 12 + m, y * 12 + m + horizon)]
+
+
 def densify(sales: DataFrame, key: str, measure: str, as_of: str, months: int) -> DataFrame:
-    """(key, series): zero-filled values of the month grid, oldest first. One shuffle by key; no row per missing month."""
-    grid = month_grid(as_of, months)
-    sums = sales.select(key, month_of(F.col("created")).alias("ym"), measure).where(F.col("ym").between(grid[0], grid[-1]))
-    by_month = sums.groupBy(key).agg(*[F.sum(F.when(F.col("ym") == m, F.col(measure))).cast("double").alias(f"m{i}") for i, m in enumerate(grid)])
+    """(key, series): zero-filled values of the month grid, oldest first, from sales before as_of. One shuffle by key; no row
+    per missing month. The days are cut before anything else, so that the scan can skip the rest of the history."""
+    first = month_grid(as_of, months)[0]
+    lines = sales.where(half_open(F.col("created"), f"{first}-01", as_of))
+    nth = (F.year("created") - int(first[:4])) * 12 + F.month("created") - int(first[5:7])
+    by_month = lines.select(key, nth.alias("nth"), measure).groupBy(key).agg(*[F.sum(F.when(F.col("nth") == i, F.col(measure))).cast("double").alias(f"m{i}") for i in range(months)])
     return by_month.select(key, F.array(*[F.coalesce(f"m{i}", F.lit(0.0)) for i in range(months)]).alias("series"))
 
 
@@ -67,14 +75,14 @@ def forecast(series: DataFrame, key: str, horizon: int, least_months: int = 3, f
     return df.select(key, "segment", "method", F.posexplode(path).alias("step", "amount")).withColumn("step", F.col("step") + 1)
 
 
-def backtest(series: DataFrame, key: str, horizon: int = 3, origins: int = 6, least_train: int = 6) -> DataFrame:
-    """(key, segment, origin, method, step, forecast, actual) for the last origins; each sees only its own past."""
+def backtest(series: DataFrame, key: str, horizon: int = 3, origins: int = 6, least_train: int = 6, methods: tuple[str, ...] = METHODS) -> DataFrame:
+    """(key, segment, origin, method, step, forecast, actual) of methods for the last origins; each sees only its own past."""
     df = with_demand_class(series)
     size = F.size("series")
     first, last = F.greatest(F.lit(least_train - 1), size - 1 - origins), size - 2
     df = df.where(last >= first).select(key, "segment", "series", F.explode(F.sequence(first, last)).alias("origin"))
     df = df.select(key, "segment", "origin", F.slice("series", F.lit(1), F.col("origin") + 1).alias("train"), F.slice("series", F.col("origin") + 2, F.lit(horizon)).alias("actuals"))
-    paths = F.array(*[F.struct(F.lit(m).alias("method"), path_of(F.col("train"), m, horizon).alias("path")) for m in METHODS])
+    paths = F.array(*[F.struct(F.lit(m).alias("method"), path_of(F.col("train"), m, horizon).alias("path")) for m in methods])
     df = df.select(key, "segment", "origin", "actuals", F.explode(paths).alias("p"))
     df = df.select(key, "segment", "origin", F.col("p.method").alias("method"), F.posexplode(F.zip_with("actuals", F.slice("p.path", F.lit(1), F.size("actuals")), lambda a, f: F.struct(a.alias("actual"), f.alias("forecast")))).alias("step", "x"))
     return df.select(key, "segment", "origin", "method", (F.col("step") + 1).alias("step"), "x.forecast", "x.actual")

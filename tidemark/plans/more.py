@@ -172,12 +172,16 @@ def t8(spark, d):
 
 @P.add(
     "t21_demand_chart",
-    "SELECT product_id, strftime(created, '%Y-%m') AS ym, CAST(sum(qty) AS DOUBLE) AS units, false AS is_forecast FROM year_sales GROUP BY 1, 2 UNION ALL SELECT product_id, '2000-01', CAST(sum(qty) AS DOUBLE) / 12, true FROM year_sales GROUP BY 1",
+    """SELECT product_id, strftime(created, '%Y-%m') AS ym, sum(u) AS units, false AS is_forecast FROM daily GROUP BY 1, 2 UNION ALL SELECT product_id, '2000-02', round(mean_daily * 30 + 0.000000001::DOUBLE, 2), true FROM demand""",
+    daily=supply.PLAN["daily"],
+    demand=supply.PLAN["demand"],
 )
 def t21(spark, d):
-    lines = year(spark, d)
-    ahead = lines.groupBy("product_id").agg((F.sum("qty").cast("double") / 12).alias("units")).select("product_id", F.lit("2000-01").alias("ym"), "units", F.lit(True).alias("is_forecast"))
-    return sales.monthly(lines, ["product_id"], "qty", "units").withColumn("is_forecast", F.lit(False)).unionByName(ahead)
+    """Monthly units of the policy's 120 days and one flagged point: the daily mean over the horizon, in the month after."""
+    daily = sales.window(valid(spark, d), "1999-09-03", END)
+    ahead = daily.groupBy("product_id").agg((F.sum("qty").cast("double") / 120 * 30).alias("units"))
+    ahead = ahead.select("product_id", F.lit("2000-02").alias("ym"), F.round(F.col("units") + 1e-9, 2).alias("units"), F.lit(True).alias("is_forecast"))
+    return sales.monthly(daily, ["product_id"], "qty", "units").withColumn("is_forecast", F.lit(False)).unionByName(ahead)
 
 
 @P.add(
@@ -191,22 +195,6 @@ def t22(spark, d):
     return lines.groupBy("client_id", F.col("m").cast("string").alias("month_end")).agg(F.sum("amount").cast("double").alias("turnover"))
 
 
-@P.add("g8_plan_backtest")
-def g8(spark, d):
-    """Plan against the demand of the next 30 days: fill and stockout rates and overstock with and without the plan."""
-    plan = g.purchase_plan(supply.items(spark, d)).groupBy("product_id").agg(F.max("position").alias("position"), F.sum("suggested_qty").alias("suggested"))
-    future = sales.window(valid(spark, d), END, "2000-01-31").groupBy("product_id").agg(F.sum("qty").cast("double").alias("need"))
-    df = plan.join(future, "product_id", "left").fillna(0.0, ["need"])
-    have = F.col("position") + F.col("suggested")
-    return df.agg(
-        F.count(F.lit(1)).alias("n"),
-        F.round(F.sum(F.least(have, F.col("need"))) / F.sum("need"), 4).alias("fill_with"),
-        F.round(F.sum(F.least(F.col("position"), F.col("need"))) / F.sum("need"), 4).alias("fill_without"),
-        F.round(F.avg((have < F.col("need")).cast("double")), 4).alias("stockout_rate"),
-        F.round(F.sum(F.greatest(have - F.col("need"), F.lit(0.0))), 2).alias("overstock_units"),
-    )
-
-
 @P.add("c9_negatives_excluded", "SELECT p.client_id, p.group_id FROM (SELECT DISTINCT client_id, group_id FROM past_sales) p WHERE NOT EXISTS (SELECT 1 FROM return_lines r JOIN part ON p_partkey = r.product_id WHERE r.client_id = p.client_id AND p_brand = p.group_id AND r.return_date >= DATE '1999-10-03' AND r.return_date < DATE '2000-01-01')")
 def c9(spark, d):
     groups = c.read(spark, d, "part").select(F.col("p_partkey").alias("product_id"), F.col("p_brand").alias("group_id"))

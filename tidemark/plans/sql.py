@@ -14,13 +14,14 @@ TABLES = {
     "year_sales": "SELECT * FROM valid_sales WHERE created >= DATE '1999-01-01' AND created < DATE '2000-01-01'",
     "past_sales": "SELECT * FROM valid_sales WHERE created < DATE '2000-01-01'",
     "supply_base": """SELECT CASE WHEN l_suppkey % 2 = 0 THEN 'intl' ELSE 'domestic' END AS source, l_suppkey AS producer_id, l_partkey AS product_id, CAST(l_quantity AS DECIMAL(18,2)) AS qty,
-      l_extendedprice / l_quantity AS unit_price, CAST(l_suppkey % 3 AS INTEGER) AS currency_id, CAST(o_orderdate AS DATE) AS event_date, CAST(l_shipdate AS DATE) AS arrived
+      l_extendedprice / l_quantity AS unit_price, CAST(l_suppkey % 5 AS INTEGER) AS currency_id, CAST(o_orderdate AS DATE) AS event_date,
+      CAST(o_orderdate AS DATE) + CAST((date_diff('day', CAST(o_orderdate AS DATE), CAST(l_shipdate AS DATE)) % 121 + 121) % 121 AS INTEGER) AS arrived
       FROM lineitem JOIN orders ON l_orderkey = o_orderkey""",
     "supply_lines": """SELECT *, 'ordered' AS kind FROM supply_base UNION ALL BY NAME SELECT * REPLACE (arrived AS event_date), 'received' AS kind FROM supply_base WHERE arrived >= event_date""",
     "stock_lots": """SELECT l_orderkey * 10 + l_linenumber AS lot_id, l_partkey AS product_id, CAST(l_quantity AS DECIMAL(18,2)) AS qty,
       CAST(CAST(l_extendedprice AS DECIMAL(18,2)) * CAST('0.70' AS DECIMAL(3,2)) AS DECIMAL(20,4)) AS value, l_extendedprice * 0.7::DOUBLE / l_quantity AS unit_cost,
       CASE WHEN l_discount = 0.10::DOUBLE THEN 1 WHEN l_discount > 0 THEN 2 END AS doc_type FROM lineitem
-      WHERE l_returnflag = 'A' AND l_linestatus = 'O' AND l_partkey NOT IN (1) AND (CASE WHEN l_discount = 0.10::DOUBLE THEN 1 ELSE 2 END) <> 1""",
+      WHERE l_returnflag = 'A' AND l_linestatus = 'O' AND CAST(l_shipdate AS DATE) >= DATE '1999-01-01' AND CAST(l_shipdate AS DATE) < DATE '2000-01-01' AND l_partkey NOT IN (1) AND (CASE WHEN l_discount = 0.10::DOUBLE THEN 1 ELSE 2 END) <> 1""",
     "return_lines": """SELECT order_id AS return_id, line_no, client_id, product_id, qty, amount, line_status = 'F' AS money_returned, shipped AS return_date FROM sale_lines WHERE return_flag = 'R'""",
     "debt_lines": """SELECT o_orderkey AS debt_id, o_custkey AS client_id, c_nationkey AS manager_id, CAST(o_totalprice AS DECIMAL(18,2)) AS total, CAST(c_nationkey % 3 AS INTEGER) AS currency_id, CAST(o_orderdate AS DATE) AS created
       FROM orders JOIN customer ON o_custkey = c_custkey WHERE o_orderstatus = 'O'""",

@@ -4,10 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from tidemark.functions import columns as col
 from tidemark.operators import ranking, sales, supply as g
+from tidemark.plans import sales as sale_plans
 from tidemark.plans.base import Plans
 from tidemark.plans.sales import END, valid, year
 from tidemark.sources import canonical as c
+from tidemark.sources.sinks import seed_terms
 
 P = Plans()
 RATE = {
@@ -16,7 +19,7 @@ RATE = {
     "medians": "SELECT producer_id, product_id, quantile_cont(price_eur, 0.5) AS cost_eur FROM rated GROUP BY 1, 2",
     "modal": "SELECT producer_id, currency_id FROM (SELECT producer_id, currency_id, row_number() OVER (PARTITION BY producer_id ORDER BY count(*) DESC, currency_id) AS r FROM ordered GROUP BY 1, 2) WHERE r = 1",
     "lead": "SELECT producer_id, avg(date_diff('day', event_date, arrived)) AS m, stddev_pop(date_diff('day', event_date, arrived)) AS s, count(*) AS k FROM ordered WHERE date_diff('day', event_date, arrived) BETWEEN 1 AND 120 GROUP BY 1",
-    "leads": "SELECT producer_id, ld AS lead_days, CASE WHEN k >= 3 THEN greatest(s, 0.1::DOUBLE * ld) ELSE 0.5::DOUBLE * ld END AS lead_std, CASE WHEN k >= 3 THEN 'empirical' ELSE 'currency' END AS lead_source FROM (SELECT m.producer_id, CASE WHEN k >= 3 THEN l.m ELSE CASE currency_id WHEN 0 THEN 30.0 WHEN 1 THEN 45.0 ELSE 60.0 END END::DOUBLE AS ld, k, s FROM modal m LEFT JOIN lead l ON l.producer_id = m.producer_id)",
+    "leads": "SELECT producer_id, ld AS lead_days, CASE WHEN k >= 3 THEN greatest(s, 0.1::DOUBLE * ld) ELSE 0.5::DOUBLE * ld END AS lead_std, CASE WHEN k >= 3 THEN 'empirical' WHEN currency_id <= 3 THEN 'geo' ELSE 'default' END AS lead_source FROM (SELECT m.producer_id, currency_id, CASE WHEN k >= 3 THEN l.m ELSE CASE currency_id WHEN 3 THEN 7.0 WHEN 2 THEN 14.0 WHEN 0 THEN 18.0 WHEN 1 THEN 35.0 ELSE 30.0 END END::DOUBLE AS ld, k, s FROM modal m LEFT JOIN lead l ON l.producer_id = m.producer_id)",
 }
 
 
@@ -60,39 +63,98 @@ def a21(spark, d):
     return g.modal_currency(ordered(spark, d))
 
 
+def acklam(p: str) -> str:
+    """The inverse normal distribution of a SQL expression, by the published rational approximation."""
+
+    def poly(x: str, k: tuple) -> str:
+        return "(" * len(k) + f"{k[0]!r}::DOUBLE)" + "".join(f" * {x} + {c!r}::DOUBLE)" for c in k[1:])
+
+    a, b, c, d = col.ACKLAM_A, col.ACKLAM_B, col.ACKLAM_C, col.ACKLAM_D
+    q, r = f"({p} - 0.5::DOUBLE)", f"(({p} - 0.5::DOUBLE) * ({p} - 0.5::DOUBLE))"
+    tail = lambda t: f"{poly(t, c)} / {poly(t, (*d, 1.0))}"
+    low, high = f"sqrt(-2 * ln({p}))", f"sqrt(-2 * ln(1 - {p}))"
+    return f"CASE WHEN {p} < 0.02425::DOUBLE THEN {tail(low)} WHEN {p} <= 1 - 0.02425::DOUBLE THEN {poly(r, a)} * {q} / {poly(r, (*b, 1.0))} ELSE -({tail(high)}) END"
+
+
+#: The plan in SQL, written from the policy's rules: position = on hand - reserved + open orders; floors .95/.85/.50, holding
+#: .25 a year, 30 days of horizon, 120 of history.
 PLAN = {
     "daily": "SELECT product_id, created, CAST(sum(qty) AS DOUBLE) AS u FROM valid_sales WHERE created >= DATE '1999-09-03' AND created < DATE '2000-01-01' GROUP BY 1, 2",
     "demand": "SELECT product_id, sum(u) / 120 AS mean_daily, sqrt(greatest(sum(u * u) / 120 - (sum(u) / 120) * (sum(u) / 120), 0.0::DOUBLE)) AS std_daily FROM daily GROUP BY 1",
     "onh": "SELECT product_id, CAST(sum(qty) AS DOUBLE) AS on_hand FROM stock_lots GROUP BY 1",
-    "positions": "SELECT m.producer_id, m.product_id, mean_daily, std_daily, lead_days, lead_std, coalesce(on_hand, 0.0::DOUBLE) / 50 AS position FROM medians m JOIN demand d ON d.product_id = m.product_id JOIN leads l ON l.producer_id = m.producer_id LEFT JOIN onh o ON o.product_id = m.product_id",
+    "res": "SELECT product_id, CAST(sum(qty) AS DOUBLE) AS reserved FROM valid_sales WHERE line_status = 'O' AND return_flag = 'N' AND created >= DATE '1999-10-01' AND created < DATE '2000-01-01' GROUP BY 1",
+    "opened": """SELECT product_id, CAST(sum(CASE WHEN kind = 'ordered' THEN qty ELSE -qty END) AS DOUBLE) AS on_order FROM supply_lines WHERE event_date < DATE '2000-01-01' GROUP BY 1 HAVING sum(CASE WHEN kind = 'ordered' THEN qty ELSE -qty END) > 0.001""",
+    "classes": """SELECT product_id, sale, CASE WHEN before / total < 0.80 THEN 'A' WHEN before / total < 0.95 THEN 'B' ELSE 'C' END AS abc FROM
+      (SELECT product_id, sale, CAST(sum(revenue) OVER (ORDER BY revenue DESC, product_id ROWS UNBOUNDED PRECEDING) - revenue AS DOUBLE) AS before, CAST(sum(revenue) OVER () AS DOUBLE) AS total FROM
+        (SELECT product_id, CAST(sum(amount) AS DECIMAL(38,2)) AS revenue, quantile_cont(price, 0.5) AS sale FROM year_sales GROUP BY 1))""",
+    "terms": """SELECT l_suppkey AS producer_id, l_partkey AS product_id, CASE WHEN l_partkey % 10 = 0 THEN 12.0 ELSE CAST(min(l_quantity) AS DOUBLE) END AS moq, CASE WHEN l_partkey % 10 = 0 THEN 6.0 END AS multiple FROM lineitem GROUP BY 1, 2 HAVING count(*) >= 2 OR l_partkey % 10 = 0""",
+    "factors": "SELECT producer_id, abc, round(least(greatest(quantile_cont(f, 0.5), 0.5::DOUBLE), 1.5::DOUBLE) + 0.000000001::DOUBLE, 4) AS factor FROM (SELECT l_suppkey AS producer_id, CASE WHEN l_partkey % 10 < 2 THEN 'A' WHEN l_partkey % 10 < 5 THEN 'B' ELSE 'C' END AS abc, (1 - l_discount) * (1 + l_tax) AS f FROM lineitem) GROUP BY 1, 2 HAVING count(*) >= 5",
+    "item": """SELECT m.producer_id, m.product_id, m.cost_eur AS cost, mean_daily, std_daily, lead_days, lead_std, sale, coalesce(k.abc, 'C') AS abc, moq, multiple, factor,
+      coalesce(on_hand, 0) AS on_hand, coalesce(reserved, 0) AS reserved, coalesce(on_order, 0) AS on_order, coalesce(on_hand, 0.0::DOUBLE) - coalesce(reserved, 0.0::DOUBLE) + coalesce(on_order, 0.0::DOUBLE) AS position
+      FROM medians m JOIN demand USING (product_id) JOIN leads USING (producer_id) LEFT JOIN onh USING (product_id) LEFT JOIN res USING (product_id) LEFT JOIN opened USING (product_id)
+      LEFT JOIN classes k USING (product_id) LEFT JOIN terms t ON t.producer_id = m.producer_id AND t.product_id = m.product_id LEFT JOIN factors f ON f.producer_id = m.producer_id AND f.abc = coalesce(k.abc, 'C')""",
+    "leveled": """SELECT *, CASE WHEN cost > 0 AND sale IS NOT NULL AND sale - cost >= 0.1::DOUBLE THEN least(greatest((sale - cost) / (sale - cost + 0.25::DOUBLE / 365 * cost * 30), floor_sl), 0.99::DOUBLE) ELSE floor_sl END AS sl
+      FROM (SELECT *, CASE abc WHEN 'A' THEN 0.95 WHEN 'B' THEN 0.85 ELSE 0.50 END::DOUBLE AS floor_sl FROM item)""",
+    "safe": f"SELECT *, ({acklam('sl')}) * sqrt(lead_days * std_daily * std_daily + mean_daily * mean_daily * lead_std * lead_std) AS safety FROM leveled",
+    "pointed": "SELECT *, mean_daily * lead_days + safety AS point, mean_daily * lead_days + safety + mean_daily * 30 AS upto FROM safe",
+    "asked": "SELECT *, CASE WHEN position <= greatest(safety, 0) THEN 'critical' WHEN position <= point THEN 'high' WHEN position <= upto THEN 'normal' ELSE 'none' END AS urgency, CASE WHEN position <= point THEN round(greatest(upto - position, 0), 2) ELSE 0 END::DOUBLE AS raw_qty FROM pointed",
+    "scaled": "SELECT *, round(raw_qty * coalesce(factor, 1.0::DOUBLE), 2) AS sc FROM asked",
+    "plan": "SELECT *, round(CASE WHEN sc <= 0 THEN 0.0::DOUBLE WHEN multiple > 1 THEN ceil(greatest(sc, coalesce(moq, 0)) / multiple) * multiple ELSE greatest(sc, coalesce(moq, 0)) END, 2)::DOUBLE AS suggested FROM scaled",
+    "valued": """SELECT *, CASE WHEN line_cost > 0 THEN round(risk / line_cost, 4) ELSE 0.0::DOUBLE END AS density FROM (SELECT *, round(cost * suggested, 2) AS line_cost,
+      coalesce(greatest(sale - cost, 0) * suggested * CASE urgency WHEN 'critical' THEN 1.0 WHEN 'high' THEN 0.7 WHEN 'normal' THEN 0.4 ELSE 0.1 END::DOUBLE, 0.0::DOUBLE) AS risk FROM plan)""",
 }
 
 
+def position(spark, d):
+    on_hand = c.stock_lots(spark, d).groupBy("product_id").agg(F.sum("qty").cast("double").alias("on_hand"))
+    held = sales.window(valid(spark, d).where("line_status = 'O' and return_flag = 'N'"), "1999-10-01", END).groupBy("product_id").agg(F.sum("qty").cast("double").alias("reserved"))
+    return g.inventory_position(on_hand, held, sale_plans.a12(spark, d))
+
+
+def terms(spark, d):
+    """Curated terms before observed minimum quantities."""
+    seen = a19(spark, d).select("producer_id", "product_id", "moq", F.lit(None).cast("double").alias("multiple"))
+    return seed_terms(c.curated_terms(spark, d), seen, ["producer_id", "product_id"]).select("producer_id", "product_id", "moq", "multiple")
+
+
 def items(spark, d):
-    """Producer-product pairs of the year with demand, lead time, position, class, cost and price."""
+    """Producer-product pairs of the year with demand, lead time, position, class, cost, price, terms and learned factor."""
     daily = sales.window(valid(spark, d), "1999-09-03", END).groupBy("product_id", "created").agg(F.sum("qty").cast("double").alias("u"))
     mean = F.sum("u") / 120
     demand = daily.groupBy("product_id").agg(mean.alias("mean_daily"), F.sqrt(F.greatest(F.sum(F.col("u") * F.col("u")) / 120 - mean * mean, F.lit(0.0))).alias("std_daily"))
-    on_hand = c.stock_lots(spark, d).groupBy("product_id").agg(F.sum("qty").cast("double").alias("on_hand"))
     revenue = year(spark, d).groupBy("product_id").agg(F.sum("amount").alias("revenue"), F.percentile("price", 0.5).alias("sale"))
     abc = ranking.abc_exclusive(revenue, "revenue", "product_id").select("product_id", "abc", "sale")
     costs = g.supplier_costs(rated(spark, d)).withColumnRenamed("cost_eur", "cost")
-    df = costs.join(demand, "product_id").join(g.lead_times(ordered(spark, d)), "producer_id").join(on_hand, "product_id", "left").join(abc, "product_id", "left")
-    return df.withColumns({"position": F.coalesce("on_hand", F.lit(0.0)) / 50, "abc": F.coalesce("abc", F.lit("C")), "cost": F.col("cost") * 0.6, "moq": F.lit(5.0), "multiple": F.lit(2.0)})
+    df = costs.join(demand, "product_id").join(g.lead_times(ordered(spark, d)), "producer_id").join(position(spark, d), "product_id", "left").join(abc, "product_id", "left")
+    df = df.withColumns({"position": F.coalesce("position", F.lit(0.0)), "abc": F.coalesce("abc", F.lit("C"))})
+    factors = g.learned_factors(c.quantity_feedback(spark, d)).select("producer_id", "abc", "factor")
+    return df.join(terms(spark, d), ["producer_id", "product_id"], "left").join(factors, ["producer_id", "abc"], "left")
 
 
-@P.add("g1_inventory_position", "SELECT producer_id, product_id, round(position, 4) AS position, round(mean_daily, 6) AS mean_daily FROM positions", **RATE, **PLAN)
+@P.add("g1_inventory_position", "SELECT coalesce(o.product_id, r.product_id, n.product_id) AS product_id, coalesce(on_hand, 0) AS on_hand, coalesce(reserved, 0) AS reserved, coalesce(on_order, 0) AS on_order, coalesce(on_hand, 0) - coalesce(reserved, 0) + coalesce(on_order, 0) AS position FROM onh o FULL JOIN res r ON o.product_id = r.product_id FULL JOIN opened n ON n.product_id = coalesce(o.product_id, r.product_id)", **RATE, **PLAN)
 def g1(spark, d):
-    return items(spark, d).select("producer_id", "product_id", F.round("position", 4).alias("position"), F.round("mean_daily", 6).alias("mean_daily"))
+    return position(spark, d)
 
 
-@P.add("g6_purchase_plan")
+@P.add(
+    "g6_purchase_plan",
+    """SELECT producer_id, product_id, urgency, raw_qty, suggested AS suggested_qty, factor, round(point + 0.000000001::DOUBLE, 2) AS reorder_point, round(safety + 0.000000001::DOUBLE, 2) AS safety_stock,
+    round(CASE WHEN mean_daily > 0 THEN greatest(0.0::DOUBLE, position / mean_daily) ELSE 99999 END + 0.000000001::DOUBLE, 1) AS days_of_cover, round(sl + 0.000000001::DOUBLE, 4) AS service_level FROM plan""",
+    **RATE,
+    **PLAN,
+)
 def g6(spark, d):
     plan = g.purchase_plan(items(spark, d))
-    return plan.select("producer_id", "product_id", "urgency", "suggested_qty", F.round("reorder_point", 2).alias("reorder_point"), F.round("safety_stock", 2).alias("safety_stock"), F.round("days_of_cover", 1).alias("days_of_cover"), F.round("sl", 4).alias("service_level"))
+    rounded = {"reorder_point": ("reorder_point", 2), "safety_stock": ("safety_stock", 2), "days_of_cover": ("days_of_cover", 1), "service_level": ("sl", 4)}
+    return plan.select("producer_id", "product_id", "urgency", "raw_qty", "suggested_qty", "factor", *[F.round(F.col(k) + 1e-9, n).alias(name) for name, (k, n) in rounded.items()])
 
 
-@P.add("w15_plan_ranks")
+@P.add(
+    "w15_plan_ranks",
+    """SELECT producer_id, product_id, urgency, suggested AS suggested_qty, CAST(r AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY producer_id ORDER BY CASE urgency WHEN 'critical' THEN 0 WHEN 'high' THEN 1 WHEN 'normal' THEN 2 ELSE 3 END, suggested DESC, product_id) AS r FROM plan WHERE suggested > 0) WHERE r <= 20""",
+    **RATE,
+    **PLAN,
+)
 def w15(spark, d):
     order = F.lit(9)
     for name, i in g.URGENCY_ORDER.items():
@@ -100,26 +162,52 @@ def w15(spark, d):
     return ranking.first_per(g.purchase_plan(items(spark, d)).where("suggested_qty > 0"), ["producer_id"], [order, F.desc("suggested_qty"), F.col("product_id")], 20).select("producer_id", "product_id", "urgency", "suggested_qty", "rank")
 
 
-@P.add("a39_urgency_mix")
+@P.add("a39_urgency_mix", "SELECT urgency, count(product_id) AS n FROM (VALUES ('critical'), ('high'), ('normal'), ('none')) t(urgency) LEFT JOIN plan USING (urgency) GROUP BY 1", **RATE, **PLAN)
 def a39(spark, d):
     domain = spark.createDataFrame([(k,) for k in g.URGENCY_ORDER], "urgency string")
     got = g.purchase_plan(items(spark, d)).groupBy("urgency").agg(F.count(F.lit(1)).alias("n"))
     return F.broadcast(domain).join(got, "urgency", "left").fillna(0, ["n"])
 
 
-@P.add("g7_budget_selection")
+BUDGET = 5_000_000
+
+
+@P.add(
+    "g7_budget_selection",
+    f"""SELECT item_id, CAST(line_cost AS DOUBLE) AS line_cost FROM (SELECT unnest(list_reduce(list_prepend({{'c': 0.00::DECIMAL(18,2), 'id': 0::BIGINT, 'left': {BUDGET}::DECIMAL(18,2), 'took': CAST([] AS STRUCT(id BIGINT, c DECIMAL(18,2))[])}}, costs), lambda a, x:
+      CASE WHEN x.c <= a."left" THEN {{'c': x.c, 'id': x.id, 'left': CAST(a."left" - x.c AS DECIMAL(18,2)), 'took': list_append(a.took, {{'id': x.id, 'c': x.c}})}} ELSE a END).took, recursive := true) FROM
+      (SELECT list({{'c': CAST(line_cost AS DECIMAL(18,2)), 'id': producer_id * 10000000 + product_id, 'left': 0.00::DECIMAL(18,2), 'took': CAST([] AS STRUCT(id BIGINT, c DECIMAL(18,2))[])}} ORDER BY density DESC, producer_id * 10000000 + product_id) AS costs FROM valued WHERE suggested > 0 AND line_cost > 0)) t(item_id, line_cost)""",
+    **RATE,
+    **PLAN,
+)
 def g7(spark, d):
     plan = g.value_density(g.purchase_plan(items(spark, d)).where("suggested_qty > 0")).withColumn("item_id", F.col("producer_id") * 10_000_000 + F.col("product_id"))
-    return g.select_within_budget(plan, 5_000_000.0).select("item_id", F.col("line_cost").cast("double").alias("line_cost"))
+    return g.select_within_budget(plan, float(BUDGET)).select("item_id", F.col("line_cost").cast("double").alias("line_cost"))
 
 
-@P.add("g10_value_density")
+@P.add("g10_value_density", "SELECT producer_id, product_id, round(risk + 0.000000001::DOUBLE, 2) AS profit_at_risk, density FROM valued", **RATE, **PLAN)
 def g10(spark, d):
-    return g.value_density(g.purchase_plan(items(spark, d))).select("producer_id", "product_id", F.round("profit_at_risk", 2).alias("profit_at_risk"), "density")
+    return g.value_density(g.purchase_plan(items(spark, d))).select("producer_id", "product_id", F.round(F.col("profit_at_risk") + 1e-9, 2).alias("profit_at_risk"), "density")
 
 
-@P.add("f5_service_levels_to_z")
+@P.add("f5_service_levels_to_z", f"SELECT producer_id, product_id, round(sl + 0.000000001::DOUBLE, 4) AS sl, round({acklam('sl')} + 0.000000001::DOUBLE, 6) AS z FROM leveled", **RATE, **PLAN)
 def f5(spark, d):
-    from tidemark.functions.columns import inv_norm_cdf
+    plan = g.purchase_plan(items(spark, d))
+    return plan.select("producer_id", "product_id", F.round(F.col("sl") + 1e-9, 4).alias("sl"), F.round(col.inv_norm_cdf(F.col("sl")) + 1e-9, 6).alias("z"))
+
 
-    return g.purchase_plan(items(spark, d)).select("producer_id", "product_id", F.round("sl", 4).alias("sl"), F.round(inv_norm_cdf(F.col("sl")), 6).alias("z"))
+@P.add(
+    "g8_plan_backtest",
+    """SELECT CAST(count(*) FILTER (need > 0) AS BIGINT) AS products, count(*) AS total_items, round(avg(CAST(urgency = 'critical' AS INTEGER)::DOUBLE) + 0.000000001::DOUBLE, 4) AS critical_share,
+    round(coalesce(avg(least(have, need) / need) FILTER (need > 0), 0.0::DOUBLE) + 0.000000001::DOUBLE, 3) AS fill_rate, round(coalesce(avg(CAST(have < need AS INTEGER)::DOUBLE) FILTER (need > 0), 0.0::DOUBLE) + 0.000000001::DOUBLE, 3) AS stockout_rate,
+    round(coalesce(avg(CAST(have >= need AS INTEGER)::DOUBLE) FILTER (need > 0), 0.0::DOUBLE) + 0.000000001::DOUBLE, 3) AS coverage_with_policy, round(coalesce(avg(CAST(position >= need AS INTEGER)::DOUBLE) FILTER (need > 0), 0.0::DOUBLE) + 0.000000001::DOUBLE, 3) AS coverage_without_policy,
+    round(sum(greatest(have - need, 0)), 2) AS overstock_units, round(avg(CAST(suggested > need * 1.5::DOUBLE AS INTEGER)::DOUBLE) + 0.000000001::DOUBLE, 3) AS overstock_rate,
+    round(sum(loss), 2) AS understock_loss, round(sum(hold), 2) AS overstock_hold, round(sum(loss) + sum(hold), 2) AS economic_cost FROM
+    (SELECT *, coalesce(greatest(need - have, 0) * greatest(sale - cost, 0), 0.0::DOUBLE) AS loss, coalesce(greatest(have - need, 0) * (0.25::DOUBLE / 365) * 30 * cost, 0.0::DOUBLE) AS hold FROM
+      (SELECT p.*, position + suggested AS have, coalesce(n.need, 0.0::DOUBLE) AS need FROM plan p LEFT JOIN (SELECT product_id, CAST(sum(qty) AS DOUBLE) AS need FROM valid_sales WHERE created >= DATE '2000-01-01' AND created < DATE '2000-01-31' GROUP BY 1) n ON n.product_id = p.product_id))""",
+    **RATE,
+    **PLAN,
+)
+def g8(spark, d):
+    future = sales.window(valid(spark, d), END, "2000-01-31").groupBy("product_id").agg(F.sum("qty").cast("double").alias("need"))
+    return g.plan_backtest(g.purchase_plan(items(spark, d)), future, 30)

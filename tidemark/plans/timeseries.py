@@ -11,12 +11,13 @@ from tidemark.plans.sales import END, past, valid, year
 
 P = Plans()
 MONTHS = 24
-GRID = ts.month_grid(END, MONTHS)
+#: The day of the forecasts: history is what was sold before it, its month is the last of the grid.
+TODAY = "1999-12-31"
 SERIES = f"""SELECT k.{{key}}, list(coalesce(v.x, 0.0::DOUBLE) ORDER BY g.ym) AS series FROM (SELECT DISTINCT {{key}} FROM lines) k CROSS JOIN grid g
   LEFT JOIN (SELECT {{key}}, strftime(created, '%Y-%m') AS ym, CAST(sum({{measure}}) AS DOUBLE) AS x FROM lines GROUP BY 1, 2) v ON v.{{key}} = k.{{key}} AND v.ym = g.ym GROUP BY 1"""
 TABLES = {
-    "grid": f"SELECT unnest({GRID!r}) AS ym",
-    "lines": f"SELECT * FROM valid_sales WHERE strftime(created, '%Y-%m') BETWEEN '{GRID[0]}' AND '{GRID[-1]}'",
+    "grid": "SELECT strftime(DATE '1998-01-01' + to_months(CAST(i AS INTEGER)), '%Y-%m') AS ym FROM range(0, 24) t(i)",
+    "lines": "SELECT * FROM valid_sales WHERE created >= DATE '1998-01-01' AND created < DATE '1999-12-31'",
     "product_series": SERIES.format(key="product_id", measure="amount"),
     "client_series": SERIES.format(key="client_id", measure="amount"),
     "unit_series": SERIES.format(key="product_id", measure="qty"),
@@ -29,11 +30,11 @@ EWMA = "list_reduce(series, lambda a, x: 0.3::DOUBLE * x + 0.7::DOUBLE * a)"
 
 
 def by_product(spark, d):
-    return ts.densify(valid(spark, d), "product_id", "amount", END, MONTHS)
+    return ts.densify(valid(spark, d), "product_id", "amount", TODAY, MONTHS)
 
 
 def by_client(spark, d):
-    return ts.densify(valid(spark, d), "client_id", "amount", END, MONTHS)
+    return ts.densify(valid(spark, d), "client_id", "amount", TODAY, MONTHS)
 
 
 @P.add("t1_densify", "SELECT product_id, CAST(i AS INTEGER) AS i, series[i] AS eur FROM product_series, range(1, 25) t(i)", **TABLES)
@@ -43,8 +44,8 @@ def t1(spark, d):
 
 @P.add("t2_future_months", "SELECT client_id, strftime(DATE '2000-01-01' + to_months(CAST(i AS INTEGER)), '%Y-%m') AS ym FROM (SELECT DISTINCT client_id FROM year_sales), range(0, 6) t(i)")
 def t2(spark, d):
-    ahead = F.sequence(F.lit(END).cast("date"), F.add_months(F.lit(END).cast("date"), 5), F.expr("interval 1 month"))
-    return year(spark, d).select("client_id").distinct().select("client_id", F.explode(ahead).alias("m")).select("client_id", F.date_format("m", "yyyy-MM").alias("ym"))
+    ahead = F.array(*[F.lit(m) for m in ts.future_months(TODAY, 6)])
+    return year(spark, d).select("client_id").distinct().select("client_id", F.explode(ahead).alias("ym"))
 
 
 @P.add("t3_adi_cv2", "SELECT product_id, n AS n_events, round(adi, 6) AS adi, round(cv2, 4) AS cv2 FROM classed", **TABLES)
@@ -67,6 +68,14 @@ def t6(spark, d):
     return by_client(spark, d).select("client_id", F.round(col.ewma(F.col("series"), 0.3), 2).alias("rate"))
 
 
+@P.add("t6_ewma_daily", "SELECT product_id, round(list_reduce(xs, lambda a, x: 0.35::DOUBLE * x + 0.65::DOUBLE * a) / 30, 6) AS rate FROM (SELECT product_id, list_filter(series, lambda x: x > 0) AS xs FROM unit_series)", **TABLES)
+def t6_daily(spark, d):
+    """The daily-rate variant: months with demand only, alpha 0.35, over 30 days."""
+    units = ts.densify(valid(spark, d), "product_id", "qty", TODAY, MONTHS)
+    some = F.filter("series", lambda x: x > 0)
+    return units.select("product_id", some.alias("some")).select("product_id", F.round(col.ewma(F.col("some"), 0.35) / 30, 6).alias("rate"))
+
+
 CROSTON = {
     "events": "SELECT product_id, i, x, i - coalesce(lag(i) OVER w, -1) AS gap, row_number() OVER w AS k, count(*) OVER (PARTITION BY product_id) AS n FROM (SELECT product_id, i - 1 AS i, series[i] AS x FROM product_series, range(1, 25) t(i)) WHERE x > 0 WINDOW w AS (PARTITION BY product_id ORDER BY i)",
     "smooth": "SELECT product_id, n, sum(x * CASE WHEN k = 1 THEN power(0.9::DOUBLE, n - 1) ELSE 0.1::DOUBLE * power(0.9::DOUBLE, n - k) END) AS z, sum(gap * CASE WHEN k = 1 THEN power(0.9::DOUBLE, n - 1) ELSE 0.1::DOUBLE * power(0.9::DOUBLE, n - k) END) AS p FROM events GROUP BY 1, 2",
@@ -80,9 +89,21 @@ def t7(spark, d):
     return by_product(spark, d).select("product_id", F.round(col.croston(s, 0.1, False), 2).alias("croston"), F.round(col.croston(s, 0.1, True), 2).alias("sba"))
 
 
-@P.add("t9_damped_trend")
+def holt_sql(series: str) -> str:
+    """{l, b} after a damped-trend fold with alpha 0.4, beta 0.2, phi 0.85: level = .4x + .6(l + .85b), trend = .2(level - l) + .8 * .85b."""
+    level = "(0.4::DOUBLE * x.x + 0.6::DOUBLE * (a.l + 0.85::DOUBLE * a.b))"
+    start = f"{{'x': 0.0::DOUBLE, 'l': {series}[1], 'b': coalesce({series}[2] - {series}[1], 0.0::DOUBLE)}}"
+    return f"list_reduce(list_prepend({start}, list_transform({series}[2:], lambda v: {{'x': v, 'l': 0.0::DOUBLE, 'b': 0.0::DOUBLE}})), lambda a, x: {{'x': x.x, 'l': {level}, 'b': 0.2::DOUBLE * ({level} - a.l) + 0.8::DOUBLE * 0.85::DOUBLE * a.b}})"
+
+
+#: phi + phi^2 + .. of step h.
+DAMP = "(0.85::DOUBLE * (1 - power(0.85::DOUBLE, h)) / 0.15::DOUBLE)"
+
+
+@P.add("t9_damped_trend", f"SELECT client_id, CAST(h AS INTEGER) AS step, round(greatest(0.0::DOUBLE, f.l + {DAMP} * f.b) + 0.0000001::DOUBLE, 2) AS amount FROM (SELECT client_id, {holt_sql('series')} AS f FROM client_series), range(1, 7) t(h)", **TABLES)
 def t9(spark, d):
-    return by_client(spark, d).select("client_id", F.posexplode(col.holt_path(F.col("series"), 6)).alias("step", "amount")).select("client_id", (F.col("step") + 1).alias("step"), F.round("amount", 2).alias("amount"))
+    paths = by_client(spark, d).select("client_id", F.posexplode(col.holt_path(F.col("series"), 6)).alias("step", "amount"))
+    return paths.select("client_id", (F.col("step") + 1).alias("step"), F.round(F.col("amount") + 1e-7, 2).alias("amount"))
 
 
 @P.add(
@@ -97,8 +118,24 @@ def t11(spark, d):
     return ts.forecast(by_product(spark, d), "product_id", 6).withColumn("amount", F.round(F.col("amount") + 1e-7, 2))
 
 
-def tested(spark, d):
-    return ts.backtest(by_product(spark, d), "product_id")
+def tested(spark, d, methods=ts.METHODS):
+    return ts.backtest(by_product(spark, d), "product_id", methods=methods)
+
+
+#: Croston by origin: size and interval smoothed by 0.1 over the months with demand of the training list.
+EVENT = "{'z': 0.0::DOUBLE, 'p': 0.0::DOUBLE, 'prev': -1, 'n': 0, 'i': CAST(i - 1 AS INTEGER), 'x': v}"
+FOLD = """CASE WHEN x.x <= 0 THEN {'z': a.z, 'p': a.p, 'prev': a.prev, 'n': a.n, 'i': x.i, 'x': x.x}
+  WHEN a.n = 0 THEN {'z': x.x, 'p': CAST(x.i - a.prev AS DOUBLE), 'prev': x.i, 'n': 1, 'i': x.i, 'x': x.x}
+  ELSE {'z': a.z + 0.1::DOUBLE * (x.x - a.z), 'p': a.p + 0.1::DOUBLE * (x.i - a.prev - a.p), 'prev': x.i, 'n': a.n + 1, 'i': x.i, 'x': x.x} END"""
+TESTED = {
+    "trained": "SELECT product_id, segment, CAST(o AS INTEGER) AS origin, series, series[1:o + 1] AS train FROM segmented, range(17, 23) t(o)",
+    "fitted": f"""SELECT *, list_sum(train) / len(train) AS mean, greatest(0.0::DOUBLE, list_reduce(train, lambda a, x: 0.3::DOUBLE * x + 0.7::DOUBLE * a)) AS level, {holt_sql('train')} AS trend,
+      list_reduce(list_prepend({{'z': 0.0::DOUBLE, 'p': 0.0::DOUBLE, 'prev': -1, 'n': 0, 'i': -1, 'x': 0.0::DOUBLE}}, list_transform(train, lambda v, i: {EVENT})), lambda a, x: {FOLD}) AS c FROM trained""",
+    "tested": f"""SELECT product_id, segment, origin, method, CAST(h AS INTEGER) AS step, series[origin + 1 + h] AS actual, CASE method WHEN 'moving_avg' THEN mean WHEN 'ewma' THEN level WHEN 'damped_trend' THEN greatest(0.0::DOUBLE, trend.l + {DAMP} * trend.b)
+      WHEN 'croston' THEN CASE WHEN c.n >= 2 THEN c.z / c.p ELSE mean END ELSE CASE WHEN c.n >= 2 THEN c.z / c.p * 0.95::DOUBLE ELSE mean END END AS forecast
+      FROM fitted, (VALUES ('moving_avg'), ('croston'), ('sba'), ('ewma'), ('damped_trend')) m(method), range(1, 4) b(h) WHERE origin + 1 + h <= 24""",
+    "scored": """SELECT method, segment, count(*) AS n, avg(abs(forecast - actual)) AS mae, avg(CASE WHEN abs(forecast) + abs(actual) = 0 THEN 0.0::DOUBLE ELSE abs(forecast - actual) / ((abs(forecast) + abs(actual)) / 2) END) AS smape, avg(forecast - actual) AS bias FROM tested GROUP BY 1, 2""",
+}
 
 
 @P.add(
@@ -108,25 +145,45 @@ def tested(spark, d):
     **TABLES,
 )
 def t12(spark, d):
-    return tested(spark, d).where("method = 'moving_avg'").select("product_id", "origin", "step", F.round(F.col("forecast") + 1e-7, 2).alias("forecast"), "actual")
+    return tested(spark, d, ("moving_avg",)).select("product_id", "origin", "step", F.round(F.col("forecast") + 1e-7, 2).alias("forecast"), "actual")
 
 
-@P.add("t13_accuracy_by_segment")
+@P.add("t12_backtest", "SELECT product_id, segment, origin, method, step, round(forecast + 0.0000001::DOUBLE, 2) AS forecast, actual FROM tested", **TABLES, **TESTED)
+def t12_all(spark, d):
+    return tested(spark, d).withColumn("forecast", F.round(F.col("forecast") + 1e-7, 2))
+
+
+def rounded_scores(df):
+    return df.withColumns({k: F.round(F.col(k) + 1e-7, 3) for k in ("mae", "smape", "bias")})
+
+
+ROUNDED = ", ".join(f"round({k} + 0.0000001::DOUBLE, 3) AS {k}" for k in ("mae", "smape", "bias"))
+
+
+@P.add("t13_accuracy_by_segment", f"SELECT method, segment, n, {ROUNDED} FROM scored", **TABLES, **TESTED)
 def t13(spark, d):
-    return ts.accuracy(tested(spark, d), ["method", "segment"])
+    return rounded_scores(ts.accuracy(tested(spark, d), ["method", "segment"]))
 
 
-@P.add("t13_best_method")
+@P.add("t13_best_method", "SELECT segment, min_by(method, (mae, method)) AS method FROM scored GROUP BY 1", **TABLES, **TESTED)
 def t13b(spark, d):
     return ts.best_method(ts.accuracy(tested(spark, d), ["method", "segment"]))
 
 
-@P.add("t14_selection_report")
+@P.add(
+    "t14_selection_report",
+    """SELECT round(auto + 0.0000001::DOUBLE, 3) AS auto_mae, round(best + 0.0000001::DOUBLE, 3) AS best_fixed_mae, round(legacy + 0.0000001::DOUBLE, 3) AS legacy_mae, round(1 - auto / legacy, 6) AS reduction_vs_legacy FROM
+    (SELECT avg(abs(forecast - actual)) FILTER (method = CASE WHEN segment = 'smooth' THEN 'ewma' WHEN segment IN ('intermittent', 'lumpy') THEN 'sba' ELSE 'moving_avg' END) AS auto FROM tested),
+    (SELECT min(m) AS best, max(m) FILTER (method = 'moving_avg') AS legacy FROM (SELECT method, avg(abs(forecast - actual)) AS m FROM tested GROUP BY 1))""",
+    **TABLES,
+    **TESTED,
+)
 def t14(spark, d):
     rows = tested(spark, d).withColumn("auto", ts.method_for(F.col("segment")) == F.col("method"))
-    auto = rows.where("auto").agg(F.avg(F.abs(F.col("forecast") - F.col("actual"))).alias("auto_mae"))
-    fixed = ts.accuracy(rows, ["method"]).agg(F.min("mae").alias("best_fixed_mae"), F.max(F.when(F.col("method") == "moving_avg", F.col("mae"))).alias("legacy_mae"))
-    return auto.join(F.broadcast(fixed)).withColumn("reduction_vs_legacy", 1 - F.col("auto_mae") / F.col("legacy_mae"))
+    miss = F.abs(F.col("forecast") - F.col("actual"))
+    by_method = rows.groupBy("method").agg(F.avg(miss).alias("mae"), F.sum(F.when(F.col("auto"), miss)).alias("s"), F.sum(F.col("auto").cast("long")).alias("k"))
+    one = by_method.agg((F.sum("s") / F.sum("k")).alias("auto_mae"), F.min("mae").alias("best_fixed_mae"), F.max(F.when(F.col("method") == "moving_avg", F.col("mae"))).alias("legacy_mae"))
+    return one.select(*[F.round(F.col(k) + 1e-7, 3).alias(k) for k in one.columns], F.round(1 - F.col("auto_mae") / F.col("legacy_mae"), 6).alias("reduction_vs_legacy"))
 
 
 @P.add(
@@ -155,7 +212,7 @@ def t16(spark, d):
     **TABLES,
 )
 def t17(spark, d):
-    s = ts.densify(valid(spark, d), "group_id", "qty", END, MONTHS).select("group_id", F.explode("series").alias("x"))
+    s = ts.densify(valid(spark, d), "group_id", "qty", TODAY, MONTHS).select("group_id", F.explode("series").alias("x"))
     cv = s.groupBy("group_id").agg((F.stddev_pop("x") / F.avg("x")).alias("cv"))
     return cv.select("group_id", F.when(F.col("cv") <= 0.5, "X").when(F.col("cv") <= 1.0, "Y").otherwise("Z").alias("xyz"), F.round("cv", 4).alias("cv"))
 
@@ -179,7 +236,7 @@ def t18(spark, d):
     **TABLES,
 )
 def t19(spark, d):
-    year_units = ts.densify(valid(spark, d), "product_id", "qty", END, MONTHS).select("product_id", F.slice("series", 13, 12).alias("series"))
+    year_units = ts.densify(valid(spark, d), "product_id", "qty", TODAY, MONTHS).select("product_id", F.slice("series", 13, 12).alias("series"))
     sold = F.exists("series", lambda x: x > 0)
     return year_units.select("product_id", ts.lifecycle(F.col("series"), sold).alias("lifecycle"))
 

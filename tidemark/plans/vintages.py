@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from tidemark.operators import pricing as pr, reco, sales
+from tidemark.operators import pricing as pr, reco, sales, supply
 from tidemark.plans import actions, more, risk
 from tidemark.plans.base import Plans
 from tidemark.plans.sales import END, past, valid
@@ -50,11 +50,7 @@ def g9(spark, d):
     "SELECT producer_id, abc, round(least(greatest(quantile_cont(f, 0.5), 0.5::DOUBLE), 1.5::DOUBLE) + 0.000000001::DOUBLE, 4) AS factor, count(*) AS n FROM (SELECT l_suppkey AS producer_id, CASE WHEN l_partkey % 10 < 2 THEN 'A' WHEN l_partkey % 10 < 5 THEN 'B' ELSE 'C' END AS abc, (1 - l_discount) * (1 + l_tax) AS f FROM lineitem) GROUP BY 1, 2 HAVING count(*) >= 5",
 )
 def a40(spark, d):
-    """Clamped median of final over suggested quantity; discount and tax stand in for the buyers' changes."""
-    k = F.col("l_partkey") % 10
-    rows = c.read(spark, d, "lineitem").select(F.col("l_suppkey").alias("producer_id"), F.when(k < 2, "A").when(k < 5, "B").otherwise("C").alias("abc"), ((1 - F.col("l_discount")) * (1 + F.col("l_tax"))).alias("f"))
-    agg = rows.groupBy("producer_id", "abc").agg(F.percentile("f", 0.5).alias("m"), F.count(F.lit(1)).alias("n")).where("n >= 5")
-    return agg.select("producer_id", "abc", F.round(F.least(F.greatest("m", F.lit(0.5)), F.lit(1.5)) + 1e-9, 4).alias("factor"), "n")
+    return supply.learned_factors(c.quantity_feedback(spark, d))
 
 
 @P.add("c14_regression_floors")

@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemark.functions.columns import half_open
+
 AS_OF = "2000-01-01"
 SYNTHETIC_IDS = (1,)
 #: Lots of this document type come from the debt import and are no stock.
@@ -56,7 +58,11 @@ def valid_sales(lines: DataFrame, synthetic_ids=SYNTHETIC_IDS) -> DataFrame:
 
 
 def supply_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Ordered and received supply of both origins in one table: kind, source, producer, product, qty, price, dates."""
+    """Ordered and received supply of both origins in one table: kind, source, producer, product, qty, price, dates.
+
+    An order arrives 0 to 120 days after it was placed. Currencies: 0 EUR, 1 USD, 2 PLN, 3 domestic, 4 none known.
+    """
+    took = F.pmod(F.datediff("l_shipdate", "o_orderdate"), F.lit(121))
     lines = read(spark, sf_dir, "lineitem").join(read(spark, sf_dir, "orders").select("o_orderkey", "o_orderdate"), F.col("l_orderkey") == F.col("o_orderkey"))
     base = lines.select(
         F.when(F.col("l_suppkey") % 2 == 0, "intl").otherwise("domestic").alias("source"),
@@ -64,9 +70,9 @@ def supply_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("l_partkey").alias("product_id"),
         F.col("l_quantity").cast("decimal(18,2)").alias("qty"),
         (F.col("l_extendedprice") / F.col("l_quantity")).alias("unit_price"),
-        (F.col("l_suppkey") % 3).cast("int").alias("currency_id"),
+        (F.col("l_suppkey") % 5).cast("int").alias("currency_id"),
         F.to_date("o_orderdate").alias("event_date"),
-        F.to_date("l_shipdate").alias("arrived"),
+        F.date_add(F.to_date("o_orderdate"), took).alias("arrived"),
     )
     ordered = base.withColumn("kind", F.lit("ordered"))
     received = base.where("arrived >= event_date").withColumn("kind", F.lit("received")).withColumn("event_date", F.col("arrived"))
@@ -74,8 +80,12 @@ def supply_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stock_lots(spark: SparkSession, sf_dir: str, exclude_doc_type: int | None = DEBT_IMPORT) -> DataFrame:
-    """Sellable lots: product, quantity left, unit cost and origin document. A lot without an origin counts as stock."""
-    lots = read(spark, sf_dir, "lineitem").where("l_returnflag = 'A' and l_linestatus = 'O'").select(
+    """Sellable lots: product, quantity left, unit cost and origin document. A lot without an origin counts as stock.
+
+    Lots of the year before AS_OF are left; older ones are sold.
+    """
+    left = half_open(F.to_date("l_shipdate"), "1999-01-01", AS_OF)
+    lots = read(spark, sf_dir, "lineitem").where("l_returnflag = 'A' and l_linestatus = 'O'").where(left).select(
         (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("lot_id"),
         F.col("l_partkey").alias("product_id"),
         F.col("l_quantity").cast("decimal(18,2)").alias("qty"),
@@ -102,6 +112,18 @@ def debt_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def curated_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Purchase terms that buyers set by hand, for every tenth product: minimum quantity and order multiple."""
+    lines = read(spark, sf_dir, "lineitem").where("l_partkey % 10 = 0")
+    return lines.select(F.col("l_suppkey").alias("producer_id"), F.col("l_partkey").alias("product_id")).distinct().select("producer_id", "product_id", F.lit(12.0).alias("moq"), F.lit(6.0).alias("multiple"))
+
+
+def quantity_feedback(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Buyers' changes to suggested quantities by producer and class; discount and tax stand in for the changes."""
+    k = F.col("l_partkey") % 10
+    return read(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("producer_id"), F.when(k < 2, "A").when(k < 5, "B").otherwise("C").alias("abc"), ((1 - F.col("l_discount")) * (1 + F.col("l_tax"))).alias("ratio"))
+
+
 def payments(spark: SparkSession, sf_dir: str) -> DataFrame:
     orders, clients = read(spark, sf_dir, "orders"), read(spark, sf_dir, "customer")
     return orders.where("o_orderstatus = 'F'").join(clients, F.col("o_custkey") == F.col("c_custkey")).select(
