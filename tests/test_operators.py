@@ -171,7 +171,7 @@ def test_binary_metrics_with_ties(spark):
 
 def test_psi_of_equal_samples_is_zero(spark):
     df = spark.range(1000).select((F.col("id") * 1.0).alias("v"))
-    assert risk.psi(df, df, "v").first().psi == pytest.approx(0, abs=1e-9)
+    assert risk.psi(df, df, ["v"]).first().psi == pytest.approx(0, abs=1e-9)
 
 
 def test_quotas_sum_to_the_cap(spark):

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.columns import psi_term
 from tidemark.operators import ranking
+from tidemark.operators.scorecard import woe_of
 
 
 def to_eur(df: DataFrame, rates: DataFrame, amount: str, day: str | None, out: str, as_of: str | None = None) -> DataFrame:
@@ -57,31 +58,18 @@ def severe_label(lines: DataFrame, days: int = 180, least: float = 100.0) -> Dat
     return lines.groupBy("client_id").agg((bad >= least).cast("int").alias("label"))
 
 
-def quantile_woe(df: DataFrame, feature: str, label: str, bins: int = 5) -> DataFrame:
-    """(bin, lo, hi, n, bad, woe, iv) with a bin of its own for zero; smoothed by half a case."""
-    positive = df.where(F.col(feature) > 0)
-    cuts = sorted(set(positive.agg(F.percentile(feature, [i / bins for i in range(1, bins)])).first()[0] or []))
-    which = F.when(F.col(feature) <= 0, 0)
-    k = 1 + ranking.bucket_of(F.col(feature), cuts)
-    counts = df.withColumn("bin", which.otherwise(k)).groupBy("bin").agg(F.min(feature).alias("lo"), F.max(feature).alias("hi"), F.count(F.lit(1)).alias("n"), F.sum(label).alias("bad"))
-    totals = counts.agg(F.sum("n").alias("tn"), F.sum("bad").alias("tb"))
-    df = counts.join(F.broadcast(totals))
-    good = (F.col("n") - F.col("bad") + 0.5) / (F.col("tn") - F.col("tb") + 0.5)
-    bad = (F.col("bad") + 0.5) / (F.col("tb") + 0.5)
-    woe = F.log(good / bad)
-    return df.select("bin", "lo", "hi", "n", "bad", woe.alias("woe"), ((good - bad) * woe).alias("iv"))
-
-
 def apply_scorecard(df: DataFrame, card: dict) -> DataFrame:
-    """Adds lin, pd, score (0..100, higher is safer) and band from a card: features {name: {splits, woe, coef}}, intercept,
-    a, b, pdo, offset, lo, hi, bands. Missing values take the first bin."""
+    """Adds lin, contributions (by size), pd, score (0..100, higher is safer) and band from a card: features {name: {splits,
+    woe, coef}}, intercept, a, b, pdo, offset, lo, hi, bands. Missing values take the first bin."""
+    points = {name: F.lit(f["coef"]) * woe_of(F.col(name), f) for name, f in card["features"].items()}
+    df = df.withColumns({f"_pt_{i}": v for i, v in enumerate(points.values())})
     lin = F.lit(card["intercept"])
-    for name, f in card["features"].items():
-        woe = F.lit(f["woe"][-1])
-        for split, w in reversed(list(zip(f["splits"], f["woe"]))):
-            woe = F.when(F.col(name) <= split, w).otherwise(woe)
-        lin = lin + F.lit(f["coef"]) * F.when(F.col(name).isNull(), f["woe"][0]).otherwise(woe)
-    df = df.withColumn("lin", lin).withColumn("pd", 1 / (1 + F.exp(-(F.lit(card["a"]) * F.col("lin") + F.lit(card["b"])))))
+    for i in range(len(points)):
+        lin = lin + F.col(f"_pt_{i}")
+    parts = F.array(*[F.struct(F.lit(name).alias("feature"), F.round(f"_pt_{i}", 4).alias("points")) for i, name in enumerate(points)])
+    by_size = lambda x, y: F.when(F.abs(x["points"]) > F.abs(y["points"]), -1).when(F.abs(x["points"]) < F.abs(y["points"]), 1).when(x["feature"] < y["feature"], -1).otherwise(1)
+    df = df.withColumns({"lin": lin, "contributions": F.array_sort(parts, by_size)}).drop(*[f"_pt_{i}" for i in range(len(points))])
+    df = df.withColumn("pd", 1 / (1 + F.exp(-(F.lit(card["a"]) * F.col("lin") + F.lit(card["b"])))))
     p = F.least(F.greatest(F.col("pd"), F.lit(1e-6)), F.lit(1 - 1e-6))
     raw = F.lit(card["offset"]) + F.lit(card["pdo"] / math.log(2)) * F.log((1 - p) / p)
     score = F.least(F.greatest((raw - card["lo"]) / (card["hi"] - card["lo"]) * 100, F.lit(0.0)), F.lit(100.0))
@@ -90,18 +78,57 @@ def apply_scorecard(df: DataFrame, card: dict) -> DataFrame:
     return df.withColumns({"score": F.round(score, 2), "band": band})
 
 
+def forward_score(df: DataFrame, behaviour: dict, aging: dict, cuts: dict) -> DataFrame:
+    """Adds the forward view: score = 100 pd (higher is riskier), pd_behavioral, pd_with_aging, band by cuts and
+    already_rolling (pd_with_aging of one half or more). Without debt all are 0 and the band is `none`."""
+    none = F.coalesce(F.col("total_debt"), F.lit(0.0)) <= 0
+
+    def pd(card: dict) -> Column:
+        lin = F.lit(card["intercept"])
+        for name, f in card["features"].items():
+            lin = lin + F.lit(f["coef"]) * woe_of(F.coalesce(F.col(name).cast("double"), F.lit(0.0)), f)
+        return F.when(none, 0.0).otherwise(1 / (1 + F.exp(-lin)))
+
+    df = df.withColumns({"_b": pd(behaviour), "_a": pd(aging)})
+    b = F.col("_b")
+    band = F.when(none, "none").when(b >= cuts["very_high"], "very_high").when(b >= cuts["high"], "high").when(b >= cuts["medium"], "medium").otherwise("low")
+    return df.withColumns({"score": F.round(100 * b, 1), "pd_behavioral": F.round(b, 4), "pd_with_aging": F.round("_a", 4), "band": band, "already_rolling": F.col("_a") >= 0.5}).drop("_a", "_b")
+
+
+def discipline(counts: DataFrame) -> DataFrame:
+    """(client_id, discipline): paid in full and half of the partly paid over all; refunds do not count. No order gives 1."""
+    n = F.col("paid") + F.col("partial") + F.col("notpaid")
+    return counts.select("client_id", F.when(n > 0, (F.col("paid") + 0.5 * F.col("partial")) / n).otherwise(1.0).alias("discipline"))
+
+
+#: Fixed values of the five-factor score: weights, horizons and targets, load, bands.
+WEIGHTS = {"discipline": 0.35, "debt_load": 0.25, "activity": 0.20, "tenure": 0.10, "return_quality": 0.10}
+RECENCY_DAYS, ORDERS, MONTHS, HEALTHY_LOAD, LOAD_SPAN = 90.0, 24.0, 24.0, 0.25, 1.25
+RATINGS = {"A": 80, "B": 65, "C": 45}
+
+
 def five_factor_score(df: DataFrame) -> DataFrame:
-    """The older score from discipline, debt_ratio, orders, recency_days, tenure_months, return_rate, utilization, blocked."""
+    """The older score from discipline, overdue, turnover, orders, recency_days, tenure_months, return_rate, utilization, blocked."""
 
     def unit(x: Column) -> Column:
         return F.greatest(F.lit(0.0), F.least(F.lit(1.0), x))
 
-    load = unit(1 - F.greatest(F.lit(0.0), F.col("debt_ratio") - 0.1) / 1.4)
-    activity = 0.5 * F.coalesce(unit(1 - F.col("recency_days") / 180), F.lit(0.0)) + 0.5 * unit(F.col("orders") / 24)
-    raw = 35 * F.col("discipline") + 25 * load + 20 * activity + 10 * unit(F.col("tenure_months") / 24) + 10 * unit(1 - 2 * F.col("return_rate"))
-    cap = F.when(F.col("utilization") > 1.0, F.least(raw, F.lit(40.0))).when(F.col("utilization") > 0.9, F.least(raw, F.lit(60.0))).otherwise(raw)
-    score = F.round(F.when(F.col("blocked"), cap * 0.5).otherwise(cap)).cast("int")
-    return df.withColumn("score", score).withColumn("rating", F.when(F.col("score") >= 80, "A").when(F.col("score") >= 60, "B").when(F.col("score") >= 40, "C").otherwise("D"))
+    ratio = F.col("overdue") / F.col("turnover")
+    factors = {
+        "discipline": unit(F.col("discipline")),
+        "debt_load": F.when(F.col("turnover") > 0, unit(1 - F.greatest(F.lit(0.0), ratio - HEALTHY_LOAD) / LOAD_SPAN)).when(F.col("overdue") <= 0, 1.0).otherwise(0.0),
+        "activity": 0.5 * F.coalesce(unit(1 - F.col("recency_days") / RECENCY_DAYS), F.lit(0.0)) + 0.5 * unit(F.col("orders") / ORDERS),
+        "tenure": unit(F.col("tenure_months") / MONTHS),
+        "return_quality": unit(1 - 2 * F.col("return_rate")),
+    }
+    raw = F.lit(0.0)
+    for name, weight in WEIGHTS.items():
+        raw = raw + F.round(F.lit(100 * weight) * factors[name], 4)
+    df = df.withColumn("_raw", raw)
+    cap = F.when(F.col("utilization") > 1.0, F.least("_raw", F.lit(40.0))).when(F.col("utilization") > 0.9, F.least("_raw", F.lit(60.0))).otherwise(F.col("_raw"))
+    score = F.bround(F.when(F.col("blocked"), cap * 0.5).otherwise(cap)).cast("int")
+    s = F.col("score")
+    return df.withColumn("score", score).withColumn("rating", F.when(s >= RATINGS["A"], "A").when(s >= RATINGS["B"], "B").when(s >= RATINGS["C"], "C").otherwise("D")).drop("_raw")
 
 
 def binary_metrics(df: DataFrame, score: str, label: str) -> DataFrame:
@@ -118,15 +145,33 @@ def binary_metrics(df: DataFrame, score: str, label: str) -> DataFrame:
     return out.withColumn("gini", 2 * F.col("auc") - 1)
 
 
-def psi(baseline: DataFrame, current: DataFrame, value: str, bins: int = 10) -> DataFrame:
-    """Population stability: quantile edges of the baseline, shares of both, one row with psi and its level."""
-    edges = sorted(set(baseline.agg(F.percentile(value, [i / bins for i in range(1, bins)])).first()[0] or []))
+def feature_auc(counts: DataFrame, keys: tuple[str, ...] = ("feature",)) -> DataFrame:
+    """From counts (keys, v, n, p) of rows and positives per value: coverage, base_rate and the AUC in its better direction."""
+    w = Window.partitionBy(*keys).orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
+    ranked = counts.withColumn("r", F.sum("n").over(w) - (F.col("n") - 1) / 2)
+    agg = ranked.groupBy(*keys).agg(F.sum(F.col("p") * F.col("r")).alias("s"), F.sum("p").alias("P"), F.sum("n").alias("N"), F.sum(F.when(F.col("v") != 0, F.col("n")).otherwise(0)).alias("nz"))
+    auc = (F.col("s") - F.col("P") * (F.col("P") + 1) / 2) / (F.col("P") * (F.col("N") - F.col("P")))
+    return agg.select(*keys, (F.col("nz") / F.col("N")).alias("coverage"), F.greatest(auc, 1 - auc).alias("auc"), (F.col("P") / F.col("N")).alias("base_rate"), F.col("N").alias("n"))
+
+
+def reliability(df: DataFrame, score: str, label: str, bins: int = 10) -> DataFrame:
+    """(bin, n, mean_score, rate): equal bins of the score against the realised rate."""
+    b = F.least(F.floor(F.col(score) * bins), F.lit(bins - 1)).cast("int")
+    return df.groupBy(b.alias("bin")).agg(F.count(F.lit(1)).alias("n"), F.avg(score).alias("mean_score"), F.avg(F.col(label).cast("double")).alias("rate"))
+
+
+def psi(baseline: DataFrame, current: DataFrame, values: list[str], bins: int = 10) -> DataFrame:
+    """(feature, psi, level) of each value column: quantile edges of the baseline (approximate beyond 10,000 rows), shares of
+    both in one long table. All edges come from one pass."""
+    row = baseline.agg(*[F.percentile_approx(F.col(v).cast("double"), [i / bins for i in range(1, bins)], 10_000).alias(f"e{i}") for i, v in enumerate(values)]).first()
+    edges = [sorted(set(e or [])) for e in row]
 
     def shares(df: DataFrame, name: str) -> DataFrame:
-        b = ranking.bucket_of(F.col(value), edges)
-        counts = df.groupBy(b.alias("bin")).count()
-        return counts.join(F.broadcast(counts.agg(F.sum("count").alias("t")))).select("bin", (F.col("count") / F.col("t")).alias(name))
+        places = F.array(*[F.struct(F.lit(v).alias("feature"), ranking.bucket_of(F.col(v).cast("double"), edges[i]).alias("bin")) for i, v in enumerate(values)])
+        counts = df.select(F.explode(places).alias("x")).groupBy("x.feature", "x.bin").count()
+        total = counts.groupBy("feature").agg(F.sum("count").alias("t"))
+        return counts.join(total, "feature").select("feature", "bin", (F.col("count") / F.col("t")).alias(name))
 
-    both = shares(baseline, "expected").join(shares(current, "actual"), "bin", "full_outer").fillna(0.0, ["expected", "actual"])
-    total = both.agg(F.sum(psi_term(F.col("actual"), F.col("expected"))).alias("psi"))
+    both = shares(baseline, "expected").join(shares(current, "actual"), ["feature", "bin"], "full_outer").fillna(0.0, ["expected", "actual"])
+    total = both.groupBy("feature").agg(F.sum(psi_term(F.col("actual"), F.col("expected"))).alias("psi"))
     return total.withColumn("level", F.when(F.col("psi") < 0.1, "stable").when(F.col("psi") < 0.25, "watch").otherwise("shift"))

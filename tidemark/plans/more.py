@@ -231,26 +231,37 @@ def e19(spark, d):
     return df.groupBy(band.alias("band")).agg(F.count(F.lit(1)).alias("n"), F.round(F.avg(F.col("label").cast("double")), 6).alias("rate"))
 
 
-@P.add("e20_feature_report")
+@P.add(
+    "e20_feature_report",
+    """SELECT feature, round(CAST(count(*) FILTER (v <> 0) AS DOUBLE) / count(*), 6) AS coverage, round(greatest(any_value(auc), 1 - any_value(auc)), 6) AS auc, round(avg(label), 6) AS base_rate FROM
+    (SELECT *, (sum(CASE WHEN label = 1 THEN r END) OVER w - CAST(sum(label) OVER w AS DOUBLE) * (sum(label) OVER w + 1) / 2) / (CAST(sum(label) OVER w AS DOUBLE) * (count(*) OVER w - sum(label) OVER w)) AS auc FROM
+      (SELECT feature, v, label, rank() OVER (PARTITION BY feature ORDER BY v) + (count(*) OVER (PARTITION BY feature, v) - 1) / 2 AS r FROM longed) WINDOW w AS (PARTITION BY feature)) GROUP BY 1""",
+    **risk.MATRIX,
+    longed="SELECT label, feature, v FROM (SELECT label, {c} FROM mat) UNPIVOT (v FOR feature IN ({n}))".format(n=", ".join(risk.FEATURES), c=", ".join(f"CAST(round({f}, 6) AS DOUBLE) AS {f}" for f in risk.FEATURES)),
+)
 def e20(spark, d):
-    """Coverage and directed AUC of every feature against the label, all features in one long table."""
+    """Coverage and directed AUC of all features against the label, in one long table, and the label's balance."""
     m = risk.matrix(spark, d)
-    names = ["recency", "orders", "turnover", "tenure", "return_rate", "growth"]
-    long = m.select("client_id", "label", F.explode(F.array(*[F.struct(F.lit(n).alias("feature"), F.col(n).cast("double").alias("v")) for n in names])).alias("x")).select("label", "x.feature", "x.v")
-    w = Window.partitionBy("feature").orderBy("v")
+    long = m.select("label", F.explode(F.array(*[F.struct(F.lit(n).alias("feature"), F.round(F.col(n).cast("double"), 6).alias("v")) for n in risk.FEATURES])).alias("x")).select("label", "x.feature", "x.v")
     counts = long.groupBy("feature", "v").agg(F.count(F.lit(1)).alias("n"), F.sum("label").alias("p"))
-    ranked = counts.withColumn("r", F.sum("n").over(w.rowsBetween(Window.unboundedPreceding, 0)) - (F.col("n") - 1) / 2)
-    agg = ranked.groupBy("feature").agg(F.sum(F.col("p") * F.col("r")).alias("s"), F.sum("p").alias("P"), F.sum("n").alias("N"), F.sum(F.when(F.col("v") != 0, F.col("n")).otherwise(0)).alias("nz"))
-    auc = (F.col("s") - F.col("P") * (F.col("P") + 1) / 2) / (F.col("P") * (F.col("N") - F.col("P")))
-    return agg.select("feature", F.round(F.col("nz") / F.col("N"), 6).alias("coverage"), F.round(F.greatest(auc, 1 - auc), 6).alias("auc"))
+    return rk.feature_auc(counts).select("feature", F.round("coverage", 6).alias("coverage"), F.round("auc", 6).alias("auc"), F.round("base_rate", 6).alias("base_rate"))
 
 
-@P.add("e21_promotion_gate")
+@P.add(
+    "e21_promotion_gate",
+    """SELECT incumbent, challenger, challenger > incumbent AS better, monotone, challenger > incumbent AND monotone = 1 AS promote FROM (SELECT max(auc) FILTER (model = 'five_factor') AS incumbent, max(auc) FILTER (model = 'scorecard') AS challenger FROM two),
+    (SELECT min(CAST(coalesce(before, 0) <= rate AS INTEGER)) AS monotone FROM (SELECT rate, lag(rate) OVER (ORDER BY band) AS before FROM (SELECT CASE WHEN worst <= 180 THEN 'A' WHEN worst <= 720 THEN 'B' WHEN worst <= 1440 THEN 'C' ELSE 'D' END AS band, round(avg(CAST(label AS DOUBLE)), 6) AS rate FROM aging JOIN label USING (client_id) GROUP BY 1)))""",
+    **risk.FIVE,
+    **risk.T,
+    two=f"SELECT 'five_factor' AS model, {risk.AUC_SQL} AS auc FROM (SELECT label, rank() OVER (ORDER BY -score) + (count(*) OVER (PARTITION BY score) - 1) / 2 AS r FROM mat_five) UNION ALL SELECT 'scorecard', {risk.AUC_SQL} FROM (SELECT label, rank() OVER (ORDER BY pd) + (count(*) OVER (PARTITION BY pd) - 1) / 2 AS r FROM mat_card)",
+)
 def e21(spark, d):
-    """Band rates must rise from A to D."""
-    rates = e19(spark, d)
-    w = Window.partitionBy(F.lit(1)).orderBy("band")
-    return rates.withColumn("before", F.lag("rate").over(w)).agg(F.min((F.coalesce("before", F.lit(0.0)) <= F.col("rate")).cast("int")).alias("monotone"), F.sum("n").alias("n"))
+    """A challenger is promoted when its AUC is above the incumbent's and the band rates rise from A to D (four rows)."""
+    auc = risk.e18(spark, d).agg(F.max(F.when(F.col("model") == "five_factor", F.col("auc"))).alias("incumbent"), F.max(F.when(F.col("model") == "scorecard", F.col("auc"))).alias("challenger"))
+    order = F.sort_array(F.collect_list(F.struct("band", "rate")))
+    rates = e19(spark, d).agg(order.alias("r")).select(F.forall(F.zip_with("r", F.slice("r", 2, 3), lambda a, b: b["rate"].isNull() | (a["rate"] <= b["rate"])), lambda x: x).cast("int").alias("monotone"))
+    better = F.col("challenger") > F.col("incumbent")
+    return auc.join(F.broadcast(rates)).select("incumbent", "challenger", better.alias("better"), "monotone", (better & (F.col("monotone") == 1)).alias("promote"))
 
 
 @P.add(

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tidemark.operators import risk as rk, sales
+from tidemark.operators import risk as rk, scorecard as sc
 from tidemark.plans.base import Plans
-from tidemark.plans.sales import END, past, year
+from tidemark.plans.sales import END, past, valid, year
 from tidemark.sources import canonical as c
+from tidemark.sources.sinks import checkpointed
 
 P = Plans()
 T = {
@@ -48,9 +49,16 @@ def a27(spark, d):
     return rk.debt_trajectory(debt(spark, d), END).select("client_id", F.round("new_3m", 2).alias("new_3m"), F.round("prior_3m", 2).alias("prior_3m"), "months_12", F.round("growth", 4).alias("growth"))
 
 
-@P.add("a28_credit_terms", "SELECT client_id, CAST(CASE WHEN control_amount THEN amount_limit ELSE 0 END AS DOUBLE) AS credit_limit, CAST(grace_days AS INTEGER) AS grace_days, CAST(control_amount OR control_days AS INTEGER) AS has_control FROM agreements")
+@P.add(
+    "a28_credit_terms",
+    "SELECT a.client_id, CAST(CASE WHEN control_amount THEN amount_limit ELSE 0 END AS DOUBLE) AS credit_limit, CAST(grace_days AS INTEGER) AS grace_days, CAST(control_amount OR control_days AS INTEGER) AS has_control, round(CASE WHEN control_amount AND amount_limit > 0 THEN least(greatest(coalesce(exposure, 0) / CAST(amount_limit AS DOUBLE), 0), 2) ELSE 0 END::DOUBLE, 4) AS utilization FROM agreements a LEFT JOIN (SELECT client_id, sum(eur) AS exposure FROM debt_eur GROUP BY 1) e ON e.client_id = a.client_id",
+)
 def a28(spark, d):
-    return c.agreements(spark, d).groupBy("client_id").agg(F.sum(F.when(F.col("control_amount"), F.col("amount_limit")).otherwise(0)).cast("double").alias("credit_limit"), F.max("grace_days").alias("grace_days"), F.max((F.col("control_amount") | F.col("control_days")).cast("int")).alias("has_control"))
+    """Limit, longest grace, any control, and the use of the limit between 0 and 2."""
+    owed = debt(spark, d).groupBy("client_id").agg(F.sum("eur").alias("exposure"))
+    terms = c.agreements(spark, d).groupBy("client_id").agg(F.sum(F.when(F.col("control_amount"), F.col("amount_limit")).otherwise(0)).cast("double").alias("credit_limit"), F.max("grace_days").alias("grace_days"), F.max((F.col("control_amount") | F.col("control_days")).cast("int")).alias("has_control"))
+    use = F.when(F.col("credit_limit") > 0, F.least(F.greatest(F.coalesce("exposure", F.lit(0.0)) / F.col("credit_limit"), F.lit(0.0)), F.lit(2.0))).otherwise(0.0)
+    return terms.join(owed, "client_id", "left").select("client_id", "credit_limit", "grace_days", "has_control", F.round(use, 4).alias("utilization"))
 
 
 @P.add(
@@ -101,21 +109,81 @@ def e1(spark, d):
     return rk.severe_label(aged(spark, d))
 
 
-def matrix(spark, d):
-    """Features of all buyers with debt or sales; a buyer without sales has the worst recency plus one."""
-    lines = aged(spark, d)
-    parts = [rk.debt_aging(lines), rk.debt_trajectory(debt(spark, d), END), a28(spark, d), a29(spark, d), a30(spark, d)]
-    df = c.read(spark, d, "customer").select(F.col("c_custkey").alias("client_id"))
-    for part in parts:
+def matrix(spark, d, as_of=END, sentinel=None):
+    """Features of all buyers as of a day, with the severe label. One pass each over sales, returns and debt.
+
+    A buyer without sales has the worst recency plus one, or `sentinel` where one is given (the serving variant).
+    """
+    t = F.lit(as_of).cast("date")
+    recent = F.col("created") >= F.add_months(t, -12)
+    lines = valid(spark, d).where(F.col("created") < t)
+    first = F.min("created")
+    sold = lines.groupBy("client_id").agg(
+        F.coalesce(F.sum(F.when(recent, F.col("amount"))), F.lit(0)).cast("double").alias("turnover"), F.countDistinct(F.when(recent, F.col("order_id"))).alias("orders"), F.datediff(t, F.max("created")).alias("recency"),
+        ((F.year(t) - F.year(first)) * 12 + F.month(t) - F.month(first)).alias("tenure"), F.sum(F.when(recent, F.col("qty"))).cast("double").alias("_q"),
+    )
+    rets = c.return_lines(spark, d).where((F.col("return_date") >= F.add_months(t, -12)) & (F.col("return_date") < t))
+    back = rets.groupBy("client_id", "return_id", "line_no").agg(F.max("qty").alias("q")).groupBy("client_id").agg(F.sum("q").cast("double").alias("_r"))
+    owed = rk.aged(debt(spark, d, as_of), c.agreements(spark, d), as_of)
+    parts = [rk.debt_aging(owed), rk.debt_trajectory(owed, as_of), rk.severe_label(owed)]
+    df = c.agreements(spark, d).groupBy("client_id").agg(F.sum(F.when(F.col("control_amount"), F.col("amount_limit")).otherwise(0)).cast("double").alias("credit_limit"), F.max("grace_days").alias("grace_days"), F.max((F.col("control_amount") | F.col("control_days")).cast("int")).alias("has_control"))
+    for part in (sold, back, *parts):
         df = df.join(part, "client_id", "left")
-    worst = parts[3].agg((F.max("recency") + 1).alias("worst"))
-    df = df.join(F.broadcast(worst)).withColumn("recency", F.coalesce("recency", "worst")).drop("worst")
-    return df.join(rk.severe_label(lines), "client_id", "left").fillna(0).fillna(0.0)
+    if sentinel is None:
+        worst = sold.agg((F.max("recency") + 1).alias("_worst"))
+        df = df.join(F.broadcast(worst)).withColumn("recency", F.coalesce("recency", "_worst")).drop("_worst")
+    df = df.withColumn("recency", F.coalesce("recency", F.lit(sentinel or 0))).withColumn("return_rate", F.when(F.col("_q") > 0, F.coalesce("_r", F.lit(0.0)) / F.col("_q")).otherwise(0.0)).drop("_q", "_r").fillna(0).fillna(0.0)
+    use = F.when(F.col("credit_limit") > 0, F.least(F.greatest(F.col("total_debt") / F.col("credit_limit"), F.lit(0.0)), F.lit(2.0))).otherwise(0.0)
+    return df.withColumn("utilization", use)
+
+
+#: The columns of the matrix, and how risk runs in each of those that do not restate the label.
+DIRECTION = {
+    "overdue_91_180": "up", "overdue_61_90": "up", "overdue_31_60": "up", "overdue_1_30": "up", "current_debt": "up", "total_debt": "up", "max_overdue_days": "up", "n_lines": "up", "growth": "up", "months_12": "up", "new_3m": "up",
+    "credit_limit": "down", "utilization": "up", "grace_days": "up", "has_control": "up", "turnover": "down", "orders": "down", "recency": "up", "tenure": "down", "return_rate": "up",
+}
+FEATURES = ["overdue_180plus", "pct_180plus", *DIRECTION]
+
+
+def matrix_sql(name: str, as_of: str, sentinel: str = "w") -> dict[str, str]:
+    """The same matrix in SQL, as a table `name`."""
+    t = f"DATE '{as_of}'"
+    return {
+        f"{name}_owed": f"""SELECT d.*, CAST(d.total AS DOUBLE) * coalesce(f.rate, 1.0::DOUBLE) AS eur, date_diff('day', d.created, {t}) - grace_days AS od FROM debt_lines d JOIN agreements a ON a.client_id = d.client_id LEFT JOIN LATERAL
+          (SELECT rate FROM fx_rates f WHERE f.currency_id = d.currency_id AND f.valid_from <= {t} ORDER BY valid_from DESC LIMIT 1) f ON true WHERE d.created <= {t}""",
+        f"{name}_debt": f"""SELECT client_id, sum(CASE WHEN od > 180 THEN eur ELSE 0 END) AS overdue_180plus, sum(CASE WHEN od BETWEEN 91 AND 180 THEN eur ELSE 0 END) AS overdue_91_180, sum(CASE WHEN od BETWEEN 61 AND 90 THEN eur ELSE 0 END) AS overdue_61_90,
+          sum(CASE WHEN od BETWEEN 31 AND 60 THEN eur ELSE 0 END) AS overdue_31_60, sum(CASE WHEN od BETWEEN 1 AND 30 THEN eur ELSE 0 END) AS overdue_1_30, sum(CASE WHEN od <= 0 THEN eur ELSE 0 END) AS current_debt, sum(eur) AS total_debt,
+          greatest(max(od), 0) AS max_overdue_days, count(*) AS n_lines, sum(CASE WHEN created > {t} - INTERVAL 3 MONTH THEN eur ELSE 0 END) AS new_3m, sum(CASE WHEN created > {t} - INTERVAL 6 MONTH AND created <= {t} - INTERVAL 3 MONTH THEN eur ELSE 0 END) AS prior_3m,
+          count(DISTINCT CASE WHEN created > {t} - INTERVAL 12 MONTH THEN strftime(created, '%Y-%m') END) AS months_12, CAST(sum(CASE WHEN od >= 180 THEN eur ELSE 0 END) >= 100 AS INTEGER) AS label FROM {name}_owed GROUP BY 1""",
+        f"{name}_sold": f"""SELECT client_id, coalesce(CAST(sum(amount) FILTER (created >= {t} - INTERVAL 12 MONTH) AS DOUBLE), 0) AS turnover, count(DISTINCT order_id) FILTER (created >= {t} - INTERVAL 12 MONTH) AS orders, date_diff('day', max(created), {t}) AS recency,
+          date_diff('month', min(created), {t}) AS tenure, CAST(sum(qty) FILTER (created >= {t} - INTERVAL 12 MONTH) AS DOUBLE) AS q FROM valid_sales WHERE created < {t} GROUP BY 1""",
+        f"{name}_back": f"SELECT client_id, CAST(sum(q) AS DOUBLE) AS r FROM (SELECT client_id, return_id, line_no, max(qty) AS q FROM return_lines WHERE return_date >= {t} - INTERVAL 12 MONTH AND return_date < {t} GROUP BY 1, 2, 3) GROUP BY 1",
+        name: f"""SELECT *, CASE WHEN credit_limit > 0 THEN least(greatest(total_debt / credit_limit, 0), 2) ELSE 0 END AS utilization FROM (SELECT g.client_id, CAST(CASE WHEN control_amount THEN amount_limit ELSE 0 END AS DOUBLE) AS credit_limit, grace_days, CAST(control_amount OR control_days AS INTEGER) AS has_control,
+          coalesce(turnover, 0) AS turnover, coalesce(orders, 0) AS orders, coalesce(recency, {sentinel}) AS recency, coalesce(tenure, 0) AS tenure, CASE WHEN q > 0 THEN coalesce(r, 0) / q ELSE 0 END AS return_rate,
+          {', '.join(f'coalesce({x}, 0) AS {x}' for x in ('overdue_180plus', 'overdue_91_180', 'overdue_61_90', 'overdue_31_60', 'overdue_1_30', 'current_debt', 'total_debt', 'max_overdue_days', 'n_lines', 'new_3m', 'prior_3m', 'months_12', 'label'))},
+          CASE WHEN total_debt > 0 THEN overdue_180plus / total_debt ELSE 0 END AS pct_180plus, CASE WHEN prior_3m > 0 THEN least(new_3m / prior_3m, 10) WHEN new_3m > 0 THEN 10 ELSE 0 END AS growth
+          FROM agreements g LEFT JOIN {name}_debt d ON d.client_id = g.client_id LEFT JOIN {name}_sold s ON s.client_id = g.client_id LEFT JOIN {name}_back b ON b.client_id = g.client_id CROSS JOIN (SELECT max(recency) + 1 AS w FROM {name}_sold))""",
+    }
+
+
+MATRIX = matrix_sql("mat", END)
+COLUMNS = [*FEATURES, "prior_3m", "label"]
+SHOWN = "client_id, " + ", ".join(f"round(CAST({f} AS DOUBLE) + 0.000000001::DOUBLE, 4) AS {f}" for f in COLUMNS)
+
+
+def shown(m):
+    return m.select("client_id", *[F.round(F.col(f).cast("double") + 1e-9, 4).alias(f) for f in COLUMNS])
 
 
-@P.add("e2_feature_matrix")
+@P.add("e2_feature_matrix", f"SELECT {SHOWN} FROM mat", **MATRIX)
 def e2(spark, d):
-    return matrix(spark, d)
+    return shown(matrix(spark, d))
+
+
+@P.add("e3_serving_features", f"SELECT {SHOWN} FROM served", **matrix_sql("served", END, "3000"))
+def e3(spark, d):
+    """The serving variant: a fixed recency for buyers without sales, so that one client's row needs no other's."""
+    return shown(matrix(spark, d, sentinel=3000))
 
 
 CARD = {
@@ -128,30 +196,65 @@ CARD = {
 }
 
 
+def card_sql(table: str) -> dict[str, str]:
+    """lin, pd and score of CARD over a matrix table, and the five-factor score."""
+    return {
+        f"{table}_card": f"""SELECT *, 1 / (1 + exp(-lin)) AS pd FROM (SELECT m.*, -1.2::DOUBLE - 0.9::DOUBLE * CASE WHEN pct_180plus <= 0 THEN 1.5 WHEN pct_180plus <= 0.4 THEN 0.4 WHEN pct_180plus <= 0.8 THEN -0.6 ELSE -1.8 END::DOUBLE
+          - 0.5::DOUBLE * CASE WHEN recency <= 60 THEN 0.6 WHEN recency <= 180 THEN 0.0 ELSE -0.7 END::DOUBLE - 0.4::DOUBLE * CASE WHEN orders <= 1 THEN -0.5 WHEN orders <= 4 THEN 0.1 ELSE 0.5 END::DOUBLE AS lin FROM {table} m)""",
+        f"{table}_five": f"""SELECT *, CASE WHEN score >= 80 THEN 'A' WHEN score >= 65 THEN 'B' WHEN score >= 45 THEN 'C' ELSE 'D' END AS rating FROM (SELECT client_id, label, CAST(round_even(CASE WHEN blocked THEN 0.5::DOUBLE ELSE 1.0::DOUBLE END * CASE WHEN util > 1 THEN least(raw, 40) WHEN util > 0.9 THEN least(raw, 60) ELSE raw END, 0) AS INTEGER) AS score FROM
+          (SELECT m.client_id, label, CASE WHEN has_control = 1 AND credit_limit > 0 AND total_debt > 0 THEN total_debt / credit_limit END AS util, m.client_id % 50 = 0 AS blocked,
+            round(35 * coalesce((paid + 0.5::DOUBLE * partial) / (paid + partial + notpaid), 1), 4) + round(25 * CASE WHEN turnover > 0 THEN greatest(0, least(1, 1 - greatest(0, (total_debt - current_debt) / turnover - 0.25::DOUBLE) / 1.25::DOUBLE)) WHEN total_debt - current_debt <= 0 THEN 1 ELSE 0 END, 4)
+            + round(20 * (0.5::DOUBLE * greatest(0, least(1, 1 - recency / 90)) + 0.5::DOUBLE * least(1, orders / 24)), 4) + round(10 * least(1, tenure / 24), 4) + round(10 * greatest(0, least(1, 1 - 2 * return_rate)), 4) AS raw
+            FROM {table} m LEFT JOIN paid_counts p ON p.client_id = m.client_id))""",
+    }
+
+
+PAID = {
+    "paid_counts": "SELECT o_custkey AS client_id, count(*) FILTER (o_orderstatus = 'F') AS paid, count(*) FILTER (o_orderstatus = 'P' AND o_orderpriority <> '5-LOW') AS partial, count(*) FILTER (o_orderstatus = 'O' OR (o_orderstatus = 'P' AND o_orderpriority = '5-LOW')) AS notpaid FROM orders GROUP BY 1"
+}
+FIVE = MATRIX | PAID | card_sql("mat")
+
+
 @P.add(
     "e10_scorecard",
-    """SELECT client_id, round(lin, 4) AS lin, round(pd, 6) AS pd, round(least(greatest((500 + 20 / ln(2.0::DOUBLE) * ln((1 - pd) / pd) - 400) / 250 * 100, 0), 100), 2) AS score, CASE WHEN pd < 0.05 THEN 'A' WHEN pd < 0.15 THEN 'B' WHEN pd < 0.40 THEN 'C' ELSE 'D' END AS band FROM (SELECT *, 1 / (1 + exp(-lin)) AS pd FROM
-    (SELECT c.c_custkey AS client_id, -1.2::DOUBLE - 0.9::DOUBLE * CASE WHEN coalesce(o180 / total, 0) <= 0 THEN 1.5 WHEN o180 / total <= 0.4 THEN 0.4 WHEN o180 / total <= 0.8 THEN -0.6 ELSE -1.8 END::DOUBLE
-      - 0.5::DOUBLE * CASE WHEN coalesce(recency, w) <= 60 THEN 0.6 WHEN coalesce(recency, w) <= 180 THEN 0.0 ELSE -0.7 END::DOUBLE - 0.4::DOUBLE * CASE WHEN coalesce(orders, 0) <= 1 THEN -0.5 WHEN orders <= 4 THEN 0.1 ELSE 0.5 END::DOUBLE AS lin
-      FROM customer c LEFT JOIN aging a ON a.client_id = c_custkey LEFT JOIN (SELECT client_id, date_diff('day', max(created), DATE '2000-01-01') AS recency FROM past_sales GROUP BY 1) h ON h.client_id = c_custkey
-      LEFT JOIN (SELECT client_id, count(DISTINCT order_id) AS orders FROM year_sales GROUP BY 1) y ON y.client_id = c_custkey CROSS JOIN (SELECT max(date_diff('day', m, DATE '2000-01-01')) + 1 AS w FROM (SELECT max(created) AS m FROM past_sales GROUP BY client_id))))""",
-    **T,
+    """SELECT client_id, round(lin, 4) AS lin, round(pd, 6) AS pd, round(least(greatest((500 + 20 / ln(2.0::DOUBLE) * ln((1 - pd) / pd) - 400) / 250 * 100, 0), 100), 2) AS score, CASE WHEN pd < 0.05 THEN 'A' WHEN pd < 0.15 THEN 'B' WHEN pd < 0.40 THEN 'C' ELSE 'D' END AS band,
+    CASE WHEN c1 >= c2 AND c1 >= c3 THEN 'pct_180plus' WHEN c3 > c2 THEN 'recency' ELSE 'orders' END AS leading FROM (SELECT *, round(0.9 * CASE WHEN pct_180plus <= 0 THEN 1.5 WHEN pct_180plus <= 0.4 THEN 0.4 WHEN pct_180plus <= 0.8 THEN 0.6 ELSE 1.8 END, 4) AS c1,
+      round(0.4 * CASE WHEN orders <= 1 THEN 0.5 WHEN orders <= 4 THEN 0.1 ELSE 0.5 END, 4) AS c2, round(0.5 * CASE WHEN recency <= 60 THEN 0.6 WHEN recency <= 180 THEN 0.0 ELSE 0.7 END, 4) AS c3 FROM mat_card)""",
+    **FIVE,
 )
 def e10(spark, d):
-    return rk.apply_scorecard(matrix(spark, d), CARD).select("client_id", F.round("lin", 4).alias("lin"), F.round("pd", 6).alias("pd"), "score", "band")
+    return rk.apply_scorecard(matrix(spark, d), CARD).select("client_id", F.round("lin", 4).alias("lin"), F.round("pd", 6).alias("pd"), "score", "band", F.col("contributions")[0]["feature"].alias("leading"))
+
+
+def five(spark, d, m=None):
+    """The five-factor score of every buyer: discipline from payment states, utilisation of controlled limits, every fiftieth blocked."""
+    from tidemark.plans.more import a52
+
+    m = (matrix(spark, d) if m is None else m).join(rk.discipline(a52(spark, d)), "client_id", "left").fillna(1.0, ["discipline"])
+    use = F.when((F.col("has_control") == 1) & (F.col("credit_limit") > 0) & (F.col("total_debt") > 0), F.col("total_debt") / F.col("credit_limit"))
+    df = m.select("client_id", "label", "discipline", (F.col("total_debt") - F.col("current_debt")).alias("overdue"), "turnover", "orders", F.col("recency").alias("recency_days"), F.col("tenure").alias("tenure_months"), "return_rate", use.alias("utilization"), (F.col("client_id") % 50 == 0).alias("blocked"))
+    return rk.five_factor_score(df)
 
 
-@P.add("e12_five_factor_score")
+@P.add("e12_five_factor_score", "SELECT client_id, score, rating FROM mat_five", **FIVE)
 def e12(spark, d):
-    m = matrix(spark, d)
-    df = m.select("client_id", (1 - F.col("pct_180plus")).alias("discipline"), F.when(F.col("turnover") > 0, F.col("overdue_180plus") / F.col("turnover")).otherwise(F.when(F.col("overdue_180plus") > 0, 10.0).otherwise(0.0)).alias("debt_ratio"), F.col("orders"), F.col("recency").alias("recency_days"), F.col("tenure").alias("tenure_months"), "return_rate", F.when(F.col("credit_limit") > 0, F.least(F.col("total_debt") / F.col("credit_limit"), F.lit(2.0))).alias("utilization"), F.lit(False).alias("blocked"))
-    return rk.five_factor_score(df).select("client_id", "score", "rating")
+    return five(spark, d).select("client_id", "score", "rating")
 
 
-@P.add("e6_woe_of_recency")
+@P.add(
+    "e6_woe_of_recency",
+    """SELECT CAST(bin AS INTEGER) AS bin, min(x) AS lo, max(x) AS hi, count(*) AS n, CAST(sum(label) AS BIGINT) AS bad, round(ln(any_value(1.0::DOUBLE) * ((sum(label) + 0.5::DOUBLE) / any_value(tb)) / ((count(*) - sum(label) + 0.5::DOUBLE) / any_value(tg))), 4) AS woe,
+    round(((sum(label) + 0.5::DOUBLE) / any_value(tb) - (count(*) - sum(label) + 0.5::DOUBLE) / any_value(tg)) * ln(((sum(label) + 0.5::DOUBLE) / any_value(tb)) / ((count(*) - sum(label) + 0.5::DOUBLE) / any_value(tg))), 6) AS iv FROM
+    (SELECT x, label, tb, tg, CASE WHEN x = 0 THEN 0 WHEN x <= q[1] THEN 1 WHEN x <= q[2] THEN 2 WHEN x <= q[3] THEN 3 WHEN x <= q[4] THEN 4 ELSE 5 END AS bin FROM (SELECT CAST(recency AS DOUBLE) AS x, label FROM mat),
+      (SELECT quantile_cont(CAST(recency AS DOUBLE), [0.2, 0.4, 0.6, 0.8]) AS q FROM mat WHERE recency <> 0), (SELECT greatest(sum(label), 0.5::DOUBLE) AS tb, greatest(count(*) - sum(label), 0.5::DOUBLE) AS tg FROM mat)) GROUP BY 1""",
+    **MATRIX,
+)
 def e6(spark, d):
-    m = matrix(spark, d)
-    return rk.quantile_woe(m.withColumn("recency", F.col("recency").cast("double")), "recency", "label").select("bin", "lo", "hi", "n", "bad", F.round("woe", 4).alias("woe"), F.round("iv", 6).alias("iv"))
+    m = matrix(spark, d).select(F.col("recency").cast("double").alias("recency"), "label")
+    return sc.quantile_woe(m, "recency", "label").select("bin", "lo", "hi", "n", "bad", F.round("woe", 4).alias("woe"), F.round("iv", 6).alias("iv"))
+
+
+AUC_SQL = "round((sum(CASE WHEN label = 1 THEN r END) - CAST(sum(label) AS DOUBLE) * (sum(label) + 1) / 2) / (CAST(sum(label) AS DOUBLE) * (count(*) - sum(label))), 6)"
 
 
 @P.add(
@@ -165,29 +268,207 @@ def e13(spark, d):
     return rk.binary_metrics(df, "s", "label").select("n", F.round("auc", 6).alias("auc"))
 
 
-@P.add("e17_psi_of_turnover")
+@P.add(
+    "e13_metrics_of_the_card",
+    f"""SELECT n, auc, round(2 * auc - 1, 6) AS gini, round(ks, 6) AS ks, round(brier, 6) AS brier FROM (SELECT CAST(count(*) AS BIGINT) AS n, {AUC_SQL} AS auc, avg((pd - label) * (pd - label)) AS brier FROM
+      (SELECT pd, label, rank() OVER (ORDER BY pd) + (count(*) OVER (PARTITION BY pd) - 1) / 2 AS r FROM mat_card)),
+    (SELECT max(abs(p / tp - g / tg)) AS ks FROM (SELECT pd, sum(sum(label)) OVER (ORDER BY pd) AS p, sum(count(*) - sum(label)) OVER (ORDER BY pd) AS g FROM mat_card GROUP BY 1), (SELECT CAST(sum(label) AS DOUBLE) AS tp, CAST(count(*) - sum(label) AS DOUBLE) AS tg FROM mat_card))""",
+    **FIVE,
+)
+def e13_card(spark, d):
+    m = rk.binary_metrics(rk.apply_scorecard(matrix(spark, d), CARD).select(F.round("pd", 12).alias("pd"), "label"), "pd", "label")
+    return m.select("n", F.round("auc", 6).alias("auc"), F.round(2 * F.round("auc", 6) - 1, 6).alias("gini"), F.round("ks", 6).alias("ks"), F.round("brier", 6).alias("brier"))
+
+
+@P.add("e13_reliability", "SELECT CAST(least(floor(pd * 10), 9) AS INTEGER) AS bin, count(*) AS n, round(avg(pd) + 0.000000001::DOUBLE, 6) AS mean_score, round(avg(label), 6) AS rate FROM mat_card GROUP BY 1", **FIVE)
+def e13_bins(spark, d):
+    r = rk.reliability(rk.apply_scorecard(matrix(spark, d), CARD), "pd", "label")
+    return r.select("bin", "n", F.round(F.col("mean_score") + 1e-9, 6).alias("mean_score"), F.round("rate", 6).alias("rate"))
+
+
+DRIFT = ["score", "turnover", "orders", "recency", "tenure", "return_rate", "total_debt", "max_overdue_days", "n_lines", "new_3m", "utilization"]
+BEFORE = matrix_sql("was", "1999-01-01")
+
+
+@P.add(
+    "e17_psi",
+    "SELECT feature, round(psi, 6) AS psi, CASE WHEN psi < 0.1 THEN 'stable' WHEN psi < 0.25 THEN 'watch' ELSE 'shift' END AS level FROM (SELECT feature, sum((greatest(a, 0.0001::DOUBLE) - greatest(e, 0.0001::DOUBLE)) * ln(greatest(a, 0.0001::DOUBLE) / greatest(e, 0.0001::DOUBLE))) AS psi FROM (SELECT feature, bin, coalesce(sum(share) FILTER (side = 'now'), 0) AS a, coalesce(sum(share) FILTER (side = 'was'), 0) AS e FROM shares GROUP BY 1, 2) GROUP BY 1)",
+    **FIVE,
+    **BEFORE,
+    **card_sql("was"),
+    longed="SELECT 'now' AS side, feature, v FROM (SELECT {c} FROM mat_card) UNPIVOT (v FOR feature IN ({n})) UNION ALL SELECT 'was', feature, v FROM (SELECT {c} FROM was_card) UNPIVOT (v FOR feature IN ({n}))".format(
+        n=", ".join(DRIFT), c="CAST(round(least(greatest((500 + 20 / ln(2.0::DOUBLE) * ln((1 - pd) / pd) - 400) / 250 * 100, 0), 100), 2) AS DOUBLE) AS score, " + ", ".join(f"CAST(round({f}, 9) AS DOUBLE) AS {f}" for f in DRIFT[1:])
+    ),
+    edged="SELECT feature, list_sort(list_distinct(quantile_disc(v, [0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9]))) AS e FROM longed WHERE side = 'was' GROUP BY 1",
+    binned="SELECT side, l.feature, len(list_filter(e, lambda x: x < v)) AS bin FROM longed l JOIN edged d ON d.feature = l.feature",
+    shares="SELECT side, feature, bin, count(*) / CAST(sum(count(*)) OVER (PARTITION BY side, feature) AS DOUBLE) AS share FROM binned GROUP BY 1, 2, 3",
+)
 def e17(spark, d):
-    def turnover(a, b):
-        return sales.window(c.valid_sales(c.sale_lines(spark, d)), a, b).groupBy("client_id").agg(F.sum("amount").cast("double").alias("v"))
+    """Drift of the score and ten features between two year ends."""
+    was, now = (rk.apply_scorecard(matrix(spark, d, t), CARD).select("score", *[F.round(F.col(f).cast("double"), 9).alias(f) for f in DRIFT[1:]]) for t in ("1999-01-01", END))
+    return rk.psi(was, now, DRIFT).select("feature", F.round("psi", 6).alias("psi"), "level")
 
-    return rk.psi(turnover("1998-01-01", "1999-01-01"), turnover("1999-01-01", "2000-01-01"), "v")
 
+@P.add(
+    "e18_two_scores",
+    f"""SELECT 'five_factor' AS model, {AUC_SQL} AS auc FROM (SELECT label, rank() OVER (ORDER BY -score) + (count(*) OVER (PARTITION BY score) - 1) / 2 AS r FROM mat_five) UNION ALL
+    SELECT 'scorecard', {AUC_SQL} FROM (SELECT label, rank() OVER (ORDER BY pd) + (count(*) OVER (PARTITION BY pd) - 1) / 2 AS r FROM mat_card)""",
+    **FIVE,
+)
+def e18(spark, d):
+    """The older five-factor score against the scorecard's probability, on the same label."""
+    m = checkpointed(matrix(spark, d))
+    old = five(spark, d, m).select((-F.col("score")).cast("double").alias("s"), "label")
+    new = rk.apply_scorecard(m, CARD).select(F.round("pd", 12).alias("s"), "label")
+    both = [rk.binary_metrics(t, "s", "label").select(F.lit(n).alias("model"), F.round("auc", 6).alias("auc")) for n, t in (("five_factor", old), ("scorecard", new))]
+    return both[0].union(both[1])
 
-@P.add("e22_buyer_sample")
-def e22(spark, d):
-    """A sampling operator: the first 200 buyers in the order of a hash."""
-    return c.read(spark, d, "customer").select(F.col("c_custkey").alias("client_id")).orderBy(F.xxhash64("client_id", F.lit(42)), "client_id").limit(200)
+
+def fitted(spark, d, label="label"):
+    m = checkpointed(matrix(spark, d))
+    return m, sc.fit_scorecard(m, DIRECTION, label)
+
+
+@P.add("e5_monotone_bins")
+def e5(spark, d):
+    """Monotone weights of every feature by bin; the merging works on counts of a few bins."""
+    m = matrix(spark, d)
+    found = sc.monotone_bins(m, DIRECTION, "label")
+    rows = [(f, i, [None, *b["splits"]][i], [*b["splits"], None][i], round(b["woe"][min(i, len(b["woe"]) - 1)], 6)) for f, b in found.items() for i in range(len(b["splits"]) + 1)]
+    return spark.createDataFrame(rows, "feature string, bin int, lo double, hi double, woe double")
 
 
 @P.add("e8_scorecard_fit")
 def e8(spark, d):
-    """Balanced logistic fit on the features outside the label's own table; coefficients by feature."""
-    from pyspark.ml.classification import LogisticRegression
-    from pyspark.ml.feature import VectorAssembler
-
-    names = ["recency", "orders", "turnover", "tenure", "return_rate", "months_12", "growth"]
-    m = matrix(spark, d).select(*[F.col(n).cast("double").alias(n) for n in names], F.col("label").cast("double").alias("label"))
-    share = m.agg(F.avg("label")).first()[0]
-    m = m.withColumn("w", F.when(F.col("label") == 1, 0.5 / max(share, 1e-9)).otherwise(0.5 / max(1 - share, 1e-9)))
-    fit = LogisticRegression(labelCol="label", featuresCol="x", weightCol="w", regParam=0.01, maxIter=50).fit(VectorAssembler(inputCols=names, outputCol="x").transform(m))
-    return spark.createDataFrame([(n, round(float(v), 6)) for n, v in zip(names, fit.coefficients)] + [("intercept", round(float(fit.intercept), 6))], "feature string, coef double")
+    """The card fitted on WOE with balanced labels and a Platt step, as its model table (S5): coefficients and weights by bin."""
+    m, card = fitted(spark, d)
+    return sc.card_rows(spark, card).select("feature", "bin", "lo", "hi", F.round("woe", 6).alias("woe"), F.round("coef", 6).alias("coef"), F.round(F.col("header")["a"], 6).alias("platt_a"), F.round(F.col("header")["intercept"], 6).alias("intercept"))
+
+
+@P.add("e7_s5_score_by_model_table")
+def e7(spark, d):
+    """The fitted card written as a model table, read back and applied: probability, points and band of every buyer."""
+    m, card = fitted(spark, d)
+    read = sc.card_from(checkpointed(sc.card_rows(spark, card)))
+    return rk.apply_scorecard(m, read).select("client_id", F.round("pd", 6).alias("pd"), "score", "band", F.col("contributions")[0]["feature"].alias("leading"))
+
+
+def metrics(rows, name, score="p", label="label"):
+    return rk.binary_metrics(rows.select(F.round(score, 12).alias("s"), F.col(label).cast("int").alias("y")), "s", "y").select(F.lit(name).alias("model"), "n", F.round("auc", 4).alias("auc"), F.round("ks", 4).alias("ks"), F.round("brier", 4).alias("brier"))
+
+
+def union(parts):
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out
+
+
+def by_card(directions, c=0.5, l1=False, label="label"):
+    def fit(train):
+        card = sc.fit_scorecard(train, directions, label, c, l1)
+        return lambda t: rk.apply_scorecard(t, card).withColumn("p", F.col("pd")).drop("pd", "lin", "score", "band", "contributions")
+
+    return fit
+
+
+@P.add("e9_challengers_out_of_fold")
+def e9(spark, d):
+    """Scorecard and boosted trees on the same folds of clients: out-of-fold AUC, KS and Brier."""
+    m = checkpointed(matrix(spark, d))
+    trees = lambda train: sc.fit_trees(train, list(DIRECTION), "label")
+    return union([metrics(sc.out_of_fold(m, "client_id", 3, fit), name) for name, fit in (("scorecard", by_card(DIRECTION)), ("trees", trees))])
+
+
+DEBT_TABLE = ["overdue_91_180", "overdue_61_90", "overdue_31_60", "overdue_1_30", "current_debt", "total_debt", "max_overdue_days", "n_lines"]
+DERIVED = ["growth", "months_12", "new_3m"]
+
+
+@P.add("e16_tier_ablation")
+def e16(spark, d):
+    """AUC of trees on nested groups of features: what is left of the skill without the debt table the label comes from."""
+    m = checkpointed(matrix(spark, d))
+    free = [f for f in DIRECTION if f not in DEBT_TABLE + DERIVED]
+    tiers = {"non_debt_table_only": free, "leading_no_aging_buckets": free + DERIVED, "primary_full": list(DIRECTION), "with_tautological": FEATURES}
+    return union([metrics(sc.out_of_fold(m, "client_id", 2, lambda t, fs=fs: sc.fit_trees(t, fs, "label")), name).withColumn("n_features", F.lit(len(fs))) for name, fs in tiers.items()])
+
+
+VINTAGES = "SELECT CAST(DATE '1997-01-05' + to_days(CAST(i * 14 AS INTEGER)) AS DATE) AS m FROM range(0, 40) t(i)"
+
+
+def vintages(spark, d, n=40, horizon=180):
+    """At-risk clients at biweekly dates with features of the day and whether they are severe `horizon` days later.
+
+    The date is a column. At risk: with debt, and less than 100 EUR of it 180 days past grace.
+    """
+    m = F.broadcast(spark.range(n).select(F.date_add(F.lit("1997-01-05").cast("date"), (F.col("id") * 14).cast("int")).alias("m")))
+    rated = rk.to_eur(c.debt_lines(spark, d).where("created <= date_add(date'1997-01-05', %d)" % ((n - 1) * 14 + horizon)), c.fx_rates(spark), "total", "created", "eur")
+    lines = rated.join(c.agreements(spark, d).select("client_id", "grace_days"), "client_id").join(m, F.col("created") <= F.date_add("m", horizon))
+    od, e, old = F.datediff("m", "created") - F.col("grace_days"), F.col("eur"), F.col("created") <= F.col("m")
+    part = lambda test, name: F.sum(F.when(old & test, e).otherwise(0.0)).alias(name)
+    agg = lines.groupBy("m", "client_id").agg(
+        part(od >= 180, "severe"), part(od.between(91, 179), "overdue_91_180"), part(od.between(61, 90), "overdue_61_90"), part(od.between(31, 60), "overdue_31_60"), part(od.between(1, 30), "overdue_1_30"), part(od <= 0, "current_debt"), part(F.lit(True), "total_debt"),
+        F.greatest(F.max(F.when(old, od)), F.lit(0)).alias("max_overdue_days"), F.sum(old.cast("long")).alias("n_lines"), part(F.col("created") > F.add_months("m", -3), "new_3m"),
+        F.countDistinct(F.when(old & (F.col("created") > F.add_months("m", -12)), F.date_format("created", "yyyy-MM"))).alias("months_12"), (F.sum(F.when(od + horizon >= 180, e).otherwise(0.0)) >= 100).cast("int").alias("label"),
+    )
+    return agg.where("total_debt > 0 and severe < 100").drop("severe").withColumnRenamed("m", "vintage")
+
+
+@P.add(
+    "e4_vintage_pool",
+    """SELECT CAST(m AS VARCHAR) AS vintage, client_id, round(total, 4) AS total_debt, round(overdue, 4) AS overdue_1_30, n AS n_lines, label FROM (SELECT m, client_id, sum(eur) FILTER (created <= m) AS total, coalesce(sum(eur) FILTER (created <= m AND od BETWEEN 1 AND 30), 0) AS overdue, CAST(count(*) FILTER (created <= m) AS BIGINT) AS n,
+      coalesce(sum(eur) FILTER (created <= m AND od >= 180), 0) AS severe, CAST(coalesce(sum(eur) FILTER (od + 180 >= 180), 0) >= 100 AS INTEGER) AS label FROM
+      (SELECT dates.m, d.client_id, d.created, d.eur, date_diff('day', d.created, dates.m) - grace_days AS od FROM dates JOIN (SELECT d.*, CAST(d.total AS DOUBLE) * coalesce(f.rate, 1.0::DOUBLE) AS eur FROM debt_lines d ASOF LEFT JOIN fx_rates f ON d.currency_id = f.currency_id AND d.created >= f.valid_from) d ON d.created <= dates.m + 180 JOIN agreements a ON a.client_id = d.client_id)
+      GROUP BY 1, 2) WHERE total > 0 AND severe < 100""",
+    dates=VINTAGES,
+)
+def e4(spark, d):
+    return vintages(spark, d).select(F.col("vintage").cast("string").alias("vintage"), "client_id", F.round("total_debt", 4).alias("total_debt"), F.round("overdue_1_30", 4).alias("overdue_1_30"), "n_lines", "label")
+
+
+AGING = {"overdue_31_60": "up", "overdue_1_30": "up", "current_debt": "up", "total_debt": "up", "max_overdue_days": "up", "n_lines": "up", "months_12": "up", "new_3m": "up"}
+BEHAVIOUR = {"total_debt": "up", "n_lines": "up", "months_12": "up", "new_3m": "up"}
+
+
+def halves(spark, d):
+    """The vintages before and after the middle one."""
+    rows = checkpointed(vintages(spark, d))
+    return rows, rows.where("vintage < date'1997-10-12'"), rows.where("vintage >= date'1997-10-12'")
+
+
+@P.add("e14_folds_and_penalties")
+def e14(spark, d):
+    """Grouped folds by client over all vintages, then penalties tried on the early half and tested on the later one."""
+    rows, early, late = halves(spark, d)
+    grouped = metrics(sc.out_of_fold(rows, "client_id", 3, by_card(BEHAVIOUR)), "grouped folds").withColumns({"penalty": F.lit("l2"), "c": F.lit(0.5)})
+    sweep = [metrics(by_card(BEHAVIOUR, c_, l1)(early)(late), "later half").withColumns({"penalty": F.lit("l1" if l1 else "l2"), "c": F.lit(c_)}) for l1 in (False, True) for c_ in (0.05, 0.5, 2.0)]
+    return union([grouped, *sweep])
+
+
+@P.add("e15_calibration_and_bands")
+def e15(spark, d):
+    """Out-of-time Brier of raw, Platt and isotonic scores, and quantile bands with their realised rates."""
+    _, early, late = halves(spark, d)
+    scored = checkpointed(by_card(BEHAVIOUR)(early)(late).select("client_id", "p", "label"))
+    cal = sc.calibrations(scored, "p", "label").select(F.lit("calibration").alias("part"), F.col("method").alias("name"), F.lit(None).cast("long").alias("n"), F.round("brier", 6).alias("value"))
+    cuts = sc.exact_quantiles(scored, "p", list(sc.FORWARD_CUTS.values()))
+    band = F.when(F.col("p") >= cuts[2], "very_high").when(F.col("p") >= cuts[1], "high").when(F.col("p") >= cuts[0], "medium").otherwise("low")
+    rates = scored.groupBy(band.alias("name")).agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("label"), 6).alias("value")).select(F.lit("band").alias("part"), "name", "n", "value")
+    return cal.unionByName(rates)
+
+
+@P.add("e11_forward_score")
+def e11(spark, d):
+    """Forward risk of every buyer by two cards fitted on the vintages: without and with the aging buckets."""
+    rows, _, _ = halves(spark, d)
+    behaviour, aging = sc.fit_scorecard(rows, BEHAVIOUR, "label"), sc.fit_scorecard(rows, AGING, "label")
+    raw = {**behaviour, "a": 1.0, "b": 0.0}
+    q = sc.exact_quantiles(rk.apply_scorecard(rows, raw).select("pd"), "pd", list(sc.FORWARD_CUTS.values()))
+    scored = rk.forward_score(matrix(spark, d), behaviour, aging, dict(zip(sc.FORWARD_CUTS, q)))
+    return scored.select("client_id", "score", "pd_behavioral", "pd_with_aging", "band", "already_rolling")
+
+
+@P.add("e22_buyer_sample")
+def e22(spark, d):
+    """A sampling operator: the first 200 buyers in the order of a hash."""
+    return c.read(spark, d, "customer").select(F.col("c_custkey").alias("client_id")).orderBy(F.xxhash64("client_id", F.lit(42)), "client_id").limit(200)

@@ -19,19 +19,6 @@ def dates(spark, n=20):
     return spark.range(n).select(F.date_add(F.lit("1999-01-01").cast("date"), (F.col("id") * 14).cast("int")).alias("m"))
 
 
-@P.add(
-    "e4_vintage_pool",
-    "SELECT CAST(m AS VARCHAR) AS vintage, d.client_id, CAST(sum(d.total) AS DOUBLE) AS exposure, max(CASE WHEN f.client_id IS NULL THEN 0 ELSE 1 END) AS more_debt FROM dates JOIN debt_lines d ON d.created <= m AND d.created > m - INTERVAL 12 MONTH LEFT JOIN (SELECT DISTINCT m AS fm, client_id FROM dates JOIN debt_lines ON created > m AND created <= m + 180) f ON f.fm = m AND f.client_id = d.client_id GROUP BY 1, 2",
-    dates=DATES,
-)
-def e4(spark, d):
-    """Clients at risk at biweekly dates with a forward label; the date is a column, not a loop."""
-    debt, m = c.debt_lines(spark, d), F.broadcast(dates(spark))
-    seen = debt.join(m, (F.col("created") <= F.col("m")) & (F.col("created") > F.add_months("m", -12))).groupBy("m", "client_id").agg(F.sum("total").cast("double").alias("exposure"))
-    later = debt.join(m, (F.col("created") > F.col("m")) & (F.col("created") <= F.date_add("m", 180))).select("m", "client_id").distinct().withColumn("more_debt", F.lit(1))
-    return seen.join(later, ["m", "client_id"], "left").select(F.col("m").cast("string").alias("vintage"), "client_id", "exposure", F.coalesce("more_debt", F.lit(0)).alias("more_debt"))
-
-
 @P.add(
     "g9_panel_sweep",
     "SELECT CAST(m AS VARCHAR) AS as_of, count(*) AS n, round(sum(least(before, after)) / sum(after), 4) AS fill FROM (SELECT m, product_id, CAST(coalesce(sum(qty) FILTER (created < m), 0) AS DOUBLE) AS before, CAST(coalesce(sum(qty) FILTER (created >= m), 0) AS DOUBLE) AS after FROM dates JOIN valid_sales ON created >= m - 30 AND created < m + 30 GROUP BY 1, 2) GROUP BY 1",
@@ -64,17 +51,6 @@ def c14(spark, d):
     return long.join(F.broadcast(floors), "metric").withColumn("holds", F.col("value") >= F.col("least"))
 
 
-@P.add("e18_two_scores")
-def e18(spark, d):
-    """AUC of two scores on the same label: exposure and number of lines."""
-    from tidemark.operators import risk as rk
-
-    lines = risk.aged(spark, d)
-    df = rk.debt_aging(lines).join(rk.severe_label(lines), "client_id")
-    both = [rk.binary_metrics(df.select(F.col(k).cast("double").alias("s"), "label"), "s", "label").select(F.lit(k).alias("score"), F.round("auc", 6).alias("auc"), F.round("ks", 6).alias("ks")) for k in ("total_debt", "n_lines")]
-    return both[0].union(both[1])
-
-
 @P.add(
     "n13_base_rates",
     "SELECT group_id, count(*) AS n, round(avg(label), 6) AS rate FROM (SELECT r.group_id, CAST(EXISTS (SELECT 1 FROM valid_sales v WHERE v.client_id = r.client_id AND v.group_id = r.group_id AND v.created > DATE '2000-01-01' AND v.created <= DATE '2000-03-01') AS INTEGER)::DOUBLE AS label FROM reorders r) GROUP BY 1",
