@@ -13,6 +13,23 @@ URGENCY_RANK = {"critical": 0, "high": 1, "normal": 2, "low": 3}
 TYPE_RANK = {"debt_followup": 0, "reorder_due": 1, "churn_winback": 2, "cross_sell": 3}
 NEXT = {"generated": ("open",), "open": ("in_progress", "done", "snoozed", "dismissed"), "in_progress": ("done", "snoozed", "dismissed", "open"), "snoozed": ("open", "dismissed"), "done": (), "dismissed": ()}
 TERMINAL = ("done", "dismissed")
+#: Shares of a manager's seats by type, caps, pace and feedback, label window and paydown share, ranking gate.
+TYPE_SHARE = {"debt_followup": 0.40, "reorder_due": 0.27, "churn_winback": 0.16, "cross_sell": 0.17}
+CAP, PER_CLIENT, RESERVE = 50, 2, 5
+PACE_SPAN, PENALTY, PENALTY_FLOOR, FEEDBACK_DAYS, MUTE_DAYS = 0.25, 0.15, 0.5, 90, 30
+OUTCOME_DAYS, PAYDOWN, AUC_FLOOR, AUC_EPSILON = 60, 0.5, 0.68, 0.01
+#: Signals of each type, 0 elsewhere.
+SIGNALS = {
+    "debt_followup": ("overdue_amount", "days_past_terms", "max_overdue_days", "debt_lines"),
+    "reorder_due": ("elapsed_days", "cycle_days", "overdue_ratio", "n_orders"),
+    "churn_winback": ("drop_ratio", "silence_days", "recent_orders", "prior_orders"),
+    "cross_sell": ("top_score", "reco_candidates"),
+}
+
+
+def rounded(x: Column, digits: int) -> Column:
+    """round() with a nudge, so that a half that binary fractions put a hair lower still goes up."""
+    return F.round(x + 1e-9, digits)
 
 
 def _rank(label: Column, table: dict[str, int]) -> Column:
@@ -66,6 +83,10 @@ def churn_urgency(drop: Column, silence: Column) -> Column:
     return clamp(0.6 * (1.0 - clamp(drop, 0.0, 1.0)) + 0.4 * saturation(silence, 120.0), 0.0, 1.0)
 
 
+def cross_sell_urgency(score: Column) -> Column:
+    return clamp(0.3 + 0.5 * score, 0.0, 1.0)
+
+
 def urgency_band(u: Column) -> Column:
     return F.when(u >= 0.85, "critical").when(u >= 0.6, "high").when(u >= 0.3, "normal").otherwise("low")
 
@@ -85,40 +106,120 @@ def inbox(tasks: DataFrame) -> DataFrame:
     return tasks.withColumn("rank", F.row_number().over(w))
 
 
-def type_quotas(tasks: DataFrame, shares: DataFrame, cap: int) -> DataFrame:
-    """Seats per manager and task type by largest remainder over the types present; they sum to cap."""
-    present = tasks.select("manager_id", "task_type").distinct().join(F.broadcast(shares), "task_type")
-    w = Window.partitionBy("manager_id")
-    ideal = F.col("share") / F.sum("share").over(w) * cap
-    df = present.withColumn("ideal", ideal).withColumn("floor", F.floor("ideal").cast("int"))
-    order = Window.partitionBy("manager_id").orderBy((F.col("floor") - F.col("ideal")).asc(), F.desc("share"), "task_type")
+def type_quotas(tasks: DataFrame, shares: dict[str, float] = TYPE_SHARE, cap: int = CAP) -> DataFrame:
+    """Seats per manager and task type by largest remainder over the types present; they sum to cap, and while cap allows,
+    no present type is left without a seat: the largest gives one up."""
+    share = F.lit(None).cast("double")
+    for name, v in shares.items():
+        share = F.when(F.col("task_type") == name, v).otherwise(share)
+    present = tasks.select("manager_id", "task_type").distinct().withColumn("share", share).where("share > 0")
+    w = Window.partitionBy("manager_id")  # a row per type
+    df = present.withColumn("ideal", F.col("share") / F.sum("share").over(w) * cap).withColumn("floor", F.floor("ideal").cast("int"))
+    order = w.orderBy((F.col("floor") - F.col("ideal")).asc(), F.desc("share"), "task_type")
     left = F.lit(cap) - F.sum("floor").over(w)
-    return df.withColumn("seats", F.col("floor") + (F.row_number().over(order) <= left).cast("int")).select("manager_id", "task_type", "seats")
-
-
-def admit(ranked: DataFrame, quotas: DataFrame, cap: int, per_client: int = 2) -> DataFrame:
-    """Admission per manager in rank order: first within the type's seats, then refill to cap; at most per_client per client.
-
-    Sequential inside a manager, whose candidates bound the group; managers run in parallel.
+    df = df.withColumn("seats", F.col("floor") + (F.row_number().over(order) <= left).cast("int"))
+    empty, donor = F.sum((F.col("seats") == 0).cast("int")).over(w), F.row_number().over(w.orderBy(F.desc("seats"), "task_type")) == 1
+    given = F.least(empty, F.max("seats").over(w) - 1)
+    starved = F.row_number().over(w.orderBy((F.col("seats") > 0).cast("int"), "share", "task_type"))
+    seats = F.when(donor, F.col("seats") - given).when((F.col("seats") == 0) & (starved <= given), 1).otherwise(F.col("seats"))
+    return df.withColumn("given", seats).select("manager_id", "task_type", F.col("given").alias("seats"))
+
+
+def adjusted(tasks: DataFrame, pace: DataFrame, rejections: DataFrame) -> DataFrame:
+    """priority and ev_score after pace and feedback: a manager behind the shipped target has reorder and cross-sell tasks
+    lifted, one behind the paid target debt tasks, by up to PACE_SPAN; then each rejection of a (client, type) takes
+    PENALTY off, down to PENALTY_FLOOR. pace has manager_id and the shares shipped_behind and paid_behind (0..1);
+    rejections has client_id, task_type, n."""
+    df = tasks.join(pace.select("manager_id", "shipped_behind", "paid_behind"), "manager_id", "left").join(rejections.groupBy("client_id", "task_type").agg(F.sum("n").alias("_n")), ["client_id", "task_type"], "left")
+    behind = F.when(F.col("task_type").isin("reorder_due", "cross_sell"), F.col("shipped_behind")).when(F.col("task_type") == "debt_followup", F.col("paid_behind"))
+    for factor in (1.0 + F.least(F.coalesce(behind, F.lit(0.0)), F.lit(1.0)) * PACE_SPAN, F.greatest(F.lit(PENALTY_FLOOR), 1.0 - PENALTY * F.coalesce("_n", F.lit(0)))):
+        df = df.withColumns({"priority": F.least(F.lit(100.0), rounded(F.col("priority") * factor, 2)), "ev_score": rounded(F.col("ev_score") * factor, 4)})
+    return df.select(tasks.columns)
+
+
+def admit(tasks: DataFrame, quotas: DataFrame, existing: DataFrame, muted: DataFrame, cap: int = CAP, per_client: int = PER_CLIENT, reserve: int = RESERVE) -> DataFrame:
+    """(manager_id, client_id, task_type, ev_score, via) of the candidates a manager takes on, best ev_score first.
+
+    Three passes: `quota` within the type's seats, `refill` of what the seats held back, up to cap active tasks; then up to
+    `reserve` critical debts above it. existing (manager_id, client_id, task_type) are active tasks: they count, and their
+    candidates only refresh. Muted (client_id, task_type) pairs and clients with per_client tasks are skipped.
+
+    The order inside a manager is sequential, so each manager is one group of bounded size: besides tasks and clients that
+    are out already, only the per-client limit skips rows, and it skips at most as many as are taken; so the first
+    2 * (cap + reserve) of a type are enough, and Spark cuts to them first.
     """
-    df = ranked.join(quotas, ["manager_id", "task_type"]).select("manager_id", "client_id", "task_type", "rank", "seats")
+    full = existing.groupBy("client_id").agg(F.count(F.lit(1)).alias("held"))
+    fresh = tasks.join(existing.select("client_id", "task_type").distinct(), ["client_id", "task_type"], "left_anti").join(muted, ["client_id", "task_type"], "left_anti")
+    fresh = fresh.join(full, "client_id", "left").withColumn("held", F.coalesce("held", F.lit(0)).cast("int")).where(F.col("held") < per_client)
+    best = [F.desc("ev_score"), F.desc("priority"), F.col("client_id"), F.col("task_type")]
+    cut = fresh.withColumn("_r", F.row_number().over(Window.partitionBy("manager_id", "task_type", F.col("urgency") == "critical").orderBy(*best))).where(F.col("_r") <= 2 * (cap + reserve))
+    now = existing.groupBy("manager_id", "task_type").agg(F.count(F.lit(1)).cast("int").alias("active"))
+    own = now.groupBy("manager_id").agg(F.map_from_entries(F.collect_list(F.struct("task_type", "active"))).alias("active"))  # an entry per type
+    seats = quotas.groupBy("manager_id").agg(F.map_from_entries(F.collect_list(F.struct("task_type", "seats"))).alias("seats"))
+    rows = cut.join(own, "manager_id", "left").join(seats, "manager_id", "left").select("manager_id", "client_id", "task_type", "ev_score", "priority", "urgency", "held", "active", "seats")
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("rank")
-        took, by_type, by_client = [], {}, {}
-        for only_quota in (True, False):
-            for i, row in enumerate(pdf.itertuples()):
-                full = only_quota and by_type.get(row.task_type, 0) >= row.seats
-                if len(took) >= cap or i in dict(took) or full or by_client.get(row.client_id, 0) >= per_client:
-                    continue
-                took.append((i, "quota" if only_quota else "refill"))
-                by_type[row.task_type] = by_type.get(row.task_type, 0) + 1
-                by_client[row.client_id] = by_client.get(row.client_id, 0) + 1
-        out = pdf.iloc[[i for i, _ in took]].copy()
-        out["via"] = [v for _, v in took]
-        return out[["manager_id", "client_id", "task_type", "rank", "via"]]
-
-    return df.groupBy("manager_id").applyInPandas(run, "manager_id int, client_id long, task_type string, rank int, via string")
+        pdf = pdf.sort_values(["ev_score", "priority", "client_id", "task_type"], ascending=[False, False, True, True], kind="stable")
+        types, clients, critical = pdf["task_type"].tolist(), pdf["client_id"].tolist(), (pdf["urgency"] == "critical").tolist()
+        held = dict(zip(clients, pdf["held"].tolist()))
+        by_type, seats = dict(pdf["active"].iloc[0] or {}), dict(pdf["seats"].iloc[0] or {})
+        active, via = sum(by_type.values()), {}
+
+        def take(i: int, name: str, most: int) -> None:
+            nonlocal active
+            if i not in via and active < most and held[clients[i]] < per_client:
+                via[i] = name
+                active += 1
+                held[clients[i]] += 1
+                by_type[types[i]] = by_type.get(types[i], 0) + 1
+
+        back = []
+        for i, kind in enumerate(types):
+            if by_type.get(kind, 0) >= seats.get(kind, cap):
+                back.append(i)
+            else:
+                take(i, "quota", cap)
+        for i in back:
+            take(i, "refill", cap)
+        before = active
+        for i, kind in enumerate(types):
+            if kind == "debt_followup" and critical[i] and active - before < reserve:
+                take(i, "reserve", cap + reserve)
+        out = pdf.iloc[sorted(via)].copy()
+        out["via"] = [via[i] for i in sorted(via)]
+        return out[["manager_id", "client_id", "task_type", "ev_score", "via"]]
+
+    return rows.groupBy("manager_id").applyInPandas(run, "manager_id int, client_id long, task_type string, ev_score double, via string")
+
+
+def ranking_backfill(tasks: DataFrame) -> DataFrame:
+    """Fills p_outcome, expected_value and ev_score of rows from before they were kept: the probability from the priority, the
+    value from the signals (overdue_amount, monetary, order_count); values that are set stay."""
+    p = F.coalesce("p_outcome", rounded(F.when(F.col("priority") > 0, F.col("priority") / 100.0).otherwise(0.0), 6))
+    per_order = F.when(F.col("order_count") > 0, F.coalesce("monetary", F.lit(0.0)) / F.col("order_count"))
+    derived = F.when(F.col("task_type") == "debt_followup", F.col("overdue_amount")).when(F.col("task_type").isin("reorder_due", "cross_sell"), per_order).when(F.col("task_type") == "churn_winback", F.col("monetary"))
+    df = tasks.withColumns({"p_outcome": p, "expected_value": F.coalesce("expected_value", rounded(F.coalesce(derived, F.lit(0.0)), 2))})
+    return df.withColumn("ev_score", F.coalesce("ev_score", rounded(F.col("p_outcome") * F.col("expected_value"), 4)))
+
+
+def rolling_snapshots(today: str, n: int = 9, days: int = OUTCOME_DAYS) -> list[str]:
+    """The newest n month starts whose outcome window of `days` has closed by today, oldest first."""
+    last = pd.Timestamp(today) - pd.Timedelta(days=days)
+    months = last.year * 12 + last.month - 1
+    return [f"{k // 12:04d}-{k % 12 + 1:02d}-01" for k in range(months - n + 1, months + 1)]
+
+
+def legacy_confidence(task_type: Column, n_orders: Column, prior: Column, top: Column) -> Column:
+    return F.when(task_type == "debt_followup", 1.0).when(task_type == "reorder_due", F.least(F.lit(1.0), 0.4 + 0.1 * n_orders)).when(task_type == "churn_winback", F.least(F.lit(1.0), 0.5 + 0.05 * prior)).otherwise(top)
+
+
+def live_rows(tasks: DataFrame) -> DataFrame:
+    """Finished tasks with a recorded outcome as training rows of vintage `live`; the label is whether it sold. tasks has
+    task_type, status, client_id, outcome struct<sold>, signals map<string,double>, priority."""
+    some = tasks.where(F.col("status").isin(*TERMINAL) & F.col("outcome.sold").isNotNull() & F.col("client_id").isNotNull() & F.col("task_type").isin(*SIGNALS))
+    read = lambda k, d: F.coalesce(F.try_element_at("signals", F.lit(k)), F.lit(d))
+    signals = [F.when(F.col("task_type") == t, read(k, 0.0)).otherwise(0.0).alias(f"sig_{k}") for t, ks in SIGNALS.items() for k in ks]
+    return some.select(F.lit("live").alias("vintage"), "task_type", "client_id", read("monetary", 0.0).alias("monetary"), read("recency_days", 9999.0).alias("recency_days"), read("order_count", 0.0).alias("order_count"), *signals, F.col("outcome.sold").cast("int").alias("label"), F.coalesce("priority", F.lit(0.0)).alias("old_priority"))
 
 
 def throughput(tasks: DataFrame) -> DataFrame:

@@ -152,6 +152,20 @@ def run_rate(monthly: DataFrame, key: str, value: str, current: str, n: int = 3)
     return last.select(key, (F.aggregate("x", F.lit(0.0), lambda a, r: a + r[value]) / F.size("x")).alias("target"))
 
 
+def pace(monthly: DataFrame, key: str, value: str, to_date: DataFrame, month: str, elapsed: Column, whole: Column, n: int = 3) -> DataFrame:
+    """Target (mean of the n latest completed months) against what is reached so far (key, mtd): expected to date, gap
+    (positive is behind), needed a working day from now on, attainment in percent and status."""
+    df = run_rate(monthly, key, value, month, n).join(to_date, key, "left").withColumn("mtd", F.coalesce("mtd", F.lit(0.0)))
+    expected, t, mtd = F.col("target") / whole * elapsed, F.col("target"), F.col("mtd")
+    rest = F.greatest(t - mtd, F.lit(0.0))
+    ratio = mtd / expected
+    status = F.when(t <= 0, "no_target").when(expected <= 0, "on").when(ratio >= 1.05, "ahead").when(ratio < 0.95, "behind").otherwise("on")
+    return df.select(
+        key, F.round("target", 2).alias("target"), F.round("mtd", 2).alias("mtd"), F.round(expected, 2).alias("expected"), F.round(expected - mtd, 2).alias("gap"),
+        F.round(F.when(whole > elapsed, rest / (whole - elapsed)).otherwise(rest), 2).alias("today_needed"), F.round(F.when(t > 0, 100.0 * mtd / t).otherwise(0.0), 1).alias("attainment"), status.alias("status"),
+    )
+
+
 def daily_croston(daily: DataFrame, window_days: int, alpha: float = 0.1, sba: bool = True) -> DataFrame:
     """(product_id, rate) from days with demand (product_id, created, u). The first interval looks back to what the window
     leaves before the first demand day; with fewer than two days the total is spread over the window."""

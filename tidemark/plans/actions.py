@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from tidemark.operators import actions as ac, sales
+from tidemark.functions.columns import saturation
+from tidemark.operators import actions as ac, ranking, reco, sales
 from tidemark.plans import risk
 from tidemark.plans.base import Plans
-from tidemark.plans.sales import END, past, year
+from tidemark.plans.sales import END, past, valid, year
+from tidemark.plans.timeseries import PACE, targets
 from tidemark.sources import canonical as c
+from tidemark.sources.sinks import checkpointed
 
 P = Plans()
 T = {
@@ -27,7 +31,12 @@ def n1(spark, d):
     return reorders(spark, d).withColumn("cycle_days", F.round("cycle_days", 4))
 
 
-@P.add("n1_bundled_reorders")
+@P.add(
+    "n1_bundled_reorders",
+    """SELECT client_id, array_to_string(list_transform(x[1:5], lambda s: s.g), ',') AS items, CAST(len(x) AS INTEGER) AS n_items, round(-x[CAST(greatest(ceil(len(x) * 0.25), 1) AS INTEGER)].r, 4) AS p75_ratio FROM
+    (SELECT client_id, list({'r': -ratio, 'g': group_id} ORDER BY ratio DESC, group_id) AS x FROM (SELECT client_id, group_id, elapsed_days / cycle_days AS ratio FROM reorders) GROUP BY 1)""",
+    **T,
+)
 def n1b(spark, d):
     return ac.bundled(reorders(spark, d), "group_id").select("client_id", F.array_join("items", ",").alias("items"), "n_items", F.round("p75_ratio", 4).alias("p75_ratio"))
 
@@ -42,58 +51,148 @@ def n3(spark, d):
     return ac.churn_candidates(past(spark, d), END)
 
 
+def discoveries(spark, d):
+    """(client_id, group_id, score, rank): groups that active clients lack, by their share of the best co-purchase score."""
+    own = reco.owned(past(spark, d), "group_id")
+    scores = reco.co_scores(own, reco.co_purchase(own, "group_id"), "group_id").join(own, ["client_id", "group_id"], "left_anti")
+    active = sales.window(valid(spark, d), "1999-07-01", END).select("client_id").distinct()
+    share = F.round(F.col("score") / F.max("score").over(Window.partitionBy("client_id")), 9)
+    return ranking.first_per(scores.withColumn("score", share).where("score >= 0.05").join(active, "client_id", "left_semi"), ["client_id"], [F.desc("score"), F.col("group_id")], 5)
+
+
 def tasks(spark, d):
-    """Candidates of three types for all managers with urgency, value and ranking fields."""
+    """Candidates of the four types for all managers with urgency, value and ranking fields."""
     feats = sales.client_features(year(spark, d), END).select("client_id", "monetary", "order_count")
     owner = c.read(spark, d, "customer").select(F.col("c_custkey").alias("client_id"), F.col("c_nationkey").alias("manager_id"))
-    none = F.lit(None).cast("double")
     debt = ac.debt_candidates(risk.aged(spark, d), END).select("client_id", F.lit("debt_followup").alias("task_type"), ac.debt_urgency(F.col("days_past")).alias("u"), "overdue")
-    re = reorders(spark, d).groupBy("client_id").agg(F.max(ac.reorder_urgency(F.col("elapsed_days"), F.col("cycle_days"))).alias("u")).select("client_id", F.lit("reorder_due").alias("task_type"), "u", none.alias("overdue"))
-    churn = ac.churn_candidates(past(spark, d), END).select("client_id", F.lit("churn_winback").alias("task_type"), ac.churn_urgency(F.col("recent_orders") / F.col("prior_orders"), F.col("silence_days")).alias("u"), none.alias("overdue"))
-    df = debt.unionByName(re).unionByName(churn).join(owner, "client_id").join(feats, "client_id", "left").fillna(0.0, ["monetary"]).fillna(0, ["order_count"])
+    re = reorders(spark, d).groupBy("client_id").agg(F.max(ac.reorder_urgency(F.col("elapsed_days"), F.col("cycle_days"))).alias("u"), F.max("n_orders").alias("n_orders")).withColumn("task_type", F.lit("reorder_due"))
+    churn = ac.churn_candidates(past(spark, d), END).select("client_id", F.lit("churn_winback").alias("task_type"), ac.churn_urgency(F.col("recent_orders") / F.col("prior_orders"), F.col("silence_days")).alias("u"), "prior_orders")
+    cross = discoveries(spark, d).groupBy("client_id").agg(F.max("score").alias("top_score")).select("client_id", F.lit("cross_sell").alias("task_type"), ac.cross_sell_urgency(F.col("top_score")).alias("u"), "top_score")
+    df = debt
+    for part in (re, churn, cross):
+        df = df.unionByName(part, allowMissingColumns=True)
+    df = df.join(owner, "client_id").join(feats, "client_id", "left").fillna(0.0, ["monetary"]).fillna(0, ["order_count"])
     ev = ac.expected_value(F.col("task_type"), F.col("monetary"), F.col("order_count"), F.col("overdue"))
-    df = df.withColumns({"urgency": ac.urgency_band(F.col("u")), "priority": ac.priority(F.col("u"), F.col("monetary") / (F.col("monetary") + 6000.0), F.lit(0.5)), "ev_score": F.round(ev * F.col("u"), 2)})
-    return df.select("manager_id", "client_id", "task_type", F.round("u", 4).alias("u"), "urgency", "priority", "ev_score")
+    worth = saturation(F.when(F.col("task_type") == "debt_followup", F.col("overdue")).otherwise(F.col("monetary")), 6000.0)
+    sure = ac.legacy_confidence(F.col("task_type"), F.col("n_orders"), F.col("prior_orders"), F.col("top_score"))
+    df = df.withColumns({"urgency": ac.urgency_band(F.col("u")), "priority": F.round(ac.priority(F.col("u"), worth, sure) + 1e-9, 2), "ev_score": ac.rounded(ev * F.col("u"), 2)})
+    return df.select("manager_id", "client_id", "task_type", ac.rounded(F.col("u"), 4).alias("u"), "urgency", "priority", "ev_score")
+
+
+#: The same candidates in SQL. urgency: debt .6 + .4 d / (d + 60), reorder .3 + .25 (ratio - 1), churn .6 drop + .4 s / (s + 120),
+#: cross-sell .3 + .5 score; bands .85 / .6 / .3; priority .5 u + .3 value / (value + 6000) + .2 confidence.
+TASKS = {
+    **T,
+    "own_groups": "SELECT DISTINCT client_id, group_id FROM past_sales",
+    "group_deg": "SELECT group_id, count(*) AS deg FROM own_groups GROUP BY 1",
+    "group_sim": "SELECT seed, cand, co / sqrt(CAST(x.deg AS DOUBLE) * y.deg) AS sim FROM (SELECT a.group_id AS seed, b.group_id AS cand, count(*) AS co FROM own_groups a JOIN own_groups b ON a.client_id = b.client_id AND a.group_id <> b.group_id GROUP BY 1, 2 HAVING count(*) >= 2) JOIN group_deg x ON x.group_id = seed JOIN group_deg y ON y.group_id = cand",
+    "group_score": "SELECT o.client_id, cand AS group_id, sum(sim) AS score FROM own_groups o JOIN group_sim ON seed = o.group_id GROUP BY 1, 2",
+    "found": """SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY client_id ORDER BY share DESC, group_id) AS rank FROM (SELECT s.client_id, s.group_id, round(score / max(score) OVER (PARTITION BY s.client_id), 9) AS share FROM group_score s
+      WHERE NOT EXISTS (SELECT 1 FROM own_groups o WHERE o.client_id = s.client_id AND o.group_id = s.group_id)) WHERE share >= 0.05::DOUBLE AND client_id IN (SELECT client_id FROM valid_sales WHERE created >= DATE '1999-07-01' AND created < DATE '2000-01-01')) WHERE rank <= 5""",
+    "urged": """SELECT client_id, 'debt_followup' AS task_type, CASE WHEN max(od) <= 0 THEN 0 ELSE 0.6::DOUBLE + 0.4::DOUBLE * (max(od) / (max(od) + 60)) END AS u, sum(eur) AS overdue, 1.0::DOUBLE AS sure FROM aged WHERE od > 0 AND date_diff('day', created, DATE '2000-01-01') <= 365 GROUP BY 1 HAVING sum(eur) >= 10
+      UNION ALL SELECT client_id, 'reorder_due', max(greatest(0, least(1, 0.3::DOUBLE + 0.25::DOUBLE * (elapsed_days / cycle_days - 1)))), NULL, least(1, 0.4::DOUBLE + 0.1::DOUBLE * max(n_orders)) FROM reorders GROUP BY 1
+      UNION ALL SELECT client_id, 'churn_winback', 0.6::DOUBLE * (1 - recent_orders / prior_orders) + 0.4::DOUBLE * CASE WHEN silence_days > 0 THEN silence_days / (silence_days + 120) ELSE 0 END, NULL, least(1, 0.5::DOUBLE + 0.05::DOUBLE * prior_orders) FROM churn
+      UNION ALL SELECT client_id, 'cross_sell', 0.3::DOUBLE + 0.5::DOUBLE * max(share), NULL, max(share) FROM found GROUP BY 1""",
+    "spent": "SELECT client_id, CAST(sum(amount) AS DOUBLE) AS monetary, count(DISTINCT order_id) AS order_count FROM year_sales GROUP BY 1",
+    "task": """SELECT manager_id, client_id, task_type, round(u + 0.000000001::DOUBLE, 4) AS u, CASE WHEN u >= 0.85 THEN 'critical' WHEN u >= 0.6 THEN 'high' WHEN u >= 0.3 THEN 'normal' ELSE 'low' END AS urgency, round(round(100 * greatest(0, least(1, 0.5::DOUBLE * u + 0.3::DOUBLE * (worth / (worth + 6000)) + 0.2::DOUBLE * sure)), 2) + 0.000000001::DOUBLE, 2) AS priority,
+      round(ev * u + 0.000000001::DOUBLE, 2) AS ev_score FROM (SELECT c_nationkey AS manager_id, x.client_id, task_type, u, sure, CASE task_type WHEN 'debt_followup' THEN overdue ELSE coalesce(monetary, 0) END AS worth,
+        CASE task_type WHEN 'debt_followup' THEN overdue WHEN 'churn_winback' THEN coalesce(monetary, 0) ELSE CASE WHEN order_count > 0 THEN monetary / order_count ELSE 0 END END AS ev FROM urged x JOIN customer ON c_custkey = x.client_id LEFT JOIN spent s ON s.client_id = x.client_id)""",
+    "inbox": """SELECT *, CAST(row_number() OVER (PARTITION BY manager_id ORDER BY CASE urgency WHEN 'critical' THEN 0 WHEN 'high' THEN 1 WHEN 'normal' THEN 2 ELSE 3 END, ev_score DESC, CASE task_type WHEN 'debt_followup' THEN 0 WHEN 'reorder_due' THEN 1 WHEN 'churn_winback' THEN 2 ELSE 3 END, priority DESC, client_id, task_type) AS INTEGER) AS rank FROM task""",
+    # The task log's key is user:k; k mod 4 is the type.
+    "logged": """SELECT *, CAST(user_id AS BIGINT) AS client_id, list_extract(['debt_followup', 'reorder_due', 'churn_winback', 'cross_sell'], CAST(k % 4 + 1 AS INTEGER)) AS task_type FROM (SELECT user_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k, ts AS "at", event_type FROM events)""",
+    "turned_down": """SELECT client_id, task_type, count(*) AS n FROM logged WHERE event_type NOT IN ('signup', 'view', 'click', 'purchase') AND "at" > (SELECT max("at") FROM logged) - INTERVAL 90 DAY GROUP BY 1, 2""",
+    "seats": """SELECT manager_id, task_type, CAST(f + CAST(row_number() OVER (PARTITION BY manager_id ORDER BY f - ideal, share DESC, task_type) <= 50 - sum(f) OVER (PARTITION BY manager_id) AS INTEGER) AS INTEGER) AS seats FROM (SELECT *, CAST(floor(ideal) AS INTEGER) AS f FROM
+      (SELECT *, share / sum(share) OVER (PARTITION BY manager_id) * 50 AS ideal FROM (SELECT DISTINCT manager_id, task_type, CASE task_type WHEN 'debt_followup' THEN 0.40 WHEN 'reorder_due' THEN 0.27 WHEN 'churn_winback' THEN 0.16 ELSE 0.17 END::DOUBLE AS share FROM task)))""",
+}
 
 
-@P.add("n5_n6_n12_task_candidates")
+@P.add("n4_cross_sell_candidates", "SELECT client_id, group_id, round(share, 4) AS score, CAST(rank AS INTEGER) AS rank FROM found", **TASKS)
+def n4(spark, d):
+    return discoveries(spark, d).select("client_id", "group_id", F.round("score", 4).alias("score"), "rank")
+
+
+@P.add("n5_n6_n12_task_candidates", "SELECT * FROM task", **TASKS)
 def n5(spark, d):
     return tasks(spark, d)
 
 
-@P.add("w8_inbox_order")
+@P.add("w8_inbox_order", "SELECT manager_id, client_id, task_type, rank FROM inbox", **TASKS)
 def w8(spark, d):
     return ac.inbox(tasks(spark, d)).select("manager_id", "client_id", "task_type", "rank")
 
 
-@P.add("a45_type_by_urgency", None)
+@P.add("a45_type_by_urgency", "SELECT task_type, " + ", ".join(f"count(*) FILTER (urgency = '{u}') AS {u}" for u in ac.URGENCY_RANK) + " FROM task GROUP BY 1", **TASKS)
 def a45(spark, d):
     return tasks(spark, d).groupBy("task_type").pivot("urgency", list(ac.URGENCY_RANK)).count().fillna(0)
 
 
-@P.add("a46_head_dashboard")
+@P.add("a46_head_dashboard", "SELECT coalesce(manager_id, -1) AS manager_id, count(*) AS open, count(*) FILTER (urgency = 'critical') AS critical, round(sum(ev_score), 2) AS at_risk FROM task GROUP BY ROLLUP (manager_id)", **TASKS)
 def a46(spark, d):
-    return tasks(spark, d).rollup("manager_id").agg(F.count(F.lit(1)).alias("open"), F.sum((F.col("urgency") == "critical").cast("long")).alias("critical"), F.round(F.sum("ev_score"), 2).alias("at_risk"))
+    """By manager and, under -1, in total."""
+    agg = tasks(spark, d).rollup("manager_id").agg(F.count(F.lit(1)).alias("open"), F.sum((F.col("urgency") == "critical").cast("long")).alias("critical"), F.round(F.sum("ev_score"), 2).alias("at_risk"))
+    return agg.withColumn("manager_id", F.coalesce("manager_id", F.lit(-1)))
 
 
-@P.add("a55_top_ten_mix")
+@P.add("a55_top_ten_mix", "SELECT manager_id, " + ", ".join(f"count(*) FILTER (task_type = '{t}') AS {t}" for t in ac.TYPE_RANK) + " FROM inbox WHERE rank <= 10 GROUP BY 1", **TASKS)
 def a55(spark, d):
     return ac.inbox(tasks(spark, d)).where("rank <= 10").groupBy("manager_id").pivot("task_type", list(ac.TYPE_RANK)).count().fillna(0)
 
 
-def quotas(spark, d):
-    shares = spark.createDataFrame([("debt_followup", 0.35), ("reorder_due", 0.25), ("churn_winback", 0.15), ("cross_sell", 0.15)], "task_type string, share double")
-    return ac.type_quotas(tasks(spark, d), shares, 50)
+@P.add("n15_type_quotas", "SELECT * FROM seats", **TASKS)
+def n15(spark, d):
+    return ac.type_quotas(tasks(spark, d))
+
 
+def logged(spark, d):
+    """The task log with client and type: the key is user:k, k mod 4 the type."""
+    k = F.substring_index("task_key", ":", -1).cast("long") % 4
+    kinds = F.array(*[F.lit(t) for t in ac.SIGNALS])
+    return c.task_events(spark, d).withColumns({"client_id": F.col("by"), "task_type": F.get(kinds, k.cast("int"))})
 
-@P.add("n15_type_quotas")
-def n15(spark, d):
-    return quotas(spark, d)
+
+def rejections(spark, d, days=ac.FEEDBACK_DAYS):
+    log = logged(spark, d)
+    now = log.agg(F.max("at").alias("now"))
+    return log.where("kind = 'dismissed'").join(F.broadcast(now)).where(F.col("at") > F.col("now") - F.make_dt_interval(F.lit(days))).groupBy("client_id", "task_type").agg(F.count(F.lit(1)).alias("n"))
+
+
+@P.add("n16_rejections", "SELECT * FROM turned_down", **TASKS)
+def n16(spark, d):
+    return rejections(spark, d)
+
+
+def boosted(spark, d):
+    shipped, paid = targets(spark, d)
+    share = lambda name: F.when(F.col("expected") > 0, F.greatest(F.lit(0.0), F.col("gap")) / F.col("expected")).otherwise(0.0).alias(name)
+    pace = shipped.select("manager_id", share("shipped_behind")).join(paid.select("manager_id", share("paid_behind")), "manager_id", "full_outer")
+    return ac.adjusted(tasks(spark, d), pace, rejections(spark, d))
+
+
+@P.add(
+    "n14_pace_and_feedback",
+    """SELECT manager_id, client_id, task_type, least(100, round(p * penalty + 0.000000001::DOUBLE, 2)) AS priority, round(e * penalty + 0.000000001::DOUBLE, 4) AS ev_score FROM (SELECT t.manager_id, t.client_id, t.task_type, least(100, round(priority * lift + 0.000000001::DOUBLE, 2)) AS p, round(ev_score * lift + 0.000000001::DOUBLE, 4) AS e, greatest(0.5::DOUBLE, 1 - 0.15::DOUBLE * coalesce(n, 0)) AS penalty FROM
+      (SELECT t.*, 1 + least(1, coalesce(CASE WHEN task_type IN ('reorder_due', 'cross_sell') THEN CASE WHEN s.expected > 0 THEN greatest(0, s.gap) / s.expected ELSE 0 END WHEN task_type = 'debt_followup' THEN CASE WHEN q.expected > 0 THEN greatest(0, q.gap) / q.expected ELSE 0 END END, 0)) * 0.25::DOUBLE AS lift
+       FROM task t LEFT JOIN pace_shipped s ON s.manager_id = t.manager_id LEFT JOIN pace_paid q ON q.manager_id = t.manager_id) t LEFT JOIN turned_down r ON r.client_id = t.client_id AND r.task_type = t.task_type)""",
+    **TASKS,
+    **PACE,
+)
+def n14(spark, d):
+    return boosted(spark, d).select("manager_id", "client_id", "task_type", "priority", "ev_score")
+
+
+def admission_inputs(spark, d):
+    """Candidates, seats, active tasks and muted pairs from the task log."""
+    candidates = checkpointed(boosted(spark, d))
+    log = logged(spark, d)
+    owner = c.read(spark, d, "customer").select(F.col("c_custkey").alias("client_id"), F.col("c_nationkey").alias("manager_id"))
+    state = ac.fold_events(log).where(~F.coalesce("status", F.lit("open")).isin(*ac.TERMINAL)).select("task_key")
+    active = log.select("task_key", "client_id", "task_type").distinct().join(state, "task_key", "left_semi").select("client_id", "task_type").distinct().join(owner, "client_id")
+    return candidates, ac.type_quotas(candidates), active, rejections(spark, d, ac.MUTE_DAYS).select("client_id", "task_type")
 
 
 @P.add("n17_admission")
 def n17(spark, d):
-    return ac.admit(ac.inbox(tasks(spark, d)), quotas(spark, d), 50)
+    return ac.admit(*admission_inputs(spark, d))
 
 
 @P.add(
@@ -104,12 +203,12 @@ def a44(spark, d):
     return ac.throughput(c.task_events(spark, d).withColumnRenamed("kind", "status")).select(F.coalesce("manager_id", F.lit(-1)).alias("manager_id"), "active", "done", "dismissed", "revenue")
 
 
-@P.add(
-    "z1_fold_task_events",
-    """SELECT task_key, nullif(f.status, '') AS status, CAST(f.rejected AS INTEGER) AS rejected, CAST(len(e) AS INTEGER) AS n_events FROM (SELECT task_key, e, list_reduce(list_prepend({'kind': '', 'status': '', 'rejected': 0}, list_transform(e, lambda k: {'kind': k, 'status': k, 'rejected': 0})), lambda a, x: CASE WHEN
+FOLDED = """SELECT task_key, nullif(f.status, '') AS status, CAST(f.rejected AS INTEGER) AS rejected, CAST(len(e) AS INTEGER) AS n_events FROM (SELECT task_key, e, list_reduce(list_prepend({'kind': '', 'status': '', 'rejected': 0}, list_transform(e, lambda k: {'kind': k, 'status': k, 'rejected': 0})), lambda a, x: CASE WHEN
       (a.status = '' AND x.kind IN ('generated', 'open')) OR (a.status = 'generated' AND x.kind = 'open') OR (a.status = 'open' AND x.kind IN ('in_progress', 'done', 'snoozed', 'dismissed')) OR (a.status = 'in_progress' AND x.kind IN ('done', 'snoozed', 'dismissed', 'open')) OR (a.status = 'snoozed' AND x.kind IN ('open', 'dismissed'))
-      THEN {'kind': x.kind, 'status': x.kind, 'rejected': a.rejected} ELSE {'kind': x.kind, 'status': a.status, 'rejected': a.rejected + 1} END) AS f FROM (SELECT task_key, list(kind ORDER BY "at", event_id) AS e FROM task_events GROUP BY 1))""",
-)
+      THEN {'kind': x.kind, 'status': x.kind, 'rejected': a.rejected} ELSE {'kind': x.kind, 'status': a.status, 'rejected': a.rejected + 1} END) AS f FROM (SELECT task_key, list(kind ORDER BY "at", event_id) AS e FROM task_events GROUP BY 1))"""
+
+
+@P.add("z1_fold_task_events", FOLDED)
 def z1(spark, d):
     return ac.fold_events(c.task_events(spark, d)).select("task_key", "status", "rejected", "n_events")
 
@@ -121,28 +220,70 @@ def z2(spark, d):
     return daily_throughput(c.task_events(spark, d)).select("manager_id", F.date_format("day.start", "yyyy-MM-dd").alias("day"), "n", "done", F.coalesce("revenue", F.lit(0)).cast("double").alias("revenue"))
 
 
-@P.add("z3_live_negatives", """SELECT task_key, strftime(max("at"), '%Y-%m-%d %H:%M:%S.%f') AS last FROM task_events WHERE kind = 'dismissed' GROUP BY 1 HAVING max("at") >= (SELECT max("at") FROM task_events) - INTERVAL 20 DAY""")
+@P.add("z3_live_negatives", """SELECT task_key, strftime(max("at"), '%Y-%m-%d %H:%M:%S.%f') AS last FROM task_events WHERE kind = 'dismissed' GROUP BY 1 HAVING max("at") >= (SELECT max("at") FROM task_events) - INTERVAL 90 DAY""")
 def z3(spark, d):
+    """The batch twin of the streaming job: dismissals without repeats, of the 90 days before the newest event."""
+    from tidemark.streaming.jobs import live_negatives
+
     ev = c.task_events(spark, d)
     now = ev.agg(F.max("at").alias("now"))
-    last = ev.where("kind = 'dismissed'").groupBy("task_key").agg(F.max("at").alias("last")).join(F.broadcast(now)).where(F.col("last") >= F.col("now") - F.expr("interval 20 days"))
+    last = live_negatives(ev).groupBy("task_key").agg(F.max("at").alias("last")).join(F.broadcast(now)).where(F.col("last") >= F.col("now") - F.expr("interval 90 days"))
     return last.select("task_key", F.date_format("last", "yyyy-MM-dd HH:mm:ss.SSSSSS").alias("last"))
 
 
-@P.add("n16_rejections", "SELECT manager_id, task_key, count(*) AS n FROM task_events WHERE kind = 'dismissed' GROUP BY 1, 2")
-def n16(spark, d):
-    return c.task_events(spark, d).where("kind = 'dismissed'").groupBy("manager_id", "task_key").agg(F.count(F.lit(1)).alias("n"))
+@P.add(
+    "z2_weekly_throughput",
+    """SELECT manager_id, CAST(w AS VARCHAR) AS week, count(*) AS n, CAST(count(*) FILTER (kind = 'done') AS BIGINT) AS done FROM (SELECT manager_id, kind, unnest(list_transform(range(0, 7), lambda i: CAST("at" AS DATE) - CAST(i AS INTEGER))) AS w FROM task_events) GROUP BY 1, 2""",
+)
+def z2_week(spark, d):
+    from tidemark.streaming.jobs import weekly_throughput
 
+    return weekly_throughput(c.task_events(spark, d)).select("manager_id", F.date_format("week.start", "yyyy-MM-dd").alias("week"), "n", "done")
 
-@P.add("n18_task_upsert")
+
+@P.add(
+    "n18_task_upsert",
+    """SELECT coalesce(o.task_key, n.task_key) AS task_key, coalesce(o.status, 'generated') AS status, CASE WHEN o.task_key IS NOT NULL AND (o.status IN ('done', 'dismissed') OR n.task_key IS NULL) THEN 1.0::DOUBLE ELSE n.priority END AS priority FROM
+    (SELECT task_key, coalesce(status, 'open') AS status FROM folded) o FULL JOIN (SELECT CAST(client_id AS VARCHAR) || ':7' AS task_key, max(priority) AS priority FROM task GROUP BY 1) n ON o.task_key = n.task_key""",
+    **TASKS,
+    folded=FOLDED,
+)
 def n18(spark, d):
     old = ac.fold_events(c.task_events(spark, d)).select("task_key", F.coalesce("status", F.lit("open")).alias("status"), F.lit(1.0).alias("priority"))
     new = tasks(spark, d).select(F.concat_ws(":", F.col("client_id").cast("string"), F.lit("7")).alias("task_key"), "priority").groupBy("task_key").agg(F.max("priority").alias("priority"))
     return ac.upsert(old, new)
 
 
-@P.add("n19_nightly_sweep")
+@P.add(
+    "n19_nightly_sweep",
+    """SELECT status, count(*) AS n, CAST(sum(CAST(late AS INTEGER)) AS BIGINT) AS late, CAST(sum(CAST(late AND n_events > 1 AS INTEGER)) AS BIGINT) AS escalated FROM (SELECT coalesce(f.status, 'open') AS status, n_events, coalesce(f.status, 'open') NOT IN ('done', 'dismissed') AND last + INTERVAL 3 DAY < TIMESTAMP '2024-01-20' AS late,
+    coalesce(f.status, 'open') NOT IN ('done', 'dismissed') AND last + INTERVAL 14 DAY < TIMESTAMP '2024-01-20' AS over FROM folded f JOIN (SELECT task_key, max("at") AS last FROM task_events GROUP BY 1) l ON l.task_key = f.task_key) WHERE NOT over GROUP BY 1""",
+    folded=FOLDED,
+)
 def n19(spark, d):
     ev = ac.fold_events(c.task_events(spark, d)).join(c.task_events(spark, d).groupBy("task_key").agg(F.max("at").alias("at")), "task_key")
     rows = ev.select("task_key", F.coalesce("status", F.lit("open")).alias("status"), (F.col("at") + F.expr("interval 3 days")).alias("due_date"), F.lit(None).cast("timestamp").alias("snooze_until"), (F.col("at") + F.expr("interval 14 days")).alias("expires_at"), F.when(F.col("n_events") > 1, "high").otherwise("normal").alias("urgency"))
     return ac.sweep(rows, "2024-01-20 00:00:00").groupBy("status").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("sla_breached").cast("long")).alias("late"), F.sum(F.col("escalated").cast("long")).alias("escalated"))
+
+
+@P.add("n21_ranking_backfill", "SELECT client_id, task_type, round(priority / 100 + 0.000000001::DOUBLE, 6) AS p_outcome, round(ev + 0.000000001::DOUBLE, 2) AS expected_value, round(round(priority / 100 + 0.000000001::DOUBLE, 6) * round(ev + 0.000000001::DOUBLE, 2) + 0.000000001::DOUBLE, 4) AS ev_score FROM (SELECT t.client_id, t.task_type, priority, CASE t.task_type WHEN 'debt_followup' THEN overdue WHEN 'churn_winback' THEN coalesce(monetary, 0) ELSE CASE WHEN order_count > 0 THEN monetary / order_count ELSE 0 END END AS ev FROM task t JOIN urged u ON u.client_id = t.client_id AND u.task_type = t.task_type LEFT JOIN spent s ON s.client_id = t.client_id)", **TASKS)
+def n21(spark, d):
+    """Tasks as they were before ranking fields were kept: all three are filled from priority and signals."""
+    feats = sales.client_features(year(spark, d), END).select("client_id", "monetary", "order_count")
+    owed = ac.debt_candidates(risk.aged(spark, d), END).select("client_id", F.col("overdue").alias("overdue_amount"))
+    none = F.lit(None).cast("double")
+    old = tasks(spark, d).select("client_id", "task_type", "priority").join(feats, "client_id", "left").join(owed, "client_id", "left").withColumns({"p_outcome": none, "expected_value": none, "ev_score": none})
+    return ac.ranking_backfill(old).select("client_id", "task_type", "p_outcome", "expected_value", "ev_score")
+
+
+@P.add("n22_escalation_queue", "SELECT manager_id, client_id, task_type, urgency, CAST(r AS INTEGER) AS rank, critical FROM (SELECT *, row_number() OVER (PARTITION BY manager_id ORDER BY rank) AS r, count(*) FILTER (urgency = 'critical') OVER (PARTITION BY manager_id) AS critical FROM inbox WHERE urgency IN ('critical', 'high')) WHERE r <= 100", **TASKS)
+def n22(spark, d):
+    """The first hundred urgent tasks of a manager, with the manager's number of critical ones."""
+    urgent = tasks(spark, d).where("urgency in ('critical', 'high')")
+    counts = urgent.groupBy("manager_id").agg(F.sum((F.col("urgency") == "critical").cast("long")).alias("critical"))
+    return ac.inbox(urgent).where("rank <= 100").join(counts, "manager_id").select("manager_id", "client_id", "task_type", "urgency", "rank", "critical")
+
+
+@P.add("w10_backlog_trim", "SELECT manager_id, client_id, task_type, rank FROM inbox WHERE rank > 40 AND urgency IN ('normal', 'low')", **TASKS)
+def w10(spark, d):
+    return ac.inbox(tasks(spark, d)).where((F.col("rank") > 40) & F.col("urgency").isin("normal", "low")).select("manager_id", "client_id", "task_type", "rank")

@@ -282,24 +282,12 @@ def n10(spark, d):
     return lines.groupBy(F.col("m").cast("string").alias("vintage")).agg(F.countDistinct("client_id").alias("n_clients"))
 
 
-@P.add("n14_feedback_penalty")
-def n14(spark, d):
-    rejected = c.task_events(spark, d).where("kind = 'dismissed'").groupBy("manager_id").agg(F.count(F.lit(1)).alias("k")).withColumn("manager_id", F.col("manager_id").cast("int"))
-    factor = F.greatest(F.lit(0.5), 1.0 - 0.001 * F.coalesce("k", F.lit(0)))
-    return actions.tasks(spark, d).join(rejected, "manager_id", "left").select("manager_id", "client_id", "task_type", F.round(F.col("priority") * factor, 2).alias("priority"))
-
-
 @P.add("n20_muted_tasks", """SELECT task_key, CAST(CAST(max("at") AS DATE) + 30 AS VARCHAR) AS muted_until FROM task_events WHERE kind = 'dismissed' GROUP BY 1""")
 def n20(spark, d):
     last = c.task_events(spark, d).where("kind = 'dismissed'").groupBy("task_key").agg(F.max("at").alias("at"))
     return last.select("task_key", F.date_add(F.to_date("at"), 30).cast("string").alias("muted_until"))
 
 
-@P.add("n22_escalation_queue")
-def n22(spark, d):
-    return ac.inbox(actions.tasks(spark, d).where("urgency in ('critical', 'high')")).where("rank <= 25").select("manager_id", "client_id", "task_type", "urgency", "rank")
-
-
 @P.add(
     "w9_board_page",
     "SELECT task_key, status, total FROM (SELECT task_key, kind AS status, count(*) OVER () AS total FROM (SELECT task_key, max_by(kind, event_id) AS kind FROM task_events GROUP BY 1)) ORDER BY (status = 'in_progress') DESC, task_key LIMIT 50 OFFSET 100",
@@ -308,9 +296,3 @@ def w9(spark, d):
     last = c.task_events(spark, d).groupBy("task_key").agg(F.max_by("kind", "event_id").alias("status"))
     total = last.agg(F.count(F.lit(1)).alias("total"))
     return last.orderBy(F.desc(F.col("status") == "in_progress"), "task_key").offset(100).limit(50).join(F.broadcast(total)).select("task_key", "status", "total")
-
-
-@P.add("w10_backlog_trim")
-def w10(spark, d):
-    ranked = ac.inbox(actions.tasks(spark, d))
-    return ranked.where((F.col("rank") > 40) & F.col("urgency").isin("normal", "low")).select("manager_id", "client_id", "task_type", "rank")

@@ -8,6 +8,7 @@ from tidemark.functions import columns as col
 from tidemark.operators import sales, timeseries as ts
 from tidemark.plans.base import Plans
 from tidemark.plans.sales import END, past, valid, year
+from tidemark.sources import canonical as c
 
 P = Plans()
 MONTHS = 24
@@ -241,19 +242,36 @@ def t19(spark, d):
     return year_units.select("product_id", ts.lifecycle(F.col("series"), sold).alias("lifecycle"))
 
 
-@P.add(
-    "t20_run_rate_targets",
-    """SELECT manager_id, round(target, 2) AS target, round(target / 26 * 13, 2) AS expected, coalesce(mtd, 0.0::DOUBLE) AS mtd,
-    CASE WHEN target / 26 * 13 <= 0 THEN 'on' WHEN coalesce(mtd, 0.0::DOUBLE) / (target / 26 * 13) >= 1.05 THEN 'ahead' WHEN coalesce(mtd, 0.0::DOUBLE) / (target / 26 * 13) < 0.95 THEN 'behind' ELSE 'on' END AS status FROM
-    (SELECT manager_id, sum(x) / count(*) AS target FROM (SELECT manager_id, x, row_number() OVER (PARTITION BY manager_id ORDER BY ym DESC) AS r FROM (SELECT manager_id, strftime(created, '%Y-%m') AS ym, CAST(sum(amount) AS DOUBLE) AS x FROM past_sales GROUP BY 1, 2)) WHERE r <= 3 GROUP BY 1)
-    LEFT JOIN (SELECT manager_id, CAST(sum(amount) AS DOUBLE) AS mtd FROM valid_sales WHERE created >= DATE '2000-01-01' AND created <= DATE '2000-01-15' GROUP BY 1) USING (manager_id)""",
-)
-def t20(spark, d):
+def pace_sql(monthly: str, mtd: str) -> str:
+    """Working days of January 2000 without Sundays: 26, of which 13 up to the 15th."""
+    return f"""SELECT manager_id, round(target, 2) AS target, round(mtd, 2) AS mtd, round(target / 26 * 13, 2) AS expected, round(target / 26 * 13 - mtd, 2) AS gap, round(greatest(target - mtd, 0) / 13, 2) AS today_needed, round(CASE WHEN target > 0 THEN 100 * mtd / target ELSE 0 END, 1) AS attainment,
+    CASE WHEN target <= 0 THEN 'no_target' WHEN mtd / (target / 26 * 13) >= 1.05 THEN 'ahead' WHEN mtd / (target / 26 * 13) < 0.95 THEN 'behind' ELSE 'on' END AS status FROM
+    (SELECT manager_id, target, coalesce(mtd, 0.0::DOUBLE) AS mtd FROM (SELECT manager_id, sum(x) / count(*) AS target FROM (SELECT manager_id, x, row_number() OVER (PARTITION BY manager_id ORDER BY ym DESC) AS r FROM ({monthly})) WHERE r <= 3 GROUP BY 1) LEFT JOIN ({mtd}) USING (manager_id))"""
+
+
+PACE = {
+    "pace_shipped": pace_sql("SELECT manager_id, strftime(created, '%Y-%m') AS ym, CAST(sum(amount) AS DOUBLE) AS x FROM past_sales GROUP BY 1, 2", "SELECT manager_id, CAST(sum(amount) AS DOUBLE) AS mtd FROM valid_sales WHERE created >= DATE '2000-01-01' AND created <= DATE '2000-01-15' GROUP BY 1"),
+    "eur_paid": "SELECT p.*, CAST(amount AS DOUBLE) * coalesce(f.rate, 1.0::DOUBLE) AS eur FROM payments p ASOF LEFT JOIN fx_rates f ON p.currency_id = f.currency_id AND p.from_date >= f.valid_from",
+    "pace_paid": pace_sql("SELECT manager_id, strftime(from_date, '%Y-%m') AS ym, round(sum(eur), 4) AS x FROM eur_paid WHERE from_date < DATE '2000-01-01' GROUP BY 1, 2", "SELECT manager_id, round(sum(eur), 4) AS mtd FROM eur_paid WHERE from_date >= DATE '2000-01-01' AND from_date <= DATE '2000-01-15' GROUP BY 1"),
+}
+
+
+def targets(spark, d):
+    """Shipped and paid targets of every manager in the middle of January."""
+    from tidemark.operators.risk import to_eur
+
     today, first = F.lit("2000-01-15").cast("date"), F.lit("2000-01-01").cast("date")
-    target = ts.run_rate(sales.monthly(past(spark, d), ["manager_id"], "amount", "eur"), "manager_id", "eur", "2000-01")
-    mtd = valid(spark, d).where((F.col("created") >= first) & (F.col("created") <= today)).groupBy("manager_id").agg(F.sum("amount").cast("double").alias("mtd"))
-    expected = F.col("target") / col.working_days(first, F.last_day(first)) * col.working_days(first, today)
-    df = target.join(mtd, "manager_id", "left").withColumn("mtd", F.coalesce("mtd", F.lit(0.0))).withColumn("expected", expected)
-    ratio = F.col("mtd") / F.col("expected")
-    status = F.when(F.col("expected") <= 0, "on").when(ratio >= 1.05, "ahead").when(ratio < 0.95, "behind").otherwise("on")
-    return df.select("manager_id", F.round("target", 2).alias("target"), F.round("expected", 2).alias("expected"), "mtd", status.alias("status"))
+    whole, elapsed = col.working_days(first, F.last_day(first)), col.working_days(first, today)
+    until = lambda day: (day >= first) & (day <= today)
+    mtd = valid(spark, d).where(until(F.col("created"))).groupBy("manager_id").agg(F.sum("amount").cast("double").alias("mtd"))
+    shipped = ts.pace(sales.monthly(past(spark, d), ["manager_id"], "amount", "eur"), "manager_id", "eur", mtd, "2000-01", elapsed, whole)
+    paid = to_eur(c.payments(spark, d), c.fx_rates(spark), "amount", "from_date", "eur")
+    by_month = paid.where(F.col("from_date") < first).groupBy("manager_id", F.date_format("from_date", "yyyy-MM").alias("ym")).agg(F.round(F.sum("eur"), 4).alias("eur"))
+    got = paid.where(until(F.col("from_date"))).groupBy("manager_id").agg(F.round(F.sum("eur"), 4).alias("mtd"))
+    return shipped, ts.pace(by_month, "manager_id", "eur", got, "2000-01", elapsed, whole)
+
+
+@P.add("t20_run_rate_targets", "SELECT 'shipped' AS metric, * FROM pace_shipped UNION ALL SELECT 'paid', * FROM pace_paid", **PACE)
+def t20(spark, d):
+    shipped, paid = targets(spark, d)
+    return shipped.select(F.lit("shipped").alias("metric"), "*").unionByName(paid.select(F.lit("paid").alias("metric"), "*"))

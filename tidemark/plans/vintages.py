@@ -2,14 +2,21 @@
 
 from __future__ import annotations
 
+from pyspark.ml.classification import LogisticRegression
+from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.functions import vector_to_array
+from pyspark.ml.regression import IsotonicRegression
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from tidemark.operators import pricing as pr, reco, sales, supply
-from tidemark.plans import actions, more, risk
+from tidemark.functions.columns import saturation
+from tidemark.operators import actions as ac, pricing as pr, risk as rk, sales, scorecard as sc, supply
+from tidemark.operators.ranking import first_per
+from tidemark.plans import actions, risk
 from tidemark.plans.base import Plans
 from tidemark.plans.sales import END, past, valid
 from tidemark.sources import canonical as c
+from tidemark.sources.sinks import checkpointed
 
 P = Plans()
 DATES = "SELECT CAST(DATE '1999-01-01' + to_days(CAST(i * 14 AS INTEGER)) AS DATE) AS m FROM range(0, 20) t(i)"
@@ -51,31 +58,213 @@ def c14(spark, d):
     return long.join(F.broadcast(floors), "metric").withColumn("holds", F.col("value") >= F.col("least"))
 
 
+@P.add("r10_pooled_elasticity")
+def r10(spark, d):
+    """One slope per group over its products' cells: agreement and product means are swept out by turns, then a regression."""
+    cells = sales.panel_cells(valid(spark, d).withColumn("agreement_id", F.col("region_id")))
+    groups = c.read(spark, d, "part").select(F.col("p_partkey").alias("product_id"), F.col("p_brand").alias("group_id"))
+    df = cells.join(groups, "product_id").where("qty > 0 and price > 0").select("group_id", "product_id", "agreement_id", F.ln("price").alias("x"), F.ln("qty").alias("y"))
+    return pr.pooled_slope(df, "group_id", ["product_id", "agreement_id"]).select("group_id", F.round(-F.col("slope"), 6).alias("elasticity"), "n")
+
+
+SNAPSHOTS = ac.rolling_snapshots(END, 4)
+SIGNAL_COLUMNS = [f"sig_{k}" for ks in ac.SIGNALS.values() for k in ks]
+INPUTS = ["monetary", "recency_days", "order_count", *[f"is_{t}" for t in ac.SIGNALS], *SIGNAL_COLUMNS]
+
+
+def training_rows(spark, d, snapshots=SNAPSHOTS):
+    """Candidates of the four types at each snapshot with features of the day and outcomes of the 60 days after.
+
+    The snapshot is a column: each table is joined once with the few snapshots, and all of them advance together.
+    """
+    m = F.broadcast(spark.createDataFrame([(x,) for x in snapshots], "m string").select(F.to_date("m").alias("m")))
+    last = F.date_add(F.lit(snapshots[-1]).cast("date"), ac.OUTCOME_DAYS)
+    lines = checkpointed(valid(spark, d).where(F.col("created") <= last).select("client_id", "group_id", "order_id", "created", "amount"))
+    seen = checkpointed(lines.join(m, F.col("created") < F.col("m")))
+    after = lines.join(m, (F.col("created") > F.col("m")) & (F.col("created") <= F.date_add("m", ac.OUTCOME_DAYS)))
+    bought = after.select("m", "client_id", "group_id").distinct().withColumn("hit", F.lit(1))
+    ordered = after.select("m", "client_id").distinct().withColumn("hit", F.lit(1))
+
+    per = seen.groupBy("m", "client_id", "group_id").agg(F.countDistinct("order_id").alias("n_orders"), F.min("created").alias("a"), F.max("created").alias("b")).where("n_orders >= 3 and b > a")
+    cycle, gone = F.greatest(F.datediff("b", "a") / (F.col("n_orders") - 1), F.lit(7.0)), F.datediff("m", "b")
+    due = per.select("m", "client_id", "group_id", "n_orders", cycle.alias("cycle_days"), gone.alias("elapsed_days")).where("elapsed_days between cycle_days and 3 * cycle_days")
+    reorder = due.join(bought, ["m", "client_id", "group_id"], "left").withColumns({"task_type": F.lit("reorder_due"), "overdue_ratio": F.col("elapsed_days") / F.col("cycle_days"), "u": ac.reorder_urgency(F.col("elapsed_days"), F.col("cycle_days"))})
+
+    eur = lambda t, day: rk.to_eur(t, c.fx_rates(spark), "total" if "total" in t.columns else "amount", day, "eur")
+    owed = eur(c.debt_lines(spark, d).where(F.col("created") <= last), "created").join(c.agreements(spark, d).select("client_id", "grace_days"), "client_id").join(m, F.col("created") <= F.col("m"))
+    age = F.datediff("m", "created")
+    debt = owed.where((age > F.col("grace_days")) & (age <= 365)).groupBy("m", "client_id").agg(F.sum("eur").alias("overdue_amount"), F.max(age - F.col("grace_days")).alias("days_past_terms"), F.max(age).alias("max_overdue_days"), F.count(F.lit(1)).alias("debt_lines")).where("overdue_amount >= 10")
+    paid = eur(c.payments(spark, d).where(F.col("from_date") <= last), "from_date").join(m, (F.col("from_date") > F.col("m")) & (F.col("from_date") <= F.date_add("m", ac.OUTCOME_DAYS))).groupBy("m", "client_id").agg(F.sum("eur").alias("paid"))
+    debt = debt.join(paid, ["m", "client_id"], "left").withColumns({"task_type": F.lit("debt_followup"), "hit": (F.coalesce("paid", F.lit(0.0)) >= ac.PAYDOWN * F.col("overdue_amount")).cast("int"), "u": ac.debt_urgency(F.col("days_past_terms"))}).drop("paid")
+
+    orders = seen.select("m", "client_id", "order_id", "created").distinct()
+    new, old = age <= 90, (age > 90) & (age <= 365)
+    churn = orders.groupBy("m", "client_id").agg(F.sum(new.cast("long")).alias("recent_orders"), F.sum(old.cast("long")).alias("prior_orders"), F.min(age).alias("silence_days")).where("prior_orders >= 2 and recent_orders / 90 < 0.5 * (prior_orders / 275)")
+    churn = churn.join(ordered, ["m", "client_id"], "left").withColumns({"task_type": F.lit("churn_winback"), "drop_ratio": F.col("recent_orders") / F.col("prior_orders")})
+    churn = churn.withColumn("u", ac.churn_urgency(F.col("drop_ratio"), F.col("silence_days")))
+
+    own = seen.select("m", "client_id", "group_id").distinct()
+    degree = own.groupBy("m", "group_id").agg(F.count(F.lit(1)).alias("deg"))
+    side = lambda n: own.select("m", "client_id", F.col("group_id").alias(n))
+    deg = lambda n: degree.select("m", F.col("group_id").alias(n), F.col("deg").alias(f"d_{n}"))
+    co = side("seed").join(side("cand"), ["m", "client_id"]).where("seed <> cand").groupBy("m", "seed", "cand").agg(F.count(F.lit(1)).alias("co")).where("co >= 2")
+    sim = co.join(deg("seed"), ["m", "seed"]).join(deg("cand"), ["m", "cand"]).select("m", "seed", F.col("cand").alias("group_id"), (F.col("co") / F.sqrt(F.col("d_seed") * F.col("d_cand"))).alias("sim"))
+    score = side("seed").join(sim, ["m", "seed"]).groupBy("m", "client_id", "group_id").agg(F.sum("sim").alias("s")).join(own, ["m", "client_id", "group_id"], "left_anti")
+    score = score.withColumn("score", F.round(F.col("s") / F.max("s").over(Window.partitionBy("m", "client_id")), 9)).where("score >= 0.05")
+    active = seen.where(age <= 184).select("m", "client_id").distinct()
+    found = first_per(score.join(active, ["m", "client_id"], "left_semi"), ["m", "client_id"], [F.desc("score"), F.col("group_id")], 5).join(bought, ["m", "client_id", "group_id"], "left")
+    cross = found.groupBy("m", "client_id").agg(F.max("score").alias("top_score"), F.count(F.lit(1)).alias("reco_candidates"), F.max("hit").alias("hit")).withColumn("task_type", F.lit("cross_sell"))
+    cross = cross.withColumn("u", ac.cross_sell_urgency(F.col("top_score")))
+
+    feats = seen.where(age <= 365).groupBy("m", "client_id").agg(F.sum("amount").cast("double").alias("monetary"), F.countDistinct("order_id").alias("order_count"), F.min(age).alias("recency_days"))
+    rows = reorder
+    for part in (debt, churn, cross):
+        rows = rows.unionByName(part, allowMissingColumns=True)
+    rows = rows.join(feats, ["m", "client_id"], "left")
+    worth = saturation(F.when(F.col("task_type") == "debt_followup", F.col("overdue_amount")).otherwise(F.coalesce("monetary", F.lit(0.0))), 6000.0)
+    legacy = ac.priority(F.col("u"), worth, ac.legacy_confidence(F.col("task_type"), F.col("n_orders"), F.col("prior_orders"), F.col("top_score")))
+    number = lambda k: F.coalesce(F.col(k).cast("double"), F.lit(9999.0 if k == "recency_days" else 0.0)).alias(k)
+    return rows.select(
+        F.col("m").cast("string").alias("vintage"), "task_type", "client_id", F.coalesce("group_id", F.lit("")).alias("group_id"), *map(number, ("monetary", "recency_days", "order_count")), *[(F.col("task_type") == t).cast("int").alias(f"is_{t}") for t in ac.SIGNALS],
+        *[F.coalesce(F.col(k).cast("double"), F.lit(0.0)).alias(f"sig_{k}") for ks in ac.SIGNALS.values() for k in ks], F.coalesce("hit", F.lit(0)).cast("int").alias("label"), F.round(legacy + 1e-9, 2).alias("old_priority"),
+    )
+
+
+@P.add("n10_snapshots", "SELECT strftime(DATE '1999-08-01' + to_months(CAST(i AS INTEGER)), '%Y-%m-%d') AS snapshot, (SELECT count(DISTINCT client_id) FROM past_sales WHERE created < DATE '1999-08-01' + to_months(CAST(i AS INTEGER))) AS n_clients FROM range(0, 4) t(i)")
+def n10_snapshots(spark, d):
+    """Month starts whose outcome window has closed before the as-of day, with the clients known at each."""
+    m = F.broadcast(spark.createDataFrame([(x,) for x in SNAPSHOTS], "snapshot string"))
+    return past(spark, d).select("client_id", "created").join(m, F.col("created") < F.to_date("snapshot")).groupBy("snapshot").agg(F.countDistinct("client_id").alias("n_clients"))
+
+
+ROWS = {
+    "snaps": "SELECT CAST(DATE '1999-08-01' + to_months(CAST(i AS INTEGER)) AS DATE) AS m FROM range(0, 4) t(i)",
+    "seen": "SELECT m, client_id, group_id, order_id, created, amount FROM snaps JOIN valid_sales ON created < m",
+    "later": "SELECT m, client_id, group_id FROM snaps JOIN valid_sales ON created > m AND created <= m + 60",
+    "due": """SELECT *, elapsed / cycle AS ratio FROM (SELECT m, client_id, group_id, n, greatest(date_diff('day', a, b) / (n - 1), 7.0::DOUBLE) AS cycle, date_diff('day', b, m) AS elapsed FROM (SELECT m, client_id, group_id, count(DISTINCT order_id) AS n, min(created) AS a, max(created) AS b FROM seen GROUP BY 1, 2, 3) WHERE n >= 3 AND b > a) WHERE elapsed BETWEEN cycle AND 3 * cycle""",
+    "eur_debt": "SELECT d.*, CAST(d.total AS DOUBLE) * coalesce(f.rate, 1.0::DOUBLE) AS eur, grace_days FROM debt_lines d ASOF LEFT JOIN fx_rates f ON d.currency_id = f.currency_id AND d.created >= f.valid_from JOIN agreements a ON a.client_id = d.client_id",
+    "debts": "SELECT m, client_id, sum(eur) AS overdue, max(date_diff('day', created, m) - grace_days) AS past, max(date_diff('day', created, m)) AS age, count(*) AS n FROM snaps JOIN eur_debt ON created <= m WHERE date_diff('day', created, m) > grace_days AND date_diff('day', created, m) <= 365 GROUP BY 1, 2 HAVING sum(eur) >= 10",
+    "paydown": "SELECT m, client_id, sum(CAST(amount AS DOUBLE) * coalesce(rate, 1.0::DOUBLE)) AS paid FROM snaps JOIN (SELECT p.*, f.rate FROM payments p ASOF LEFT JOIN fx_rates f ON p.currency_id = f.currency_id AND p.from_date >= f.valid_from) ON from_date > m AND from_date <= m + 60 GROUP BY 1, 2",
+    "quiet": "SELECT * FROM (SELECT m, client_id, count(*) FILTER (date_diff('day', created, m) <= 90) AS recent, count(*) FILTER (date_diff('day', created, m) BETWEEN 91 AND 365) AS prior, min(date_diff('day', created, m)) AS silence FROM (SELECT DISTINCT m, client_id, order_id, created FROM seen) GROUP BY 1, 2) WHERE prior >= 2 AND recent / 90 < 0.5::DOUBLE * (prior / 275)",
+    "held": "SELECT DISTINCT m, client_id, group_id FROM seen",
+    "degrees": "SELECT m, group_id, count(*) AS deg FROM held GROUP BY 1, 2",
+    "likes": "SELECT c.m, seed, cand, co / sqrt(CAST(x.deg AS DOUBLE) * y.deg) AS sim FROM (SELECT a.m, a.group_id AS seed, b.group_id AS cand, count(*) AS co FROM held a JOIN held b ON a.m = b.m AND a.client_id = b.client_id AND a.group_id <> b.group_id GROUP BY 1, 2, 3 HAVING count(*) >= 2) c JOIN degrees x ON x.m = c.m AND x.group_id = seed JOIN degrees y ON y.m = c.m AND y.group_id = cand",
+    "wishes": """SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY m, client_id ORDER BY share DESC, group_id) AS r FROM (SELECT m, client_id, group_id, round(s / max(s) OVER (PARTITION BY m, client_id), 9) AS share FROM (SELECT h.m, h.client_id, cand AS group_id, sum(sim) AS s FROM held h JOIN likes l ON l.m = h.m AND l.seed = h.group_id GROUP BY 1, 2, 3) w
+      WHERE NOT EXISTS (SELECT 1 FROM held o WHERE o.m = w.m AND o.client_id = w.client_id AND o.group_id = w.group_id)) WHERE share >= 0.05::DOUBLE AND (m, client_id) IN (SELECT (m, client_id) FROM seen WHERE date_diff('day', created, m) <= 184)) WHERE r <= 5""",
+    "labelled": """SELECT m, 'reorder_due' AS task_type, client_id, group_id, elapsed AS s1, ratio AS s2, CAST(EXISTS (SELECT 1 FROM later l WHERE l.m = d.m AND l.client_id = d.client_id AND l.group_id = d.group_id) AS INTEGER) AS label FROM due d
+      UNION ALL SELECT d.m, 'debt_followup', d.client_id, '', overdue, past, CAST(coalesce(paid, 0) >= 0.5::DOUBLE * overdue AS INTEGER) FROM debts d LEFT JOIN paydown p ON p.m = d.m AND p.client_id = d.client_id
+      UNION ALL SELECT m, 'churn_winback', client_id, '', recent / prior, silence, CAST(EXISTS (SELECT 1 FROM later l WHERE l.m = q.m AND l.client_id = q.client_id) AS INTEGER) FROM quiet q
+      UNION ALL SELECT m, 'cross_sell', client_id, '', max(share), count(*), max(CAST(EXISTS (SELECT 1 FROM later l WHERE l.m = w.m AND l.client_id = w.client_id AND l.group_id = w.group_id) AS INTEGER)) FROM wishes w GROUP BY 1, 3""",
+    "bases": "SELECT m, client_id, CAST(sum(amount) AS DOUBLE) AS monetary, count(DISTINCT order_id) AS order_count, min(date_diff('day', created, m)) AS recency_days FROM seen WHERE date_diff('day', created, m) <= 365 GROUP BY 1, 2",
+}
+
+
+@P.add(
+    "n8_training_set",
+    """SELECT CAST(l.m AS VARCHAR) AS vintage, task_type, l.client_id, group_id, coalesce(monetary, 0.0::DOUBLE) AS monetary, CAST(coalesce(recency_days, 9999) AS DOUBLE) AS recency_days, CAST(coalesce(order_count, 0) AS DOUBLE) AS order_count, round(s1 + 0.000000001::DOUBLE, 4) AS s1, round(s2 + 0.000000001::DOUBLE, 4) AS s2, label FROM labelled l LEFT JOIN bases b ON b.m = l.m AND b.client_id = l.client_id""",
+    **ROWS,
+)
+def n8(spark, d):
+    """The training set; of each type's signals two are shown."""
+    pair = {"reorder_due": ("elapsed_days", "overdue_ratio"), "debt_followup": ("overdue_amount", "days_past_terms"), "churn_winback": ("drop_ratio", "silence_days"), "cross_sell": ("top_score", "reco_candidates")}
+    shown = lambda i: sum((F.when(F.col("task_type") == t, F.col(f"sig_{k[i]}")).otherwise(0.0) for t, k in pair.items()), F.lit(0.0))
+    rows = training_rows(spark, d)
+    return rows.select("vintage", "task_type", "client_id", "group_id", "monetary", "recency_days", "order_count", F.round(shown(0) + 1e-9, 4).alias("s1"), F.round(shown(1) + 1e-9, 4).alias("s2"), "label")
+
+
+@P.add(
+    "n9_live_labels",
+    """SELECT task_type, client_id, round(CAST(amount AS DOUBLE), 2) AS monetary, CAST(amount > 250 AS INTEGER) AS label FROM (SELECT list_extract(['debt_followup', 'reorder_due', 'churn_winback', 'cross_sell'], CAST(CAST(json_extract_string(props, '$.k') AS BIGINT) % 4 + 1 AS INTEGER)) AS task_type, user_id AS client_id, CAST(value AS DECIMAL(18,2)) AS amount FROM events WHERE event_type = 'purchase')""",
+)
+def n9(spark, d):
+    """Finished tasks of the log as training rows: a purchase is done, and sold above 250; other ends have no outcome."""
+    log = actions.logged(spark, d).where(F.col("kind").isin("done", "dismissed"))
+    none = F.lit(None).cast("boolean")
+    tasks = log.select("task_type", "client_id", F.col("kind").alias("status"), F.struct(F.when(F.col("kind") == "done", F.col("amount") > 250).otherwise(none).alias("sold")).alias("outcome"), F.create_map(F.lit("monetary"), F.col("amount").cast("double")).alias("signals"), F.lit(50.0).alias("priority"))
+    return ac.live_rows(tasks).select("task_type", "client_id", F.round("monetary", 2).alias("monetary"), "label")
+
+
 @P.add(
     "n13_base_rates",
-    "SELECT group_id, count(*) AS n, round(avg(label), 6) AS rate FROM (SELECT r.group_id, CAST(EXISTS (SELECT 1 FROM valid_sales v WHERE v.client_id = r.client_id AND v.group_id = r.group_id AND v.created > DATE '2000-01-01' AND v.created <= DATE '2000-03-01') AS INTEGER)::DOUBLE AS label FROM reorders r) GROUP BY 1",
-    **actions.T,
+    "SELECT coalesce(task_type, 'all') AS task_type, coalesce(CAST(m AS VARCHAR), 'all') AS vintage, count(*) AS n, round(avg(label), 6) AS rate FROM labelled GROUP BY GROUPING SETS ((task_type, m), (task_type), ())",
+    **ROWS,
 )
 def n13(spark, d):
-    return more.n7(spark, d).groupBy("group_id").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg(F.col("label").cast("double")), 6).alias("rate"))
+    """Base rates by type and vintage, by type, and of all."""
+    sets = training_rows(spark, d).groupingSets([["task_type", "vintage"], ["task_type"], []], "task_type", "vintage").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("label"), 6).alias("rate"))
+    return sets.fillna("all", ["task_type", "vintage"])
 
 
-@P.add("n4_cross_sell_candidates")
-def n4(spark, d):
-    """Groups that active clients lack, by co-purchase score of at least 0.05; five per client."""
-    from tidemark.operators.ranking import first_per
+@P.add("n13_feature_report")
+def n13_features(spark, d):
+    """Coverage and single-feature AUC by type, all features in one long table."""
+    rows = training_rows(spark, d)
+    pairs = F.array(*[F.struct(F.lit(f).alias("feature"), F.round(f, 6).alias("v")) for f in ("monetary", "recency_days", "order_count", *SIGNAL_COLUMNS)])
+    counts = rows.select("task_type", "label", F.explode(pairs).alias("x")).groupBy("task_type", "x.feature", "x.v").agg(F.count(F.lit(1)).alias("n"), F.sum("label").alias("p"))
+    return rk.feature_auc(counts, ("task_type", "feature")).where("coverage > 0").select("task_type", "feature", "n", F.round("coverage", 6).alias("coverage"), F.round("auc", 6).alias("auc"))
 
-    own = reco.owned(past(spark, d), "group_id")
-    scores = reco.co_scores(own, reco.co_purchase(own, "group_id"), "group_id").join(own, ["client_id", "group_id"], "left_anti")
-    active = sales.window(valid(spark, d), "1999-07-01", END).select("client_id").distinct()
-    share = scores.withColumn("score", F.col("score") / F.max("score").over(Window.partitionBy("client_id"))).where("score >= 0.05").join(active, "client_id", "left_semi")
-    return first_per(share, ["client_id"], [F.desc("score"), F.col("group_id")], 5).select("client_id", "group_id", F.round("score", 4).alias("score"), "rank")
 
+def logit(train):
+    """A scaled logistic fit of the inputs: a function that adds p."""
+    assembler = VectorAssembler(inputCols=INPUTS, outputCol="_x")
+    model = LogisticRegression(labelCol="label", featuresCol="_x", regParam=1e-4, maxIter=100).fit(assembler.transform(train))
+    return lambda t: model.transform(assembler.transform(t)).withColumn("p", vector_to_array("probability")[1]).drop("_x", "rawPrediction", "probability", "prediction")
 
-@P.add("r10_pooled_elasticity")
-def r10(spark, d):
-    """One slope per group over its products' cells: agreement and product means are swept out by turns, then a regression."""
-    cells = sales.panel_cells(valid(spark, d).withColumn("agreement_id", F.col("region_id")))
-    groups = c.read(spark, d, "part").select(F.col("p_partkey").alias("product_id"), F.col("p_brand").alias("group_id"))
-    df = cells.join(groups, "product_id").where("qty > 0 and price > 0").select("group_id", "product_id", "agreement_id", F.ln("price").alias("x"), F.ln("qty").alias("y"))
-    return pr.pooled_slope(df, "group_id", ["product_id", "agreement_id"]).select("group_id", F.round(-F.col("slope"), 6).alias("elasticity"), "n")
+
+def calibrated(fit):
+    """The fit with an isotonic step on the predictions of folds that did not see their client."""
+
+    def whole(train):
+        held = sc.out_of_fold(train, "client_id", 2, fit).select("p", F.col("label").cast("double").alias("y"))
+        shape = VectorAssembler(inputCols=["p"], outputCol="_p")
+        iso = IsotonicRegression(labelCol="y", featuresCol="_p", predictionCol="q").fit(shape.transform(held))
+        model = fit(train)
+        return lambda t: iso.transform(shape.transform(model(t))).withColumn("p", F.col("q")).drop("q", "_p")
+
+    return whole
+
+
+MODELS = {"trees": lambda train: sc.fit_trees(train, INPUTS, "label", 15, 4), "logit": logit}
+
+
+def trained(spark, d):
+    """Metrics of both models on folds of clients and out of time, of the old priority, and by type."""
+    rows = checkpointed(training_rows(spark, d))
+    early, late = rows.where(F.col("vintage") < SNAPSHOTS[-1]), rows.where(F.col("vintage") == SNAPSHOTS[-1])
+    parts = []
+    for name, fit in MODELS.items():
+        parts.append(risk.metrics(sc.out_of_fold(rows, "client_id", 2, fit), f"{name} folds"))
+        parts.append(risk.metrics(calibrated(fit)(early)(late), f"{name} out of time"))
+    parts.append(risk.metrics(late.withColumn("p", F.col("old_priority") / 100), "old priority out of time"))
+    return risk.union(parts)
+
+
+@P.add("n11_propensity_models")
+def n11(spark, d):
+    """Trees and logistic regression: which is taken follows from out-of-time Brier and AUC."""
+    rows = trained(spark, d)
+    at = lambda m, k: F.max(F.when(F.col("model") == f"{m} out of time", F.col(k)))
+    one = rows.agg(at("trees", "auc").alias("ta"), at("logit", "auc").alias("la"), at("trees", "brier").alias("tb"), at("logit", "brier").alias("lb"))
+    trees, logits = (F.col("tb") <= F.col("lb") + 0.002) & (F.col("ta") >= F.col("la") - 0.01), (F.col("lb") < F.col("tb")) & (F.col("la") >= F.col("ta") - 0.01)
+    chosen = F.when(trees, "trees").when(logits, "logit").when(F.col("ta") >= F.col("la"), "trees").otherwise("logit")
+    return rows.join(F.broadcast(one.select(chosen.alias("production"))))
+
+
+@P.add("n23_promotion_gate")
+def n23(spark, d):
+    """The new model's out-of-time AUC against the floor and the stored one, here the old priority's."""
+    rows = trained(spark, d)
+    new = F.max(F.when(F.col("model") == "trees out of time", F.col("auc")))
+    old = F.max(F.when(F.col("model") == "old priority out of time", F.col("auc")))
+    one = rows.agg(new.alias("new_auc"), old.alias("old_auc"))
+    floor, kept = F.col("new_auc") >= ac.AUC_FLOOR, F.col("new_auc") >= F.col("old_auc") - ac.AUC_EPSILON
+    return one.select("new_auc", "old_auc", floor.alias("floor_ok"), kept.alias("regress_ok"), (floor & kept).alias("promote"))
+
+
+@P.add("n12_expected_value_by_model")
+def n12(spark, d):
+    """Probability, expected value, ranking score and priority of the newest candidates by the calibrated model."""
+    rows = checkpointed(training_rows(spark, d))
+    scored = calibrated(MODELS["logit"])(rows.where(F.col("vintage") < SNAPSHOTS[-1]))(rows.where(F.col("vintage") == SNAPSHOTS[-1]))
+    ev = ac.expected_value(F.col("task_type"), F.col("monetary"), F.col("order_count"), F.col("sig_overdue_amount"))
+    return scored.select("client_id", "task_type", "group_id", F.round("p", 6).alias("p_outcome"), F.round(ev, 2).alias("expected_value"), F.round(F.col("p") * ev, 4).alias("ev_score"), F.round(100 * F.col("p"), 2).alias("priority"))
