@@ -24,34 +24,38 @@ def _count(text: Column, ch: str) -> Column:
     return F.octet_length(text) - F.octet_length(F.replace(text, F.lit(ch), F.lit("")))
 
 
-def statistics(text: Column) -> dict[str, Column]:
-    """Statistics of one text; null counts as empty, for which all are 0. Built-in functions only."""
-    text = F.coalesce(text, F.lit(""))
-    words = F.filter(F.split(text, r"[ \t-\r]+"), lambda w: w != "")
-    n, chars = F.size(words), F.greatest(F.length(text), F.lit(1))
-    every = F.greatest(n, F.lit(1))
-    symbols = sum((_count(text, c) for c in SYMBOLS[1:]), _count(text, SYMBOLS[0]))
-    plain = F.length(text) - _count(text, " ") - _count(text, "\n")
-    again = F.size(F.filter(F.zip_with(F.slice(words, 1, F.greatest(n - 1, F.lit(0))), F.slice(words, 2, F.greatest(n - 1, F.lit(0))), lambda a, b: a == b), lambda x: x))
+def with_statistics(docs: DataFrame, keep: list[str], text_col: str = "text") -> DataFrame:
+    """The columns keep and s_*, the statistics of the text; null counts as empty, for which all are 0.
+
+    Built-in functions only. Words, and counts that several statistics use, are worked out once, in selects of their own.
+    """
+    own = [F.col(f"`{c}`").alias(f"k_{i}") for i, c in enumerate(keep)]
+    kept = [f"k_{i}" for i in range(len(keep))]
+    text = F.col("text")
+    df = docs.select(*own, F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text"))
+    df = df.select(*kept, "text", F.filter(F.split("text", r"[ \t-\r]+"), lambda w: w != "").alias("words"), F.length("text").alias("length"))
+    df = df.select(
+        *kept, "text", "words", "length", F.size("words").alias("n"), F.size(F.array_distinct("words")).alias("distinct"), F.octet_length("text").alias("bytes"), F.length(F.replace(F.replace(text, F.lit(" "), F.lit("")), F.lit("\n"), F.lit(""))).alias("plain"),
+        _count(text, "\n").alias("breaks"),
+    )
+    n, chars, every = F.col("n"), F.greatest(F.col("length"), F.lit(1)), F.greatest(F.col("n"), F.lit(1))
+    symbols = F.col("bytes") - F.octet_length(F.translate(text, SYMBOLS, ""))
+    again = F.size(F.filter(F.zip_with("words", F.slice("words", F.lit(2), F.greatest(n - 1, F.lit(0))), lambda a, b: a == b), lambda x: x))
     found = {
         "n_words": F.log1p(n.cast("double")),
-        "word_length": plain / every,
-        "distinct_share": F.size(F.array_distinct(words)) / every,
+        "word_length": F.col("plain") / every,
+        "distinct_share": F.col("distinct") / every,
         "upper_share": F.regexp_count(text, F.lit(r"\p{Lu}")) / chars,
         "digit_share": F.regexp_count(text, F.lit("[0-9]")) / chars,
         "symbol_share": symbols / chars,
         "bang_share": _count(text, "!") / chars,
         "bar_share": _count(text, "|") / chars,
-        "letter_share": F.regexp_count(text, F.lit(r"\p{L}")) / chars,
-        "line_words": n / (_count(text, "\n") + 1),
-        "stop_share": F.size(F.filter(words, lambda w: F.length(w) <= 3)) / every,
+        "letter_share": (F.col("length") - F.regexp_count(text, F.lit(r"\P{L}"))) / chars,
+        "line_words": n / (F.col("breaks") + 1),
+        "stop_share": F.size(F.filter("words", lambda w: F.length(w) <= 3)) / every,
         "repeat_share": again / every,
     }
-    return {k: v.cast("double") for k, v in found.items()}
-
-
-def with_statistics(docs: DataFrame, keep: list[str], text_col: str = "text") -> DataFrame:
-    return docs.select(*keep, *[c.alias(f"s_{k}") for k, c in statistics(F.col(text_col)).items()])
+    return df.select(*[F.col(k).alias(c) for k, c in zip(kept, keep)], *[v.cast("double").alias(f"s_{k}") for k, v in found.items()])
 
 
 @dataclass
@@ -132,7 +136,11 @@ def fit(docs: DataFrame, labels: DataFrame, most_train: int = 40_000, trees: int
 
 
 def quality_report(docs: DataFrame, labels: DataFrame, threshold: float = 0.3) -> DataFrame:
-    """doc_id, held_out, score, predicted for every document; null and empty texts score by rules that hold for zeros."""
+    """doc_id, held_out, score, predicted for every row of docs; null and empty texts score by rules that hold for zeros.
+
+    Rows without an id are not held out; repeated rows score alike; an empty table gives no rows; other columns are ignored.
+    Without labels the score is 0.5.
+    """
     model = fit(docs, labels)
     held = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 5 == 0, F.lit(False))
     scored = with_statistics(docs, ["doc_id"]).select("doc_id", held.alias("held_out"), model.score().alias("score"))
