@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from datetime import date, timedelta
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -61,27 +63,38 @@ def weighted(weights: dict[str, float]) -> Column:
     return F.round(100.0 * total / sum(weights.values()) + 1e-9, 1)
 
 
-def action() -> Column:
+def actions() -> list[tuple[Column, str, Column]]:
+    """The ordered rules: test, action and reasons; the first that holds counts."""
     band, margin = F.col("band"), F.col("margin_pct")
     strong, abc = F.col("demand_score") >= 70, _look_up(F.col("abc"), ABC)
-    return (
-        F.when(margin < 0, "fix_margin")
-        .when(F.col("return_rate") >= HIGH_RETURNS, "quality_review")
-        .when(band == "dead", "dead_stock_review")
-        .when(band == "overstock", "discount_or_redistribute")
-        .when(band == "understock", "reorder_check")
-        .when(band == "slow", "slow_mover_review")
-        .when((band == "order_to_demand") & strong, "to_order_candidate")
-        .when(strong & margin.isNull() & (abc >= 0.6), "margin_review")
-        .when(strong & margin.isNotNull() & (F.col("margin_score") >= 60) & (abc >= 0.6), "keep_push")
-        .when((F.col("lifecycle") == "declining") & (F.col("demand_score") < 50), "monitor_decline")
-        .otherwise("monitor")
-    )
+    why = lambda *names: F.array(*[F.lit(n) for n in names])
+    unsure = F.when(margin.isNull(), why("strong_to_order_demand", "unknown_margin")).otherwise(why("strong_to_order_demand"))
+    return [
+        (margin < 0, "fix_margin", why("negative_margin")),
+        (F.col("return_rate") >= HIGH_RETURNS, "quality_review", why("high_returns")),
+        (band == "dead", "dead_stock_review", why("dead_stock")),
+        (band == "overstock", "discount_or_redistribute", why("overstock")),
+        (band == "understock", "reorder_check", why("understock")),
+        (band == "slow", "slow_mover_review", why("slow_mover")),
+        ((band == "order_to_demand") & strong, "to_order_candidate", unsure),
+        (strong & margin.isNull() & (abc >= 0.6), "margin_review", why("strong_demand", "unknown_margin")),
+        (strong & margin.isNotNull() & (F.col("margin_score") >= 60) & (abc >= 0.6), "keep_push", why("strong_demand", "healthy_margin")),
+        ((F.col("lifecycle") == "declining") & (F.col("demand_score") < 50), "monitor_decline", why("declining_demand")),
+        (F.lit(True), "monitor", why("no_immediate_action")),
+    ]
+
+
+def first_rule(rules: list[tuple[Column, Column]]) -> Column:
+    out = F.lit(None)
+    for test, value in reversed(rules):
+        out = F.when(test, value).otherwise(out)
+    return out
 
 
 def portfolio(sales_year: DataFrame, sales_half: DataFrame, stock: DataFrame, returns: DataFrame, as_of: str) -> DataFrame:
     """The table of all products with stock or sales: stock, demand, margin, classes, scores and action."""
-    units = ts.densify(sales_year, "product_id", "qty", as_of, 12)
+    last = (date.fromisoformat(as_of) - timedelta(days=1)).isoformat()
+    units = ts.densify(sales_year, "product_id", "qty", last, 12, until=as_of)
     money = sales_year.groupBy("product_id").agg(F.sum("amount").cast("double").alias("amount"), F.sum("qty").cast("double").alias("sold"))
     half = sales_half.groupBy("product_id").agg(F.sum("qty").cast("double").alias("half_qty"))
     df = stock.join(units, "product_id", "full_outer").join(money, "product_id", "left").join(half, "product_id", "left").join(returns.select("product_id", "returned_qty"), "product_id", "left")
@@ -98,7 +111,9 @@ def portfolio(sales_year: DataFrame, sales_half: DataFrame, stock: DataFrame, re
     })
     df = ranking.abc_inclusive(df.withColumn("revenue_exact", F.col("revenue_eur").cast("decimal(18,2)")), "revenue_exact", "product_id")
     df = df.withColumns({"health": weighted(HEALTH_WEIGHTS), "demand_score": weighted(DEMAND_WEIGHTS), "margin_score": weighted(MARGIN_WEIGHTS)})
-    return df.withColumn("action_label", action()).select("product_id", "qty_on_hand", "eur_value", "annual_units", "revenue_eur", "margin_pct", "return_rate", "band", "xyz", "lifecycle", "abc", "health", "demand_score", "margin_score", "action_label")
+    rules = actions()
+    df = df.withColumns({"action_label": first_rule([(t, F.lit(n)) for t, n, _ in rules]), "reasons": first_rule([(t, w) for t, _, w in rules])})
+    return df.select("product_id", "qty_on_hand", "eur_value", "annual_units", "revenue_eur", "margin_pct", "return_rate", "band", "xyz", "lifecycle", "abc", "health", "demand_score", "margin_score", "action_label", "reasons", "unit_cost", "avg_price")
 
 
 def overview(table: DataFrame) -> DataFrame:
@@ -119,12 +134,12 @@ def stock_bands(table: DataFrame) -> DataFrame:
 def deciles(table: DataFrame, value: str, k: int = 10) -> DataFrame:
     """Adds the bucket b = 1..k whose rows are floor((b-1) n / k) .. floor(b n / k) - 1 of the order (value, product_id)."""
     ones = table.withColumn("_one", F.lit(1).cast("long"))
-    ranked = _positions(ones, value)
+    ranked = positions(ones, value)
     i, n = F.col("_pos") - 1, F.col("_n")
     return ranked.withColumn("bucket", F.floor(((i + 1) * k - 1) / n + 1).cast("int")).drop("_one", "_pos", "_n")
 
 
-def _positions(df: DataFrame, value: str) -> DataFrame:
+def positions(df: DataFrame, value: str) -> DataFrame:
     """Adds _pos (1..n in the order value, product_id) and _n, through range buckets."""
     df = checkpointed(df)
     cuts = sorted(set(df.agg(F.percentile_approx(value, [i / 32 for i in range(1, 32)], 1000)).first()[0] or []))
@@ -138,3 +153,31 @@ def _positions(df: DataFrame, value: str) -> DataFrame:
 def spearman(table: DataFrame, x: str, y: str) -> DataFrame:
     ranked = ranking.average_rank(ranking.average_rank(table.select("product_id", x, y), x, "rx"), y, "ry")
     return ranked.agg(F.count(F.lit(1)).alias("n"), F.corr("rx", "ry").alias("rho"))
+
+
+def future_outcomes(snapshot: DataFrame, sales: DataFrame, returns: DataFrame) -> DataFrame:
+    """snapshot with future_units, future_revenue_eur, future_returned_units, future_returned_value_eur and future_margin_eur of
+    the sales and returns (each (return, line) once) of the window after it. The margin is null without a unit cost."""
+    sold = sales.groupBy("product_id").agg(F.sum("qty").cast("double").alias("future_units"), F.sum("amount").cast("double").alias("_revenue"))
+    once = returns.groupBy("return_id", "line_no", "product_id").agg(F.max("qty").alias("qty"), F.max("amount").alias("amount"))
+    back = once.groupBy("product_id").agg(F.sum("qty").cast("double").alias("future_returned_units"), F.sum("amount").cast("double").alias("_returned"))
+    df = snapshot.join(sold, "product_id", "left").join(back, "product_id", "left").fillna(0.0, ["future_units", "_revenue", "future_returned_units", "_returned"])
+    net = F.greatest(F.lit(0.0), F.col("_revenue") - F.col("_returned"))
+    margin = net - F.greatest(F.lit(0.0), F.col("future_units") - F.col("future_returned_units")) * F.col("unit_cost")
+    out = {"future_revenue_eur": F.col("_revenue"), "future_returned_value_eur": F.col("_returned"), "future_margin_eur": margin}
+    return df.withColumns({k: F.round(v + 1e-9, 2) for k, v in out.items()}).drop("_revenue", "_returned")
+
+
+def lift(table: DataFrame, value: str, outcomes: list[str], tail: float = 0.2) -> DataFrame:
+    """(outcome, lift): mean outcome of the upper tail over that of the lower one, in the order (value, product_id)."""
+    ranked = positions(table, value)
+    k = F.greatest(F.lit(1), F.floor(F.col("_n") * tail))
+    marked = ranked.select(*outcomes, F.when(F.col("_pos") <= k, "low").when(F.col("_pos") > F.col("_n") - k, "high").alias("side"))
+    mean = lambda side, c: F.avg(F.when(F.col("side") == side, F.coalesce(F.col(c), F.lit(0.0))))
+    one = marked.agg(*[(mean("high", c) / F.nullif(mean("low", c), F.lit(0.0))).alias(c) for c in outcomes])
+    return one.select(F.explode(F.array(*[F.struct(F.lit(c).alias("outcome"), F.col(c).alias("lift")) for c in outcomes])).alias("x")).select("x.outcome", "x.lift")
+
+
+def attach_meta(rows: DataFrame, catalogue: DataFrame, key: str = "product_id") -> DataFrame:
+    """rows with the catalogue's columns; products it lacks keep nulls. A left join: Spark broadcasts by measured size only."""
+    return rows.join(catalogue, key, "left")

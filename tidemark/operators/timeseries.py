@@ -25,11 +25,11 @@ def future_months(as_of: str, horizon: int) -> list[str]:
     return [f"{k // 12:04d}-{k % 12 + 1:02d}" for k in range(y * 12 + m, y * 12 + m + horizon)]
 
 
-def densify(sales: DataFrame, key: str, measure: str, as_of: str, months: int) -> DataFrame:
-    """(key, series): zero-filled values of the month grid, oldest first, from sales before as_of. One shuffle by key; no row
-    per missing month. The days are cut before anything else, so that the scan can skip the rest of the history."""
+def densify(sales: DataFrame, key: str, measure: str, as_of: str, months: int, until: str | None = None) -> DataFrame:
+    """(key, series): zero-filled values of the month grid, oldest first, from sales before as_of (or until). One shuffle by
+    key; no row per missing month. The days are cut before anything else, so that the scan can skip the rest of the history."""
     first = month_grid(as_of, months)[0]
-    lines = sales.where(half_open(F.col("created"), f"{first}-01", as_of))
+    lines = sales.where(half_open(F.col("created"), f"{first}-01", until or as_of))
     nth = (F.year("created") - int(first[:4])) * 12 + F.month("created") - int(first[5:7])
     by_month = lines.select(key, nth.alias("nth"), measure).groupBy(key).agg(*[F.sum(F.when(F.col("nth") == i, F.col(measure))).cast("double").alias(f"m{i}") for i in range(months)])
     return by_month.select(key, F.array(*[F.coalesce(f"m{i}", F.lit(0.0)) for i in range(months)]).alias("series"))

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tidemark.operators import assortment as h, sales
 from tidemark.plans.base import Plans
 from tidemark.plans.sales import END, valid, year
 from tidemark.sources import canonical as c
+from tidemark.sources.sinks import checkpointed
 
 P = Plans()
 MONTHS = [f"1999-{m:02d}" for m in range(1, 13)]
@@ -65,9 +67,14 @@ def h3(spark, d):
     return table(spark, d).select("product_id", "demand_score", "margin_score")
 
 
-@P.add("h5_action_labels", "SELECT product_id, action_label FROM portfolio", **TABLES)
+@P.add(
+    "h5_action_labels",
+    """SELECT product_id, action_label, CASE action_label WHEN 'fix_margin' THEN 'negative_margin' WHEN 'quality_review' THEN 'high_returns' WHEN 'dead_stock_review' THEN 'dead_stock' WHEN 'discount_or_redistribute' THEN 'overstock' WHEN 'reorder_check' THEN 'understock' WHEN 'slow_mover_review' THEN 'slow_mover'
+    WHEN 'to_order_candidate' THEN 'strong_to_order_demand' || CASE WHEN margin_pct IS NULL THEN ',unknown_margin' ELSE '' END WHEN 'margin_review' THEN 'strong_demand,unknown_margin' WHEN 'keep_push' THEN 'strong_demand,healthy_margin' WHEN 'monitor_decline' THEN 'declining_demand' ELSE 'no_immediate_action' END AS reasons FROM portfolio""",
+    **TABLES,
+)
 def h5(spark, d):
-    return table(spark, d).select("product_id", "action_label")
+    return table(spark, d).select("product_id", "action_label", F.array_join("reasons", ",").alias("reasons"))
 
 
 @P.add("h6_portfolio", "SELECT product_id, qty_on_hand, annual_units, revenue_eur, round(margin_pct, 4) AS margin_pct, band, xyz, lifecycle, abc, health, action_label FROM portfolio", **TABLES)
@@ -120,12 +127,60 @@ def a38(spark, d):
 
 
 @P.add(
-    "w6_margin_leaders",
-    "SELECT product_id, round(margin_pct, 4) AS margin_pct FROM portfolio WHERE margin_pct IS NOT NULL ORDER BY margin_pct DESC, product_id LIMIT 25",
+    "w6_margin_lists",
+    """SELECT 'leaders' AS list, CAST(row_number() OVER (ORDER BY eur DESC, product_id) AS INTEGER) AS rank, product_id, value FROM (SELECT product_id, margin_pct * revenue_eur AS eur, round(margin_pct * revenue_eur + 0.000000001::DOUBLE, 2) AS value FROM portfolio WHERE margin_pct IS NOT NULL ORDER BY eur DESC, product_id LIMIT 20)
+    UNION ALL SELECT 'laggards', CAST(row_number() OVER (ORDER BY margin_pct, product_id) AS INTEGER), product_id, round(margin_pct, 4) FROM (SELECT * FROM portfolio WHERE margin_pct IS NOT NULL ORDER BY margin_pct, product_id LIMIT 20)
+    UNION ALL SELECT 'below_cost', CAST(row_number() OVER (ORDER BY margin_pct, product_id) AS INTEGER), product_id, round(margin_pct, 4) FROM portfolio WHERE margin_pct < 0
+    UNION ALL SELECT 'high_returns', CAST(row_number() OVER (ORDER BY return_rate DESC, product_id) AS INTEGER), product_id, round(return_rate, 4) FROM (SELECT * FROM portfolio WHERE annual_units > 0 AND return_rate >= 0.05::DOUBLE ORDER BY return_rate DESC, product_id LIMIT 20)""",
     **TABLES,
 )
 def w6(spark, d):
-    return table(spark, d).where("margin_pct is not null").orderBy(F.desc("margin_pct"), "product_id").limit(25).select("product_id", F.round("margin_pct", 4).alias("margin_pct"))
+    """Four lists: most margin in EUR, least margin share, all sold below cost, highest return rates."""
+    t = checkpointed(table(spark, d)).withColumn("eur", F.col("margin_pct") * F.col("revenue_eur"))
+    known = t.where("margin_pct is not null")
+    lists = {
+        "leaders": (known.orderBy(F.desc("eur"), "product_id").limit(20), [F.desc("eur"), F.col("product_id")], F.round(F.col("eur") + 1e-9, 2)),
+        "laggards": (known.orderBy("margin_pct", "product_id").limit(20), [F.col("margin_pct"), F.col("product_id")], F.round("margin_pct", 4)),
+        "high_returns": (t.where("annual_units > 0 and return_rate >= 0.05").orderBy(F.desc("return_rate"), "product_id").limit(20), [F.desc("return_rate"), F.col("product_id")], F.round("return_rate", 4)),
+    }
+    parts = [df.select(F.lit(name).alias("list"), F.row_number().over(Window.partitionBy().orderBy(*order)).alias("rank"), "product_id", value.alias("value")) for name, (df, order, value) in lists.items()]
+    flagged = known.where("margin_pct < 0").withColumn("share", F.col("margin_pct"))
+    below = h.positions(flagged, "share").select(F.lit("below_cost").alias("list"), F.col("_pos").cast("int").alias("rank"), "product_id", F.round("margin_pct", 4).alias("value"))
+    out = below
+    for part in parts:
+        out = out.unionByName(part)
+    return out
+
+
+#: The page's sorts: column and whether it falls.
+SORTS = {"health": True, "revenue_eur": True, "margin_pct": True, "annual_units": True, "qty_on_hand": True, "eur_value": True, "return_rate": True}
+
+
+@P.add(
+    "w7_assortment_pages",
+    " UNION ALL ".join(f"SELECT '{k}' AS sort, CAST(r AS INTEGER) AS rank, product_id, total FROM (SELECT product_id, row_number() OVER (ORDER BY {k} DESC NULLS LAST, product_id) AS r, count(*) OVER () AS total FROM shown) WHERE r BETWEEN 51 AND 100" for k in SORTS),
+    shown="SELECT * FROM portfolio WHERE band IN ('healthy', 'understock', 'slow') AND lifecycle <> 'dead'",
+    **TABLES,
+)
+def w7(spark, d):
+    """The second page of fifty under each sort, after filters, with the number of products in all pages."""
+    t = checkpointed(table(spark, d).where("band in ('healthy', 'understock', 'slow') and lifecycle <> 'dead'"))
+    total = t.agg(F.count(F.lit(1)).alias("total"))
+    pages = []
+    for k in SORTS:
+        order = [F.desc_nulls_last(k), F.col("product_id")]
+        page = t.orderBy(*order).limit(100).withColumn("rank", F.row_number().over(Window.partitionBy().orderBy(*order))).where("rank > 50")  # a page, not the table
+        pages.append(page.select(F.lit(k).alias("sort"), "rank", "product_id"))
+    out = pages[0]
+    for page in pages[1:]:
+        out = out.unionByName(page)
+    return out.join(F.broadcast(total))
+
+
+@P.add("p7_catalogue_meta", "SELECT p.product_id, health, p_name AS name, p_type AS vendor_code, p_size > 25 AS is_for_sale FROM portfolio p LEFT JOIN part ON p_partkey = p.product_id", **TABLES)
+def p7(spark, d):
+    parts = c.read(spark, d, "part").select(F.col("p_partkey").alias("product_id"), F.col("p_name").alias("name"), F.col("p_type").alias("vendor_code"), (F.col("p_size") > 25).alias("is_for_sale"))
+    return h.attach_meta(table(spark, d).select("product_id", "health"), parts)
 
 
 @P.add(
@@ -137,17 +192,22 @@ def w12(spark, d):
     return h.deciles(table(spark, d), "health").select("product_id", "bucket")
 
 
-FUTURE = "SELECT p.product_id, health, demand_score, coalesce(future_revenue, 0.0::DOUBLE) AS future_revenue FROM portfolio p LEFT JOIN (SELECT product_id, CAST(sum(amount) AS DOUBLE) AS future_revenue FROM valid_sales WHERE created >= DATE '2000-01-01' AND created < DATE '2000-07-01' GROUP BY 1) f ON f.product_id = p.product_id"
+FUTURE = {
+    "fback": "SELECT product_id, CAST(sum(qty) AS DOUBLE) AS q, CAST(sum(amount) AS DOUBLE) AS v FROM (SELECT return_id, line_no, product_id, max(qty) AS qty, max(amount) AS amount FROM return_lines WHERE return_date >= DATE '2000-01-01' AND return_date < DATE '2000-07-01' GROUP BY 1, 2, 3) GROUP BY 1",
+    "future": """SELECT *, round(greatest(0, raw - coalesce(v, 0)) - greatest(0, future_units - future_returned_units) * unit_cost + 0.000000001::DOUBLE, 2) AS future_margin_eur FROM (SELECT p.*, coalesce(f.u, 0) AS future_units, coalesce(f.r, 0) AS raw, round(coalesce(f.r, 0) + 0.000000001::DOUBLE, 2) AS future_revenue_eur, coalesce(b.q, 0) AS future_returned_units, v, round(coalesce(b.v, 0) + 0.000000001::DOUBLE, 2) AS future_returned_value_eur
+      FROM portfolio p LEFT JOIN (SELECT product_id, CAST(sum(qty) AS DOUBLE) AS u, CAST(sum(amount) AS DOUBLE) AS r FROM valid_sales WHERE created >= DATE '2000-01-01' AND created < DATE '2000-07-01' GROUP BY 1) f ON f.product_id = p.product_id LEFT JOIN fback b ON b.product_id = p.product_id)""",
+}
+OUTCOMES = ["future_revenue_eur", "future_units", "future_margin_eur"]
 
 
 def with_future(spark, d):
-    future = sales.window(valid(spark, d), END, "2000-07-01").groupBy("product_id").agg(F.sum("amount").cast("double").alias("future_revenue"))
-    return table(spark, d).join(future, "product_id", "left").fillna(0.0, ["future_revenue"])
+    rets = c.return_lines(spark, d).where((F.col("return_date") >= F.lit(END).cast("date")) & (F.col("return_date") < F.lit("2000-07-01").cast("date")))
+    return h.future_outcomes(table(spark, d), sales.window(valid(spark, d), END, "2000-07-01"), rets)
 
 
-@P.add("h9_future_outcomes", "SELECT product_id, future_revenue FROM future", future=FUTURE, **TABLES)
+@P.add("h9_future_outcomes", "SELECT product_id, future_units, future_revenue_eur, future_returned_units, future_returned_value_eur, future_margin_eur FROM future", **FUTURE, **TABLES)
 def h9(spark, d):
-    return with_future(spark, d).select("product_id", "future_revenue")
+    return with_future(spark, d).select("product_id", "future_units", "future_revenue_eur", "future_returned_units", "future_returned_value_eur", "future_margin_eur")
 
 
 @P.add(
@@ -161,16 +221,66 @@ def w13(spark, d):
     return average_rank(table(spark, d).select("product_id", "health"), "health", "r").select("product_id", F.col("r").cast("double").alias("r"))
 
 
-@P.add(
-    "h10_health_spearman",
-    "SELECT count(*) AS n, round(corr(rx, ry), 4) AS rho FROM (SELECT rank() OVER (ORDER BY health) + (count(*) OVER (PARTITION BY health) - 1) / 2 AS rx, rank() OVER (ORDER BY future_revenue) + (count(*) OVER (PARTITION BY future_revenue) - 1) / 2 AS ry FROM future)",
-    future=FUTURE,
-    **TABLES,
+#: The correlations of the report: score and outcome.
+PAIRS = [("health", "future_revenue_eur"), ("health", "future_units"), ("health", "future_margin_eur"), ("demand_score", "future_revenue_eur"), ("demand_score", "future_units"), ("margin_score", "future_margin_eur")]
+SPEARMAN = " UNION ALL ".join(
+    f"SELECT '{x}' AS score, '{y}' AS outcome, count(*) AS n, round(corr(rx, ry), 4) AS rho FROM (SELECT rank() OVER (ORDER BY {x}) + (count(*) OVER (PARTITION BY {x}) - 1) / 2 AS rx, rank() OVER (ORDER BY {y}) + (count(*) OVER (PARTITION BY {y}) - 1) / 2 AS ry FROM future WHERE {y} IS NOT NULL)" for x, y in PAIRS
 )
+
+
+def correlations(t):
+    parts = [h.spearman(t.where(F.col(y).isNotNull()), x, y).select(F.lit(x).alias("score"), F.lit(y).alias("outcome"), "n", F.round("rho", 4).alias("rho")) for x, y in PAIRS]
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out
+
+
+@P.add("h10_spearman", SPEARMAN, **FUTURE, **TABLES)
 def h10(spark, d):
-    return h.spearman(with_future(spark, d), "health", "future_revenue").withColumn("rho", F.round("rho", 4))
+    return correlations(checkpointed(with_future(spark, d)))
+
 
+SUMMARY = """count(*) AS n, round(avg(health) + 0.000000001::DOUBLE, 4) AS avg_health, round(avg(future_revenue_eur) + 0.000000001::DOUBLE, 2) AS avg_revenue, round(avg(future_units) + 0.000000001::DOUBLE, 2) AS avg_units, round(avg(future_margin_eur) + 0.000000001::DOUBLE, 2) AS avg_margin,
+  round(avg(CASE WHEN future_revenue_eur = 0 THEN 1.0 ELSE 0.0 END::DOUBLE) + 0.000000001::DOUBLE, 4) AS zero_share, round(CASE WHEN sum(future_units) > 0 THEN sum(future_returned_units) / sum(future_units) END + 0.000000001::DOUBLE, 4) AS return_rate"""
 
-@P.add("h10_by_action", "SELECT action_label, count(*) AS n, round(sum(future_revenue), 2) AS future_revenue FROM portfolio JOIN future USING (product_id) GROUP BY 1", future=FUTURE, **TABLES)
+
+def summary(t, key):
+    r = lambda x, n: F.round(x + 1e-9, n)
+    return t.groupBy(key).agg(
+        F.count(F.lit(1)).alias("n"), r(F.avg("health"), 4).alias("avg_health"), r(F.avg("future_revenue_eur"), 2).alias("avg_revenue"), r(F.avg("future_units"), 2).alias("avg_units"), r(F.avg("future_margin_eur"), 2).alias("avg_margin"),
+        r(F.avg((F.col("future_revenue_eur") == 0).cast("double")), 4).alias("zero_share"), r(F.when(F.sum("future_units") > 0, F.sum("future_returned_units") / F.sum("future_units")), 4).alias("return_rate"),
+    )
+
+
+@P.add("h10_deciles", f"SELECT bucket, {SUMMARY} FROM (SELECT *, CAST(floor(((row_number() OVER (ORDER BY health, product_id)) * 10 - 1) / count(*) OVER () + 1) AS INTEGER) AS bucket FROM future) GROUP BY 1", **FUTURE, **TABLES)
+def h10_deciles(spark, d):
+    return summary(h.deciles(with_future(spark, d), "health"), "bucket")
+
+
+@P.add("h10_by_action", f"SELECT action_label, {SUMMARY} FROM future GROUP BY 1", **FUTURE, **TABLES)
 def h10b(spark, d):
-    return with_future(spark, d).groupBy("action_label").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("future_revenue"), 2).alias("future_revenue"))
+    return summary(with_future(spark, d), "action_label")
+
+
+@P.add(
+    "h10_lift",
+    " UNION ALL ".join(f"SELECT '{o}' AS outcome, round(avg(coalesce({o}, 0)) FILTER (r > n - tk) / avg(coalesce({o}, 0)) FILTER (r <= tk), 4) AS lift FROM tails" for o in OUTCOMES),
+    tails="SELECT *, greatest(1, floor(n * 0.2::DOUBLE)) AS tk FROM (SELECT health, future_revenue_eur, future_units, future_margin_eur, row_number() OVER (ORDER BY health, product_id) AS r, count(*) OVER () AS n FROM future)",
+    **FUTURE,
+    **TABLES,
+)
+def h10_lift(spark, d):
+    return h.lift(with_future(spark, d), "health", OUTCOMES).withColumn("lift", F.round("lift", 4))
+
+
+#: The stored report: correlations that the new ones may fall short of by the tolerance.
+STORED, TOLERANCE = {("health", "future_revenue_eur"): 0.10, ("health", "future_units"): 0.05, ("demand_score", "future_revenue_eur"): 0.10}, 0.02
+
+
+@P.add("h11_regression_gate", "SELECT score, outcome, rho, stored, rho >= stored - 0.02::DOUBLE AS holds FROM measured JOIN (VALUES " + ", ".join(f"('{x}', '{y}', {v}::DOUBLE)" for (x, y), v in STORED.items()) + ") t(score, outcome, stored) USING (score, outcome)", measured=SPEARMAN, **FUTURE, **TABLES)
+def h11(spark, d):
+    """Which correlations hold against a stored report; a missing one is a row without a value that does not hold."""
+    stored = spark.createDataFrame([(x, y, v) for (x, y), v in STORED.items()], "score string, outcome string, stored double")
+    rows = stored.join(correlations(checkpointed(with_future(spark, d))), ["score", "outcome"], "left")
+    return rows.select("score", "outcome", "rho", "stored", F.coalesce(F.col("rho") >= F.col("stored") - TOLERANCE, F.lit(False)).alias("holds"))

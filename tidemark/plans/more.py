@@ -45,14 +45,28 @@ def a35(spark, d):
     return c.agreements(spark, d).join(exposure, "client_id").groupBy("client_id").agg(F.round(F.max(use), 4).alias("utilisation"))
 
 
+SIGNALS = {"debt_total": ("debt_lines", "debt_id", "CAST(total AS DOUBLE)"), "paid": ("payments", "client_id", "CAST(amount AS DOUBLE)")}
+
+
 @P.add(
     "a47_signal_census",
-    "SELECT manager_id, n, v AS p75 FROM (SELECT manager_id, amount AS v, count(*) OVER (PARTITION BY manager_id) AS n, row_number() OVER (PARTITION BY manager_id ORDER BY amount, debt_id) AS r FROM (SELECT manager_id, debt_id, CAST(total AS DOUBLE) AS amount FROM debt_lines)) WHERE r = round(0.75::DOUBLE * (n - 1)) + 1",
+    " UNION ALL ".join(
+        f"""SELECT manager_id, '{name}' AS signal, max(n) AS n, max(v) FILTER (r = 1) AS least, max(v) FILTER (r = round(0.25::DOUBLE * (n - 1)) + 1) AS p25, median(v) AS p50, max(v) FILTER (r = round(0.75::DOUBLE * (n - 1)) + 1) AS p75, max(v) FILTER (r = round(0.9::DOUBLE * (n - 1)) + 1) AS p90, max(v) FILTER (r = n) AS most FROM
+        (SELECT manager_id, {v} AS v, count(*) OVER (PARTITION BY manager_id) AS n, row_number() OVER (PARTITION BY manager_id ORDER BY {v}) AS r FROM {t}) GROUP BY 1"""
+        for name, (t, _, v) in SIGNALS.items()
+    ),
 )
 def a47(spark, d):
-    w = Window.partitionBy("manager_id")
-    rows = c.debt_lines(spark, d).select("manager_id", F.col("total").cast("double").alias("p75"), F.count(F.lit(1)).over(w).alias("n"), F.row_number().over(w.orderBy("total", "debt_id")).alias("r"))
-    return rows.where(F.col("r") == F.round(0.75 * (F.col("n") - 1)) + 1).select("manager_id", "n", "p75")
+    """Count, least, quartiles, 90 % and most of each signal by manager, at positions of the order; by distinct values first,
+    so that a window holds a manager's distinct values and not its rows."""
+    both = c.debt_lines(spark, d).select("manager_id", F.lit("debt_total").alias("signal"), F.col("total").cast("double").alias("v")).union(c.payments(spark, d).select("manager_id", F.lit("paid"), F.col("amount").cast("double")))
+    counts = both.groupBy("manager_id", "signal", "v").agg(F.count(F.lit(1)).alias("k"))
+    w = Window.partitionBy("manager_id", "signal").orderBy("v")
+    ranked = counts.withColumns({"upto": F.sum("k").over(w.rowsBetween(Window.unboundedPreceding, 0)), "n": F.sum("k").over(Window.partitionBy("manager_id", "signal"))})
+    at = lambda i: F.max(F.when((F.col("upto") >= i) & (F.col("upto") - F.col("k") < i), F.col("v")))
+    spot = lambda p: at(F.round(p * (F.col("n") - 1)) + 1)
+    middle = (at(F.floor((F.col("n") + 1) / 2)) + at(F.floor((F.col("n") + 2) / 2))) / 2
+    return ranked.groupBy("manager_id", "signal").agg(F.max("n").alias("n"), F.min("v").alias("least"), spot(0.25).alias("p25"), middle.alias("p50"), spot(0.75).alias("p75"), spot(0.9).alias("p90"), F.max("v").alias("most"))
 
 
 @P.add("a50_current_discount", "SELECT agreement_id, group_id, max((order_id * 100 + line_no, discount))[2] AS discount FROM past_sales WHERE discount > 0 GROUP BY 1, 2")
@@ -125,15 +139,6 @@ def h8(spark, d):
     return catalogue.substitutes(linked(spark, d), assortment.table(spark, d)).select("product_id", "other_id", "rank")
 
 
-@P.add(
-    "w7_assortment_page",
-    "SELECT product_id, health, revenue_eur FROM portfolio WHERE band IN ('healthy', 'understock', 'slow') AND lifecycle <> 'dead' ORDER BY health DESC, product_id LIMIT 50 OFFSET 50",
-    **assortment.TABLES,
-)
-def w7(spark, d):
-    return assortment.table(spark, d).where("band in ('healthy', 'understock', 'slow') and lifecycle <> 'dead'").orderBy(F.desc("health"), "product_id").offset(50).limit(50).select("product_id", "health", "revenue_eur")
-
-
 @P.add("r7_tier_prices")
 def r7(spark, d):
     """Price of each (product, tier): list price with the markups up to the tier's root."""
@@ -290,9 +295,15 @@ def n20(spark, d):
 
 @P.add(
     "w9_board_page",
-    "SELECT task_key, status, total FROM (SELECT task_key, kind AS status, count(*) OVER () AS total FROM (SELECT task_key, max_by(kind, event_id) AS kind FROM task_events GROUP BY 1)) ORDER BY (status = 'in_progress') DESC, task_key LIMIT 50 OFFSET 100",
+    """SELECT task_key, status, due, total, in_state FROM (SELECT task_key, status, due, row_number() OVER (ORDER BY status = 'in_progress' DESC, due NULLS LAST, task_key) AS r, count(*) OVER () AS total, count(*) OVER (PARTITION BY status) AS in_state FROM
+    (SELECT task_key, max_by(kind, event_id) AS status, strftime(max("at") FILTER (kind IN ('open', 'in_progress')), '%Y-%m-%d %H:%M:%S') AS due FROM task_events GROUP BY 1)) WHERE r BETWEEN 101 AND 150""",
 )
 def w9(spark, d):
-    last = c.task_events(spark, d).groupBy("task_key").agg(F.max_by("kind", "event_id").alias("status"))
-    total = last.agg(F.count(F.lit(1)).alias("total"))
-    return last.orderBy(F.desc(F.col("status") == "in_progress"), "task_key").offset(100).limit(50).join(F.broadcast(total)).select("task_key", "status", "total")
+    """The third page of fifty: tasks in progress first, then by due time with unset ones last; the total and the count of
+    each state come with the page."""
+    due = F.max(F.when(F.col("kind").isin("open", "in_progress"), F.col("at")))
+    last = c.task_events(spark, d).groupBy("task_key").agg(F.max_by("kind", "event_id").alias("status"), F.date_format(due, "yyyy-MM-dd HH:mm:ss").alias("due"))
+    states = last.groupBy("status").agg(F.count(F.lit(1)).alias("in_state"))
+    total = states.agg(F.sum("in_state").alias("total"))
+    page = last.orderBy(F.desc(F.col("status") == "in_progress"), F.asc_nulls_last("due"), "task_key").offset(100).limit(50)
+    return page.join(F.broadcast(states), "status").join(F.broadcast(total)).select("task_key", "status", "due", "total", "in_state")
