@@ -106,7 +106,7 @@ def fingerprint_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str
     heads_of = base.where(F.col("doc_id").isin(list(before))) if before else base.limit(0)
     back = F.create_map(*[F.lit(x) for kv in before.items() for x in kv])[F.col("doc_id")] if before else F.lit(0)
     sent = ranged.withColumn("head", F.lit(False)).unionByName(heads_of.withColumn("range", back).withColumn("head", F.lit(True)))
-    moved = sent.repartition("range").sortWithinPartitions("range", "head", "doc_id", "text")
+    moved = sent.repartitionById(len(cuts) + 1, F.col("range")).sortWithinPartitions("range", "head", "doc_id", "text")
 
     def run(batches):
         held = None  # range, doc_id, text, its digests
