@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.operators.ranking import first_per
 
 
+#: Weights of frequency by segment, list lengths, items of one group, how far lists reach beyond their quota.
+FREQUENCY_WEIGHT = {"HEAVY": 0.40, "REGULAR_CONSISTENT": 0.40, "REGULAR_EXPLORATORY": 0.30, "LIGHT": 0.30}
+TOP, REPURCHASE, PER_GROUP, SPARE_REPURCHASE, SPARE_DISCOVERY = 25, 20, 3, 10, 5
+UBIQUITOUS = 0.20
+
+
 def owned(sales: DataFrame, item: str) -> DataFrame:
     return sales.select("client_id", item).distinct()
 
@@ -22,12 +28,76 @@ def segments(sales: DataFrame, item: str) -> DataFrame:
     return orders.join(rate, "client_id").select("client_id", "n_orders", label.alias("segment"))
 
 
+def frequency_weight(segment: Column) -> Column:
+    out = F.lit(FREQUENCY_WEIGHT["LIGHT"])
+    for name, w in FREQUENCY_WEIGHT.items():
+        out = F.when(segment == name, w).otherwise(out)
+    return out
+
+
+def last_basket_cases(sales: DataFrame, least: int = 2) -> DataFrame:
+    """(client_id, as_of, order_id): the last order of each client with at least `least`, and its day as the client's own cut-off."""
+    last = sales.groupBy("client_id").agg(F.max(F.struct("created", "order_id")).alias("m"), F.countDistinct("order_id").alias("n")).where(F.col("n") >= least)
+    return last.select("client_id", F.col("m.created").alias("as_of"), F.col("m.order_id").alias("order_id"))
+
+
+def history(sales: DataFrame, cases: DataFrame) -> DataFrame:
+    """The sales of each case's client before the case's own cut-off, with as_of."""
+    return sales.join(cases.select("client_id", "as_of"), "client_id").where("created < as_of")
+
+
+def repurchase_at(past: DataFrame, item: str, half_life: float = 21.0) -> DataFrame:
+    """(client_id, segment, item, score) from each case's history: frequency and recency over the client's best."""
+    per = past.groupBy("client_id", item).agg(F.countDistinct("order_id").cast("double").alias("f"), F.exp(-F.datediff(F.max("as_of"), F.max("created")) / half_life).alias("r"))
+    w = Window.partitionBy("client_id")
+    df = per.join(segments(past, item), "client_id").withColumn("wf", frequency_weight(F.col("segment")))
+    score = F.col("wf") * F.col("f") / F.max("f").over(w) + (1 - F.col("wf")) * F.col("r") / F.max("r").over(w)
+    return df.select("client_id", "segment", item, F.round(score, 9).alias("score"))
+
+
+def discovery_at(sales: DataFrame, cases: DataFrame, item: str, least: float = 0.05, most: int = 100, candidates: int = 400, clients: int = 2) -> DataFrame:
+    """(client_id, item, score): items the client lacks at the case's cut-off, of at least `clients` clients who are similar
+    then, by mean similarity. A client's first purchase of an item carries its day, so that all cut-offs share one table."""
+    first = sales.groupBy("client_id", item).agg(F.min("created").alias("day"))
+    own = first.join(cases.select("client_id", "as_of"), "client_id").where("day < as_of").select("client_id", "as_of", item)
+    theirs = first.select(F.col("client_id").alias("other"), item, "day")
+    overlap = own.join(theirs, item).where("client_id <> other and day < as_of").groupBy("client_id", "as_of", "other").agg(F.count(F.lit(1)).alias("both"))
+    overlap = first_per(overlap, ["client_id"], [F.desc("both"), F.col("other")], candidates).drop("rank")
+    sizes = own.groupBy("client_id").agg(F.count(F.lit(1)).alias("size"))
+    full = overlap.join(theirs, "other").where("day < as_of")
+    jac = full.groupBy("client_id", "other", "both").agg(F.count(F.lit(1)).alias("other_size")).join(sizes, "client_id").withColumn("jaccard", F.col("both") / (F.col("size") + F.col("other_size") - F.col("both"))).where(F.col("jaccard") >= least)
+    near = first_per(jac, ["client_id"], [F.desc("jaccard"), F.col("other")], most).select("client_id", "other", "jaccard")
+    scored = full.join(near, ["client_id", "other"]).groupBy("client_id", item).agg(F.round(F.avg("jaccard"), 9).alias("score"), F.count(F.lit(1)).alias("n")).where(F.col("n") >= clients)
+    return scored.join(own, ["client_id", item], "left_anti").select("client_id", item, "score")
+
+
+def quota_lists(own: DataFrame, found: DataFrame, groups: DataFrame, item: str, top: int = TOP, repurchase: int = REPURCHASE, per_group: int = PER_GROUP) -> DataFrame:
+    """(client_id, item, source, rank): at most `repurchase` items bought before, then discoveries up to top, each list with
+    at most per_group items of a group. Lists reach a fixed number beyond their quota before groups are limited."""
+    parts = []
+    for name, df, quota, spare in (("repurchase", own, min(repurchase, top), SPARE_REPURCHASE), ("discovery", found, max(top - repurchase, 0), SPARE_DISCOVERY)):
+        ranked = diverse(first_per(df, ["client_id"], [F.desc("score"), F.col(item)], quota + spare), groups, item, per_group)
+        parts.append(first_per(ranked.drop("rank"), ["client_id"], [F.desc("score"), F.col(item)], quota).select("client_id", item, F.lit(name).alias("source"), F.col("rank").alias("_r")))
+    both = parts[0].unionByName(parts[1])
+    order = Window.partitionBy("client_id").orderBy((F.col("source") == "discovery").cast("int"), "_r")
+    return both.withColumn("rank", F.row_number().over(order)).drop("_r")
+
+
+def evaluate_by_segment(recs: DataFrame, truth: DataFrame, segment: DataFrame, item: str, k: int) -> DataFrame:
+    """The metrics of `evaluate` by segment and, under `ALL`, over all cases."""
+    cases = truth.groupBy("client_id").agg(F.count(F.lit(1)).alias("size")).join(segment.select("client_id", "segment"), "client_id", "left")
+    hits = recs.where(F.col("rank") <= k).join(truth, ["client_id", item]).groupBy("client_id").agg(F.count(F.lit(1)).alias("h"), F.min("rank").alias("first"))
+    df = cases.join(hits, "client_id", "left").withColumns({"h": F.coalesce("h", F.lit(0)), "segment": F.coalesce("segment", F.lit("LIGHT"))})
+    agg = df.rollup("segment").agg(F.count(F.lit(1)).alias("n"), F.avg((F.col("h") > 0).cast("double")).alias("hit_rate"), F.avg(F.col("h") / k).alias("precision"), F.avg(F.col("h") / F.col("size")).alias("recall"), F.avg(F.coalesce(1 / F.col("first"), F.lit(0.0))).alias("mrr"))
+    return agg.withColumn("segment", F.coalesce("segment", F.lit("ALL")))
+
+
 def repurchase_scores(sales: DataFrame, item: str, segment: DataFrame, as_of: str, half_life: float = 21.0) -> DataFrame:
     """Frequency and exponential recency, each divided by the client's best, weighed by segment."""
     per = sales.groupBy("client_id", item).agg(F.countDistinct("order_id").cast("double").alias("f"), F.exp(-F.datediff(F.lit(as_of).cast("date"), F.max("created")) / half_life).alias("r"))
     w = Window.partitionBy("client_id")
     freq, rec = F.col("f") / F.max("f").over(w), F.col("r") / F.max("r").over(w)
-    wf = F.when(F.col("segment").isin("HEAVY", "REGULAR_CONSISTENT"), 0.40).otherwise(0.30)
+    wf = frequency_weight(F.col("segment"))
     scored = per.withColumns({"freq": freq, "rec": rec}).join(segment, "client_id")
     return scored.select("client_id", item, (wf * F.col("freq") + (1 - wf) * F.col("rec")).alias("score"))
 

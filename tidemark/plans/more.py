@@ -207,7 +207,13 @@ def c9(spark, d):
     return reco.owned(past(spark, d), "group_id").join(fresh, ["client_id", "group_id"], "left_anti")
 
 
-@P.add("c13_weight_sweep")
+@P.add(
+    "c13_weight_sweep",
+    """SELECT wf, count(DISTINCT t.client_id) AS hits, round(count(DISTINCT t.client_id) / CAST((SELECT count(DISTINCT client_id) FROM truth) AS DOUBLE), 6) AS hit_rate FROM (SELECT *, row_number() OVER (PARTITION BY wf, client_id ORDER BY round(wf * f + (1 - wf) * r, 9) DESC, group_id) AS k FROM
+    (SELECT client_id, group_id, f / max(f) OVER (PARTITION BY client_id) AS f, r / max(r) OVER (PARTITION BY client_id) AS r FROM (SELECT client_id, group_id, CAST(count(DISTINCT order_id) AS DOUBLE) AS f, exp(-date_diff('day', max(created), DATE '2000-01-01') / 21.0::DOUBLE) AS r FROM past_sales GROUP BY 1, 2)),
+    (VALUES (0.0::DOUBLE), (0.25::DOUBLE), (0.5::DOUBLE), (0.75::DOUBLE), (1.0::DOUBLE)) w(wf)) s JOIN truth t ON t.client_id = s.client_id AND t.group_id = s.group_id WHERE k <= 5 GROUP BY 1""",
+    truth="SELECT DISTINCT client_id, group_id FROM valid_sales WHERE created >= DATE '2000-01-01' AND created < DATE '2000-04-01'",
+)
 def c13(spark, d):
     """Hit rates of repurchase ranking under several frequency weights, over one set of cases in one job."""
     lines = past(spark, d)
@@ -215,7 +221,7 @@ def c13(spark, d):
     per = lines.groupBy("client_id", "group_id").agg(F.countDistinct("order_id").cast("double").alias("f"), F.exp(-F.datediff(F.lit(END).cast("date"), F.max("created")) / 21.0).alias("r"))
     per = per.select("client_id", "group_id", (F.col("f") / F.max("f").over(w)).alias("f"), (F.col("r") / F.max("r").over(w)).alias("r"))
     grid = spark.createDataFrame([(x,) for x in (0.0, 0.25, 0.5, 0.75, 1.0)], "wf double")
-    scored = per.crossJoin(F.broadcast(grid)).withColumn("score", F.col("wf") * F.col("f") + (1 - F.col("wf")) * F.col("r"))
+    scored = per.crossJoin(F.broadcast(grid)).withColumn("score", F.round(F.col("wf") * F.col("f") + (1 - F.col("wf")) * F.col("r"), 9))
     top = ranking.first_per(scored, ["wf", "client_id"], [F.desc("score"), F.col("group_id")], 5)
     truth = reco.owned(sales.window(valid(spark, d), END, "2000-04-01"), "group_id")
     n = truth.select("client_id").distinct().agg(F.count(F.lit(1)).alias("n"))

@@ -2,16 +2,20 @@
 
 from __future__ import annotations
 
+from pyspark.ml.recommendation import ALS
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from tidemark.operators import reco
+from tidemark.operators import ranking, reco, sales
 from tidemark.plans.base import Plans
 from tidemark.plans.sales import END, past, valid
 from tidemark.sources import canonical as c
+from tidemark.sources.sinks import checkpointed
 
 P = Plans()
 T = {
-    "pairs": "SELECT DISTINCT client_id, product_id FROM past_sales",
+    "common": "SELECT product_id FROM past_sales GROUP BY 1 HAVING count(DISTINCT client_id) > 0.20 * (SELECT count(DISTINCT client_id) FROM past_sales)",
+    "pairs": "SELECT DISTINCT client_id, product_id FROM past_sales WHERE product_id NOT IN (SELECT product_id FROM common)",
     "deg": "SELECT product_id, count(*) AS deg FROM pairs GROUP BY 1",
     "co": "SELECT a.product_id AS seed, b.product_id AS cand, count(*) AS co FROM pairs a JOIN pairs b ON a.client_id = b.client_id AND a.product_id <> b.product_id GROUP BY 1, 2 HAVING count(*) >= 2",
     "sim": "SELECT seed, cand, co, co / sqrt(CAST(x.deg AS DOUBLE) * y.deg) AS sim FROM co JOIN deg x ON x.product_id = seed JOIN deg y ON y.product_id = cand",
@@ -25,11 +29,21 @@ T = {
 }
 
 
+def plain(spark, d):
+    """Past sales without the products that over a fifth of the clients buy; they tell no two clients apart."""
+    lines = past(spark, d)
+    return lines.join(sales.ubiquitous_products(lines, reco.UBIQUITOUS), "product_id", "left_anti")
+
+
 def pairs(spark, d):
-    return reco.owned(past(spark, d), "product_id")
+    return reco.owned(plain(spark, d), "product_id")
 
 
-@P.add("c1_client_segments", "SELECT client_id, count(DISTINCT order_id) AS n_orders, CASE WHEN count(DISTINCT order_id) >= 500 THEN 'HEAVY' ELSE 'LIGHT' END AS segment FROM past_sales GROUP BY 1")
+@P.add(
+    "c1_client_segments",
+    """SELECT o.client_id, n_orders, CASE WHEN n_orders >= 500 THEN 'HEAVY' WHEN n_orders >= 100 AND rate >= 0.40::DOUBLE THEN 'REGULAR_CONSISTENT' WHEN n_orders >= 100 THEN 'REGULAR_EXPLORATORY' ELSE 'LIGHT' END AS segment FROM (SELECT client_id, count(DISTINCT order_id) AS n_orders FROM past_sales GROUP BY 1) o
+    JOIN (SELECT client_id, avg(CASE WHEN n >= 2 THEN 1.0 ELSE 0.0 END::DOUBLE) AS rate FROM (SELECT client_id, group_id, count(DISTINCT order_id) AS n FROM past_sales GROUP BY 1, 2) GROUP BY 1) r ON r.client_id = o.client_id""",
+)
 def c1(spark, d):
     return reco.segments(past(spark, d), "group_id")
 
@@ -63,31 +77,170 @@ def hybrid(spark, d, top=10):
     return reco.blend(scores, reco.co_scores(own, reco.co_purchase(own, "group_id"), "group_id"), "group_id", top)
 
 
-@P.add("c6_blend")
+GROUPS = {
+    "gown": "SELECT client_id, group_id, score / max(score) OVER (PARTITION BY client_id) AS o FROM own",
+    "ghas": "SELECT DISTINCT client_id, group_id FROM past_sales",
+    "gdeg": "SELECT group_id, count(*) AS deg FROM ghas GROUP BY 1",
+    "gsim": "SELECT seed, cand, co / sqrt(CAST(x.deg AS DOUBLE) * y.deg) AS sim FROM (SELECT a.group_id AS seed, b.group_id AS cand, count(*) AS co FROM ghas a JOIN ghas b ON a.client_id = b.client_id AND a.group_id <> b.group_id GROUP BY 1, 2 HAVING count(*) >= 2) JOIN gdeg x ON x.group_id = seed JOIN gdeg y ON y.group_id = cand",
+    "gco": "SELECT client_id, group_id, s / max(s) OVER (PARTITION BY client_id) AS c FROM (SELECT h.client_id, cand AS group_id, sum(sim) AS s FROM ghas h JOIN gsim ON seed = h.group_id GROUP BY 1, 2)",
+    "gblend": "SELECT *, row_number() OVER (PARTITION BY client_id ORDER BY score DESC, group_id) AS r FROM (SELECT coalesce(a.client_id, b.client_id) AS client_id, coalesce(a.group_id, b.group_id) AS group_id, round(0.6::DOUBLE * coalesce(o, 0) + 0.4::DOUBLE * coalesce(c, 0), 4) AS score, CASE WHEN o IS NULL THEN 'discovery' ELSE 'repurchase' END AS source FROM gown a FULL JOIN gco b ON a.client_id = b.client_id AND a.group_id = b.group_id)",
+}
+
+
+@P.add("c6_blend", "SELECT client_id, group_id, score, source, CAST(r AS INTEGER) AS rank FROM gblend WHERE r <= 10", **T, **GROUPS)
 def c6(spark, d):
     return hybrid(spark, d)
 
 
 @P.add(
     "w4_group_diversity",
-    "SELECT client_id, product_id, CAST(rank AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY client_id, p_brand ORDER BY rank) AS k FROM (SELECT client_id, product_id, row_number() OVER (PARTITION BY client_id ORDER BY sum(amount) DESC, product_id) AS rank FROM past_sales GROUP BY 1, 2) JOIN part ON p_partkey = product_id WHERE rank <= 30) WHERE k <= 2",
+    "SELECT client_id, product_id, CAST(rank AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY client_id, p_brand ORDER BY rank) AS k FROM (SELECT client_id, product_id, row_number() OVER (PARTITION BY client_id ORDER BY sum(amount) DESC, product_id) AS rank FROM past_sales GROUP BY 1, 2) JOIN part ON p_partkey = product_id) WHERE k <= 3",
 )
 def w4(spark, d):
-    from tidemark.operators.ranking import first_per
+    """Whole lists, at most three of a group."""
+    order = Window.partitionBy("client_id").orderBy(F.desc("v"), "product_id")
+    ranked = past(spark, d).groupBy("client_id", "product_id").agg(F.sum("amount").alias("v")).withColumn("rank", F.row_number().over(order))
+    return reco.diverse(ranked, groups(spark, d), "product_id", reco.PER_GROUP).select("client_id", "product_id", "rank")
+
 
-    ranked = first_per(past(spark, d).groupBy("client_id", "product_id").agg(F.sum("amount").alias("v")), ["client_id"], [F.desc("v"), F.col("product_id")], 30)
-    groups = c.read(spark, d, "part").select(F.col("p_partkey").alias("product_id"), F.col("p_brand").alias("group_id"))
-    return reco.diverse(ranked, groups, "product_id", 2).select("client_id", "product_id", "rank")
+def groups(spark, d):
+    return c.read(spark, d, "part").select(F.col("p_partkey").alias("product_id"), F.col("p_brand").alias("group_id"))
 
 
-@P.add("u4_c7_tiered_hybrid")
+@P.add(
+    "u4_c7_tiered_hybrid",
+    """SELECT client_id, product_id, score, CAST(tier AS INTEGER) AS tier, CAST(r AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY client_id ORDER BY tier, score DESC, product_id) AS r FROM (SELECT client_id, product_id, min_by(score, tier) AS score, min(tier) AS tier FROM
+    (SELECT client_id, product_id, round(0.30::DOUBLE * f / max(f) OVER (PARTITION BY client_id) + 0.70::DOUBLE * r / max(r) OVER (PARTITION BY client_id), 6) AS score, 0 AS tier FROM (SELECT client_id, product_id, CAST(count(DISTINCT order_id) AS DOUBLE) AS f, exp(-date_diff('day', max(created), DATE '2000-01-01') / 21.0::DOUBLE) AS r FROM past_sales GROUP BY 1, 2)
+     UNION ALL SELECT s.client_id, p.product_id, round(avg(jaccard), 6), 1 FROM alike s JOIN pairs p ON p.client_id = s.other WHERE NOT EXISTS (SELECT 1 FROM pairs q WHERE q.client_id = s.client_id AND q.product_id = p.product_id) GROUP BY 1, 2 HAVING count(*) >= 2
+     UNION ALL SELECT p.client_id, cand, round(sum(sim), 6), 2 FROM pairs p JOIN sim ON seed = p.product_id WHERE co >= 3 AND NOT EXISTS (SELECT 1 FROM pairs q WHERE q.client_id = p.client_id AND q.product_id = cand) GROUP BY 1, 2) GROUP BY 1, 2)) WHERE r <= 25""",
+    **T,
+)
 def c7(spark, d):
+    """No client here has the hundred orders of a regular one, so the SQL weighs frequency by 0.30."""
     own = pairs(spark, d)
     lines = past(spark, d)
     first = reco.repurchase_scores(lines, "product_id", reco.segments(lines, "product_id"), END)
     second = reco.neighbour_items(reco.similar_clients(own, "product_id"), own, "product_id")
     third = reco.co_scores(own, reco.co_purchase(own, "product_id", 3), "product_id").join(own, ["client_id", "product_id"], "left_anti")
-    return reco.tiered([first, second, third], "product_id", 25)
+    return reco.tiered([t.withColumn("score", F.round("score", 6)) for t in (first, second, third)], "product_id", 25)
+
+
+#: Cases, histories and lists at each client's own cut-off, in SQL.
+CASES = {
+    **T,
+    "goods": "SELECT * FROM past_sales WHERE product_id NOT IN (SELECT product_id FROM common)",
+    "cases": "SELECT client_id, m[1] AS as_of, m[2] AS last_order FROM (SELECT client_id, max((created, order_id)) AS m FROM goods GROUP BY 1 HAVING count(DISTINCT order_id) >= 2)",
+    "hist": "SELECT g.*, as_of FROM goods g JOIN cases k ON k.client_id = g.client_id WHERE created < as_of",
+    "seg": """SELECT o.client_id, CASE WHEN n >= 500 THEN 'HEAVY' WHEN n >= 100 AND rate >= 0.40::DOUBLE THEN 'REGULAR_CONSISTENT' WHEN n >= 100 THEN 'REGULAR_EXPLORATORY' ELSE 'LIGHT' END AS segment FROM (SELECT client_id, count(DISTINCT order_id) AS n FROM hist GROUP BY 1) o JOIN
+      (SELECT client_id, avg(CASE WHEN n >= 2 THEN 1.0 ELSE 0.0 END::DOUBLE) AS rate FROM (SELECT client_id, product_id, count(DISTINCT order_id) AS n FROM hist GROUP BY 1, 2) GROUP BY 1) r ON r.client_id = o.client_id""",
+    "rebuy": """SELECT p.client_id, product_id, round(w * f / max(f) OVER (PARTITION BY p.client_id) + (1 - w) * r / max(r) OVER (PARTITION BY p.client_id), 9) AS score FROM (SELECT client_id, product_id, CAST(count(DISTINCT order_id) AS DOUBLE) AS f, exp(-date_diff('day', max(created), max(as_of)) / 21.0::DOUBLE) AS r FROM hist GROUP BY 1, 2) p
+      JOIN (SELECT client_id, CASE WHEN segment IN ('HEAVY', 'REGULAR_CONSISTENT') THEN 0.40 ELSE 0.30 END::DOUBLE AS w FROM seg) s ON s.client_id = p.client_id""",
+    "firsts": "SELECT client_id, product_id, min(created) AS day FROM goods GROUP BY 1, 2",
+    "mine": "SELECT f.client_id, as_of, product_id FROM firsts f JOIN cases k ON k.client_id = f.client_id WHERE day < as_of",
+    "meet": "SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY client_id ORDER BY shared DESC, other) AS r FROM (SELECT m.client_id, m.as_of, t.client_id AS other, count(*) AS shared FROM mine m JOIN firsts t ON t.product_id = m.product_id AND t.client_id <> m.client_id AND t.day < m.as_of GROUP BY 1, 2, 3)) WHERE r <= 400",
+    "fulls": "SELECT m.client_id, other, shared, product_id FROM meet m JOIN firsts t ON t.client_id = m.other AND t.day < m.as_of",
+    "nears": """SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY client_id ORDER BY jaccard DESC, other) AS r FROM (SELECT f.client_id, other, shared / (any_value(size) + count(*) - shared) AS jaccard FROM fulls f JOIN (SELECT client_id, count(*) AS size FROM mine GROUP BY 1) z ON z.client_id = f.client_id GROUP BY f.client_id, other, shared) WHERE jaccard >= 0.05::DOUBLE) WHERE r <= 100""",
+    "finds": "SELECT f.client_id, product_id, round(avg(jaccard), 9) AS score FROM fulls f JOIN nears n ON n.client_id = f.client_id AND n.other = f.other WHERE NOT EXISTS (SELECT 1 FROM mine m WHERE m.client_id = f.client_id AND m.product_id = f.product_id) GROUP BY 1, 2 HAVING count(*) >= 2",
+    "lists": """SELECT client_id, product_id, source, row_number() OVER (PARTITION BY client_id ORDER BY source = 'discovery', r) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY client_id, source ORDER BY score DESC, product_id) AS r FROM
+      (SELECT l.*, row_number() OVER (PARTITION BY client_id, source, p_brand ORDER BY score DESC, product_id) AS g FROM (SELECT client_id, product_id, score, 'repurchase' AS source, row_number() OVER (PARTITION BY client_id ORDER BY score DESC, product_id) AS q FROM rebuy UNION ALL
+        SELECT client_id, product_id, score, 'discovery', row_number() OVER (PARTITION BY client_id ORDER BY score DESC, product_id) FROM finds) l JOIN part ON p_partkey = product_id WHERE q <= CASE source WHEN 'repurchase' THEN 30 ELSE 10 END) WHERE g <= 3) WHERE r <= CASE source WHEN 'repurchase' THEN 20 ELSE 5 END""",
+    "goal": "SELECT DISTINCT k.client_id, product_id FROM cases k JOIN goods g ON g.client_id = k.client_id AND g.order_id = k.last_order",
+}
+
+
+def prepared(spark, d):
+    """Cases, truth, each case's history, and both scored lists."""
+    lines = checkpointed(plain(spark, d).select("client_id", "product_id", "order_id", "created"))
+    cases = checkpointed(reco.last_basket_cases(lines))
+    truth = lines.join(cases.select("client_id", "order_id"), ["client_id", "order_id"]).select("client_id", "product_id").distinct()
+    before = reco.history(lines, cases)
+    return lines, cases, truth, checkpointed(reco.repurchase_at(before, "product_id")), checkpointed(reco.discovery_at(lines, cases, "product_id"))
+
+
+@P.add("j10_c7_quota_lists", "SELECT client_id, product_id, source, CAST(rank AS INTEGER) AS rank FROM lists", **CASES)
+def c7_quota(spark, d):
+    """Repurchase quota, then discoveries, for each client at its own cut-off."""
+    _, _, _, own, found = prepared(spark, d)
+    return reco.quota_lists(own, found, groups(spark, d), "product_id")
+
+
+METRICS = "count(*) AS n, round(avg(CASE WHEN h > 0 THEN 1.0 ELSE 0.0 END::DOUBLE), 6) AS hit_rate, round(avg(h / 10), 6) AS precision, round(avg(h / size), 6) AS recall, round(avg(coalesce(1 / best, 0)), 6) AS mrr"
+JUDGED = "SELECT coalesce(s.segment, 'LIGHT') AS segment, h, size, best FROM (SELECT g.client_id, count(*) AS size, count(l.rank) AS h, min(l.rank) AS best FROM goal g LEFT JOIN (SELECT * FROM lists WHERE rank <= 10) l ON l.client_id = g.client_id AND l.product_id = g.product_id GROUP BY 1) x LEFT JOIN seg s ON s.client_id = x.client_id"
+
+
+def rounded(df):
+    return df.withColumns({m: F.round(m, 6) for m in ("hit_rate", "precision", "recall", "mrr")})
+
+
+@P.add("c11_evaluation_by_segment", f"SELECT coalesce(segment, 'ALL') AS segment, {METRICS} FROM judged GROUP BY ROLLUP (segment)", **CASES, judged=JUDGED)
+def c11_segment(spark, d):
+    _, _, truth, own, found = prepared(spark, d)
+    lists = reco.quota_lists(own, found, groups(spark, d), "product_id")
+    return rounded(reco.evaluate_by_segment(lists, truth, own.select("client_id", "segment").distinct(), "product_id", 10))
+
+
+@P.add("c11_region_scope")
+def c11_region(spark, d):
+    """Hits at 10 with discoveries from all clients and from those of the client's own region; repurchase is the same."""
+    lines, cases, truth, own, found = prepared(spark, d)
+    region = c.read(spark, d, "customer").select(F.col("c_custkey").alias("client_id"), F.col("c_nationkey").alias("region_id"))
+    scoped = lines.join(region, "client_id").withColumn("product_id", F.col("product_id") * 1000 + F.col("region_id"))
+    near = reco.discovery_at(scoped, cases, "product_id").withColumn("product_id", F.floor(F.col("product_id") / 1000))
+    parts = [reco.evaluate(reco.quota_lists(own, f, groups(spark, d), "product_id", repurchase=5, top=10), truth, "product_id", 10).select(F.lit(n).alias("scope"), "*") for n, f in (("all", found), ("region", near))]
+    return rounded(parts[0].unionByName(parts[1]))
+
+
+FOLD = "1999-07-01"
+
+
+def popular(lines, item, top):
+    counts = lines.groupBy(item).agg(F.countDistinct("client_id").alias("n")).orderBy(F.desc("n"), item).limit(top)
+    return counts.withColumn("rank", F.row_number().over(Window.partitionBy().orderBy(F.desc("n"), item)))  # the top rows only
+
+
+def factor_lists(spark, lines, clients, top, rank=32, rounds=12):
+    """(client_id, product_id, rank) by implicit-feedback factors; ids are mapped densely, and only `clients` are scored."""
+    counts = lines.groupBy("client_id", "product_id").agg(F.countDistinct("order_id").cast("float").alias("n"))
+    ids = {k: checkpointed(counts.select(k).distinct().withColumn(f"{k}_i", (F.dense_rank().over(Window.partitionBy(F.pmod(F.xxhash64(k), F.lit(1024)).cast("int").alias("b")).orderBy(k)) * 1024 + F.pmod(F.xxhash64(k), F.lit(1024))).cast("int"))) for k in ("client_id", "product_id")}
+    rows = counts.join(ids["client_id"], "client_id").join(ids["product_id"], "product_id")
+    model = ALS(userCol="client_id_i", itemCol="product_id_i", ratingCol="n", implicitPrefs=True, rank=rank, maxIter=rounds, alpha=40.0, regParam=0.1, seed=7).fit(rows)
+    asked = ids["client_id"].join(clients, "client_id", "left_semi").select("client_id_i")
+    got = model.recommendForUserSubset(asked, top).select("client_id_i", F.posexplode("recommendations").alias("at", "x"))
+    return got.join(ids["client_id"], "client_id_i").join(ids["product_id"], F.col("x.product_id_i") == ids["product_id"]["product_id_i"]).select("client_id", "product_id", (F.col("at") + 1).alias("rank"))
+
+
+@P.add("c12_single_fold")
+def c12(spark, d):
+    """Four recommenders trained once before a fold day, on the clients whose last basket is after it."""
+    lines = checkpointed(plain(spark, d).select("client_id", "product_id", "order_id", "created"))
+    cases = reco.last_basket_cases(lines).where(F.col("as_of") >= F.lit(FOLD).cast("date"))
+    before = lines.where(F.col("created") < F.lit(FOLD).cast("date"))
+    truth = checkpointed(lines.join(cases, ["client_id", "order_id"]).select("client_id", "product_id").distinct())
+    fold = cases.select("client_id", F.lit(FOLD).cast("date").alias("as_of"))
+    past_ = reco.history(before, fold)
+    per = past_.groupBy("client_id", "product_id").agg(F.countDistinct("order_id").alias("n"))
+    lists = {
+        "factors": factor_lists(spark, before, truth.select("client_id").distinct(), 10),
+        "hybrid": reco.quota_lists(reco.repurchase_at(past_, "product_id"), reco.discovery_at(before, fold, "product_id"), groups(spark, d), "product_id"),
+        "most_frequent": ranking.first_per(per, ["client_id"], [F.desc("n"), F.col("product_id")], 10),
+        "popular": truth.select("client_id").distinct().join(F.broadcast(popular(before, "product_id", 10))).select("client_id", "product_id", "rank"),
+    }
+    parts = [reco.evaluate(r, truth, "product_id", 10).select(F.lit(n).alias("model"), "*") for n, r in lists.items()]
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return rounded(out)
+
+
+@P.add("c13_quota_sweep")
+def c13_quota(spark, d):
+    """Metrics of the hybrid under several repurchase quotas, over one set of cases and scores."""
+    _, _, truth, own, found = prepared(spark, d)
+    parts = [reco.evaluate(reco.quota_lists(own, found, groups(spark, d), "product_id", repurchase=q), truth, "product_id", 25).select(F.lit(q).alias("quota"), "*") for q in (25, 20, 10, 0)]
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return rounded(out)
 
 
 @P.add(
@@ -109,27 +262,24 @@ def c10(spark, d):
 )
 def c11(spark, d):
     from tidemark.operators.ranking import first_per
-    from tidemark.operators.sales import window
 
-    truth = reco.owned(window(valid(spark, d), END, "2000-04-01"), "group_id")
+    truth = reco.owned(sales.window(valid(spark, d), END, "2000-04-01"), "group_id")
     per = past(spark, d).groupBy("client_id", "group_id").agg(F.countDistinct("order_id").alias("n"))
     recs = first_per(per, ["client_id"], [F.desc("n"), F.col("group_id")], 5)
     return reco.evaluate(recs, truth, "group_id", 5).select("n", *[F.round(m, 6).alias(m) for m in ("hit_rate", "precision", "recall", "mrr")])
 
 
-@P.add("c11_evaluation_of_hybrid")
-def c11b(spark, d):
-    from tidemark.operators.sales import window
+C11_SQL = """SELECT count(*) AS n, round(avg(CASE WHEN h > 0 THEN 1.0 ELSE 0.0 END::DOUBLE), 6) AS hit_rate, round(avg(coalesce(h, 0) / 10), 6) AS precision, round(avg(coalesce(h, 0) / size), 6) AS recall, round(avg(coalesce(1 / first, 0.0::DOUBLE)), 6) AS mrr FROM
+    (SELECT t.client_id, count(*) AS size, count(g.r) AS h, min(g.r) AS first FROM (SELECT DISTINCT client_id, group_id FROM valid_sales WHERE created >= DATE '2000-01-01' AND created < DATE '2000-04-01') t LEFT JOIN (SELECT * FROM gblend WHERE r <= 10) g ON g.client_id = t.client_id AND g.group_id = t.group_id GROUP BY 1)"""
+
 
-    return reco.evaluate(hybrid(spark, d), reco.owned(window(valid(spark, d), END, "2000-04-01"), "group_id"), "group_id", 10)
+@P.add("c11_evaluation_of_hybrid", C11_SQL, **T, **GROUPS)
+def c11b(spark, d):
+    return rounded(reco.evaluate(hybrid(spark, d), reco.owned(sales.window(valid(spark, d), END, "2000-04-01"), "group_id"), "group_id", 10))
 
 
 @P.add("c8_matrix_factorisation")
 def c8(spark, d):
-    """Implicit-feedback factors of groups; ranking quality counts, not the factors."""
-    from pyspark.ml.recommendation import ALS
-
-    counts = past(spark, d).groupBy("client_id", "group_id").agg(F.countDistinct("order_id").cast("float").alias("n"))
-    ids = counts.select("client_id", F.regexp_extract("group_id", r"(\d+)", 1).cast("int").alias("item"), "n").withColumn("client", F.col("client_id").cast("int"))
-    model = ALS(userCol="client", itemCol="item", ratingCol="n", implicitPrefs=True, rank=8, maxIter=5, alpha=40.0, regParam=0.1, seed=7).fit(ids)
-    return model.recommendForAllUsers(5).select(F.col("client").cast("long").alias("client_id"), F.posexplode("recommendations").alias("rank", "x")).select("client_id", (F.col("rank") + 1).alias("rank"), F.col("x.item").alias("item"))
+    """Implicit-feedback factors of products, 32 by 12 rounds; the first five for every client."""
+    lines = plain(spark, d)
+    return factor_lists(spark, lines, lines.select("client_id").distinct(), 5)

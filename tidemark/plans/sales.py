@@ -141,12 +141,12 @@ def a23(spark, d):
 @P.add(
     "a24_pooled_panel",
     "SELECT s.group_id, s.product_id, s.agreement_id, strftime(created, '%Y-%m') AS ym, CAST(sum(qty) AS DOUBLE) AS qty FROM year_sales s JOIN top t ON s.group_id = t.group_id AND s.product_id = t.product_id GROUP BY 1, 2, 3, 4",
-    top="SELECT group_id, product_id FROM (SELECT group_id, product_id, row_number() OVER (PARTITION BY group_id ORDER BY count(*) DESC, product_id) AS r FROM year_sales GROUP BY 1, 2) WHERE r <= 40",
+    top="SELECT group_id, product_id FROM (SELECT group_id, product_id, row_number() OVER (PARTITION BY group_id ORDER BY count(*) DESC, product_id) AS r FROM year_sales GROUP BY 1, 2) WHERE r <= 400",
 )
 def a24(spark, d):
     lines = year(spark, d)
     counts = lines.groupBy("group_id", "product_id").count()
-    top = ranking.first_per(counts, ["group_id"], [F.col("count").desc(), F.col("product_id")], 40).select("group_id", "product_id")
+    top = ranking.first_per(counts, ["group_id"], [F.col("count").desc(), F.col("product_id")], 400).select("group_id", "product_id")
     return sales.monthly(lines.join(top, ["group_id", "product_id"], "left_semi"), ["group_id", "product_id", "agreement_id"], "qty", "qty")
 
 
@@ -200,9 +200,9 @@ def a51(spark, d):
     return sales.monthly(year(spark, d), ["manager_id"], "amount", "eur")
 
 
-@P.add("p3_ubiquitous_products", "SELECT product_id FROM year_sales GROUP BY 1 HAVING count(DISTINCT client_id) > 0.01 * (SELECT count(DISTINCT client_id) FROM year_sales) UNION SELECT 1")
+@P.add("p3_ubiquitous_products", "SELECT product_id FROM year_sales GROUP BY 1 HAVING count(DISTINCT client_id) > 0.20 * (SELECT count(DISTINCT client_id) FROM year_sales) UNION SELECT 1")
 def p3(spark, d):
-    return sales.ubiquitous_products(year(spark, d), 0.01)
+    return sales.ubiquitous_products(year(spark, d), 0.20)
 
 
 @P.add("j3_orders_with_a_real_line", "SELECT DISTINCT o_orderkey AS order_id FROM orders WHERE EXISTS (SELECT 1 FROM valid_sales v WHERE v.order_id = o_orderkey)")

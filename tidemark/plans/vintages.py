@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from tidemark.functions.columns import saturation
 from tidemark.operators import actions as ac, pricing as pr, risk as rk, sales, scorecard as sc, supply
 from tidemark.operators.ranking import first_per
-from tidemark.plans import actions, risk
+from tidemark.plans import actions, reco as reco_plans, risk
 from tidemark.plans.base import Plans
 from tidemark.plans.sales import END, past, valid
 from tidemark.sources import canonical as c
@@ -47,13 +47,16 @@ def a40(spark, d):
     return supply.learned_factors(c.quantity_feedback(spark, d))
 
 
-@P.add("c14_regression_floors")
+FLOORS = {"hit_rate": 0.05, "precision": 0.01, "recall": 0.02, "mrr": 0.02}
+
+
+@P.add("c14_regression_floors", "SELECT metric, value, least, value >= least AS holds FROM (SELECT * FROM judged UNPIVOT (value FOR metric IN (hit_rate, precision, recall, mrr))) JOIN (VALUES " + ", ".join(f"('{k}', {v}::DOUBLE)" for k, v in FLOORS.items()) + ") t(metric, least) USING (metric)", **reco_plans.T, **reco_plans.GROUPS, judged="SELECT CAST(hit_rate AS DOUBLE) AS hit_rate, CAST(precision AS DOUBLE) AS precision, CAST(recall AS DOUBLE) AS recall, CAST(mrr AS DOUBLE) AS mrr FROM (" + reco_plans.C11_SQL + ")")
 def c14(spark, d):
-    """Metrics of frequency ranking against stored floors; a row per metric and whether it holds."""
-    from tidemark.plans.reco import c11
+    """Metrics of the hybrid against stored floors; a row per metric and whether it holds."""
+    from tidemark.plans.reco import c11b
 
-    floors = spark.createDataFrame([("hit_rate", 0.05), ("precision", 0.01), ("recall", 0.02), ("mrr", 0.02)], "metric string, least double")
-    row = c11(spark, d)
+    floors = spark.createDataFrame(list(FLOORS.items()), "metric string, least double")
+    row = c11b(spark, d)
     long = row.select(F.explode(F.array(*[F.struct(F.lit(m).alias("metric"), F.col(m).alias("value")) for m in ("hit_rate", "precision", "recall", "mrr")])).alias("x")).select("x.metric", "x.value")
     return long.join(F.broadcast(floors), "metric").withColumn("holds", F.col("value") >= F.col("least"))
 
