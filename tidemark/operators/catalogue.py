@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.operators.ranking import first_per
+from tidemark.sources.sinks import checkpointed
 
 #: Part numbers that mean none.
 JUNK_NUMBERS = ("", "-", "0", "n/a")
@@ -27,10 +28,22 @@ def substitutes(link: DataFrame, health: DataFrame, most: int = 5) -> DataFrame:
     return first_per(df, ["product_id"], order, most)
 
 
-def tier_roots(tiers: DataFrame, depth: int = 6) -> DataFrame:
-    """(pricing_id, root_id, markup): the top of each tier's chain and the sum of extra charges on the way, to a bounded depth."""
-    now = tiers.select("pricing_id", F.col("pricing_id").alias("root_id"), F.col("parent_id").alias("up"), F.col("extra").alias("markup"))
-    step = tiers.select(F.col("pricing_id").alias("up"), F.col("parent_id").alias("up2"), F.col("extra").alias("more"))
-    for _ in range(depth):
-        now = now.join(F.broadcast(step), "up", "left").select("pricing_id", F.coalesce("up", "root_id").alias("root_id"), F.col("up2").alias("up"), (F.col("markup") + F.coalesce("more", F.lit(0.0))).alias("markup"))
-    return now.select("pricing_id", "root_id", "markup")
+def tier_roots(tiers: DataFrame) -> DataFrame:
+    """(pricing_id, root_id, extra): the top of each tier's chain and the tier's own extra charge. The table of price tiers is
+    small; chains of any depth are followed to their end, and one that never ends is an error."""
+    most = tiers.count()
+    now = tiers.select("pricing_id", F.col("pricing_id").alias("root_id"), F.col("parent_id").alias("up"), "extra")
+    step = tiers.select(F.col("pricing_id").alias("up"), F.col("parent_id").alias("up2"))
+    for _ in range(most + 1):
+        if now.where("up is not null").isEmpty():
+            return now.select("pricing_id", "root_id", "extra")
+        now = checkpointed(now.join(step, "up", "left").select("pricing_id", F.coalesce("up", "root_id").alias("root_id"), F.col("up2").alias("up"), "extra"))
+    raise RuntimeError("a price tier is its own ancestor")
+
+
+def tier_prices(prices: DataFrame, tiers: DataFrame, overrides: DataFrame, groups: DataFrame) -> DataFrame:
+    """(product_id, pricing_id, root_id, extra, price): the price at the tier's root, marked up by the tier's own charge, or by
+    the charge set for (tier, product group). prices has product_id, root_id and base; groups has product_id and group_id."""
+    df = prices.join(groups, "product_id").join(tier_roots(tiers), "root_id").join(overrides.withColumnRenamed("extra", "own"), ["pricing_id", "group_id"], "left")
+    extra = F.coalesce("own", "extra", F.lit(0.0))
+    return df.select("product_id", "pricing_id", "root_id", extra.alias("extra"), (F.col("base") * (1 + extra / 100)).alias("price"))

@@ -125,14 +125,22 @@ def elastic_price(e: Column, cost: Column) -> Column:
     return F.when((e > 1.0) & (e <= 5.0), cost * e / (e - 1))
 
 
-def pooled_slope(df: DataFrame, key: str, effects: list[str], sweeps: int = 8) -> DataFrame:
-    """(key, slope, n) of y on x after the means of each effect inside a key are swept out by turns. A sweep is an
-    aggregate and a join per effect, so that a large group never lands in one task; sweeps are written every other turn."""
-    df = checkpointed(df)
-    for i in range(sweeps):
+def pooled_slope(df: DataFrame, key: str, effects: list[str], settled: float = 1e-8, most: int = 200) -> DataFrame:
+    """(key, slope, n) of y on x after the means of each effect inside a key are swept out by turns, until no slope moves by
+    more than `settled`; with `most` sweeps done and slopes still moving it is an error. A sweep is an aggregate and a join
+    per effect, so that a large group never lands in one task."""
+    df, before = checkpointed(df), None
+    for i in range(1, most + 1):
         for e in effects:
             means = df.groupBy(key, e).agg(F.avg("x").alias("_mx"), F.avg("y").alias("_my"))
             df = df.join(means, [key, e]).withColumns({"x": F.col("x") - F.col("_mx"), "y": F.col("y") - F.col("_my")}).drop("_mx", "_my")
-        if i % 2:
-            df = checkpointed(df)
-    return df.groupBy(key).agg(F.regr_slope("y", "x").alias("slope"), F.count(F.lit(1)).alias("n"))
+        if i % 4:
+            continue
+        df = checkpointed(df)
+        now = checkpointed(df.groupBy(key).agg(F.regr_slope("y", "x").alias("slope"), F.count(F.lit(1)).alias("n")))
+        if before is not None:
+            moved = now.join(before.select(key, F.col("slope").alias("old")), key).agg(F.max(F.abs(F.col("slope") - F.col("old")))).first()[0]
+            if moved is None or moved <= settled:
+                return now
+        before = now
+    raise RuntimeError(f"slopes still move after {most} sweeps")

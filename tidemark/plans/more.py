@@ -139,12 +139,23 @@ def h8(spark, d):
     return catalogue.substitutes(linked(spark, d), assortment.table(spark, d)).select("product_id", "other_id", "rank")
 
 
-@P.add("r7_tier_prices")
+TIERS = [(0, None, 0.0), (1, 0, 5.0), (2, 1, 3.0), (3, 0, -2.0), (4, 2, 8.0), (5, None, 0.0), (6, 5, 12.0)]
+
+
+@P.add(
+    "r7_tier_prices",
+    """SELECT p_partkey AS product_id, r.pricing_id, root_id, coalesce(o.extra, r.extra) AS extra, round(p_retailprice * (30 + root_id) * (1 + coalesce(o.extra, r.extra) / 100) + 0.000000001::DOUBLE, 2) AS price FROM part CROSS JOIN roots r LEFT JOIN (SELECT pricing_id, p_brand, 7.5::DOUBLE AS extra FROM tiers, (SELECT DISTINCT p_brand FROM part WHERE p_brand LIKE '%1') WHERE pricing_id % 2 = 0) o ON o.pricing_id = r.pricing_id AND o.p_brand = part.p_brand""",
+    tiers="SELECT * FROM (VALUES " + ", ".join(f"({i}, {'NULL' if u is None else u}::INTEGER, {x}::DOUBLE)" for i, u, x in TIERS) + ") t(pricing_id, parent_id, extra)",
+    roots="SELECT * FROM (WITH RECURSIVE up AS (SELECT pricing_id, pricing_id AS root_id, parent_id, extra FROM tiers UNION ALL SELECT u.pricing_id, t.pricing_id, t.parent_id, u.extra FROM up u JOIN tiers t ON t.pricing_id = u.parent_id) SELECT pricing_id, root_id, extra FROM up WHERE parent_id IS NULL)",
+)
 def r7(spark, d):
-    """Price of each (product, tier): list price with the markups up to the tier's root."""
-    tiers = spark.createDataFrame([(0, None, 0.0), (1, 0, 5.0), (2, 1, 3.0), (3, 0, -2.0)], "pricing_id int, parent_id int, extra double")
-    prices = c.read(spark, d, "part").select(F.col("p_partkey").alias("product_id"), (F.col("p_retailprice") * 30).alias("base"))
-    return prices.crossJoin(F.broadcast(catalogue.tier_roots(tiers))).select("product_id", "pricing_id", "root_id", F.round(F.col("base") * (1 + F.col("markup") / 100), 2).alias("price"))
+    """Price of each (product, tier): list price at the tier's root, its own or the group's markup. Root 5 has dearer lists."""
+    tiers = spark.createDataFrame(TIERS, "pricing_id int, parent_id int, extra double")
+    parts = c.read(spark, d, "part")
+    prices = parts.select(F.col("p_partkey").alias("product_id"), "p_retailprice", F.explode(F.array(*[F.lit(i) for i, u, _ in TIERS if u is None])).alias("root_id")).select("product_id", "root_id", (F.col("p_retailprice") * (30 + F.col("root_id"))).alias("base"))
+    groups = parts.select(F.col("p_partkey").alias("product_id"), F.col("p_brand").alias("group_id"))
+    own = groups.select("group_id").distinct().where("group_id like '%1'").withColumn("pricing_id", F.explode(F.array(*[F.lit(i) for i, _, _ in TIERS if i % 2 == 0]))).withColumn("extra", F.lit(7.5))
+    return catalogue.tier_prices(prices, tiers, own, groups).withColumn("price", F.round(F.col("price") + 1e-9, 2))
 
 
 @P.add("r12_elasticity_direction")
@@ -200,6 +211,26 @@ def t22(spark, d):
     return lines.groupBy("client_id", F.col("m").cast("string").alias("month_end")).agg(F.sum("amount").cast("double").alias("turnover"))
 
 
+MONTH_ENDS = ("1999-07-01", "1999-10-01", "2000-01-01")
+SPARK_SQL = {}
+for _i, _t in enumerate(MONTH_ENDS):
+    SPARK_SQL |= risk.matrix_sql(f"at{_i}", _t, "3000") | risk.card_sql(f"at{_i}")
+
+
+@P.add(
+    "t22_score_sparkline",
+    " UNION ALL ".join(f"SELECT client_id, '{t}' AS as_of, CAST(round(least(greatest((500 + 20 / ln(2.0::DOUBLE) * ln((1 - pd) / pd) - 400) / 250 * 100, 0), 100)) AS INTEGER) AS score FROM at{i}_card" for i, t in enumerate(MONTH_ENDS)),
+    **SPARK_SQL,
+)
+def t22_score(spark, d):
+    """The card's score of every buyer at the ends of quarters, each from the features of its own day, serving variant."""
+    parts = [rk.apply_scorecard(risk.matrix(spark, d, t, sentinel=3000), risk.CARD).select("client_id", F.lit(t).alias("as_of"), F.round("score").cast("int").alias("score")) for t in MONTH_ENDS]
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out
+
+
 @P.add("c9_negatives_excluded", "SELECT p.client_id, p.group_id FROM (SELECT DISTINCT client_id, group_id FROM past_sales) p WHERE NOT EXISTS (SELECT 1 FROM return_lines r JOIN part ON p_partkey = r.product_id WHERE r.client_id = p.client_id AND p_brand = p.group_id AND r.return_date >= DATE '1999-10-03' AND r.return_date < DATE '2000-01-01')")
 def c9(spark, d):
     groups = c.read(spark, d, "part").select(F.col("p_partkey").alias("product_id"), F.col("p_brand").alias("group_id"))

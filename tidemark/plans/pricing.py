@@ -74,10 +74,18 @@ def r8(spark, d):
     return got.select("product_id", "agreement_id", F.round(F.col("recommended_price") + 1e-7, 2).alias("recommended_price"), F.round(F.col("price_floor") + 1e-7, 2).alias("price_floor"), "confidence", "rationale")
 
 
-@P.add("r4_r5_discount_bands")
+@P.add(
+    "r4_r5_discount_bands",
+    """SELECT product_id, agreement_id, round(cut + 0.0000001::DOUBLE, 2) AS suggested_discount_pct, round(a + 0.0000001::DOUBLE, 2) AS band_min, round(least(greatest(coalesce(cut, 0), a), b) + 0.0000001::DOUBLE, 2) AS band_target, round(b + 0.0000001::DOUBLE, 2) AS band_max, round(CASE WHEN price > 0 THEN (price - unit_cost_eur) / price * 100 END + 0.0000001::DOUBLE, 2) AS margin_pct FROM
+    (SELECT *, CASE WHEN raw IS NULL THEN NULL WHEN greatest(raw, 0) > least(seg_p75, seg_p90) THEN least(seg_p75, seg_p90) ELSE greatest(raw, 0) END AS cut, least(low, high) AS a, greatest(low, high) AS b FROM
+      (SELECT *, CASE WHEN list_price > 0 THEN (1 - price / list_price) * 100 END AS raw, greatest(coalesce((1 - fl / list_price) * 100, 0), 0) AS low, coalesce(seg_p90, seg_p75, 0) AS high FROM
+        (SELECT *, CASE WHEN baseline <= 0 THEN NULL WHEN fl > baseline THEN fl WHEN target IS NULL THEN baseline ELSE least(target, baseline) END AS price FROM
+          (SELECT p.*, unit_cost_eur * 1.15::DOUBLE AS fl, greatest(unit_cost_eur * 1.15::DOUBLE, p50) AS target, unit_cost_eur, seg_p75, seg_p90 FROM pairs p LEFT JOIN peers e ON e.product_id = p.product_id LEFT JOIN costs c ON c.product_id = p.product_id LEFT JOIN segs g ON g.group_id = p.group_id))))""",
+    **BAND,
+)
 def r5(spark, d):
     got = pr.recommend(pairs(spark, d), pr.peer_band(year(spark, d)), costs(spark, d), segments(spark, d))
-    return got.select("product_id", "agreement_id", *[F.round(x, 2).alias(x) for x in ("suggested_discount_pct", "band_min", "band_target", "band_max", "margin_pct")])
+    return got.select("product_id", "agreement_id", *[F.round(F.col(x) + 1e-7, 2).alias(x) for x in ("suggested_discount_pct", "band_min", "band_target", "band_max", "margin_pct")])
 
 
 @P.add("r9_elasticity_by_group")
@@ -90,5 +98,7 @@ def r9(spark, d):
 
 @P.add("r11_elastic_price")
 def r11(spark, d):
+    """Cost times e / (e - 1) where the fit is sane, and the source of the price: `elasticity` or `none`."""
     cost = year(spark, d).groupBy("group_id").agg(F.avg(F.col("price") * 0.7).alias("cost"))
-    return r9(spark, d).join(cost, "group_id").select("group_id", F.round(pr.elastic_price(F.col("elasticity"), F.col("cost")), 2).alias("elastic_price"))
+    price = F.round(pr.elastic_price(F.col("elasticity"), F.col("cost")), 2)
+    return r9(spark, d).join(cost, "group_id").select("group_id", price.alias("elastic_price"), F.when(price.isNotNull(), "elasticity").otherwise("none").alias("source"))

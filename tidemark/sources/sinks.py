@@ -10,17 +10,23 @@ from pyspark.sql import functions as F
 
 
 def shared_dir(spark) -> str:
-    """The folder that the cluster names in spark.checkpoint.dir; a temporary one only where that is unset."""
+    """The folder that the cluster names in spark.checkpoint.dir. Unset, a temporary one where all tasks run on this machine, as
+    in tests; on a cluster, whose executors would not see it, an error."""
     at = spark.conf.get("spark.checkpoint.dir", None)
     if at is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         at = f"file://{tempfile.mkdtemp(prefix='tidemark-')}"
         spark.conf.set("spark.checkpoint.dir", at)
     return at.rstrip("/")
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
-    """df written to the shared folder and read again, which cuts its lineage and survives lost executors."""
-    path = f"{shared_dir(df.sparkSession)}/step-{uuid.uuid4().hex}"
+    """df written to the shared folder and read again, which cuts its lineage and survives lost executors.
+
+    Results read these files, so they stay; all of one application lie in one folder of its id, to be removed after it.
+    """
+    path = f"{shared_dir(df.sparkSession)}/{df.sparkSession.sparkContext.applicationId}/step-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
