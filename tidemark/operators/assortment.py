@@ -142,7 +142,7 @@ def deciles(table: DataFrame, value: str, k: int = 10) -> DataFrame:
 def positions(df: DataFrame, value: str) -> DataFrame:
     """Adds _pos (1..n in the order value, product_id) and _n, through range buckets."""
     df = checkpointed(df)
-    cuts = sorted(set(df.agg(F.percentile_approx(value, [i / 32 for i in range(1, 32)], 1000)).first()[0] or []))
+    cuts = ranking.range_cuts(df, F.col(value).cast("double"))
     keyed = df.withColumn("_b", ranking.bucket_of(F.col(value), cuts))
     totals = keyed.groupBy("_b").agg(F.count(F.lit(1)).alias("_t"))
     before = totals.select("_b", (F.sum("_t").over(Window.orderBy("_b")) - F.col("_t")).alias("_before"), F.sum("_t").over(Window.partitionBy()).alias("_n"))

@@ -8,21 +8,38 @@ from pyspark.sql import functions as F
 from tidemark.sources.sinks import checkpointed
 
 
+#: Rows that a bucket of a running total holds, and buckets at least and at most.
+BUCKET_ROWS, LEAST_BUCKETS, MOST_BUCKETS = 500_000, 32, 8192
+
+
 def bucket_of(value: Column, cuts: list[float]) -> Column:
-    """How many cuts lie below value."""
-    return F.size(F.filter(F.array(*[F.lit(float(c)) for c in cuts]), lambda c: c < value)) if cuts else F.lit(0)
+    """How many cuts lie below value, by halving; 0 for null."""
+
+    def half(a: int, b: int) -> Column:
+        if a == b:
+            return F.lit(a)
+        m = (a + b) // 2
+        return F.when(value > cuts[m], half(m + 1, b)).otherwise(half(a, m))
+
+    return F.when(value.isNotNull(), half(0, len(cuts))).otherwise(0)
+
+
+def range_cuts(df: DataFrame, value: Column, buckets: int | None = None) -> list[float]:
+    """Cuts of value into about equal shares of the rows; their number follows the rows, so that buckets stay of one size."""
+    k = buckets or max(LEAST_BUCKETS, min(MOST_BUCKETS, df.count() // BUCKET_ROWS))
+    return sorted(set(df.agg(F.percentile_approx(value, [i / k for i in range(1, k)], max(1000, 10 * k))).first()[0] or []))
 
 
-def running_sum(df: DataFrame, value: str, key: str, descending: bool = True, out: str = "running", buckets: int = 32) -> DataFrame:
+def running_sum(df: DataFrame, value: str, key: str, descending: bool = True, out: str = "running", buckets: int | None = None) -> DataFrame:
     """Adds the running sum of value in the order (value, key), including the row itself, and `out`_total.
 
     Rows go to range buckets of value by approximate quantiles; any cuts give the same sums. Inside a bucket a window
     adds up, split by key ranges where one value fills a bucket; the totals of earlier buckets, one row each, are
-    broadcast (their number is the parameter). Nulls count as 0 and come last.
+    broadcast; their number is at most MOST_BUCKETS. Nulls count as 0 and come last.
     """
     df = checkpointed(df)
     v = F.coalesce(F.col(value), F.lit(0).cast(df.schema[value].dataType))
-    cuts = sorted(set(df.agg(F.percentile_approx(v.cast("double"), [i / buckets for i in range(1, buckets)], 1000)).first()[0] or []))
+    cuts = range_cuts(df, v.cast("double"), buckets)
     bucket = bucket_of(v.cast("double"), cuts)
     keyed = df.withColumn("_b", -bucket if descending else bucket).withColumn("_v", v)
     # a heavy value splits by its keys
@@ -60,9 +77,9 @@ def average_rank(df: DataFrame, value: str, out: str) -> DataFrame:
     return df.join(ranked.select(value, (F.col("_upto") - (F.col("_n") - 1) / 2).alias(out)), value)
 
 
-def _running_count(counts: DataFrame, value: str, buckets: int = 32) -> DataFrame:
+def _running_count(counts: DataFrame, value: str, buckets: int | None = None) -> DataFrame:
     counts = checkpointed(counts)
-    cuts = sorted(set(counts.agg(F.percentile_approx(F.col(value).cast("double"), [i / buckets for i in range(1, buckets)], 1000)).first()[0] or []))
+    cuts = range_cuts(counts, F.col(value).cast("double"), buckets)
     keyed = counts.withColumn("_b", bucket_of(F.col(value).cast("double"), cuts))
     before = keyed.groupBy("_b").agg(F.sum("_n").alias("_t")).select("_b", (F.sum("_t").over(Window.orderBy("_b")) - F.col("_t")).alias("_before"))
     inside = Window.partitionBy("_b").orderBy(value).rowsBetween(Window.unboundedPreceding, 0)

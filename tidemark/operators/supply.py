@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.columns import inv_norm_cdf
-from tidemark.operators.ranking import bucket_of
+from tidemark.operators.ranking import bucket_of, range_cuts
 from tidemark.sources.sinks import checkpointed
 
 #: Lead time in days by the agreement's currency (domestic, PLN, EUR, USD), and otherwise.
@@ -168,7 +168,7 @@ def select_within_budget(items: DataFrame, budget: float, most_rounds: int | Non
 
 def _running_cost(items: DataFrame) -> DataFrame:
     """Adds upto, the running cost in the order of falling density and item id, through range buckets of the density."""
-    cuts = sorted(set(items.agg(F.percentile_approx("density", [i / 16 for i in range(1, 16)], 1000)).first()[0] or []))
+    cuts = range_cuts(items, F.col("density").cast("double"))
     keyed = items.withColumn("_b", -bucket_of(F.col("density"), cuts))
     before = keyed.groupBy("_b").agg(F.sum("line_cost").alias("_t")).select("_b", (F.sum("_t").over(Window.orderBy("_b")) - F.col("_t")).alias("_before"))
     inside = Window.partitionBy("_b").orderBy(F.col("density").desc(), "item_id").rowsBetween(Window.unboundedPreceding, 0)
