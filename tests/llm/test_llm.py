@@ -56,13 +56,29 @@ def test_encode_and_decode_tables(spark):
     assert sentence_pieces.encoding_report(df.limit(0), PIECES).count() == 0
 
 
-@pytest.mark.parametrize("block", [7, 64, 1 << 17])
+@pytest.mark.parametrize("block", [1999, 1 << 27])
 def test_token_counts_across_blocks(spark, tmp_path, block):
+    """Files hold nothing but ids; blocks of any size give each document's count, also where halves of ids look like an end."""
     model = sentencepiece.SentencePieceProcessor(model_file=PIECES)
-    df = frame(spark, ODD).select("doc_id", "text").union(spark.createDataFrame([(-5, "x"), (1234567890123456789, "a b"), (None, "lost")], "doc_id long, text string"))
-    token_counts.write_token_files(df, str(tmp_path / "t"), PIECES, block_ids=block)
-    got = {r.doc_id: r.n_tokens for r in token_counts.count_tokens(spark, str(tmp_path / "t"), PIECES).collect()}
+    halves = [i for i in range(model.get_piece_size()) if i >> 8 == 2 and model.decode([i]).strip()], [i for i in range(300, model.get_piece_size()) if i & 255 == 0 and model.decode([i]).strip()]
+    rnd = random.Random(6)
+    pairs = [model.decode([rnd.choice(halves[0]), rnd.choice(halves[1])]) for _ in range(600)]
+    texts = [" ".join(pairs[i : i + 40]) for i in range(0, 600, 40)]
+    df = frame(spark, ODD + texts).select("doc_id", "text").union(spark.createDataFrame([(-5, "x"), (1234567890123456789, "a b"), (None, "lost")], "doc_id long, text string"))
+    path = str(tmp_path / "t")
+    token_counts.write_token_files(df, path, PIECES)
+    raw = [np.frombuffer(p.read_bytes(), "<u2") for p in (tmp_path / "t").glob("part-*")]
+    assert sum(int((x == 2).sum()) for x in raw) == len(ODD) + len(texts) + 2 and sum(p.stat().st_size % 2 for p in (tmp_path / "t").glob("part-*")) == 0
+    odd = sum(x.tobytes().count(b"\x02\x00") for x in raw)
+    assert odd > sum(int((x == 2).sum()) for x in raw)  # there are false ends
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", str(block))
+    try:
+        got = {r.doc_id: r.n_tokens for r in token_counts.count_tokens(spark, path, PIECES).collect()}
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
     assert got == {r.doc_id: len(model.encode(r.text or "")) for r in df.collect() if r.doc_id is not None}
+    assert token_counts.token_report(df.limit(0), PIECES).count() == 0
 
 
 # --- 2 ---------------------------------------------------------------------------------------------------------------
