@@ -183,6 +183,26 @@ def p7(spark, d):
     return h.attach_meta(table(spark, d).select("product_id", "health"), parts)
 
 
+@P.add(
+    "w6_margin_leaders",
+    "SELECT product_id, round(margin_pct, 4) AS margin_pct FROM portfolio WHERE margin_pct IS NOT NULL ORDER BY margin_pct DESC, product_id LIMIT 25",
+    **TABLES,
+)
+def w6_leaders(spark, d):
+    """The highest margin shares, whatever the revenue."""
+    return table(spark, d).where("margin_pct is not null").orderBy(F.desc("margin_pct"), "product_id").limit(25).select("product_id", F.round("margin_pct", 4).alias("margin_pct"))
+
+
+@P.add(
+    "w7_assortment_page",
+    "SELECT product_id, health, revenue_eur FROM portfolio WHERE band IN ('healthy', 'understock', 'slow') AND lifecycle <> 'dead' ORDER BY health DESC, product_id LIMIT 50 OFFSET 50",
+    **TABLES,
+)
+def w7_page(spark, d):
+    """One page with its values."""
+    return table(spark, d).where("band in ('healthy', 'understock', 'slow') and lifecycle <> 'dead'").orderBy(F.desc("health"), "product_id").offset(50).limit(50).select("product_id", "health", "revenue_eur")
+
+
 @P.add(
     "w12_health_deciles",
     "SELECT product_id, CAST(floor(((row_number() OVER (ORDER BY health, product_id)) * 10 - 1) / count(*) OVER () + 1) AS INTEGER) AS bucket FROM portfolio",
@@ -241,6 +261,11 @@ def h10(spark, d):
     return correlations(checkpointed(with_future(spark, d)))
 
 
+@P.add("h10_health_spearman", "SELECT n, rho FROM (" + SPEARMAN + ") WHERE score = 'health' AND outcome = 'future_revenue_eur'", **FUTURE, **TABLES)
+def h10_health(spark, d):
+    return h.spearman(with_future(spark, d), "health", "future_revenue_eur").withColumn("rho", F.round("rho", 4))
+
+
 SUMMARY = """count(*) AS n, round(avg(health) + 0.000000001::DOUBLE, 4) AS avg_health, round(avg(future_revenue_eur) + 0.000000001::DOUBLE, 2) AS avg_revenue, round(avg(future_units) + 0.000000001::DOUBLE, 2) AS avg_units, round(avg(future_margin_eur) + 0.000000001::DOUBLE, 2) AS avg_margin,
   round(avg(CASE WHEN future_revenue_eur = 0 THEN 1.0 ELSE 0.0 END::DOUBLE) + 0.000000001::DOUBLE, 4) AS zero_share, round(CASE WHEN sum(future_units) > 0 THEN sum(future_returned_units) / sum(future_units) END + 0.000000001::DOUBLE, 4) AS return_rate"""
 

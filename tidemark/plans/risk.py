@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tidemark.operators import risk as rk, scorecard as sc
+from tidemark.operators import risk as rk, sales, scorecard as sc
 from tidemark.plans.base import Plans
 from tidemark.plans.sales import END, past, valid, year
 from tidemark.sources import canonical as c
@@ -309,6 +309,19 @@ def e17(spark, d):
     return rk.psi(was, now, DRIFT).select("feature", F.round("psi", 6).alias("psi"), "level")
 
 
+@P.add(
+    "e17_psi_of_turnover",
+    """SELECT round(sum((greatest(a, 0.0001::DOUBLE) - greatest(e, 0.0001::DOUBLE)) * ln(greatest(a, 0.0001::DOUBLE) / greatest(e, 0.0001::DOUBLE))), 6) AS psi, CASE WHEN sum((greatest(a, 0.0001::DOUBLE) - greatest(e, 0.0001::DOUBLE)) * ln(greatest(a, 0.0001::DOUBLE) / greatest(e, 0.0001::DOUBLE))) < 0.1 THEN 'stable' WHEN sum((greatest(a, 0.0001::DOUBLE) - greatest(e, 0.0001::DOUBLE)) * ln(greatest(a, 0.0001::DOUBLE) / greatest(e, 0.0001::DOUBLE))) < 0.25 THEN 'watch' ELSE 'shift' END AS level FROM
+    (SELECT bin, coalesce(max(share) FILTER (NOT base), 0) AS a, coalesce(max(share) FILTER (base), 0) AS e FROM (SELECT base, bin, count(*) / CAST(sum(count(*)) OVER (PARTITION BY base) AS DOUBLE) AS share FROM (SELECT base, len(list_filter(q, lambda x: x < v)) AS bin FROM turned, (SELECT list_sort(list_distinct(quantile_disc(v, [0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9]))) AS q FROM turned WHERE base)) GROUP BY 1, 2) GROUP BY 1)""",
+    turned="SELECT created < DATE '1999-01-01' AS base, CAST(sum(amount) AS DOUBLE) AS v FROM valid_sales WHERE created >= DATE '1998-01-01' AND created < DATE '2000-01-01' GROUP BY client_id, 1",
+)
+def e17_turnover(spark, d):
+    """Drift of the buyers' turnover between two years, buyers without a sale in a year left out."""
+    lines = valid(spark, d)
+    was, now = (sales.window(lines, a, b).groupBy("client_id").agg(F.sum("amount").cast("double").alias("v")) for a, b in (("1998-01-01", "1999-01-01"), ("1999-01-01", END)))
+    return rk.psi(was, now, ["v"]).select(F.round("psi", 6).alias("psi"), "level")
+
+
 @P.add(
     "e18_two_scores",
     f"""SELECT 'five_factor' AS model, {AUC_SQL} AS auc FROM (SELECT label, rank() OVER (ORDER BY -score) + (count(*) OVER (PARTITION BY score) - 1) / 2 AS r FROM mat_five) UNION ALL
