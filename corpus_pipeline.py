@@ -13,22 +13,31 @@ from tidemark.llm.io import materialise, table
 
 
 def stage_toxicity(spark, docs, sf_dir):
+    """docs without the toxic ones. Null and empty texts, rows without an id, repeats and columns of any name stay; without labels
+    nothing goes; an empty table stays empty."""
     return toxicity.drop_toxic(docs, table(spark, sf_dir, "labels"))
 
 
 def stage_exact_dedup(spark, docs, sf_dir):
+    """One row of each text, white space evened out: the smallest id, null ids last, of equal rows one. Null counts as empty; an
+    empty table stays empty; all columns stay."""
     return exact_dedup.drop_exact_copies(docs)
 
 
 def stage_jaccard_join(spark, docs, sf_dir):
+    """One document of each group of near copies, the smallest id. Null and empty texts are linked with nothing; rows without an id
+    and other rows of one id are documents of their own; an empty table stays empty; all columns stay."""
     return jaccard_join.drop_near_copies(docs)
 
 
 def stage_pii(spark, docs, sf_dir):
+    """docs with personal data masked in the text, and n_chars of the new text. Null texts stay null; no row goes; all columns stay."""
     return pii.redact_pii(docs)
 
 
 def stage_packing(spark, docs, sf_dir):
+    """A row per piece of a document in windows of 2048 ids. Null counts as empty, which is the closing id alone; repeated rows are
+    packed each; an empty table gives no rows."""
     return packing.pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"))
 
 
