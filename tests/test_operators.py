@@ -302,6 +302,33 @@ def test_plan_backtest_means_over_items_with_demand(spark):
     assert r.overstock_units == 10.0 and r.critical_share == 0.3333 and r.understock_loss == 0.0 and r.overstock_hold == round(2 * 0.25 / 365 * 30 * 2, 2)
 
 
+def test_sweep_weighs_pairs_and_gates(spark):
+    plan = spark.createDataFrame(
+        [(1, 1, 5.0, 5.0, "critical", 2.0, 5.0), (1, 2, 0.0, 1.0, "high", 2.0, 4.0), (2, 3, 8.0, 0.0, "none", 2.0, 3.0), (3, 2, 4.0, 13.0, "none", None, 3.0)],
+        "producer_id long, product_id long, position double, suggested_qty double, urgency string, cost double, sale double",
+    )
+    need = spark.createDataFrame([(1, 20.0), (2, 4.0)], "product_id long, need double")
+    pairs = supply.plan_backtest(plan, need, 60, by=("producer_id",))
+    got = {r.producer_id: r for r in pairs.collect()}
+    assert (got[1].fill_rate, got[1].stockout_rate, got[1].understock_loss) == (0.375, 1.0, 36.0)
+    assert (got[2].products, got[2].overstock_units, got[2].overstock_units_per_demand) == (0, 8.0, 0.0)
+    assert (got[3].overstock_rate, got[3].overstock_units_per_demand, got[3].economic_cost) == (1.0, 3.25, 0.0)  # 13 is above 3 times 4
+    r = supply.sweep_summary(pairs).first()
+    assert (r.n_pairs, r.n_skipped, r.products, r.total_items, r.critical_items) == (2, 1, 3, 3, 1)
+    assert (r.fill_rate, r.stockout_rate, r.overstock_units_total, r.economic_cost_per_product) == (0.5833, 0.6667, 13.0, 12.0)
+    gate = {g.name: g.holds for g in supply.sweep_gate(supply.sweep_summary(pairs), {"min_n_pairs": 2.0, "max_stockout_rate": 0.5, "max_economic_cost_eur_per_product": 500.0}).collect()}
+    assert gate == {"min_n_pairs": True, "max_stockout_rate": False, "max_economic_cost_eur_per_product": True}
+    empty = supply.sweep_summary(pairs.where("products < 0")).first()
+    assert (empty.n_pairs, empty.n_skipped, empty.fill_rate) == (0, 0, None)
+
+
+def test_pairs_without_demand_are_planned(spark):
+    names = "producer_id long, product_id long, mean_daily double, std_daily double, lead_days double, lead_std double, position double, abc string, cost double, sale double, moq double, multiple double, factor double"
+    rows = [(1, 1, 0.0, 0.0, 10.0, 1.0, -4.0, "C", 1.0, 2.0, None, None, None), (1, 2, 0.0, 0.0, 10.0, 1.0, 3.0, "C", 1.0, 2.0, 5.0, None, None)]
+    got = {r.product_id: (r.urgency, r.suggested_qty) for r in supply.purchase_plan(spark.createDataFrame(rows, names)).where("suggested_qty >= 0").collect()}
+    assert got == {1: ("critical", 4.0), 2: ("none", 0.0)}
+
+
 def test_month_grids():
     assert ts.month_grid("2000-02-29", 3) == ["1999-12", "2000-01", "2000-02"] and ts.future_months("1999-11-30", 3) == ["1999-12", "2000-01", "2000-02"]
     assert actions.rolling_snapshots("2000-03-01", 3) == ["1999-11-01", "1999-12-01", "2000-01-01"]

@@ -38,15 +38,20 @@ def _horner(x: Column, coefficients) -> Column:
 def inv_norm_cdf(p: Column) -> Column:
     """Quantile of the standard normal distribution, p kept inside [1e-6, 1 - 1e-6]."""
     p = clamp(p, 1e-6, 1 - 1e-6)
-
-    def tail(q: Column) -> Column:
-        return _horner(q, ACKLAM_C) / _horner(q, (*ACKLAM_D, 1.0))
-
     q = p - 0.5
     r = q * q
     middle = _horner(r, ACKLAM_A) * q / _horner(r, (*ACKLAM_B, 1.0))
-    low, high = F.sqrt(-2 * F.log(p)), F.sqrt(-2 * F.log(1 - p))
-    return F.when(p < ACKLAM_LOW, tail(low)).when(p <= 1 - ACKLAM_LOW, middle).otherwise(-tail(high))
+    away = F.sqrt(-2 * F.log(F.least(p, 1 - p)))
+    tail = _horner(away, ACKLAM_C) / _horner(away, (*ACKLAM_D, 1.0))
+    return F.when((p >= ACKLAM_LOW) & (p <= 1 - ACKLAM_LOW), middle).when(p < ACKLAM_LOW, tail).otherwise(-tail)
+
+
+def computed_once(df, **values: Column):
+    """df with columns whose values later filters and columns read, not spell out again: each a one-element array, expanded.
+
+    A filter on a column is otherwise moved below its projection with the whole expression written out at every use.
+    """
+    return df.select("*", F.inline(F.array(F.struct(*[v.alias(k) for k, v in values.items()]))))
 
 
 def month_of(day: Column) -> Column:

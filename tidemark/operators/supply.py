@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.functions.columns import inv_norm_cdf
+from tidemark.functions.columns import computed_once, inv_norm_cdf
 from tidemark.operators.ranking import bucket_of, range_cuts
 from tidemark.sources.sinks import checkpointed
 
@@ -88,9 +88,9 @@ def purchase_plan(items: DataFrame, horizon: int = 30) -> DataFrame:
     """items (producer_id, product_id, mean_daily, std_daily, lead_days, lead_std, position, abc, cost, sale, moq, multiple,
     factor) with reorder point, safety stock, cover, urgency, the policy's own quantity (raw_qty) and the suggested one:
     scaled by the learned factor, then rounded to the terms. One pass, no loop over producers; null terms or factor do nothing."""
-    df = items.withColumn("sl", service_level(F.col("sale"), F.col("cost"), F.col("abc"), horizon))
+    df = computed_once(items, sl=service_level(F.col("sale"), F.col("cost"), F.col("abc"), horizon))
     spread = F.sqrt(F.col("lead_days") * F.col("std_daily") ** 2 + F.col("mean_daily") ** 2 * F.col("lead_std") ** 2)
-    df = df.withColumn("safety_stock", inv_norm_cdf(F.col("sl")) * spread)
+    df = computed_once(df, safety_stock=inv_norm_cdf(F.col("sl")) * spread)
     df = df.withColumn("reorder_point", F.col("mean_daily") * F.col("lead_days") + F.col("safety_stock")).withColumn("order_upto", F.col("reorder_point") + F.col("mean_daily") * horizon)
     need = F.when(F.col("position") <= F.col("reorder_point"), F.greatest(F.lit(0.0), F.col("order_upto") - F.col("position"))).otherwise(0.0)
     cover = F.when(F.col("mean_daily") > 0, F.greatest(F.lit(0.0), F.col("position") / F.col("mean_daily"))).otherwise(99999.0)
@@ -99,8 +99,8 @@ def purchase_plan(items: DataFrame, horizon: int = 30) -> DataFrame:
     return df.withColumn("suggested_qty", F.round(round_order(scaled, F.col("moq"), F.col("multiple")), 2))
 
 
-def plan_backtest(plan: DataFrame, demand: DataFrame, window: int, overstock_factor: float = 1.5) -> DataFrame:
-    """One row: how a plan (position, suggested_qty, urgency, cost, sale) meets the demand (product_id, need) of the window.
+def plan_backtest(plan: DataFrame, demand: DataFrame, window: int, overstock_factor: float = 3.0, by: tuple[str, ...] = ()) -> DataFrame:
+    """One row, or one for each `by`: how a plan (position, suggested_qty, urgency, cost, sale) meets the demand (product_id, need) of the window.
 
     Rates of service are means over items with demand; excess units and the economic cost (lost margin of what falls
     short, holding of what is left over) take all items.
@@ -115,15 +115,20 @@ def plan_backtest(plan: DataFrame, demand: DataFrame, window: int, overstock_fac
 
     loss = F.sum(F.coalesce(F.col("short") * F.greatest(F.lit(0.0), F.col("sale") - F.col("cost")), F.lit(0.0)))
     hold = F.sum(F.coalesce(F.col("excess") * (HOLDING / 365.0) * window * F.col("cost"), F.lit(0.0)))
-    return df.agg(
+    demanded = F.sum("need")
+    return df.groupBy(*by).agg(
         F.sum(wanted.cast("long")).alias("products"),
         F.count(F.lit(1)).alias("total_items"),
+        F.sum((F.col("urgency") == "critical").cast("long")).alias("critical_items"),
         F.round(F.avg((F.col("urgency") == "critical").cast("double")) + 1e-9, 4).alias("critical_share"),
         F.round(F.coalesce(F.avg(F.when(wanted, F.least("have", "need") / need)), F.lit(0.0)) + 1e-9, 3).alias("fill_rate"),
         share(F.col("have") < need).alias("stockout_rate"),
         share(F.col("have") >= need).alias("coverage_with_policy"),
         share(position >= need).alias("coverage_without_policy"),
         F.round(F.sum("excess"), 2).alias("overstock_units"),
+        F.round(F.sum("excess") / F.count(F.lit(1)) + 1e-9, 3).alias("overstock_units_per_product"),
+        F.when(demanded > 0, F.round(F.sum("excess") / demanded + 1e-9, 3)).otherwise(0.0).alias("overstock_units_per_demand"),
+        demanded.alias("demand_units"),
         F.round(F.avg((F.col("suggested_qty") > need * overstock_factor).cast("double")) + 1e-9, 3).alias("overstock_rate"),
         F.round(loss, 2).alias("understock_loss"),
         F.round(hold, 2).alias("overstock_hold"),
@@ -131,6 +136,45 @@ def plan_backtest(plan: DataFrame, demand: DataFrame, window: int, overstock_fac
     )
 
 
+def sweep_summary(pairs: DataFrame) -> DataFrame:
+    """One row over backtests of (producer, date) pairs: rates weighted by products with demand; pairs without such products
+    are skipped and counted."""
+    met = F.col("products") > 0
+
+    def total(name: str) -> Column:
+        return F.sum(F.when(met, F.col(name)))
+
+    def per(amount: Column, of: Column) -> Column:
+        return F.round(amount / of + 1e-9, 4)
+
+    products = F.sum("products")
+    return pairs.agg(
+        F.count(F.when(met, 1)).alias("n_pairs"),
+        F.count(F.when(~met, 1)).alias("n_skipped"),
+        products.alias("products"),
+        total("total_items").alias("total_items"),
+        total("critical_items").alias("critical_items"),
+        per(total("critical_items"), total("total_items")).alias("critical_share"),
+        per(F.sum(F.col("fill_rate") * F.col("products")), products).alias("fill_rate"),
+        per(F.sum(F.col("stockout_rate") * F.col("products")), products).alias("stockout_rate"),
+        F.round(total("overstock_units"), 2).alias("overstock_units_total"),
+        per(total("overstock_units"), products).alias("overstock_units_per_product"),
+        per(total("overstock_units"), total("demand_units")).alias("overstock_units_per_demand"),
+        *[F.round(total(name), 2).alias(name) for name in ("understock_loss", "overstock_hold", "economic_cost")],
+        per(total("economic_cost"), products).alias("economic_cost_per_product"),
+    )
+
+
+def sweep_gate(summary: DataFrame, limits: dict[str, float]) -> DataFrame:
+    """(name, actual, limit, holds) of a sweep's row for each limit; names begin with min or max."""
+    columns = {"max_economic_cost_eur_per_product": "economic_cost_per_product"}
+    checks = []
+    for name, limit in limits.items():
+        actual = F.col(columns.get(name, name[4:])).cast("double")
+        checks.append(F.struct(F.lit(name).alias("name"), actual.alias("actual"), F.lit(limit).alias("limit"), (actual >= limit if name.startswith("min") else actual <= limit).alias("holds")))
+    return summary.select(F.explode(F.array(*checks)).alias("x")).select("x.*")
+
+
 def value_density(plan: DataFrame) -> DataFrame:
     weight = F.lit(0.1)
     for name, w in URGENCY_WEIGHT.items():

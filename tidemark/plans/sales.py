@@ -117,8 +117,8 @@ def a11(spark, d):
     "SELECT product_id, CAST(o AS DOUBLE) - CAST(coalesce(r, 0) AS DOUBLE) AS on_order FROM net WHERE CAST(o AS DOUBLE) - CAST(coalesce(r, 0) AS DOUBLE) > 0.001",
     net="SELECT product_id, sum(CASE WHEN kind = 'ordered' THEN qty END) AS o, sum(CASE WHEN kind = 'received' THEN qty END) AS r FROM supply_lines WHERE event_date < DATE '2000-01-01' GROUP BY 1",
 )
-def a12(spark, d):
-    lines = c.supply_lines(spark, d).where(F.col("event_date") < F.lit(END).cast("date"))
+def a12(spark, d, as_of=END):
+    lines = c.supply_lines(spark, d).where(F.col("event_date") < F.lit(as_of).cast("date"))
     net = lines.groupBy("product_id").agg(F.sum(F.when(F.col("kind") == "ordered", F.col("qty"))).cast("double").alias("o"), F.sum(F.when(F.col("kind") == "received", F.col("qty"))).cast("double").alias("r"))
     return net.select("product_id", (F.col("o") - F.coalesce("r", F.lit(0.0))).alias("on_order")).where("on_order > 0.001")
 

@@ -2,36 +2,51 @@
 
 from __future__ import annotations
 
+import datetime as dt
+
 from pyspark.sql import functions as F
 
 from tidemark.functions import columns as col
 from tidemark.operators import ranking, sales, supply as g
 from tidemark.plans import sales as sale_plans
 from tidemark.plans.base import Plans
-from tidemark.plans.sales import END, valid, year
+from tidemark.plans.sql import sql
+from tidemark.plans.sales import END, valid
 from tidemark.sources import canonical as c
 from tidemark.sources.sinks import seed_terms
 
 P = Plans()
-RATE = {
-    "ordered": "SELECT * FROM supply_base WHERE event_date >= DATE '1999-01-01' AND event_date < DATE '2000-01-01'",
-    "rated": "SELECT o.*, unit_price * coalesce(f.rate, 1.0::DOUBLE) AS price_eur FROM ordered o ASOF LEFT JOIN fx_rates f ON o.currency_id = f.currency_id AND o.event_date >= f.valid_from",
-    "medians": "SELECT producer_id, product_id, quantile_cont(price_eur, 0.5) AS cost_eur FROM rated GROUP BY 1, 2",
-    "modal": "SELECT producer_id, currency_id FROM (SELECT producer_id, currency_id, row_number() OVER (PARTITION BY producer_id ORDER BY count(*) DESC, currency_id) AS r FROM ordered GROUP BY 1, 2) WHERE r = 1",
-    "lead": "SELECT producer_id, avg(date_diff('day', event_date, arrived)) AS m, stddev_pop(date_diff('day', event_date, arrived)) AS s, count(*) AS k FROM ordered WHERE date_diff('day', event_date, arrived) BETWEEN 1 AND 120 GROUP BY 1",
-    "leads": "SELECT producer_id, ld AS lead_days, CASE WHEN k >= 3 THEN greatest(s, 0.1::DOUBLE * ld) ELSE 0.5::DOUBLE * ld END AS lead_std, CASE WHEN k >= 3 THEN 'empirical' WHEN currency_id <= 3 THEN 'geo' ELSE 'default' END AS lead_source FROM (SELECT m.producer_id, currency_id, CASE WHEN k >= 3 THEN l.m ELSE CASE currency_id WHEN 3 THEN 7.0 WHEN 2 THEN 14.0 WHEN 0 THEN 18.0 WHEN 1 THEN 35.0 ELSE 30.0 END END::DOUBLE AS ld, k, s FROM modal m LEFT JOIN lead l ON l.producer_id = m.producer_id)",
-}
+#: Days before a plan's date: of orders, costs, prices and classes, of demand, of open reservations.
+ORDERED, DEMAND, RESERVED = 365, 120, 92
+
+
+def before(as_of: str, days: int) -> str:
+    return (dt.date.fromisoformat(as_of) - dt.timedelta(days)).isoformat()
+
+
+def rate_sql(as_of: str) -> dict[str, str]:
+    """Supply orders of the year before as_of, their costs and lead times, as SQL."""
+    return {
+        "ordered": f"SELECT * FROM supply_base WHERE event_date >= DATE '{before(as_of, ORDERED)}' AND event_date < DATE '{as_of}'",
+        "rated": "SELECT o.*, unit_price * coalesce(f.rate, 1.0::DOUBLE) AS price_eur FROM ordered o ASOF LEFT JOIN fx_rates f ON o.currency_id = f.currency_id AND o.event_date >= f.valid_from",
+        "medians": "SELECT producer_id, product_id, quantile_cont(price_eur, 0.5) AS cost_eur FROM rated GROUP BY 1, 2",
+        "modal": "SELECT producer_id, currency_id FROM (SELECT producer_id, currency_id, row_number() OVER (PARTITION BY producer_id ORDER BY count(*) DESC, currency_id) AS r FROM ordered GROUP BY 1, 2) WHERE r = 1",
+        "lead": "SELECT producer_id, avg(date_diff('day', event_date, arrived)) AS m, stddev_pop(date_diff('day', event_date, arrived)) AS s, count(*) AS k FROM ordered WHERE date_diff('day', event_date, arrived) BETWEEN 1 AND 120 GROUP BY 1",
+        "leads": "SELECT producer_id, ld AS lead_days, CASE WHEN k >= 3 THEN greatest(s, 0.1::DOUBLE * ld) ELSE 0.5::DOUBLE * ld END AS lead_std, CASE WHEN k >= 3 THEN 'empirical' WHEN currency_id <= 3 THEN 'geo' ELSE 'default' END AS lead_source FROM (SELECT m.producer_id, currency_id, CASE WHEN k >= 3 THEN l.m ELSE CASE currency_id WHEN 3 THEN 7.0 WHEN 2 THEN 14.0 WHEN 0 THEN 18.0 WHEN 1 THEN 35.0 ELSE 30.0 END END::DOUBLE AS ld, k, s FROM modal m LEFT JOIN lead l ON l.producer_id = m.producer_id)",
+    }
+
 
+RATE = rate_sql(END)
 
-def ordered(spark, d):
-    lines = c.supply_lines(spark, d).where("kind = 'ordered'")
-    return lines.where((F.col("event_date") >= F.lit("1999-01-01").cast("date")) & (F.col("event_date") < F.lit(END).cast("date")))
 
+def ordered(spark, d, as_of=END):
+    return c.supply_lines(spark, d).where("kind = 'ordered'").where(col.half_open(F.col("event_date"), before(as_of, ORDERED), as_of))
 
-def rated(spark, d):
+
+def rated(spark, d, as_of=END):
     from tidemark.operators.risk import to_eur
 
-    return to_eur(ordered(spark, d), c.fx_rates(spark), "unit_price", "event_date", "price_eur")
+    return to_eur(ordered(spark, d, as_of), c.fx_rates(spark), "unit_price", "event_date", "price_eur")
 
 
 @P.add("a16_supplier_cost", "SELECT producer_id, product_id, round(cost_eur + 0.0000001::DOUBLE, 2) AS cost_eur FROM medians", **RATE)
@@ -76,39 +91,44 @@ def acklam(p: str) -> str:
     return f"CASE WHEN {p} < 0.02425::DOUBLE THEN {tail(low)} WHEN {p} <= 1 - 0.02425::DOUBLE THEN {poly(r, a)} * {q} / {poly(r, (*b, 1.0))} ELSE -({tail(high)}) END"
 
 
-#: The plan in SQL, written from the policy's rules: position = on hand - reserved + open orders; floors .95/.85/.50, holding
-#: .25 a year, 30 days of horizon, 120 of history.
-PLAN = {
-    "daily": "SELECT product_id, created, CAST(sum(qty) AS DOUBLE) AS u FROM valid_sales WHERE created >= DATE '1999-09-03' AND created < DATE '2000-01-01' GROUP BY 1, 2",
-    "demand": "SELECT product_id, sum(u) / 120 AS mean_daily, sqrt(greatest(sum(u * u) / 120 - (sum(u) / 120) * (sum(u) / 120), 0.0::DOUBLE)) AS std_daily FROM daily GROUP BY 1",
-    "onh": "SELECT product_id, CAST(sum(qty) AS DOUBLE) AS on_hand FROM stock_lots GROUP BY 1",
-    "res": "SELECT product_id, CAST(sum(qty) AS DOUBLE) AS reserved FROM valid_sales WHERE line_status = 'O' AND return_flag = 'N' AND created >= DATE '1999-10-01' AND created < DATE '2000-01-01' GROUP BY 1",
-    "opened": """SELECT product_id, CAST(sum(CASE WHEN kind = 'ordered' THEN qty ELSE -qty END) AS DOUBLE) AS on_order FROM supply_lines WHERE event_date < DATE '2000-01-01' GROUP BY 1 HAVING sum(CASE WHEN kind = 'ordered' THEN qty ELSE -qty END) > 0.001""",
-    "classes": """SELECT product_id, sale, CASE WHEN before / total < 0.80 THEN 'A' WHEN before / total < 0.95 THEN 'B' ELSE 'C' END AS abc FROM
-      (SELECT product_id, sale, CAST(sum(revenue) OVER (ORDER BY revenue DESC, product_id ROWS UNBOUNDED PRECEDING) - revenue AS DOUBLE) AS before, CAST(sum(revenue) OVER () AS DOUBLE) AS total FROM
-        (SELECT product_id, CAST(sum(amount) AS DECIMAL(38,2)) AS revenue, quantile_cont(price, 0.5) AS sale FROM year_sales GROUP BY 1))""",
-    "terms": """SELECT l_suppkey AS producer_id, l_partkey AS product_id, CASE WHEN l_partkey % 10 = 0 THEN 12.0 ELSE CAST(min(l_quantity) AS DOUBLE) END AS moq, CASE WHEN l_partkey % 10 = 0 THEN 6.0 END AS multiple FROM lineitem GROUP BY 1, 2 HAVING count(*) >= 2 OR l_partkey % 10 = 0""",
-    "factors": "SELECT producer_id, abc, round(least(greatest(quantile_cont(f, 0.5), 0.5::DOUBLE), 1.5::DOUBLE) + 0.000000001::DOUBLE, 4) AS factor FROM (SELECT l_suppkey AS producer_id, CASE WHEN l_partkey % 10 < 2 THEN 'A' WHEN l_partkey % 10 < 5 THEN 'B' ELSE 'C' END AS abc, (1 - l_discount) * (1 + l_tax) AS f FROM lineitem) GROUP BY 1, 2 HAVING count(*) >= 5",
-    "item": """SELECT m.producer_id, m.product_id, m.cost_eur AS cost, mean_daily, std_daily, lead_days, lead_std, sale, coalesce(k.abc, 'C') AS abc, moq, multiple, factor,
-      coalesce(on_hand, 0) AS on_hand, coalesce(reserved, 0) AS reserved, coalesce(on_order, 0) AS on_order, coalesce(on_hand, 0.0::DOUBLE) - coalesce(reserved, 0.0::DOUBLE) + coalesce(on_order, 0.0::DOUBLE) AS position
-      FROM medians m JOIN demand USING (product_id) JOIN leads USING (producer_id) LEFT JOIN onh USING (product_id) LEFT JOIN res USING (product_id) LEFT JOIN opened USING (product_id)
-      LEFT JOIN classes k USING (product_id) LEFT JOIN terms t ON t.producer_id = m.producer_id AND t.product_id = m.product_id LEFT JOIN factors f ON f.producer_id = m.producer_id AND f.abc = coalesce(k.abc, 'C')""",
-    "leveled": """SELECT *, CASE WHEN cost > 0 AND sale IS NOT NULL AND sale - cost >= 0.1::DOUBLE THEN least(greatest((sale - cost) / (sale - cost + 0.25::DOUBLE / 365 * cost * 30), floor_sl), 0.99::DOUBLE) ELSE floor_sl END AS sl
-      FROM (SELECT *, CASE abc WHEN 'A' THEN 0.95 WHEN 'B' THEN 0.85 ELSE 0.50 END::DOUBLE AS floor_sl FROM item)""",
-    "safe": f"SELECT *, ({acklam('sl')}) * sqrt(lead_days * std_daily * std_daily + mean_daily * mean_daily * lead_std * lead_std) AS safety FROM leveled",
-    "pointed": "SELECT *, mean_daily * lead_days + safety AS point, mean_daily * lead_days + safety + mean_daily * 30 AS upto FROM safe",
-    "asked": "SELECT *, CASE WHEN position <= greatest(safety, 0) THEN 'critical' WHEN position <= point THEN 'high' WHEN position <= upto THEN 'normal' ELSE 'none' END AS urgency, CASE WHEN position <= point THEN round(greatest(upto - position, 0), 2) ELSE 0 END::DOUBLE AS raw_qty FROM pointed",
-    "scaled": "SELECT *, round(raw_qty * coalesce(factor, 1.0::DOUBLE), 2) AS sc FROM asked",
-    "plan": "SELECT *, round(CASE WHEN sc <= 0 THEN 0.0::DOUBLE WHEN multiple > 1 THEN ceil(greatest(sc, coalesce(moq, 0)) / multiple) * multiple ELSE greatest(sc, coalesce(moq, 0)) END, 2)::DOUBLE AS suggested FROM scaled",
-    "valued": """SELECT *, CASE WHEN line_cost > 0 THEN round(risk / line_cost, 4) ELSE 0.0::DOUBLE END AS density FROM (SELECT *, round(cost * suggested, 2) AS line_cost,
-      coalesce(greatest(sale - cost, 0) * suggested * CASE urgency WHEN 'critical' THEN 1.0 WHEN 'high' THEN 0.7 WHEN 'normal' THEN 0.4 ELSE 0.1 END::DOUBLE, 0.0::DOUBLE) AS risk FROM plan)""",
-}
-
-
-def position(spark, d):
+def plan_sql(as_of: str) -> dict[str, str]:
+    """The plan in SQL, written from the policy's rules: position = on hand - reserved + open orders; floors .95/.85/.50, holding
+    .25 a year, 30 days of horizon, 120 of history; pairs without demand are planned too."""
+    return {
+        "daily": f"SELECT product_id, created, CAST(sum(qty) AS DOUBLE) AS u FROM valid_sales WHERE created >= DATE '{before(as_of, DEMAND)}' AND created < DATE '{as_of}' GROUP BY 1, 2",
+        "demand": "SELECT product_id, sum(u) / 120 AS mean_daily, sqrt(greatest(sum(u * u) / 120 - (sum(u) / 120) * (sum(u) / 120), 0.0::DOUBLE)) AS std_daily FROM daily GROUP BY 1",
+        "onh": "SELECT product_id, CAST(sum(qty) AS DOUBLE) AS on_hand FROM stock_lots GROUP BY 1",
+        "res": f"SELECT product_id, CAST(sum(qty) AS DOUBLE) AS reserved FROM valid_sales WHERE line_status = 'O' AND return_flag = 'N' AND created >= DATE '{before(as_of, RESERVED)}' AND created < DATE '{as_of}' GROUP BY 1",
+        "opened": f"""SELECT product_id, CAST(sum(CASE WHEN kind = 'ordered' THEN qty ELSE -qty END) AS DOUBLE) AS on_order FROM supply_lines WHERE event_date < DATE '{as_of}' GROUP BY 1 HAVING sum(CASE WHEN kind = 'ordered' THEN qty ELSE -qty END) > 0.001""",
+        "classes": f"""SELECT product_id, sale, CASE WHEN before / total < 0.80 THEN 'A' WHEN before / total < 0.95 THEN 'B' ELSE 'C' END AS abc FROM
+          (SELECT product_id, sale, CAST(sum(revenue) OVER (ORDER BY revenue DESC, product_id ROWS UNBOUNDED PRECEDING) - revenue AS DOUBLE) AS before, CAST(sum(revenue) OVER () AS DOUBLE) AS total FROM
+            (SELECT product_id, CAST(sum(amount) AS DECIMAL(38,2)) AS revenue, quantile_cont(price, 0.5) AS sale FROM valid_sales WHERE created >= DATE '{before(as_of, ORDERED)}' AND created < DATE '{as_of}' GROUP BY 1))""",
+        "terms": """SELECT l_suppkey AS producer_id, l_partkey AS product_id, CASE WHEN l_partkey % 10 = 0 THEN 12.0 ELSE CAST(min(l_quantity) AS DOUBLE) END AS moq, CASE WHEN l_partkey % 10 = 0 THEN 6.0 END AS multiple FROM lineitem GROUP BY 1, 2 HAVING count(*) >= 2 OR l_partkey % 10 = 0""",
+        "factors": "SELECT producer_id, abc, round(least(greatest(quantile_cont(f, 0.5), 0.5::DOUBLE), 1.5::DOUBLE) + 0.000000001::DOUBLE, 4) AS factor FROM (SELECT l_suppkey AS producer_id, CASE WHEN l_partkey % 10 < 2 THEN 'A' WHEN l_partkey % 10 < 5 THEN 'B' ELSE 'C' END AS abc, (1 - l_discount) * (1 + l_tax) AS f FROM lineitem) GROUP BY 1, 2 HAVING count(*) >= 5",
+        "item": """SELECT m.producer_id, m.product_id, m.cost_eur AS cost, coalesce(mean_daily, 0.0::DOUBLE) AS mean_daily, coalesce(std_daily, 0.0::DOUBLE) AS std_daily, lead_days, lead_std, sale, coalesce(k.abc, 'C') AS abc, moq, multiple, factor,
+          coalesce(on_hand, 0) AS on_hand, coalesce(reserved, 0) AS reserved, coalesce(on_order, 0) AS on_order, coalesce(on_hand, 0.0::DOUBLE) - coalesce(reserved, 0.0::DOUBLE) + coalesce(on_order, 0.0::DOUBLE) AS position
+          FROM medians m LEFT JOIN demand USING (product_id) JOIN leads USING (producer_id) LEFT JOIN onh USING (product_id) LEFT JOIN res USING (product_id) LEFT JOIN opened USING (product_id)
+          LEFT JOIN classes k USING (product_id) LEFT JOIN terms t ON t.producer_id = m.producer_id AND t.product_id = m.product_id LEFT JOIN factors f ON f.producer_id = m.producer_id AND f.abc = coalesce(k.abc, 'C')""",
+        "leveled": """SELECT *, CASE WHEN cost > 0 AND sale IS NOT NULL AND sale - cost >= 0.1::DOUBLE THEN least(greatest((sale - cost) / (sale - cost + 0.25::DOUBLE / 365 * cost * 30), floor_sl), 0.99::DOUBLE) ELSE floor_sl END AS sl
+          FROM (SELECT *, CASE abc WHEN 'A' THEN 0.95 WHEN 'B' THEN 0.85 ELSE 0.50 END::DOUBLE AS floor_sl FROM item)""",
+        "safe": f"SELECT *, ({acklam('sl')}) * sqrt(lead_days * std_daily * std_daily + mean_daily * mean_daily * lead_std * lead_std) AS safety FROM leveled",
+        "pointed": "SELECT *, mean_daily * lead_days + safety AS point, mean_daily * lead_days + safety + mean_daily * 30 AS upto FROM safe",
+        "asked": "SELECT *, CASE WHEN position <= greatest(safety, 0) THEN 'critical' WHEN position <= point THEN 'high' WHEN position <= upto THEN 'normal' ELSE 'none' END AS urgency, CASE WHEN position <= point THEN round(greatest(upto - position, 0), 2) ELSE 0 END::DOUBLE AS raw_qty FROM pointed",
+        "scaled": "SELECT *, round(raw_qty * coalesce(factor, 1.0::DOUBLE), 2) AS sc FROM asked",
+        "plan": "SELECT *, round(CASE WHEN sc <= 0 THEN 0.0::DOUBLE WHEN multiple > 1 THEN ceil(greatest(sc, coalesce(moq, 0)) / multiple) * multiple ELSE greatest(sc, coalesce(moq, 0)) END, 2)::DOUBLE AS suggested FROM scaled",
+        "valued": """SELECT *, CASE WHEN line_cost > 0 THEN round(risk / line_cost, 4) ELSE 0.0::DOUBLE END AS density FROM (SELECT *, round(cost * suggested, 2) AS line_cost,
+          coalesce(greatest(sale - cost, 0) * suggested * CASE urgency WHEN 'critical' THEN 1.0 WHEN 'high' THEN 0.7 WHEN 'normal' THEN 0.4 ELSE 0.1 END::DOUBLE, 0.0::DOUBLE) AS risk FROM plan)""",
+    }
+
+
+PLAN = plan_sql(END)
+
+
+def position(spark, d, as_of=END):
+    """Stock on hand is what it is now, whatever the date; reservations and open orders are those of the date."""
     on_hand = c.stock_lots(spark, d).groupBy("product_id").agg(F.sum("qty").cast("double").alias("on_hand"))
-    held = sales.window(valid(spark, d).where("line_status = 'O' and return_flag = 'N'"), "1999-10-01", END).groupBy("product_id").agg(F.sum("qty").cast("double").alias("reserved"))
-    return g.inventory_position(on_hand, held, sale_plans.a12(spark, d))
+    held = sales.window(valid(spark, d).where("line_status = 'O' and return_flag = 'N'"), before(as_of, RESERVED), as_of)
+    return g.inventory_position(on_hand, held.groupBy("product_id").agg(F.sum("qty").cast("double").alias("reserved")), sale_plans.a12(spark, d, as_of))
 
 
 def terms(spark, d):
@@ -117,15 +137,17 @@ def terms(spark, d):
     return seed_terms(c.curated_terms(spark, d), seen, ["producer_id", "product_id"]).select("producer_id", "product_id", "moq", "multiple")
 
 
-def items(spark, d):
-    """Producer-product pairs of the year with demand, lead time, position, class, cost, price, terms and learned factor."""
-    daily = sales.window(valid(spark, d), "1999-09-03", END).groupBy("product_id", "created").agg(F.sum("qty").cast("double").alias("u"))
-    mean = F.sum("u") / 120
-    demand = daily.groupBy("product_id").agg(mean.alias("mean_daily"), F.sqrt(F.greatest(F.sum(F.col("u") * F.col("u")) / 120 - mean * mean, F.lit(0.0))).alias("std_daily"))
-    revenue = year(spark, d).groupBy("product_id").agg(F.sum("amount").alias("revenue"), F.percentile("price", 0.5).alias("sale"))
+def items(spark, d, as_of=END):
+    """Producer-product pairs of the year with demand (0 without), lead time, position, class, cost, price, terms and learned factor."""
+    lines = valid(spark, d)
+    daily = sales.window(lines, before(as_of, DEMAND), as_of).groupBy("product_id", "created").agg(F.sum("qty").cast("double").alias("u"))
+    mean = F.sum("u") / DEMAND
+    demand = daily.groupBy("product_id").agg(mean.alias("mean_daily"), F.sqrt(F.greatest(F.sum(F.col("u") * F.col("u")) / DEMAND - mean * mean, F.lit(0.0))).alias("std_daily"))
+    revenue = sales.window(lines, before(as_of, ORDERED), as_of).groupBy("product_id").agg(F.sum("amount").alias("revenue"), F.percentile("price", 0.5).alias("sale"))
     abc = ranking.abc_exclusive(revenue, "revenue", "product_id").select("product_id", "abc", "sale")
-    costs = g.supplier_costs(rated(spark, d)).withColumnRenamed("cost_eur", "cost")
-    df = costs.join(demand, "product_id").join(g.lead_times(ordered(spark, d)), "producer_id").join(position(spark, d), "product_id", "left").join(abc, "product_id", "left")
+    costs = g.supplier_costs(rated(spark, d, as_of)).withColumnRenamed("cost_eur", "cost")
+    df = costs.join(demand, "product_id", "left").fillna(0.0, ["mean_daily", "std_daily"]).join(g.lead_times(ordered(spark, d, as_of)), "producer_id")
+    df = df.join(position(spark, d, as_of), "product_id", "left").join(abc, "product_id", "left")
     df = df.withColumns({"position": F.coalesce("position", F.lit(0.0)), "abc": F.coalesce("abc", F.lit("C"))})
     factors = g.learned_factors(c.quantity_feedback(spark, d)).select("producer_id", "abc", "factor")
     return df.join(terms(spark, d), ["producer_id", "product_id"], "left").join(factors, ["producer_id", "abc"], "left")
@@ -196,18 +218,68 @@ def f5(spark, d):
     return plan.select("producer_id", "product_id", F.round(F.col("sl") + 1e-9, 4).alias("sl"), F.round(col.inv_norm_cdf(F.col("sl")) + 1e-9, 6).alias("z"))
 
 
+def backtest_sql(as_of: str, window: int, by: str = "") -> str:
+    """Service, excess and cost of a plan against the window after its date; by names keys of the rows with a comma after."""
+    until = before(as_of, -window)
+    mean = lambda x, where="": f"round(coalesce(avg({x}){where}, 0.0::DOUBLE) + 0.000000001::DOUBLE, 3)"
+    share = lambda test: mean(f"CAST({test} AS INTEGER)::DOUBLE", " FILTER (need > 0)")
+    return f"""SELECT {by} CAST(count(*) FILTER (need > 0) AS BIGINT) AS products, count(*) AS total_items, count(*) FILTER (urgency = 'critical') AS critical_items,
+      round(avg(CAST(urgency = 'critical' AS INTEGER)::DOUBLE) + 0.000000001::DOUBLE, 4) AS critical_share, {mean("least(have, need) / need", " FILTER (need > 0)")} AS fill_rate,
+      {share("have < need")} AS stockout_rate, {share("have >= need")} AS coverage_with_policy, {share("position >= need")} AS coverage_without_policy,
+      round(sum(greatest(have - need, 0)), 2) AS overstock_units, round(sum(greatest(have - need, 0)) / count(*) + 0.000000001::DOUBLE, 3) AS overstock_units_per_product,
+      CASE WHEN sum(need) > 0 THEN round(sum(greatest(have - need, 0)) / sum(need) + 0.000000001::DOUBLE, 3) ELSE 0.0::DOUBLE END AS overstock_units_per_demand, sum(need) AS demand_units,
+      {mean("CAST(suggested > need * 3.0::DOUBLE AS INTEGER)::DOUBLE")} AS overstock_rate, round(sum(loss), 2) AS understock_loss, round(sum(hold), 2) AS overstock_hold, round(sum(loss) + sum(hold), 2) AS economic_cost FROM
+      (SELECT *, coalesce(greatest(need - have, 0) * greatest(sale - cost, 0), 0.0::DOUBLE) AS loss, coalesce(greatest(have - need, 0) * (0.25::DOUBLE / 365) * {window} * cost, 0.0::DOUBLE) AS hold FROM
+        (SELECT p.*, position + suggested AS have, coalesce(n.need, 0.0::DOUBLE) AS need FROM plan p LEFT JOIN
+          (SELECT product_id, CAST(sum(qty) AS DOUBLE) AS need FROM valid_sales WHERE created >= DATE '{as_of}' AND created < DATE '{until}' GROUP BY 1) n ON n.product_id = p.product_id))
+      """ + (f"GROUP BY {by.rstrip(',')}" if by else "")
+
+
+def backtest(spark, d, as_of, window, by=()):
+    future = sales.window(valid(spark, d), as_of, before(as_of, -window)).groupBy("product_id").agg(F.sum("qty").cast("double").alias("need"))
+    return g.plan_backtest(g.purchase_plan(items(spark, d, as_of)), future, window, by=by)
+
+
+@P.add("g8_plan_backtest", backtest_sql(END, 30), **RATE, **PLAN)
+def g8(spark, d):
+    return backtest(spark, d, END, 30)
+
+
+#: The sweep's dates and the days after each; the gate's limits are fixed values.
+SWEEP, SWEEP_DAYS = ("1999-06-01", "1999-08-01", "1999-10-01"), 60
+GATE = {"min_n_pairs": 1.0, "min_products": 1.0, "max_critical_share": 0.85, "max_economic_cost_eur_per_product": 500.0, "max_stockout_rate": 0.5}
+PAIRS = " UNION ALL ".join(f"SELECT * FROM ({sql(backtest_sql(day, SWEEP_DAYS, 'producer_id,'), **rate_sql(day), **plan_sql(day))})" for day in SWEEP)
+PANEL = """SELECT count(*) FILTER (products > 0) AS n_pairs, count(*) FILTER (products = 0) AS n_skipped, CAST(sum(products) AS BIGINT) AS products, CAST(sum(total_items) FILTER (products > 0) AS BIGINT) AS total_items,
+  CAST(sum(critical_items) FILTER (products > 0) AS BIGINT) AS critical_items, round(sum(critical_items) FILTER (products > 0) / sum(total_items) FILTER (products > 0) + 0.000000001::DOUBLE, 4) AS critical_share,
+  round(sum(fill_rate * products) / sum(products) + 0.000000001::DOUBLE, 4) AS fill_rate, round(sum(stockout_rate * products) / sum(products) + 0.000000001::DOUBLE, 4) AS stockout_rate,
+  round(sum(overstock_units) FILTER (products > 0), 2) AS overstock_units_total, round(sum(overstock_units) FILTER (products > 0) / sum(products) + 0.000000001::DOUBLE, 4) AS overstock_units_per_product,
+  round(sum(overstock_units) FILTER (products > 0) / sum(demand_units) FILTER (products > 0) + 0.000000001::DOUBLE, 4) AS overstock_units_per_demand, round(sum(understock_loss) FILTER (products > 0), 2) AS understock_loss,
+  round(sum(overstock_hold) FILTER (products > 0), 2) AS overstock_hold, round(sum(economic_cost) FILTER (products > 0), 2) AS economic_cost, round(sum(economic_cost) FILTER (products > 0) / sum(products) + 0.000000001::DOUBLE, 4) AS economic_cost_per_product FROM pairs"""
+
+
+def sweep(spark, d):
+    """One row over all producers and dates. Each date has a plan of its own, as its classes rest on a running share of all products."""
+    pairs = None
+    for day in SWEEP:
+        one = backtest(spark, d, day, SWEEP_DAYS, by=("producer_id",))
+        pairs = one if pairs is None else pairs.unionByName(one)
+    return g.sweep_summary(pairs)
+
+
+@P.add("g9_plan_sweep", PANEL, pairs=PAIRS)
+def g9_plan_sweep(spark, d):
+    return sweep(spark, d)
+
+
 @P.add(
-    "g8_plan_backtest",
-    """SELECT CAST(count(*) FILTER (need > 0) AS BIGINT) AS products, count(*) AS total_items, round(avg(CAST(urgency = 'critical' AS INTEGER)::DOUBLE) + 0.000000001::DOUBLE, 4) AS critical_share,
-    round(coalesce(avg(least(have, need) / need) FILTER (need > 0), 0.0::DOUBLE) + 0.000000001::DOUBLE, 3) AS fill_rate, round(coalesce(avg(CAST(have < need AS INTEGER)::DOUBLE) FILTER (need > 0), 0.0::DOUBLE) + 0.000000001::DOUBLE, 3) AS stockout_rate,
-    round(coalesce(avg(CAST(have >= need AS INTEGER)::DOUBLE) FILTER (need > 0), 0.0::DOUBLE) + 0.000000001::DOUBLE, 3) AS coverage_with_policy, round(coalesce(avg(CAST(position >= need AS INTEGER)::DOUBLE) FILTER (need > 0), 0.0::DOUBLE) + 0.000000001::DOUBLE, 3) AS coverage_without_policy,
-    round(sum(greatest(have - need, 0)), 2) AS overstock_units, round(avg(CAST(suggested > need * 1.5::DOUBLE AS INTEGER)::DOUBLE) + 0.000000001::DOUBLE, 3) AS overstock_rate,
-    round(sum(loss), 2) AS understock_loss, round(sum(hold), 2) AS overstock_hold, round(sum(loss) + sum(hold), 2) AS economic_cost FROM
-    (SELECT *, coalesce(greatest(need - have, 0) * greatest(sale - cost, 0), 0.0::DOUBLE) AS loss, coalesce(greatest(have - need, 0) * (0.25::DOUBLE / 365) * 30 * cost, 0.0::DOUBLE) AS hold FROM
-      (SELECT p.*, position + suggested AS have, coalesce(n.need, 0.0::DOUBLE) AS need FROM plan p LEFT JOIN (SELECT product_id, CAST(sum(qty) AS DOUBLE) AS need FROM valid_sales WHERE created >= DATE '2000-01-01' AND created < DATE '2000-01-31' GROUP BY 1) n ON n.product_id = p.product_id))""",
-    **RATE,
-    **PLAN,
+    "g9_sweep_gate",
+    """SELECT name, actual, most AS "limit", CASE WHEN name LIKE 'min%' THEN actual >= most ELSE actual <= most END AS holds FROM
+    (SELECT unnest([{'name': 'min_n_pairs', 'actual': CAST(n_pairs AS DOUBLE), 'most': 1.0::DOUBLE}, {'name': 'min_products', 'actual': CAST(products AS DOUBLE), 'most': 1.0::DOUBLE},
+      {'name': 'max_critical_share', 'actual': critical_share, 'most': 0.85::DOUBLE}, {'name': 'max_economic_cost_eur_per_product', 'actual': economic_cost_per_product, 'most': 500.0::DOUBLE},
+      {'name': 'max_stockout_rate', 'actual': stockout_rate, 'most': 0.5::DOUBLE}], recursive := true) FROM panel)""",
+    pairs=PAIRS,
+    panel=PANEL,
 )
-def g8(spark, d):
-    future = sales.window(valid(spark, d), END, "2000-01-31").groupBy("product_id").agg(F.sum("qty").cast("double").alias("need"))
-    return g.plan_backtest(g.purchase_plan(items(spark, d)), future, 30)
+def g9_gate(spark, d):
+    """The sweep against its limits, a row each."""
+    return g.sweep_gate(sweep(spark, d), GATE)
