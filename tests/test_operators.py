@@ -1,6 +1,7 @@
 """Small cases for operators that SQL cannot express, data rules, and invariants."""
 
 import datetime as dt
+import itertools
 import math
 import random
 
@@ -484,6 +485,17 @@ def test_quota_lists_limit_groups_and_sources(spark):
     assert got == [("p0", "repurchase"), ("p1", "repurchase"), ("p2", "repurchase"), ("p5", "repurchase"), ("q0", "discovery"), ("q1", "discovery"), ("q2", "discovery")]
 
 
+def test_backfill_takes_co_purchases_then_popular_items(spark):
+    lists = spark.createDataFrame([(1, 10, "repurchase", 1), (1, 11, "discovery", 2)], "client_id long, product_id long, source string, rank int")
+    clients = spark.createDataFrame([(1,), (2,), (1,)], "client_id long")
+    co = spark.createDataFrame([(1, 12, 0.1), (1, 10, 0.9), (1, 13, 0.1)], "client_id long, product_id long, score double")
+    lines = spark.createDataFrame([(10,)] * 5 + [(20,)] * 4 + [(12,)] * 3 + [(30,), (29,)], "product_id long")
+    got = lambda top: {c: [r.product_id for r in sorted(rows, key=lambda r: r["rank"])] for c, rows in itertools.groupby(sorted(reco.backfilled(lists, clients, co, lines, "product_id", top).collect(), key=lambda r: r.client_id), key=lambda r: r.client_id)}
+    assert got(6) == {1: [10, 11, 12, 13, 20, 29], 2: [10, 20, 12, 29, 30]}
+    assert got(3) == {1: [10, 11, 12], 2: [10, 20, 12]} and got(2)[1] == [10, 11]
+    assert reco.backfilled(lists.limit(0), clients, co.limit(0), lines.limit(0), "product_id").count() == 0
+
+
 def test_future_margin_needs_a_cost(spark):
     snap = spark.createDataFrame([(1, 2.0), (2, None), (3, 1.0)], "product_id long, unit_cost double")
     sold = spark.createDataFrame([(1, 10, 50.0), (2, 5, 20.0)], "product_id long, qty int, amount double")

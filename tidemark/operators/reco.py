@@ -83,6 +83,27 @@ def quota_lists(own: DataFrame, found: DataFrame, groups: DataFrame, item: str,
     return both.withColumn("rank", F.row_number().over(order)).drop("_r")
 
 
+def backfilled(lists: DataFrame, clients: DataFrame, co: DataFrame, sales: DataFrame, item: str, top: int = TOP) -> DataFrame:
+    """(client_id, item, source, rank) of every client: its list, then co-purchased items by score, then the items of most sale
+    lines, until top items are reached. Nothing comes twice; ties go to the smaller item.
+
+    A list has at most top items, so 2 * top co-purchased and as many popular ones always suffice; the popular ones are one
+    short array, the same for all clients.
+    """
+    ranked = sales.groupBy(item).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), item).limit(2 * top)
+    kind = f"array<{sales.schema[item].dataType.simpleString()}>"
+    popular = F.array(*[F.lit(r[item]) for r in ranked.collect()]).cast(kind)
+    in_order = lambda df: df.groupBy("client_id").agg(F.sort_array(F.collect_list(F.struct("rank", item)))[item].alias("_items"))
+    have, more = in_order(lists), in_order(first_per(co, ["client_id"], [F.desc("score"), F.col(item)], 2 * top)).withColumnRenamed("_items", "_more")
+    df = clients.select("client_id").distinct().join(have, "client_id", "left").join(more, "client_id", "left")
+    none = F.array().cast(kind)
+    df = df.withColumns({"_items": F.coalesce("_items", none), "_more": F.coalesce("_more", none)})
+    size = F.size("_items")
+    fill = F.slice(F.array_except(F.concat("_more", popular), F.col("_items")), 1, F.greatest(F.lit(top) - size, F.lit(0)))
+    new = df.select("client_id", size.alias("_n"), F.posexplode(fill).alias("_at", item))
+    return lists.select("client_id", item, "source", "rank").unionByName(new.select("client_id", item, F.lit("discovery").alias("source"), (F.col("_n") + F.col("_at") + 1).alias("rank")))
+
+
 def evaluate_by_segment(recs: DataFrame, truth: DataFrame, segment: DataFrame, item: str, k: int) -> DataFrame:
     """The metrics of `evaluate` by segment and, under `ALL`, over all cases."""
     cases = truth.groupBy("client_id").agg(F.count(F.lit(1)).alias("size")).join(segment.select("client_id", "segment"), "client_id", "left")

@@ -148,6 +148,35 @@ CASES = {
 }
 
 
+#: The same lists for all clients at the as-of day, filled up to 25.
+TODAY = {
+    **T,
+    "goods": CASES["goods"],
+    "rebuy": "SELECT client_id, product_id, round(0.30::DOUBLE * f / max(f) OVER (PARTITION BY client_id) + 0.70::DOUBLE * r / max(r) OVER (PARTITION BY client_id), 9) AS score FROM (SELECT client_id, product_id, CAST(count(DISTINCT order_id) AS DOUBLE) AS f, exp(-date_diff('day', max(created), DATE '2000-01-01') / 21.0::DOUBLE) AS r FROM goods GROUP BY 1, 2)",
+    "finds": "SELECT s.client_id, p.product_id, round(avg(jaccard), 9) AS score FROM alike s JOIN pairs p ON p.client_id = s.other WHERE NOT EXISTS (SELECT 1 FROM pairs q WHERE q.client_id = s.client_id AND q.product_id = p.product_id) GROUP BY 1, 2 HAVING count(*) >= 2",
+    "lists": CASES["lists"],
+    "beside": "SELECT client_id, product_id, row_number() OVER (PARTITION BY client_id ORDER BY score DESC, product_id) AS r FROM (SELECT p.client_id, cand AS product_id, round(sum(sim), 9) AS score FROM pairs p JOIN sim ON seed = p.product_id WHERE co >= 3 AND NOT EXISTS (SELECT 1 FROM pairs q WHERE q.client_id = p.client_id AND q.product_id = cand) GROUP BY 1, 2)",
+    "liked": "SELECT product_id, row_number() OVER (ORDER BY count(*) DESC, product_id) AS r FROM goods GROUP BY 1 ORDER BY r LIMIT 50",
+    "wanted": """SELECT client_id, product_id, min(r) AS r FROM (SELECT client_id, product_id, r FROM beside WHERE r <= 50 UNION ALL SELECT client_id, product_id, 1000 + r FROM (SELECT DISTINCT client_id FROM goods), liked) w
+      WHERE NOT EXISTS (SELECT 1 FROM lists l WHERE l.client_id = w.client_id AND l.product_id = w.product_id) GROUP BY 1, 2""",
+    "filled": "SELECT w.client_id, product_id, coalesce(n, 0) + row_number() OVER (PARTITION BY w.client_id ORDER BY r) AS rank FROM wanted w LEFT JOIN (SELECT client_id, count(*) AS n FROM lists GROUP BY 1) x ON x.client_id = w.client_id",
+}
+
+
+@P.add("c7_backfilled_lists", "SELECT client_id, product_id, source, CAST(rank AS INTEGER) AS rank FROM lists UNION ALL SELECT client_id, product_id, 'discovery', CAST(rank AS INTEGER) FROM filled WHERE rank <= 25", **TODAY)
+def c7_backfilled(spark, d):
+    """Quota lists of every client today, filled up from co-purchase and popularity. No client has a hundred orders, so the SQL
+    weighs frequency by 0.30."""
+    lines = checkpointed(plain(spark, d).select("client_id", "product_id", "order_id", "created"))
+    own = checkpointed(reco.owned(lines, "product_id"))
+    even = lambda df: df.withColumn("score", F.round("score", 9))
+    first = even(reco.repurchase_scores(lines, "product_id", reco.segments(lines, "product_id"), END))
+    second = even(reco.neighbour_items(reco.similar_clients(own, "product_id"), own, "product_id"))
+    third = even(reco.co_scores(own, reco.co_purchase(own, "product_id", 3), "product_id").join(own, ["client_id", "product_id"], "left_anti"))
+    lists = checkpointed(reco.quota_lists(first, second, groups(spark, d), "product_id"))
+    return reco.backfilled(lists, own, third, lines, "product_id")
+
+
 def prepared(spark, d):
     """Cases, truth, each case's history, and both scored lists."""
     lines = checkpointed(plain(spark, d).select("client_id", "product_id", "order_id", "created"))
