@@ -32,7 +32,7 @@ def frame(spark, texts):
 
 def test_registered():
     names = set(__spark_entry__.queries())
-    assert {q.split("_")[0] for q in queries.QUERIES} == {f"op{i}" for i in range(1, 11)} and "pipeline" in names
+    assert {q.split("_")[0] for q in queries.QUERIES} == {f"op{i}" for i in range(1, 14)} and "pipeline" in names
 
 
 # --- 1 and 3 ---------------------------------------------------------------------------------------------------------

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from tidemark.llm import exact_dedup, fingerprints, jaccard_join, language, packing, pii, quality, sentence_pieces, token_counts, toxicity
+from tidemark.llm import exact_dedup, filter_audit, fingerprints, jaccard_join, language, packing, pii, quality, sentence_pieces, token_counts, toxicity, vector_codes, vector_search
 from tidemark.llm.io import table
 
 
@@ -51,6 +51,18 @@ def op10_toxicity(spark, sf_dir):
     return toxicity.toxicity_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op11_filter_audit(spark, sf_dir):
+    return filter_audit.filter_audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op12_top_k(spark, sf_dir):
+    return vector_search.top_k(table(spark, sf_dir, "embeddings"))
+
+
+def op13_vector_codes(spark, sf_dir):
+    return vector_codes.vector_codes(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -64,6 +76,14 @@ QUERIES = {
         op8_language,
         op9_quality,
         op10_toxicity,
+        op11_filter_audit,
+        op12_top_k,
+        op13_vector_codes,
     )
 }
-ORACLES = {"op2_exact_dedup": exact_dedup.ORACLE_SQL}
+ORACLES = {
+    "op2_exact_dedup": exact_dedup.ORACLE_SQL,
+    "op11_filter_audit": filter_audit.ORACLE_SQL,
+    "op12_top_k": vector_search.ORACLE_SQL,
+    "op13_vector_codes": vector_codes.ORACLE_SQL,
+}
