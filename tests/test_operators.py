@@ -195,8 +195,8 @@ def test_fold_rejects_illegal_steps(spark):
 def test_terminal_tasks_stay(spark):
     old = spark.createDataFrame([("a", "done", 1.0), ("b", "open", 1.0), ("c", "open", 1.0)], "task_key string, status string, priority double")
     new = spark.createDataFrame([("a", 9.0), ("b", 9.0), ("d", 9.0)], "task_key string, priority double")
-    got = {r.task_key: (r.status, r.priority) for r in actions.upsert(old, new).collect()}
-    assert got == {"a": ("done", 1.0), "b": ("open", 9.0), "c": ("open", 1.0), "d": ("generated", 9.0)}
+    got = {r.task_key: (r.status, r.priority) for r in actions.upsert(old, new, "2024-01-01 00:00:00").collect()}
+    assert got == {"a": ("done", 1.0), "b": ("open", 9.0), "c": ("open", 1.0), "d": ("open", 9.0)}
 
 
 def test_poison_rows_move_no_sales(spark, sf_dir):
@@ -392,12 +392,13 @@ def test_card_survives_its_model_table(spark):
 
 
 def brute_admission(tasks, seats, existing, muted, cap, per_client, reserve):
-    """The three passes one task at a time, over all candidates of a manager."""
+    """The three passes one task at a time, over all candidates of a manager; existing tasks may be finished."""
     took, by_type, by_client = {}, {}, {}
-    for _, c_, t in existing:
+    held = [(c_, t) for _, c_, t, status in existing if status in actions.ACTIVE]
+    for c_, t in held:
         by_type[t] = by_type.get(t, 0) + 1
         by_client[c_] = by_client.get(c_, 0) + 1
-    known, active = {(c_, t) for _, c_, t in existing}, len(existing)
+    known, active = {(c_, t) for _, c_, t, _ in existing}, len(held)
     order = sorted(tasks, key=lambda x: (-x[3], -x[4], x[1], x[2]))
 
     def attempt(x, via, most):
@@ -431,12 +432,16 @@ def test_admission_equals_one_task_at_a_time(spark, seed):
     types = list(actions.TYPE_SHARE)
     cap, reserve = 12, 3
     tasks = [(m, c_, t, round(rnd.random() * 100, 1), float(rnd.randrange(50)), rnd.choice(["critical", "high"])) for m in (1, 2) for c_ in range(m * 100, m * 100 + 40) for t in types if rnd.random() < 0.7]
-    existing = [(m, c_, t) for m, c_, t, *_ in tasks if rnd.random() < 0.04]
+    existing = [(m, c_, t, rnd.choice(["open", "snoozed", "done", "dismissed"])) for m, c_, t, *_ in tasks if rnd.random() < 0.12]
     muted = {(c_, t) for _, c_, t, *_ in tasks if rnd.random() < 0.2}
     df = spark.createDataFrame(tasks, "manager_id int, client_id long, task_type string, ev_score double, priority double, urgency string")
+    df = df.withColumn("task_key", F.concat_ws("|", "client_id", "task_type"))
     quotas = actions.type_quotas(df, cap=cap)
     seats = {(r.manager_id, r.task_type): r.seats for r in quotas.collect()}
-    got = actions.admit(df, quotas, spark.createDataFrame(existing, "manager_id int, client_id long, task_type string"), spark.createDataFrame(list(muted), "client_id long, task_type string"), cap, 2, reserve).collect()
+    known = spark.createDataFrame(existing, "manager_id int, client_id long, task_type string, status string").withColumn("task_key", F.concat_ws("|", "client_id", "task_type"))
+    # Another manager's mute of the same pair counts for nothing.
+    mutes = [(m, c_, t) for c_, t in muted for m in (c_ // 100, 9)] + [(9, c_, t) for _, c_, t, *_ in tasks]
+    got = actions.admit(df, quotas, known, spark.createDataFrame(sorted(set(mutes)), "manager_id int, client_id long, task_type string"), cap, 2, reserve).collect()
     want = {}
     for m in (1, 2):
         want |= brute_admission([x for x in tasks if x[0] == m], {t: n for (k, t), n in seats.items() if k == m}, [x for x in existing if x[0] == m], muted, cap, 2, reserve)

@@ -13,6 +13,10 @@ URGENCY_RANK = {"critical": 0, "high": 1, "normal": 2, "low": 3}
 TYPE_RANK = {"debt_followup": 0, "reorder_due": 1, "churn_winback": 2, "cross_sell": 3}
 NEXT = {"generated": ("open",), "open": ("in_progress", "done", "snoozed", "dismissed"), "in_progress": ("done", "snoozed", "dismissed", "open"), "snoozed": ("open", "dismissed"), "done": (), "dismissed": ()}
 TERMINAL = ("done", "dismissed")
+ACTIVE = ("generated", "open", "in_progress", "snoozed")
+#: Fixed value: days until an untouched task expires.
+TTL_DAYS = 14
+HISTORY = "array<struct<`from`:string,`to`:string,`at`:timestamp,`by`:string>>"
 #: Shares of a manager's seats by type, caps, pace and feedback, label window and paydown share, ranking gate.
 TYPE_SHARE = {"debt_followup": 0.40, "reorder_due": 0.27, "churn_winback": 0.16, "cross_sell": 0.17}
 CAP, PER_CLIENT, RESERVE = 50, 2, 5
@@ -141,19 +145,21 @@ def admit(tasks: DataFrame, quotas: DataFrame, existing: DataFrame, muted: DataF
     """(manager_id, client_id, task_type, ev_score, via) of the candidates a manager takes on, best ev_score first.
 
     Three passes: `quota` within the type's seats, `refill` of what the seats held back, up to cap active tasks; then up to
-    `reserve` critical debts above it. existing (manager_id, client_id, task_type) are active tasks: they count, and their
-    candidates only refresh. Muted (client_id, task_type) pairs and clients with per_client tasks are skipped.
+    `reserve` critical debts above it. existing (task_key, manager_id, client_id, task_type, status) is the task table: a
+    candidate whose key is in it, active or finished, is not taken again, and its active tasks count. Muted
+    (manager_id, client_id, task_type) and a manager's clients with per_client active tasks are skipped.
 
     The order inside a manager is sequential, so each manager is one group of bounded size: besides tasks and clients that
     are out already, only the per-client limit skips rows, and it skips at most as many as are taken; so the first
     2 * (cap + reserve) of a type are enough, and Spark cuts to them first.
     """
-    full = existing.groupBy("client_id").agg(F.count(F.lit(1)).alias("held"))
-    fresh = tasks.join(existing.select("client_id", "task_type").distinct(), ["client_id", "task_type"], "left_anti").join(muted, ["client_id", "task_type"], "left_anti")
-    fresh = fresh.join(full, "client_id", "left").withColumn("held", F.coalesce("held", F.lit(0)).cast("int")).where(F.col("held") < per_client)
+    held_now = existing.where(is_active(F.col("status")))
+    full = held_now.groupBy("manager_id", "client_id").agg(F.count(F.lit(1)).alias("held"))
+    fresh = tasks.join(existing.select("task_key").distinct(), "task_key", "left_anti").join(muted, ["manager_id", "client_id", "task_type"], "left_anti")
+    fresh = fresh.join(full, ["manager_id", "client_id"], "left").withColumn("held", F.coalesce("held", F.lit(0)).cast("int")).where(F.col("held") < per_client)
     best = [F.desc("ev_score"), F.desc("priority"), F.col("client_id"), F.col("task_type")]
     cut = fresh.withColumn("_r", F.row_number().over(Window.partitionBy("manager_id", "task_type", F.col("urgency") == "critical").orderBy(*best))).where(F.col("_r") <= 2 * (cap + reserve))
-    now = existing.groupBy("manager_id", "task_type").agg(F.count(F.lit(1)).cast("int").alias("active"))
+    now = held_now.groupBy("manager_id", "task_type").agg(F.count(F.lit(1)).cast("int").alias("active"))
     own = now.groupBy("manager_id").agg(F.map_from_entries(F.collect_list(F.struct("task_type", "active"))).alias("active"))  # an entry per type
     seats = quotas.groupBy("manager_id").agg(F.map_from_entries(F.collect_list(F.struct("task_type", "seats"))).alias("seats"))
     rows = cut.join(own, "manager_id", "left").join(seats, "manager_id", "left").select("manager_id", "client_id", "task_type", "ev_score", "priority", "urgency", "held", "active", "seats")
@@ -248,19 +254,64 @@ def fold_events(events: DataFrame) -> DataFrame:
     return ordered.withColumn("s", done).select("task_key", F.nullif("s.status", F.lit("")).alias("status"), "s.rejected", F.col("s.amount").alias("amount"), F.size("e").alias("n_events"))
 
 
-def sweep(tasks: DataFrame, now: str) -> DataFrame:
-    """Nightly update of tasks (status, due_date, snooze_until, expires_at, urgency): wake, flag, escalate, drop expired."""
+def is_active(status: Column) -> Column:
+    return F.coalesce(status.isin(*ACTIVE), F.lit(False))
+
+
+def history_entry(old: Column | str, new: str, at: Column) -> Column:
+    """One step of a status history, made by the system."""
+    before = F.lit(old) if isinstance(old, str) else old
+    return F.array(F.struct(before.alias("from"), F.lit(new).alias("to"), at.alias("at"), F.lit("system").alias("by"))).cast(HISTORY)
+
+
+def sweep(tasks: DataFrame, now: str, escalate_to: int | None = None) -> DataFrame:
+    """Nightly update of a task table at `now`: wake, flag, escalate, and drop what expired.
+
+    tasks has status, due_date, snooze_until, expires_at, urgency, sla_breached, escalated_to, updated_at, status_history and
+    any others. Snoozed tasks whose time has come are open again. Active tasks past due_date that are not snoozed into the
+    future are flagged; flags that are set stay. With escalate_to, flagged ones of high or critical urgency go to it unless
+    they went to somebody before. Active tasks past expires_at go; finished ones and those without expires_at stay. Null
+    dates are never past, a null flag is not set, a null status is not active. Each changed row has now as updated_at.
+    """
+    t = F.lit(now).cast("timestamp")
+    past = lambda name: F.coalesce(F.col(name) < t, F.lit(False))
+    wakes = F.coalesce((F.col("status") == "snoozed") & (F.col("snooze_until") <= t), F.lit(False))
+    due = is_active(F.col("status")) & (F.col("snooze_until").isNull() | (F.col("snooze_until") <= t))
+    late = F.coalesce("sla_breached", F.lit(False)) | due & past("due_date")
+    raised = F.lit(escalate_to is not None) & due & late & F.coalesce(F.col("urgency").isin("critical", "high"), F.lit(False)) & F.col("escalated_to").isNull()
+    changed = wakes | (late & ~F.coalesce("sla_breached", F.lit(False))) | raised
+    kept = tasks.where(~(is_active(F.col("status")) & past("expires_at")))
+    return kept.withColumns(
+        {
+            "status": F.when(wakes, "open").otherwise(F.col("status")),
+            "sla_breached": late,
+            "escalated_to": F.when(raised, F.lit(escalate_to)).otherwise(F.col("escalated_to")),
+            "status_history": F.when(wakes, F.concat(F.coalesce("status_history", F.array().cast(HISTORY)), history_entry("snoozed", "open", t))).otherwise(F.col("status_history")),
+            "updated_at": F.when(changed, t).otherwise(F.col("updated_at")),
+        }
+    )
+
+
+def upsert(old: DataFrame, new: DataFrame, now: str, ttl_days: int = TTL_DAYS) -> DataFrame:
+    """The task table after a generation run at `now`: old (all columns of a task) and new (task_key and the computed columns).
+
+    A new key enters as open, with its first step in the history. An active task of the table has all computed columns refreshed, and
+    updated_at and expires_at, and keeps what its owner set: every other column. A finished task and one without a candidate
+    stay as they are. Each table has a key once; a null key equals no other.
+    """
     t = F.lit(now).cast("timestamp")
-    awake = tasks.withColumn("status", F.when((F.col("status") == "snoozed") & (F.col("snooze_until") <= t), "open").otherwise(F.col("status")))
-    active = ~F.col("status").isin(*TERMINAL)
-    late = active & (F.col("due_date") < t) & (F.col("snooze_until").isNull() | (F.col("snooze_until") <= t))
-    flagged = awake.withColumn("sla_breached", late).withColumn("escalated", late & F.col("urgency").isin("critical", "high"))
-    return flagged.where(~(active & (F.col("expires_at") < t)))
-
-
-def upsert(old: DataFrame, new: DataFrame) -> DataFrame:
-    """Tasks after a run: new rows enter as generated, computed columns of open rows refresh, terminal rows stay as they are."""
-    o, n = old.alias("o"), new.alias("n")
-    j = o.join(n, F.col("o.task_key") == F.col("n.task_key"), "full_outer")
-    keep = F.col("o.status").isin(*TERMINAL) | F.col("n.task_key").isNull()
-    return j.select(F.coalesce("o.task_key", "n.task_key").alias("task_key"), F.coalesce("o.status", F.lit("generated")).alias("status"), F.when(keep & F.col("o.task_key").isNotNull(), F.col("o.priority")).otherwise(F.col("n.priority")).alias("priority"))
+    fresh = new.withColumns({"updated_at": t, "expires_at": t + F.make_dt_interval(F.lit(ttl_days))})
+    entry = {"status": F.lit("open"), "sla_breached": F.lit(False), "generated_at": t, "status_history": history_entry("generated", "open", t)}
+    j = old.withColumn("_o", F.lit(True)).alias("o").join(fresh.withColumn("_n", F.lit(True)).alias("n"), F.col("o.task_key") == F.col("n.task_key"), "full_outer")
+    there, comes = F.col("_o").isNotNull(), F.col("_n").isNotNull()
+    keep = there & (~comes | F.coalesce(F.col("o.status").isin(*TERMINAL), F.lit(False)))
+    out = [F.coalesce("o.task_key", "n.task_key").alias("task_key")]
+    for name in [*old.columns, *(x for x in fresh.columns if x not in old.columns)]:
+        if name == "task_key":
+            continue
+        was = F.col(f"o.{name}") if name in old.columns else F.lit(None)
+        if name in fresh.columns:
+            out.append(F.when(keep, was).otherwise(F.col(f"n.{name}")).alias(name))
+        else:
+            out.append(F.when(there, was).otherwise(entry.get(name, F.lit(None))).alias(name))
+    return j.select(out)

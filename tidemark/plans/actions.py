@@ -180,14 +180,39 @@ def n14(spark, d):
     return boosted(spark, d).select("manager_id", "client_id", "task_type", "priority", "ev_score")
 
 
-def admission_inputs(spark, d):
-    """Candidates, seats, active tasks and muted pairs from the task log."""
-    candidates = checkpointed(boosted(spark, d))
+def task_table(spark, d):
+    """The task log as a table of tasks with all columns, some null and some flags set.
+
+    Keys are client:k; k mod 4 is the type, and k under 4 the window of the candidates. Managers are the clients' own. What the log lacks comes from k:
+    started tasks of every third k are snoozed, every seventh has no due date, every fifth no expiry.
+    """
     log = logged(spark, d)
     owner = c.read(spark, d, "customer").select(F.col("c_custkey").alias("client_id"), F.col("c_nationkey").alias("manager_id"))
-    state = ac.fold_events(log).where(~F.coalesce("status", F.lit("open")).isin(*ac.TERMINAL)).select("task_key")
-    active = log.select("task_key", "client_id", "task_type").distinct().join(state, "task_key", "left_semi").select("client_id", "task_type").distinct().join(owner, "client_id")
-    return candidates, ac.type_quotas(candidates), active, rejections(spark, d, ac.MUTE_DAYS).select("client_id", "task_type")
+    seen = log.groupBy("task_key", "client_id", "task_type").agg(F.min("at").alias("generated_at"), F.max("at").alias("updated_at"))
+    k = F.substring_index("task_key", ":", -1).cast("int")
+    df = ac.fold_events(log).select("task_key", "status").join(seen, "task_key").join(owner, "client_id").withColumn("k", k)
+    after = lambda days: F.col("updated_at") + F.make_dt_interval(days)
+    folded = F.coalesce("status", F.lit("generated"))
+    df = df.withColumn("status", F.when((folded == "in_progress") & (F.col("k") % 3 == 0), "snoozed").otherwise(folded))
+    urgencies = F.array(*[F.lit(u) for u in ac.URGENCY_RANK])
+    return df.select(
+        "task_key", "manager_id", "client_id", "task_type", "status", F.get(urgencies, F.col("k") % 3).alias("urgency"), F.col("k").cast("double").alias("priority"), (F.col("k") * 10.0).alias("ev_score"),
+        F.when(F.col("k") % 7 > 0, after(F.lit(3))).alias("due_date"), F.when(F.col("status") == "snoozed", after(F.col("k") % 5)).alias("snooze_until"), F.when(F.col("k") % 5 > 0, after(F.lit(14))).alias("expires_at"),
+        (F.col("k") % 11 == 0).alias("sla_breached"), F.when(F.col("k") % 22 == 0, 900).alias("escalated_to"), "generated_at", "updated_at", F.array().cast(ac.HISTORY).alias("status_history"),
+    )
+
+
+def keyed(df):
+    """Candidates with the key they have in the task table, that of their window."""
+    kind = F.array_position(F.array(*[F.lit(t) for t in ac.SIGNALS]), F.col("task_type")) - 1
+    return df.withColumn("task_key", F.concat_ws(":", F.col("client_id").cast("string"), kind.cast("string")))
+
+
+def admission_inputs(spark, d):
+    """Candidates, seats, the task table and muted triples from the task log."""
+    candidates, existing = checkpointed(keyed(boosted(spark, d))), checkpointed(task_table(spark, d))
+    muted = rejections(spark, d, ac.MUTE_DAYS).join(existing.select("client_id", "manager_id").distinct(), "client_id").select("manager_id", "client_id", "task_type")
+    return candidates, ac.type_quotas(candidates), existing, muted
 
 
 @P.add("n17_admission")
@@ -241,29 +266,66 @@ def z2_week(spark, d):
     return weekly_throughput(c.task_events(spark, d)).select("manager_id", F.date_format("week.start", "yyyy-MM-dd").alias("week"), "n", "done")
 
 
+#: The task table in SQL, and its spelling in results.
+TASK_TABLE = {
+    "folded": FOLDED,
+    "task_table": """SELECT *, CASE WHEN status = 'snoozed' THEN updated_at + to_days(k % 5) END AS snooze_until FROM (SELECT f.task_key, c_nationkey AS manager_id, s.client_id, s.task_type, CASE WHEN f.status = 'in_progress' AND k % 3 = 0 THEN 'snoozed' ELSE coalesce(f.status, 'generated') END AS status, CASE k % 3 WHEN 0 THEN 'critical' WHEN 1 THEN 'high' ELSE 'normal' END AS urgency,
+      CAST(k AS DOUBLE) AS priority, k * 10.0::DOUBLE AS ev_score, CASE WHEN k % 7 > 0 THEN updated_at + INTERVAL 3 DAY END AS due_date, CASE WHEN k % 5 > 0 THEN updated_at + INTERVAL 14 DAY END AS expires_at, k % 11 = 0 AS sla_breached, CASE WHEN k % 22 = 0 THEN 900 END AS escalated_to, generated_at, updated_at, k, 0 AS steps
+      FROM folded f JOIN (SELECT concat_ws(':', CAST(user_id AS VARCHAR), CAST(k AS VARCHAR)) AS task_key, client_id, task_type, CAST(k AS INTEGER) AS k, min("at") AS generated_at, max("at") AS updated_at FROM logged GROUP BY ALL) s ON s.task_key = f.task_key JOIN customer ON c_custkey = s.client_id)""",
+    "logged": TASKS["logged"],
+}
+TIMES = ("due_date", "snooze_until", "expires_at", "generated_at", "updated_at")
+SPELLED = ", ".join(f"strftime({x}, '%Y-%m-%d %H:%M:%S.%f') AS {x}" for x in TIMES)
+
+
+def spelled(df):
+    """Tasks with times as text and the history's length."""
+    return df.withColumns({x: F.date_format(x, "yyyy-MM-dd HH:mm:ss.SSSSSS") for x in TIMES} | {"steps": F.size("status_history")}).drop("status_history")
+
+
 @P.add(
     "n18_task_upsert",
-    """SELECT coalesce(o.task_key, n.task_key) AS task_key, coalesce(o.status, 'generated') AS status, CASE WHEN o.task_key IS NOT NULL AND (o.status IN ('done', 'dismissed') OR n.task_key IS NULL) THEN 1.0::DOUBLE ELSE n.priority END AS priority FROM
-    (SELECT task_key, coalesce(status, 'open') AS status FROM folded) o FULL JOIN (SELECT CAST(client_id AS VARCHAR) || ':7' AS task_key, max(priority) AS priority FROM task GROUP BY 1) n ON o.task_key = n.task_key""",
+    f"""SELECT task_key, manager_id, client_id, task_type, status, urgency, priority, ev_score, {SPELLED}, sla_breached, escalated_to, CAST(steps AS INTEGER) AS steps FROM (
+    SELECT coalesce(o.task_key, n.task_key) AS task_key, coalesce(o.status, 'open') AS status, coalesce(o.sla_breached, false) AS sla_breached, o.escalated_to, o.snooze_until, CASE WHEN o.task_key IS NULL THEN TIMESTAMP '2024-01-20' ELSE o.generated_at END AS generated_at, CASE WHEN o.task_key IS NULL THEN 1 ELSE 0 END AS steps,
+      {", ".join(f"CASE WHEN n.task_key IS NULL OR o.status IN ('done', 'dismissed') THEN o.{x} ELSE n.{x} END AS {x}" for x in ("manager_id", "client_id", "task_type", "urgency", "priority", "ev_score", "due_date", "expires_at", "updated_at"))}
+    FROM task_table o FULL JOIN (SELECT concat_ws(':', CAST(client_id AS VARCHAR), CASE task_type WHEN 'debt_followup' THEN '0' WHEN 'reorder_due' THEN '1' WHEN 'churn_winback' THEN '2' ELSE '3' END) AS task_key, manager_id, client_id, task_type, urgency, priority, ev_score, TIMESTAMP '2024-01-23' AS due_date, TIMESTAMP '2024-02-03' AS expires_at, TIMESTAMP '2024-01-20' AS updated_at FROM task) n ON o.task_key = n.task_key)""",
     **TASKS,
-    folded=FOLDED,
+    **{k: v for k, v in TASK_TABLE.items() if k != "logged"},
 )
 def n18(spark, d):
-    old = ac.fold_events(c.task_events(spark, d)).select("task_key", F.coalesce("status", F.lit("open")).alias("status"), F.lit(1.0).alias("priority"))
-    new = tasks(spark, d).select(F.concat_ws(":", F.col("client_id").cast("string"), F.lit("7")).alias("task_key"), "priority").groupBy("task_key").agg(F.max("priority").alias("priority"))
-    return ac.upsert(old, new)
+    """The candidates meet the task table: keys of finished tasks, active ones and new ones all occur."""
+    new = keyed(tasks(spark, d)).select("task_key", "manager_id", "client_id", "task_type", "urgency", "priority", "ev_score", F.lit("2024-01-23 00:00:00").cast("timestamp").alias("due_date"))
+    return spelled(ac.upsert(task_table(spark, d), new, "2024-01-20 00:00:00"))
 
 
 @P.add(
     "n19_nightly_sweep",
-    """SELECT status, count(*) AS n, CAST(sum(CAST(late AS INTEGER)) AS BIGINT) AS late, CAST(sum(CAST(late AND n_events > 1 AS INTEGER)) AS BIGINT) AS escalated FROM (SELECT coalesce(f.status, 'open') AS status, n_events, coalesce(f.status, 'open') NOT IN ('done', 'dismissed') AND last + INTERVAL 3 DAY < TIMESTAMP '2024-01-20' AS late,
-    coalesce(f.status, 'open') NOT IN ('done', 'dismissed') AND last + INTERVAL 14 DAY < TIMESTAMP '2024-01-20' AS over FROM folded f JOIN (SELECT task_key, max("at") AS last FROM task_events GROUP BY 1) l ON l.task_key = f.task_key) WHERE NOT over GROUP BY 1""",
-    folded=FOLDED,
+    f"""SELECT task_key, manager_id, client_id, task_type, status, urgency, priority, ev_score, {SPELLED}, sla_breached, escalated_to, CAST(steps AS INTEGER) AS steps FROM (
+    SELECT * REPLACE (CASE WHEN wakes THEN 'open' ELSE status END AS status, late AS sla_breached, CASE WHEN raised THEN 7 ELSE escalated_to END AS escalated_to, CASE WHEN wakes OR (late AND NOT sla_breached) OR raised THEN TIMESTAMP '2024-01-20' ELSE updated_at END AS updated_at, CAST(wakes AS INTEGER) AS steps) FROM (
+    SELECT *, due AND late AND urgency IN ('critical', 'high') AND escalated_to IS NULL AS raised FROM (SELECT *, sla_breached OR (due AND coalesce(due_date < TIMESTAMP '2024-01-20', false)) AS late FROM (
+    SELECT *, status = 'snoozed' AND snooze_until <= TIMESTAMP '2024-01-20' AS wakes, status NOT IN ('done', 'dismissed') AND (snooze_until IS NULL OR snooze_until <= TIMESTAMP '2024-01-20') AS due FROM task_table WHERE status IN ('done', 'dismissed') OR expires_at IS NULL OR expires_at >= TIMESTAMP '2024-01-20'))))""",
+    **TASK_TABLE,
 )
 def n19(spark, d):
-    ev = ac.fold_events(c.task_events(spark, d)).join(c.task_events(spark, d).groupBy("task_key").agg(F.max("at").alias("at")), "task_key")
-    rows = ev.select("task_key", F.coalesce("status", F.lit("open")).alias("status"), (F.col("at") + F.expr("interval 3 days")).alias("due_date"), F.lit(None).cast("timestamp").alias("snooze_until"), (F.col("at") + F.expr("interval 14 days")).alias("expires_at"), F.when(F.col("n_events") > 1, "high").otherwise("normal").alias("urgency"))
-    return ac.sweep(rows, "2024-01-20 00:00:00").groupBy("status").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("sla_breached").cast("long")).alias("late"), F.sum(F.col("escalated").cast("long")).alias("escalated"))
+    return spelled(ac.sweep(task_table(spark, d), "2024-01-20 00:00:00", 7))
+
+
+@P.add(
+    "n17_task_keys",
+    """SELECT t.manager_id, t.client_id, t.task_type, x.status, x.task_key IS NOT NULL AS known, coalesce(h.held, 0) AS held, m.client_id IS NOT NULL AS muted FROM task t
+    LEFT JOIN task_table x ON x.task_key = concat_ws(':', CAST(t.client_id AS VARCHAR), CASE t.task_type WHEN 'debt_followup' THEN '0' WHEN 'reorder_due' THEN '1' WHEN 'churn_winback' THEN '2' ELSE '3' END)
+    LEFT JOIN (SELECT manager_id, client_id, count(*) AS held FROM task_table WHERE status NOT IN ('done', 'dismissed') GROUP BY ALL) h ON h.manager_id = t.manager_id AND h.client_id = t.client_id
+    LEFT JOIN (SELECT DISTINCT client_id, task_type FROM logged WHERE event_type NOT IN ('signup', 'view', 'click', 'purchase') AND "at" > (SELECT max("at") FROM logged) - INTERVAL 30 DAY) m ON m.client_id = t.client_id AND m.task_type = t.task_type""",
+    **TASKS,
+    **{k: v for k, v in TASK_TABLE.items() if k != "logged"},
+)
+def n17_keys(spark, d):
+    """What admission knows of each candidate: its task of any status, the client's active tasks, and whether it is muted."""
+    candidates, _, existing, muted = admission_inputs(spark, d)
+    held = existing.where(ac.is_active(F.col("status"))).groupBy("manager_id", "client_id").agg(F.count(F.lit(1)).alias("held"))
+    df = candidates.join(existing.select("task_key", "status", F.lit(True).alias("known")), "task_key", "left").join(held, ["manager_id", "client_id"], "left")
+    df = df.join(muted.withColumn("muted", F.lit(True)), ["manager_id", "client_id", "task_type"], "left")
+    return df.select("manager_id", "client_id", "task_type", "status", F.coalesce("known", F.lit(False)).alias("known"), F.coalesce("held", F.lit(0)).alias("held"), F.coalesce("muted", F.lit(False)).alias("muted"))
 
 
 @P.add("n21_ranking_backfill", "SELECT client_id, task_type, round(priority / 100 + 0.000000001::DOUBLE, 6) AS p_outcome, round(ev + 0.000000001::DOUBLE, 2) AS expected_value, round(round(priority / 100 + 0.000000001::DOUBLE, 6) * round(ev + 0.000000001::DOUBLE, 2) + 0.000000001::DOUBLE, 4) AS ev_score FROM (SELECT t.client_id, t.task_type, priority, CASE t.task_type WHEN 'debt_followup' THEN overdue WHEN 'churn_winback' THEN coalesce(monetary, 0) ELSE CASE WHEN order_count > 0 THEN monetary / order_count ELSE 0 END END AS ev FROM task t JOIN urged u ON u.client_id = t.client_id AND u.task_type = t.task_type LEFT JOIN spent s ON s.client_id = t.client_id)", **TASKS)
