@@ -11,7 +11,9 @@ from tidemark.operators.ranking import first_per
 #: Weights of frequency by segment, list lengths, items of one group, how far lists reach beyond their quota.
 FREQUENCY_WEIGHT = {"HEAVY": 0.40, "REGULAR_CONSISTENT": 0.40, "REGULAR_EXPLORATORY": 0.30, "LIGHT": 0.30}
 TOP, REPURCHASE, PER_GROUP, SPARE_REPURCHASE, SPARE_DISCOVERY = 25, 20, 3, 10, 5
-UBIQUITOUS = 0.20
+UBIQUITOUS, OWN_SHARE = 0.20, 0.6
+#: Items of a basket that meet in one key.
+BLOCK = 1000
 
 
 def owned(sales: DataFrame, item: str) -> DataFrame:
@@ -141,11 +143,25 @@ def neighbour_items(similar: DataFrame, pairs: DataFrame, item: str, least: int
     return scored.join(pairs, ["client_id", item], "left_anti").select("client_id", item, "score")
 
 
-def co_purchase(pairs: DataFrame, item: str, least: int = 2) -> DataFrame:
-    """(seed, cand, sim): clients in common over the root of both degrees, for pairs with at least `least` in common."""
+def together(pairs: DataFrame, item: str, most: int = BLOCK) -> DataFrame:
+    """(seed, cand, co): for every two items, also an item with itself, the clients that have both. pairs has each (client_id, item) once.
+
+    A basket meets itself in blocks: one of n items is dealt to n / most blocks by item, and each two of its blocks are a key of
+    their own. So no key makes more than about most ** 2 pairs, however large a basket is, and small ones are not copied.
+    """
+    sizes = pairs.groupBy("client_id").agg(F.ceil(F.count(F.lit(1)) / most).cast("int").alias("_n"))
+    dealt = pairs.join(sizes, "client_id").withColumn("_own", F.pmod(F.xxhash64(item), F.col("_n")).cast("int"))
+    every = F.explode(F.sequence(F.lit(0), F.col("_n") - 1))
+    a = dealt.select("client_id", F.col(item).alias("seed"), F.col("_own").alias("_a"), every.alias("_b"))
+    b = dealt.select("client_id", F.col(item).alias("cand"), every.alias("_a"), F.col("_own").alias("_b"))
+    return a.join(b, ["client_id", "_a", "_b"]).groupBy("seed", "cand").agg(F.count(F.lit(1)).alias("co"))
+
+
+def co_purchase(pairs: DataFrame, item: str, least: int = 2, itself: bool = False) -> DataFrame:
+    """(seed, cand, co, sim): clients in common over the root of both degrees, for pairs with at least `least` in common; with
+    `itself` also each item with itself, at similarity 1."""
     degree = pairs.groupBy(item).agg(F.count(F.lit(1)).alias("deg"))
-    a, b = pairs.select("client_id", F.col(item).alias("seed")), pairs.select("client_id", F.col(item).alias("cand"))
-    co = a.join(b, "client_id").where("seed <> cand").groupBy("seed", "cand").agg(F.count(F.lit(1)).alias("co")).where(F.col("co") >= least)
+    co = together(pairs, item).where((F.col("co") >= least) & (F.lit(itself) | (F.col("seed") != F.col("cand"))))
     d1, d2 = degree.select(F.col(item).alias("seed"), F.col("deg").alias("d1")), degree.select(F.col(item).alias("cand"), F.col("deg").alias("d2"))
     return co.join(d1, "seed").join(d2, "cand").select("seed", "cand", "co", (F.col("co") / F.sqrt(F.col("d1") * F.col("d2"))).alias("sim"))
 
@@ -155,15 +171,16 @@ def co_scores(pairs: DataFrame, similar: DataFrame, item: str) -> DataFrame:
     return pairs.select("client_id", F.col(item).alias("seed")).join(similar, "seed").groupBy("client_id", F.col("cand").alias(item)).agg(F.sum("sim").alias("score"))
 
 
-def blend(own: DataFrame, co: DataFrame, item: str, top: int = 25) -> DataFrame:
-    """0.6 own and 0.4 co-purchase, each divided by the client's best; the source tells whether the client has it."""
+def blend(own: DataFrame, co: DataFrame, item: str, top: int = TOP) -> DataFrame:
+    """0.6 own and 0.4 co-purchase, each divided by the client's best, ranked before the score is rounded for show; the source
+    tells whether the client has the item. Scores equal to 9 places are ties, which go to the smaller item."""
     w = Window.partitionBy("client_id")
     o = own.withColumn("o", F.col("score") / F.max("score").over(w)).drop("score")
     c = co.withColumn("c", F.col("score") / F.max("score").over(w)).drop("score")
     both = o.join(c, ["client_id", item], "full_outer")
-    score = 0.6 * F.coalesce("o", F.lit(0.0)) + 0.4 * F.coalesce("c", F.lit(0.0))
-    both = both.select("client_id", item, F.round(score, 4).alias("score"), F.when(F.col("o").isNotNull(), "repurchase").otherwise("discovery").alias("source"))
-    return first_per(both, ["client_id"], [F.desc("score"), F.col(item)], top)
+    score = OWN_SHARE * F.coalesce("o", F.lit(0.0)) + (1 - OWN_SHARE) * F.coalesce("c", F.lit(0.0))
+    both = both.select("client_id", item, F.round(score, 9).alias("score"), F.when(F.col("o").isNotNull(), "repurchase").otherwise("discovery").alias("source"))
+    return first_per(both, ["client_id"], [F.desc("score"), F.col(item)], top).withColumn("score", F.round(F.col("score") + 1e-9, 4))
 
 
 def tiered(tiers: list[DataFrame], item: str, top: int) -> DataFrame:

@@ -36,7 +36,8 @@ def plain(spark, d):
 
 
 def pairs(spark, d):
-    return reco.owned(plain(spark, d), "product_id")
+    """(client_id, product_id) of past sales, written once since every use reads it several times."""
+    return checkpointed(reco.owned(plain(spark, d), "product_id"))
 
 
 @P.add(
@@ -70,28 +71,40 @@ def c4(spark, d):
     return reco.neighbour_items(reco.similar_clients(own, "product_id"), own, "product_id").withColumn("score", F.round("score", 6))
 
 
-def hybrid(spark, d, top=10):
-    lines = past(spark, d)
-    own = reco.owned(lines, "group_id")
-    scores = reco.repurchase_scores(lines, "group_id", reco.segments(lines, "group_id"), END)
-    return reco.blend(scores, reco.co_scores(own, reco.co_purchase(own, "group_id"), "group_id"), "group_id", top)
-
-
-GROUPS = {
-    "gown": "SELECT client_id, group_id, score / max(score) OVER (PARTITION BY client_id) AS o FROM own",
-    "ghas": "SELECT DISTINCT client_id, group_id FROM past_sales",
-    "gdeg": "SELECT group_id, count(*) AS deg FROM ghas GROUP BY 1",
-    "gsim": "SELECT seed, cand, co / sqrt(CAST(x.deg AS DOUBLE) * y.deg) AS sim FROM (SELECT a.group_id AS seed, b.group_id AS cand, count(*) AS co FROM ghas a JOIN ghas b ON a.client_id = b.client_id AND a.group_id <> b.group_id GROUP BY 1, 2 HAVING count(*) >= 2) JOIN gdeg x ON x.group_id = seed JOIN gdeg y ON y.group_id = cand",
-    "gco": "SELECT client_id, group_id, s / max(s) OVER (PARTITION BY client_id) AS c FROM (SELECT h.client_id, cand AS group_id, sum(sim) AS s FROM ghas h JOIN gsim ON seed = h.group_id GROUP BY 1, 2)",
-    "gblend": "SELECT *, row_number() OVER (PARTITION BY client_id ORDER BY score DESC, group_id) AS r FROM (SELECT coalesce(a.client_id, b.client_id) AS client_id, coalesce(a.group_id, b.group_id) AS group_id, round(0.6::DOUBLE * coalesce(o, 0) + 0.4::DOUBLE * coalesce(c, 0), 4) AS score, CASE WHEN o IS NULL THEN 'discovery' ELSE 'repurchase' END AS source FROM gown a FULL JOIN gco b ON a.client_id = b.client_id AND a.group_id = b.group_id)",
+def hybrid(spark, d, top=reco.TOP):
+    """Order frequency of the client's own products, blended with co-purchase; an item of two buyers is like itself."""
+    lines = checkpointed(plain(spark, d).select("client_id", "product_id", "order_id"))
+    often = lines.groupBy("client_id", "product_id").agg(F.countDistinct("order_id").alias("score"))
+    own = reco.owned(lines, "product_id")
+    return reco.blend(often, reco.co_scores(own, reco.co_purchase(own, "product_id", itself=True), "product_id"), "product_id", top)
+
+
+BLEND = {
+    "often": "SELECT client_id, product_id, f / max(f) OVER (PARTITION BY client_id) AS o FROM (SELECT client_id, product_id, CAST(count(DISTINCT order_id) AS DOUBLE) AS f FROM past_sales WHERE product_id NOT IN (SELECT product_id FROM common) GROUP BY 1, 2)",
+    "bought": "SELECT seed, cand, co / sqrt(CAST(x.deg AS DOUBLE) * y.deg) AS sim FROM (SELECT a.product_id AS seed, b.product_id AS cand, count(*) AS co FROM pairs a JOIN pairs b ON a.client_id = b.client_id GROUP BY 1, 2 HAVING count(*) >= 2) JOIN deg x ON x.product_id = seed JOIN deg y ON y.product_id = cand",
+    "besides": "SELECT client_id, product_id, s / max(s) OVER (PARTITION BY client_id) AS c FROM (SELECT p.client_id, cand AS product_id, sum(sim) AS s FROM pairs p JOIN bought ON seed = p.product_id GROUP BY 1, 2)",
+    "blended": "SELECT *, row_number() OVER (PARTITION BY client_id ORDER BY score DESC, product_id) AS r FROM (SELECT coalesce(a.client_id, b.client_id) AS client_id, coalesce(a.product_id, b.product_id) AS product_id, round(0.6::DOUBLE * coalesce(o, 0) + 0.4::DOUBLE * coalesce(c, 0), 9) AS score, CASE WHEN o IS NULL THEN 'discovery' ELSE 'repurchase' END AS source FROM often a FULL JOIN besides b ON a.client_id = b.client_id AND a.product_id = b.product_id)",
 }
 
 
-@P.add("c6_blend", "SELECT client_id, group_id, score, source, CAST(r AS INTEGER) AS rank FROM gblend WHERE r <= 10", **T, **GROUPS)
+@P.add("c6_blend", "SELECT client_id, product_id, round(score + 0.000000001::DOUBLE, 4) AS score, source, CAST(r AS INTEGER) AS rank FROM blended WHERE r <= 25", **T, **BLEND)
 def c6(spark, d):
     return hybrid(spark, d)
 
 
+@P.add("c6_cross_sell", "SELECT client_id, product_id, round(score + 0.000000001::DOUBLE, 4) AS score, CAST(row_number() OVER (PARTITION BY client_id ORDER BY r) AS INTEGER) AS rank FROM blended WHERE source = 'discovery' QUALIFY rank <= 5", **T, **BLEND)
+def c6_new(spark, d):
+    """The blend's discoveries alone: what a client does not have yet."""
+    lines = checkpointed(plain(spark, d).select("client_id", "product_id", "order_id"))
+    own = checkpointed(reco.owned(lines, "product_id"))
+    scores = reco.co_scores(own, reco.co_purchase(own, "product_id", itself=True), "product_id")
+    best = scores.groupBy("client_id").agg(F.max("score").alias("best"))
+    new = scores.join(own, ["client_id", "product_id"], "left_anti").join(best, "client_id")
+    share = F.round((1 - reco.OWN_SHARE) * F.col("score") / F.col("best"), 9)
+    ranked = ranking.first_per(new.select("client_id", "product_id", share.alias("score")), ["client_id"], [F.desc("score"), F.col("product_id")], 5)
+    return ranked.withColumn("score", F.round(F.col("score") + 1e-9, 4))
+
+
 @P.add(
     "w4_group_diversity",
     "SELECT client_id, product_id, CAST(rank AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY client_id, p_brand ORDER BY rank) AS k FROM (SELECT client_id, product_id, row_number() OVER (PARTITION BY client_id ORDER BY sum(amount) DESC, product_id) AS rank FROM past_sales GROUP BY 1, 2) JOIN part ON p_partkey = product_id) WHERE k <= 3",
@@ -299,12 +312,12 @@ def c11(spark, d):
 
 
 C11_SQL = """SELECT count(*) AS n, round(avg(CASE WHEN h > 0 THEN 1.0 ELSE 0.0 END::DOUBLE), 6) AS hit_rate, round(avg(coalesce(h, 0) / 10), 6) AS precision, round(avg(coalesce(h, 0) / size), 6) AS recall, round(avg(coalesce(1 / first, 0.0::DOUBLE)), 6) AS mrr FROM
-    (SELECT t.client_id, count(*) AS size, count(g.r) AS h, min(g.r) AS first FROM (SELECT DISTINCT client_id, group_id FROM valid_sales WHERE created >= DATE '2000-01-01' AND created < DATE '2000-04-01') t LEFT JOIN (SELECT * FROM gblend WHERE r <= 10) g ON g.client_id = t.client_id AND g.group_id = t.group_id GROUP BY 1)"""
+    (SELECT t.client_id, count(*) AS size, count(g.r) AS h, min(g.r) AS first FROM (SELECT DISTINCT client_id, product_id FROM valid_sales WHERE created >= DATE '2000-01-01' AND created < DATE '2000-04-01') t LEFT JOIN (SELECT * FROM blended WHERE r <= 10) g ON g.client_id = t.client_id AND g.product_id = t.product_id GROUP BY 1)"""
 
 
-@P.add("c11_evaluation_of_hybrid", C11_SQL, **T, **GROUPS)
+@P.add("c11_evaluation_of_hybrid", C11_SQL, **T, **BLEND)
 def c11b(spark, d):
-    return rounded(reco.evaluate(hybrid(spark, d), reco.owned(sales.window(valid(spark, d), END, "2000-04-01"), "group_id"), "group_id", 10))
+    return rounded(reco.evaluate(hybrid(spark, d), reco.owned(sales.window(valid(spark, d), END, "2000-04-01"), "product_id"), "product_id", 10))
 
 
 @P.add("c8_matrix_factorisation")

@@ -50,7 +50,7 @@ def a40(spark, d):
 FLOORS = {"hit_rate": 0.05, "precision": 0.01, "recall": 0.02, "mrr": 0.02}
 
 
-@P.add("c14_regression_floors", "SELECT metric, value, least, value >= least AS holds FROM (SELECT * FROM judged UNPIVOT (value FOR metric IN (hit_rate, precision, recall, mrr))) JOIN (VALUES " + ", ".join(f"('{k}', {v}::DOUBLE)" for k, v in FLOORS.items()) + ") t(metric, least) USING (metric)", **reco_plans.T, **reco_plans.GROUPS, judged="SELECT CAST(hit_rate AS DOUBLE) AS hit_rate, CAST(precision AS DOUBLE) AS precision, CAST(recall AS DOUBLE) AS recall, CAST(mrr AS DOUBLE) AS mrr FROM (" + reco_plans.C11_SQL + ")")
+@P.add("c14_regression_floors", "SELECT metric, value, least, value >= least AS holds FROM (SELECT * FROM judged UNPIVOT (value FOR metric IN (hit_rate, precision, recall, mrr))) JOIN (VALUES " + ", ".join(f"('{k}', {v}::DOUBLE)" for k, v in FLOORS.items()) + ") t(metric, least) USING (metric)", **reco_plans.T, **reco_plans.BLEND, judged="SELECT CAST(hit_rate AS DOUBLE) AS hit_rate, CAST(precision AS DOUBLE) AS precision, CAST(recall AS DOUBLE) AS recall, CAST(mrr AS DOUBLE) AS mrr FROM (" + reco_plans.C11_SQL + ")")
 def c14(spark, d):
     """Metrics of the hybrid against stored floors; a row per metric and whether it holds."""
     from tidemark.plans.reco import c11b
