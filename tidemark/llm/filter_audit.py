@@ -22,7 +22,7 @@ ORDERS = ["".join(p) for p in itertools.permutations(FILTERS)]
 UPPER, SIGNS = bytes(range(65, 91)), re.compile(rb"[#$%&*|]")
 FRONT, WIDEN = 8, 4  # prefixes of 8, 32, 128 ... code points
 CELL_BYTES, MOST_CELLS = 16 << 20, 1 << 18
-RANGE_BYTES = 32 << 20
+RANGE_BYTES, CELLS_A_TASK = 128 << 20, 8
 
 
 def failed(text: bytes, points: int) -> int:
@@ -169,9 +169,10 @@ def prefix(text: Column, depth: Column) -> Column:
 def copies_flagged(rows: DataFrame, cell_bytes: int = CELL_BYTES, range_bytes: int = RANGE_BYTES) -> DataFrame:
     """doc_id, part, mask, n of the rows with a text (doc_id, part, mask, n, size, text): the copy bit is set where another row has the text and a smaller id.
 
-    A text's prefix starts at FRONT code points and widens while the texts below it hold more than cell_bytes and are not all
-    equal. Such prefixes are found by counting in one pass, and there are at most MOST_CELLS a depth, since each holds that share of all
-    bytes; so they are broadcast. Texts are dealt by ranges of their prefixes, and a task holds one cell's trie at a time.
+    A text's prefix starts at FRONT code points and widens while the texts below it hold more than cell_bytes, or more than a
+    CELLS_A_TASK-th of a task's share, and are not all equal. Such prefixes are found by counting in one pass, and there are at most
+    MOST_CELLS a depth, since each holds that share of all bytes; so they are broadcast. Texts are dealt by ranges of their
+    prefixes, and a task holds one cell's trie at a time.
     """
     spark = rows.sparkSession
     total = rows.agg(F.sum("size")).first()[0] or 0
@@ -180,7 +181,8 @@ def copies_flagged(rows: DataFrame, cell_bytes: int = CELL_BYTES, range_bytes: i
     levels = F.transform(F.sequence(F.lit(0), deepest), lambda k: F.struct(k.alias("depth"), F.xxhash64(prefix(text, k)).alias("hash")))
     counted = rows.select(F.explode(levels).alias("at"), "size", F.xxhash64("text").alias("own")).groupBy("at.depth", "at.hash")
     counted = counted.agg(F.sum("size").alias("bytes"), F.min("own").alias("low"), F.max("own").alias("high"))
-    most = max(cell_bytes, total // MOST_CELLS)
+    tasks = max(-(-total // range_bytes), 2 * spark.sparkContext.defaultParallelism)
+    most = max(min(cell_bytes, total // (CELLS_A_TASK * tasks)), total // MOST_CELLS)
     heavy = materialise(counted.where((F.col("bytes") > most) & (F.col("low") != F.col("high"))).select("depth", "hash"), "heavy-prefixes")
     depth, there = F.lit(0), rows
     for k in sorted(r.depth for r in heavy.select("depth").distinct().collect()):
@@ -189,7 +191,6 @@ def copies_flagged(rows: DataFrame, cell_bytes: int = CELL_BYTES, range_bytes: i
         depth = F.coalesce(F.col(f"_deep{k}"), depth)
     cells = there.select("doc_id", "part", "mask", "n", "text", prefix(text, depth).alias("prefix"))
     cells = cells.select("doc_id", "part", "mask", "n", "text", F.substring("prefix", 1, FRONT * WIDEN).alias("front"), F.xxhash64("prefix").alias("cell"))
-    tasks = max(-(-total // range_bytes), 2 * spark.sparkContext.defaultParallelism)
     dealt = cells.repartitionByRange(int(tasks), "front", "cell").sortWithinPartitions("front", "cell").drop("front")
     types = dict(rows.dtypes)
     return dealt.mapInArrow(flagger(["doc_id", "part", "mask", "n"]), f"doc_id {types['doc_id']}, part string, mask int, n long")
