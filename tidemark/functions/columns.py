@@ -116,7 +116,7 @@ def holt_path(series: Column, horizon: int, alpha: float = 0.4, beta: float = 0.
     return F.aggregate(F.slice(series, F.lit(2), F.greatest(F.size(series) - 1, F.lit(0))), start, fold, lambda a: F.transform(sums, lambda s: F.greatest(F.lit(0.0), a["l"] + s * a["b"])))
 
 
-def psi_term(actual: Column, expected: Column, least: float = 1e-4) -> Column:
+def psi_term(actual: Column, expected: Column, least: float = 1e-6) -> Column:
     a, e = F.greatest(actual, F.lit(least)), F.greatest(expected, F.lit(least))
     return (a - e) * F.log(a / e)
 

@@ -77,13 +77,16 @@ def average_rank(df: DataFrame, value: str, out: str) -> DataFrame:
     return df.join(ranked.select(value, (F.col("_upto") - (F.col("_n") - 1) / 2).alias(out)), value)
 
 
-def _running_count(counts: DataFrame, value: str, buckets: int | None = None) -> DataFrame:
-    counts = checkpointed(counts)
+def _running_count(counts: DataFrame, value: str, buckets: int | None = None, more: dict[str, str] | None = None) -> DataFrame:
+    """Adds _upto, the running sum of _n in the order of value, and those of other columns, more as {column: name}."""
+    counts, named = checkpointed(counts), {"_n": "_upto"} | (more or {})
     cuts = range_cuts(counts, F.col(value).cast("double"), buckets)
     keyed = counts.withColumn("_b", bucket_of(F.col(value).cast("double"), cuts))
-    before = keyed.groupBy("_b").agg(F.sum("_n").alias("_t")).select("_b", (F.sum("_t").over(Window.orderBy("_b")) - F.col("_t")).alias("_before"))
+    totals = keyed.groupBy("_b").agg(*[F.sum(x).alias(f"_t{x}") for x in named])
+    before = totals.select("_b", *[(F.sum(f"_t{x}").over(Window.orderBy("_b")) - F.col(f"_t{x}")).alias(f"_before{x}") for x in named])
     inside = Window.partitionBy("_b").orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
-    return keyed.join(F.broadcast(before), "_b").withColumn("_upto", F.sum("_n").over(inside) + F.col("_before")).drop("_b", "_before")
+    df = keyed.join(F.broadcast(before), "_b")
+    return df.withColumns({out: F.sum(x).over(inside) + F.col(f"_before{x}") for x, out in named.items()}).drop("_b", *[f"_before{x}" for x in named])
 
 
 def first_per(df: DataFrame, keys: list[str], order: list[Column], n: int = 1) -> DataFrame:

@@ -9,7 +9,13 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.columns import psi_term
 from tidemark.operators import ranking
+from tidemark.operators.quantiles import grouped_quantiles
 from tidemark.operators.scorecard import woe_of
+from tidemark.sources.sinks import checkpointed
+
+#: Floor of a share and levels of drift; points, range and probability bands of a card.
+PSI_FLOOR, PSI_WARN, PSI_ALERT = 1e-6, 0.10, 0.25
+POINTS = {"pdo": 20.0, "offset": 600.0, "lo": 400.0, "hi": 800.0, "bands": {"A": 0.02, "B": 0.05, "C": 0.15}}
 
 
 def to_eur(df: DataFrame, rates: DataFrame, amount: str, day: str | None, out: str, as_of: str | None = None) -> DataFrame:
@@ -133,10 +139,8 @@ def five_factor_score(df: DataFrame) -> DataFrame:
 
 def binary_metrics(df: DataFrame, score: str, label: str) -> DataFrame:
     """n, auc (ties count half), gini, ks and brier of score against label 0/1, from counts per distinct score."""
-    counts = df.groupBy(F.col(score).alias("s")).agg(F.count(F.lit(1)).alias("_n"), F.sum(label).alias("pos"))
-    ranked = ranking._running_count(counts, "s")
-    positives = ranking._running_count(counts.select("s", F.col("pos").alias("_n")), "s").select("s", F.col("_upto").alias("pos_upto"))
-    t = ranked.join(positives, "s").withColumn("neg_upto", F.col("_upto") - F.col("pos_upto"))
+    counts = checkpointed(df.groupBy(F.col(score).alias("s")).agg(F.count(F.lit(1)).alias("_n"), F.sum(label).alias("pos")))
+    t = ranking._running_count(counts, "s", more={"pos": "pos_upto"}).withColumn("neg_upto", F.col("_upto") - F.col("pos_upto"))
     totals = counts.agg(F.sum("pos").alias("P"), (F.sum("_n") - F.sum("pos")).alias("N"))
     t = t.join(F.broadcast(totals))
     neg = F.col("_n") - F.col("pos")
@@ -161,17 +165,40 @@ def reliability(df: DataFrame, score: str, label: str, bins: int = 10) -> DataFr
 
 
 def psi(baseline: DataFrame, current: DataFrame, values: list[str], bins: int = 10) -> DataFrame:
-    """(feature, psi, level) of each value column: quantile edges of the baseline (approximate beyond 10,000 rows), shares of
-    both in one long table. All edges come from one pass."""
-    row = baseline.agg(*[F.percentile_approx(F.col(v).cast("double"), [i / bins for i in range(1, bins)], 10_000).alias(f"e{i}") for i, v in enumerate(values)]).first()
-    edges = [sorted(set(e or [])) for e in row]
+    """(feature, psi, level) of each value column between two tables.
+
+    Bins lie between the baseline's interpolated quantiles, open below and closed above; equal edges are one; nulls lie in the
+    first bin. Shares are floored at PSI_FLOOR; a side without rows counts as even. Levels: `ok`, `warn` from 0.10, `alert`
+    from 0.25. All features are one long table; the driver holds the edges alone.
+    """
+
+    def long(df: DataFrame) -> DataFrame:
+        cells = [F.struct(F.lit(v).alias("feature"), F.nanvl(F.col(v).cast("double"), F.lit(None).cast("double")).alias("v")) for v in values]
+        return checkpointed(df.select(F.explode(F.array(*cells)).alias("x")).select("x.feature", "x.v"))
+
+    was, now = long(baseline), long(current)
+    edges: dict[str, list[float]] = {v: [] for v in values}
+    for row in grouped_quantiles(was, ["feature"], "v", [i / bins for i in range(1, bins)]).collect():
+        for e in row.q:
+            if not edges[row.feature] or e > edges[row.feature][-1] + 1e-12:
+                edges[row.feature].append(e)
+    grid = was.sparkSession.createDataFrame([(v, b, len(edges[v]) + 1) for v in values for b in range(len(edges[v]) + 1)], "feature string, bin int, n_bins int")
+    place = F.lit(0)
+    for v in values:
+        place = F.when(F.col("feature") == v, ranking.bucket_of(F.col("v"), edges[v])).otherwise(place)
 
     def shares(df: DataFrame, name: str) -> DataFrame:
-        places = F.array(*[F.struct(F.lit(v).alias("feature"), ranking.bucket_of(F.col(v).cast("double"), edges[i]).alias("bin")) for i, v in enumerate(values)])
-        counts = df.select(F.explode(places).alias("x")).groupBy("x.feature", "x.bin").count()
-        total = counts.groupBy("feature").agg(F.sum("count").alias("t"))
-        return counts.join(total, "feature").select("feature", "bin", (F.col("count") / F.col("t")).alias(name))
-
-    both = shares(baseline, "expected").join(shares(current, "actual"), ["feature", "bin"], "full_outer").fillna(0.0, ["expected", "actual"])
-    total = both.groupBy("feature").agg(F.sum(psi_term(F.col("actual"), F.col("expected"))).alias("psi"))
-    return total.withColumn("level", F.when(F.col("psi") < 0.1, "stable").when(F.col("psi") < 0.25, "watch").otherwise("shift"))
+        counts = checkpointed(df.groupBy("feature", place.alias("bin")).agg(F.count(F.lit(1)).alias("_n")))
+        totals = counts.groupBy("feature").agg(F.sum("_n").alias("_t"))
+        share = F.when(F.col("_t").isNull(), 1 / F.col("n_bins")).otherwise(F.coalesce(F.col("_n") / F.col("_t"), F.lit(0.0)))
+        return grid.join(totals, "feature", "left").join(counts, ["feature", "bin"], "left").select("feature", "bin", share.alias(name))
+
+    both = shares(was, "expected").join(shares(now, "actual"), ["feature", "bin"])
+    total = both.groupBy("feature").agg(F.sum(psi_term(F.col("actual"), F.col("expected"), PSI_FLOOR)).alias("psi"))
+    return total.withColumn("level", F.when(F.col("psi") >= PSI_ALERT, "alert").when(F.col("psi") >= PSI_WARN, "warn").otherwise("ok"))
+
+
+def band_rates(scored: DataFrame, label: str = "label") -> DataFrame:
+    """(band, n, rate, mean_score, min_score, max_score) of a scored table: the realised rate of each band."""
+    s = F.col("score")
+    return scored.groupBy("band").agg(F.count(F.lit(1)).alias("n"), F.avg(F.col(label).cast("double")).alias("rate"), F.avg(s).alias("mean_score"), F.min(s).alias("min_score"), F.max(s).alias("max_score"))

@@ -10,6 +10,7 @@ from tidemark.plans import actions, assortment, risk, supply
 from tidemark.plans.base import Plans
 from tidemark.plans.sales import END, past, valid, year
 from tidemark.sources import canonical as c
+from tidemark.sources.sinks import checkpointed
 
 P = Plans()
 
@@ -219,7 +220,7 @@ for _i, _t in enumerate(MONTH_ENDS):
 
 @P.add(
     "t22_score_sparkline",
-    " UNION ALL ".join(f"SELECT client_id, '{t}' AS as_of, CAST(round(least(greatest((500 + 20 / ln(2.0::DOUBLE) * ln((1 - pd) / pd) - 400) / 250 * 100, 0), 100)) AS INTEGER) AS score FROM at{i}_card" for i, t in enumerate(MONTH_ENDS)),
+    " UNION ALL ".join(f"SELECT client_id, '{t}' AS as_of, CAST(round({risk.SCORE}) AS INTEGER) AS score FROM at{i}_card" for i, t in enumerate(MONTH_ENDS)),
     **SPARK_SQL,
 )
 def t22_score(spark, d):
@@ -260,17 +261,27 @@ def c13(spark, d):
     return hits.join(F.broadcast(n)).select("wf", "hits", F.round(F.col("hits") / F.col("n"), 6).alias("hit_rate"))
 
 
+BANDED = f"SELECT *, CASE WHEN pd < 0.02 THEN 'A' WHEN pd < 0.05 THEN 'B' WHEN pd < 0.15 THEN 'C' ELSE 'D' END AS band, round({risk.SCORE}, 2) AS score FROM mat_card"
+
+
 @P.add(
     "e19_band_rates",
-    "SELECT CASE WHEN worst <= 180 THEN 'A' WHEN worst <= 720 THEN 'B' WHEN worst <= 1440 THEN 'C' ELSE 'D' END AS band, count(*) AS n, round(avg(CAST(label AS DOUBLE)), 6) AS rate FROM aging JOIN label USING (client_id) GROUP BY 1",
-    **risk.T,
+    "SELECT band, count(*) AS n, round(avg(CAST(label AS DOUBLE)), 6) AS rate, round(avg(score) + 0.000000001::DOUBLE, 4) AS mean_score, min(score) AS min_score, max(score) AS max_score FROM banded GROUP BY 1",
+    **risk.FIVE,
+    banded=BANDED,
 )
 def e19(spark, d):
-    lines = risk.aged(spark, d)
-    df = rk.debt_aging(lines).join(rk.severe_label(lines), "client_id")
-    w = F.col("max_overdue_days")
-    band = F.when(w <= 180, "A").when(w <= 720, "B").when(w <= 1440, "C").otherwise("D")
-    return df.groupBy(band.alias("band")).agg(F.count(F.lit(1)).alias("n"), F.round(F.avg(F.col("label").cast("double")), 6).alias("rate"))
+    """Realised rates of the bands of a card's probability, half a year later."""
+    rates = rk.band_rates(rk.apply_scorecard(risk.labelled(spark, d), risk.CARD))
+    return rates.select("band", "n", F.round("rate", 6).alias("rate"), F.round(F.col("mean_score") + 1e-9, 4).alias("mean_score"), "min_score", "max_score")
+
+
+@P.add("e19_bands_of_the_fitted_card")
+def e19_fitted(spark, d):
+    """The same table for the card that the buyers' own features and labels give."""
+    m, card = risk.fitted(spark, d)
+    rates = rk.band_rates(rk.apply_scorecard(m, card))
+    return rates.select("band", "n", F.round("rate", 6).alias("rate"), F.round("mean_score", 2).alias("mean_score"), "min_score", "max_score")
 
 
 @P.add(
@@ -283,7 +294,7 @@ def e19(spark, d):
 )
 def e20(spark, d):
     """Coverage and directed AUC of all features against the label, in one long table, and the label's balance."""
-    m = risk.matrix(spark, d)
+    m = checkpointed(risk.labelled(spark, d))
     long = m.select("label", F.explode(F.array(*[F.struct(F.lit(n).alias("feature"), F.round(F.col(n).cast("double"), 6).alias("v")) for n in risk.FEATURES])).alias("x")).select("label", "x.feature", "x.v")
     counts = long.groupBy("feature", "v").agg(F.count(F.lit(1)).alias("n"), F.sum("label").alias("p"))
     return rk.feature_auc(counts).select("feature", F.round("coverage", 6).alias("coverage"), F.round("auc", 6).alias("auc"), F.round("base_rate", 6).alias("base_rate"))
@@ -292,9 +303,9 @@ def e20(spark, d):
 @P.add(
     "e21_promotion_gate",
     """SELECT incumbent, challenger, challenger > incumbent AS better, monotone, challenger > incumbent AND monotone = 1 AS promote FROM (SELECT max(auc) FILTER (model = 'five_factor') AS incumbent, max(auc) FILTER (model = 'scorecard') AS challenger FROM two),
-    (SELECT min(CAST(coalesce(before, 0) <= rate AS INTEGER)) AS monotone FROM (SELECT rate, lag(rate) OVER (ORDER BY band) AS before FROM (SELECT CASE WHEN worst <= 180 THEN 'A' WHEN worst <= 720 THEN 'B' WHEN worst <= 1440 THEN 'C' ELSE 'D' END AS band, round(avg(CAST(label AS DOUBLE)), 6) AS rate FROM aging JOIN label USING (client_id) GROUP BY 1)))""",
+    (SELECT min(CAST(coalesce(before, 0) <= rate AS INTEGER)) AS monotone FROM (SELECT rate, lag(rate) OVER (ORDER BY band) AS before FROM (SELECT band, round(avg(CAST(label AS DOUBLE)), 6) AS rate FROM banded GROUP BY 1)))""",
     **risk.FIVE,
-    **risk.T,
+    banded=BANDED,
     two=f"SELECT 'five_factor' AS model, {risk.AUC_SQL} AS auc FROM (SELECT label, rank() OVER (ORDER BY -score) + (count(*) OVER (PARTITION BY score) - 1) / 2 AS r FROM mat_five) UNION ALL SELECT 'scorecard', {risk.AUC_SQL} FROM (SELECT label, rank() OVER (ORDER BY pd) + (count(*) OVER (PARTITION BY pd) - 1) / 2 AS r FROM mat_card)",
 )
 def e21(spark, d):

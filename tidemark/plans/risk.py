@@ -109,12 +109,22 @@ def e1(spark, d):
     return rk.severe_label(aged(spark, d))
 
 
-def matrix(spark, d, as_of=END, sentinel=None):
-    """Features of all buyers as of a day, with the severe label. One pass each over sales, returns and debt.
+def buyers(spark, d):
+    """Clients in the buyer's role: those with an order of any day."""
+    return c.read(spark, d, "orders").select(F.col("o_custkey").alias("client_id")).distinct()
 
-    A buyer without sales has the worst recency plus one, or `sentinel` where one is given (the serving variant).
+
+#: The label's day: the features' day and half a year.
+LABEL_DAY = "2000-07-01"
+
+
+def matrix(spark, d, as_of=END, sentinel=None, label_day=None):
+    """Features of all buyers as of a day, whether they are in severe arrears that day (already_default), and the severe label of label_day, that day's own if none is given.
+
+    A buyer without sales has the worst recency plus one, or `sentinel` where one is given (the serving variant). Debt lines are
+    read once, with what they are on both days.
     """
-    t = F.lit(as_of).cast("date")
+    t, later = F.lit(as_of).cast("date"), label_day or as_of
     recent = F.col("created") >= F.add_months(t, -12)
     lines = valid(spark, d).where(F.col("created") < t)
     first = F.min("created")
@@ -124,9 +134,16 @@ def matrix(spark, d, as_of=END, sentinel=None):
     )
     rets = c.return_lines(spark, d).where((F.col("return_date") >= F.add_months(t, -12)) & (F.col("return_date") < t))
     back = rets.groupBy("client_id", "return_id", "line_no").agg(F.max("qty").alias("q")).groupBy("client_id").agg(F.sum("q").cast("double").alias("_r"))
-    owed = rk.aged(debt(spark, d, as_of), c.agreements(spark, d), as_of)
-    parts = [rk.debt_aging(owed), rk.debt_trajectory(owed, as_of), rk.severe_label(owed)]
-    df = c.agreements(spark, d).groupBy("client_id").agg(F.sum(F.when(F.col("control_amount"), F.col("amount_limit")).otherwise(0)).cast("double").alias("credit_limit"), F.max("grace_days").alias("grace_days"), F.max((F.col("control_amount") | F.col("control_days")).cast("int")).alias("has_control"))
+    terms = c.agreements(spark, d)
+    both = c.debt_lines(spark, d).where(F.col("created") <= F.greatest(t, F.lit(later).cast("date"))).select("client_id", "currency_id", "total", "created")
+    both = rk.to_eur(rk.to_eur(both, c.fx_rates(spark), "total", None, "eur", as_of), c.fx_rates(spark), "total", None, "eur_later", later)
+    owed = checkpointed(rk.aged(both, terms, as_of).drop("total", "currency_id"))
+    then = rk.aged(owed.where(F.col("created") <= F.lit(later).cast("date")).select("client_id", "created", F.col("eur_later").alias("eur")), terms, later)
+    now = owed.where(F.col("created") <= t)
+    parts = [rk.debt_aging(now), rk.debt_trajectory(now, as_of), rk.severe_label(now).withColumnRenamed("label", "already_default"), rk.severe_label(then)]
+    df = terms.join(buyers(spark, d), "client_id", "left_semi").groupBy("client_id").agg(F.sum(F.when(F.col("control_amount"), F.col("amount_limit")).otherwise(0)).cast("double").alias("credit_limit"), F.max("grace_days").alias("grace_days"), F.max((F.col("control_amount") | F.col("control_days")).cast("int")).alias("has_control"))
+    if sentinel is None:
+        sold = checkpointed(sold)
     for part in (sold, back, *parts):
         df = df.join(part, "client_id", "left")
     if sentinel is None:
@@ -137,6 +154,11 @@ def matrix(spark, d, as_of=END, sentinel=None):
     return df.withColumn("utilization", use)
 
 
+def labelled(spark, d):
+    """The modelling table: features at END, the label half a year later."""
+    return matrix(spark, d, label_day=LABEL_DAY)
+
+
 #: The columns of the matrix, and how risk runs in each of those that do not restate the label.
 DIRECTION = {
     "overdue_91_180": "up", "overdue_61_90": "up", "overdue_31_60": "up", "overdue_1_30": "up", "current_debt": "up", "total_debt": "up", "max_overdue_days": "up", "n_lines": "up", "growth": "up", "months_12": "up", "new_3m": "up",
@@ -145,29 +167,37 @@ DIRECTION = {
 FEATURES = ["overdue_180plus", "pct_180plus", *DIRECTION]
 
 
-def matrix_sql(name: str, as_of: str, sentinel: str = "w") -> dict[str, str]:
+def owed_sql(as_of: str) -> str:
+    """Debt lines of a day with their value and days past grace that day."""
+    t = f"DATE '{as_of}'"
+    return f"""SELECT d.*, CAST(d.total AS DOUBLE) * coalesce(f.rate, 1.0::DOUBLE) AS eur, date_diff('day', d.created, {t}) - grace_days AS od FROM debt_lines d JOIN agreements a ON a.client_id = d.client_id LEFT JOIN LATERAL
+          (SELECT rate FROM fx_rates f WHERE f.currency_id = d.currency_id AND f.valid_from <= {t} ORDER BY valid_from DESC LIMIT 1) f ON true WHERE d.created <= {t}"""
+
+
+def matrix_sql(name: str, as_of: str, sentinel: str = "w", label_day: str | None = None) -> dict[str, str]:
     """The same matrix in SQL, as a table `name`."""
     t = f"DATE '{as_of}'"
     return {
-        f"{name}_owed": f"""SELECT d.*, CAST(d.total AS DOUBLE) * coalesce(f.rate, 1.0::DOUBLE) AS eur, date_diff('day', d.created, {t}) - grace_days AS od FROM debt_lines d JOIN agreements a ON a.client_id = d.client_id LEFT JOIN LATERAL
-          (SELECT rate FROM fx_rates f WHERE f.currency_id = d.currency_id AND f.valid_from <= {t} ORDER BY valid_from DESC LIMIT 1) f ON true WHERE d.created <= {t}""",
+        f"{name}_then": owed_sql(label_day or as_of),
+        f"{name}_label": f"SELECT client_id, CAST(sum(CASE WHEN od >= 180 THEN eur ELSE 0 END) >= 100 AS INTEGER) AS label FROM {name}_then GROUP BY 1",
+        f"{name}_owed": owed_sql(as_of),
         f"{name}_debt": f"""SELECT client_id, sum(CASE WHEN od > 180 THEN eur ELSE 0 END) AS overdue_180plus, sum(CASE WHEN od BETWEEN 91 AND 180 THEN eur ELSE 0 END) AS overdue_91_180, sum(CASE WHEN od BETWEEN 61 AND 90 THEN eur ELSE 0 END) AS overdue_61_90,
           sum(CASE WHEN od BETWEEN 31 AND 60 THEN eur ELSE 0 END) AS overdue_31_60, sum(CASE WHEN od BETWEEN 1 AND 30 THEN eur ELSE 0 END) AS overdue_1_30, sum(CASE WHEN od <= 0 THEN eur ELSE 0 END) AS current_debt, sum(eur) AS total_debt,
           greatest(max(od), 0) AS max_overdue_days, count(*) AS n_lines, sum(CASE WHEN created > {t} - INTERVAL 3 MONTH THEN eur ELSE 0 END) AS new_3m, sum(CASE WHEN created > {t} - INTERVAL 6 MONTH AND created <= {t} - INTERVAL 3 MONTH THEN eur ELSE 0 END) AS prior_3m,
-          count(DISTINCT CASE WHEN created > {t} - INTERVAL 12 MONTH THEN strftime(created, '%Y-%m') END) AS months_12, CAST(sum(CASE WHEN od >= 180 THEN eur ELSE 0 END) >= 100 AS INTEGER) AS label FROM {name}_owed GROUP BY 1""",
+          count(DISTINCT CASE WHEN created > {t} - INTERVAL 12 MONTH THEN strftime(created, '%Y-%m') END) AS months_12, CAST(sum(CASE WHEN od >= 180 THEN eur ELSE 0 END) >= 100 AS INTEGER) AS already_default FROM {name}_owed GROUP BY 1""",
         f"{name}_sold": f"""SELECT client_id, coalesce(CAST(sum(amount) FILTER (created >= {t} - INTERVAL 12 MONTH) AS DOUBLE), 0) AS turnover, count(DISTINCT order_id) FILTER (created >= {t} - INTERVAL 12 MONTH) AS orders, date_diff('day', max(created), {t}) AS recency,
           date_diff('month', min(created), {t}) AS tenure, CAST(sum(qty) FILTER (created >= {t} - INTERVAL 12 MONTH) AS DOUBLE) AS q FROM valid_sales WHERE created < {t} GROUP BY 1""",
         f"{name}_back": f"SELECT client_id, CAST(sum(q) AS DOUBLE) AS r FROM (SELECT client_id, return_id, line_no, max(qty) AS q FROM return_lines WHERE return_date >= {t} - INTERVAL 12 MONTH AND return_date < {t} GROUP BY 1, 2, 3) GROUP BY 1",
         name: f"""SELECT *, CASE WHEN credit_limit > 0 THEN least(greatest(total_debt / credit_limit, 0), 2) ELSE 0 END AS utilization FROM (SELECT g.client_id, CAST(CASE WHEN control_amount THEN amount_limit ELSE 0 END AS DOUBLE) AS credit_limit, grace_days, CAST(control_amount OR control_days AS INTEGER) AS has_control,
           coalesce(turnover, 0) AS turnover, coalesce(orders, 0) AS orders, coalesce(recency, {sentinel}) AS recency, coalesce(tenure, 0) AS tenure, CASE WHEN q > 0 THEN coalesce(r, 0) / q ELSE 0 END AS return_rate,
-          {', '.join(f'coalesce({x}, 0) AS {x}' for x in ('overdue_180plus', 'overdue_91_180', 'overdue_61_90', 'overdue_31_60', 'overdue_1_30', 'current_debt', 'total_debt', 'max_overdue_days', 'n_lines', 'new_3m', 'prior_3m', 'months_12', 'label'))},
+          {', '.join(f'coalesce({x}, 0) AS {x}' for x in ('overdue_180plus', 'overdue_91_180', 'overdue_61_90', 'overdue_31_60', 'overdue_1_30', 'current_debt', 'total_debt', 'max_overdue_days', 'n_lines', 'new_3m', 'prior_3m', 'months_12', 'already_default', 'label'))},
           CASE WHEN total_debt > 0 THEN overdue_180plus / total_debt ELSE 0 END AS pct_180plus, CASE WHEN prior_3m > 0 THEN least(new_3m / prior_3m, 10) WHEN new_3m > 0 THEN 10 ELSE 0 END AS growth
-          FROM agreements g LEFT JOIN {name}_debt d ON d.client_id = g.client_id LEFT JOIN {name}_sold s ON s.client_id = g.client_id LEFT JOIN {name}_back b ON b.client_id = g.client_id CROSS JOIN (SELECT max(recency) + 1 AS w FROM {name}_sold))""",
+          FROM agreements g LEFT JOIN {name}_debt d ON d.client_id = g.client_id LEFT JOIN {name}_sold s ON s.client_id = g.client_id LEFT JOIN {name}_back b ON b.client_id = g.client_id LEFT JOIN {name}_label l ON l.client_id = g.client_id CROSS JOIN (SELECT max(recency) + 1 AS w FROM {name}_sold) WHERE g.client_id IN (SELECT o_custkey FROM orders))""",
     }
 
 
-MATRIX = matrix_sql("mat", END)
-COLUMNS = [*FEATURES, "prior_3m", "label"]
+MATRIX = matrix_sql("mat", END, label_day=LABEL_DAY)
+COLUMNS = [*FEATURES, "prior_3m", "already_default", "label"]
 SHOWN = "client_id, " + ", ".join(f"round(CAST({f} AS DOUBLE) + 0.000000001::DOUBLE, 4) AS {f}" for f in COLUMNS)
 
 
@@ -177,7 +207,8 @@ def shown(m):
 
 @P.add("e2_feature_matrix", f"SELECT {SHOWN} FROM mat", **MATRIX)
 def e2(spark, d):
-    return shown(matrix(spark, d))
+    """Features of a day, arrears of that day and the label of half a year later."""
+    return shown(labelled(spark, d))
 
 
 @P.add("e3_serving_features", f"SELECT {SHOWN} FROM served", **matrix_sql("served", END, "3000"))
@@ -186,8 +217,9 @@ def e3(spark, d):
     return shown(matrix(spark, d, sentinel=3000))
 
 
+#: A card to score with where a query's subject is not the fit; weights are made up, points and bands are the fixed ones.
 CARD = {
-    "intercept": -1.2, "a": 1.0, "b": 0.0, "pdo": 20.0, "offset": 500.0, "lo": 400.0, "hi": 650.0, "bands": {"A": 0.05, "B": 0.15, "C": 0.40},
+    "intercept": -1.2, "a": 1.0, "b": 0.0, **rk.POINTS,
     "features": {
         "pct_180plus": {"splits": [0.0, 0.4, 0.8], "woe": [1.5, 0.4, -0.6, -1.8], "coef": -0.9},
         "recency": {"splits": [60.0, 180.0], "woe": [0.6, 0.0, -0.7], "coef": -0.5},
@@ -196,6 +228,9 @@ CARD = {
 }
 
 
+SCORE = "least(greatest((600 + 20 / ln(2.0::DOUBLE) * ln((1 - pd) / pd) - 400) / 400 * 100, 0), 100)"
+
+
 def card_sql(table: str) -> dict[str, str]:
     """lin, pd and score of CARD over a matrix table, and the five-factor score."""
     return {
@@ -217,20 +252,20 @@ FIVE = MATRIX | PAID | card_sql("mat")
 
 @P.add(
     "e10_scorecard",
-    """SELECT client_id, round(lin, 4) AS lin, round(pd, 6) AS pd, round(least(greatest((500 + 20 / ln(2.0::DOUBLE) * ln((1 - pd) / pd) - 400) / 250 * 100, 0), 100), 2) AS score, CASE WHEN pd < 0.05 THEN 'A' WHEN pd < 0.15 THEN 'B' WHEN pd < 0.40 THEN 'C' ELSE 'D' END AS band,
+    """SELECT client_id, round(lin, 4) AS lin, round(pd, 6) AS pd, round(least(greatest((600 + 20 / ln(2.0::DOUBLE) * ln((1 - pd) / pd) - 400) / 400 * 100, 0), 100), 2) AS score, CASE WHEN pd < 0.02 THEN 'A' WHEN pd < 0.05 THEN 'B' WHEN pd < 0.15 THEN 'C' ELSE 'D' END AS band,
     CASE WHEN c1 >= c2 AND c1 >= c3 THEN 'pct_180plus' WHEN c3 > c2 THEN 'recency' ELSE 'orders' END AS leading FROM (SELECT *, round(0.9 * CASE WHEN pct_180plus <= 0 THEN 1.5 WHEN pct_180plus <= 0.4 THEN 0.4 WHEN pct_180plus <= 0.8 THEN 0.6 ELSE 1.8 END, 4) AS c1,
       round(0.4 * CASE WHEN orders <= 1 THEN 0.5 WHEN orders <= 4 THEN 0.1 ELSE 0.5 END, 4) AS c2, round(0.5 * CASE WHEN recency <= 60 THEN 0.6 WHEN recency <= 180 THEN 0.0 ELSE 0.7 END, 4) AS c3 FROM mat_card)""",
     **FIVE,
 )
 def e10(spark, d):
-    return rk.apply_scorecard(matrix(spark, d), CARD).select("client_id", F.round("lin", 4).alias("lin"), F.round("pd", 6).alias("pd"), "score", "band", F.col("contributions")[0]["feature"].alias("leading"))
+    return rk.apply_scorecard(labelled(spark, d), CARD).select("client_id", F.round("lin", 4).alias("lin"), F.round("pd", 6).alias("pd"), "score", "band", F.col("contributions")[0]["feature"].alias("leading"))
 
 
 def five(spark, d, m=None):
     """The five-factor score of every buyer: discipline from payment states, utilisation of controlled limits, every fiftieth blocked."""
     from tidemark.plans.more import a52
 
-    m = (matrix(spark, d) if m is None else m).join(rk.discipline(a52(spark, d)), "client_id", "left").fillna(1.0, ["discipline"])
+    m = (labelled(spark, d) if m is None else m).join(rk.discipline(a52(spark, d)), "client_id", "left").fillna(1.0, ["discipline"])
     use = F.when((F.col("has_control") == 1) & (F.col("credit_limit") > 0) & (F.col("total_debt") > 0), F.col("total_debt") / F.col("credit_limit"))
     df = m.select("client_id", "label", "discipline", (F.col("total_debt") - F.col("current_debt")).alias("overdue"), "turnover", "orders", F.col("recency").alias("recency_days"), F.col("tenure").alias("tenure_months"), "return_rate", use.alias("utilization"), (F.col("client_id") % 50 == 0).alias("blocked"))
     return rk.five_factor_score(df)
@@ -250,7 +285,7 @@ def e12(spark, d):
     **MATRIX,
 )
 def e6(spark, d):
-    m = matrix(spark, d).select(F.col("recency").cast("double").alias("recency"), "label")
+    m = labelled(spark, d).select(F.col("recency").cast("double").alias("recency"), "label")
     return sc.quantile_woe(m, "recency", "label").select("bin", "lo", "hi", "n", "bad", F.round("woe", 4).alias("woe"), F.round("iv", 6).alias("iv"))
 
 
@@ -276,13 +311,13 @@ def e13(spark, d):
     **FIVE,
 )
 def e13_card(spark, d):
-    m = rk.binary_metrics(rk.apply_scorecard(matrix(spark, d), CARD).select(F.round("pd", 12).alias("pd"), "label"), "pd", "label")
+    m = rk.binary_metrics(rk.apply_scorecard(labelled(spark, d), CARD).select(F.round("pd", 12).alias("pd"), "label"), "pd", "label")
     return m.select("n", F.round("auc", 6).alias("auc"), F.round(2 * F.round("auc", 6) - 1, 6).alias("gini"), F.round("ks", 6).alias("ks"), F.round("brier", 6).alias("brier"))
 
 
 @P.add("e13_reliability", "SELECT CAST(least(floor(pd * 10), 9) AS INTEGER) AS bin, count(*) AS n, round(avg(pd) + 0.000000001::DOUBLE, 6) AS mean_score, round(avg(label), 6) AS rate FROM mat_card GROUP BY 1", **FIVE)
 def e13_bins(spark, d):
-    r = rk.reliability(rk.apply_scorecard(matrix(spark, d), CARD), "pd", "label")
+    r = rk.reliability(rk.apply_scorecard(labelled(spark, d), CARD), "pd", "label")
     return r.select("bin", "n", F.round(F.col("mean_score") + 1e-9, 6).alias("mean_score"), F.round("rate", 6).alias("rate"))
 
 
@@ -290,16 +325,26 @@ DRIFT = ["score", "turnover", "orders", "recency", "tenure", "return_rate", "tot
 BEFORE = matrix_sql("was", "1999-01-01")
 
 
+def edges_sql(table: str, by: str = "") -> str:
+    """Interpolated decile edges of v in table, without repeats, as a list e."""
+    return f"SELECT {by + ', ' if by else ''}list_sort(list_distinct(list_transform(range(1, 10), lambda i: xs[CAST(floor(i / 10 * (len(xs) - 1)) AS INTEGER) + 1] + (xs[CAST(ceil(i / 10 * (len(xs) - 1)) AS INTEGER) + 1] - xs[CAST(floor(i / 10 * (len(xs) - 1)) AS INTEGER) + 1]) * (i / 10 * (len(xs) - 1) - floor(i / 10 * (len(xs) - 1)))))) AS e FROM (SELECT {by + ', ' if by else ''}list(v ORDER BY v) AS xs FROM {table}{' GROUP BY 1' if by else ''})"
+
+
+PSI = "sum((greatest(a, 0.000001::DOUBLE) - greatest(e, 0.000001::DOUBLE)) * ln(greatest(a, 0.000001::DOUBLE) / greatest(e, 0.000001::DOUBLE)))"
+LEVEL = "CASE WHEN psi >= 0.25 THEN 'alert' WHEN psi >= 0.1 THEN 'warn' ELSE 'ok' END AS level"
+
+
 @P.add(
     "e17_psi",
-    "SELECT feature, round(psi, 6) AS psi, CASE WHEN psi < 0.1 THEN 'stable' WHEN psi < 0.25 THEN 'watch' ELSE 'shift' END AS level FROM (SELECT feature, sum((greatest(a, 0.0001::DOUBLE) - greatest(e, 0.0001::DOUBLE)) * ln(greatest(a, 0.0001::DOUBLE) / greatest(e, 0.0001::DOUBLE))) AS psi FROM (SELECT feature, bin, coalesce(sum(share) FILTER (side = 'now'), 0) AS a, coalesce(sum(share) FILTER (side = 'was'), 0) AS e FROM shares GROUP BY 1, 2) GROUP BY 1)",
+    f"SELECT feature, round(psi, 6) AS psi, {LEVEL} FROM (SELECT feature, {PSI} AS psi FROM (SELECT feature, bin, coalesce(sum(share) FILTER (side = 'now'), 0) AS a, coalesce(sum(share) FILTER (side = 'was'), 0) AS e FROM shares GROUP BY 1, 2) GROUP BY 1)",
     **FIVE,
     **BEFORE,
     **card_sql("was"),
     longed="SELECT 'now' AS side, feature, v FROM (SELECT {c} FROM mat_card) UNPIVOT (v FOR feature IN ({n})) UNION ALL SELECT 'was', feature, v FROM (SELECT {c} FROM was_card) UNPIVOT (v FOR feature IN ({n}))".format(
-        n=", ".join(DRIFT), c="CAST(round(least(greatest((500 + 20 / ln(2.0::DOUBLE) * ln((1 - pd) / pd) - 400) / 250 * 100, 0), 100), 2) AS DOUBLE) AS score, " + ", ".join(f"CAST(round({f}, 9) AS DOUBLE) AS {f}" for f in DRIFT[1:])
+        n=", ".join(DRIFT), c="CAST(round(least(greatest((600 + 20 / ln(2.0::DOUBLE) * ln((1 - pd) / pd) - 400) / 400 * 100, 0), 100), 2) AS DOUBLE) AS score, " + ", ".join(f"CAST(round({f}, 9) AS DOUBLE) AS {f}" for f in DRIFT[1:])
     ),
-    edged="SELECT feature, list_sort(list_distinct(quantile_disc(v, [0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9]))) AS e FROM longed WHERE side = 'was' GROUP BY 1",
+    base="SELECT feature, v FROM longed WHERE side = 'was'",
+    edged=edges_sql("base", "feature"),
     binned="SELECT side, l.feature, len(list_filter(e, lambda x: x < v)) AS bin FROM longed l JOIN edged d ON d.feature = l.feature",
     shares="SELECT side, feature, bin, count(*) / CAST(sum(count(*)) OVER (PARTITION BY side, feature) AS DOUBLE) AS share FROM binned GROUP BY 1, 2, 3",
 )
@@ -311,9 +356,10 @@ def e17(spark, d):
 
 @P.add(
     "e17_psi_of_turnover",
-    """SELECT round(sum((greatest(a, 0.0001::DOUBLE) - greatest(e, 0.0001::DOUBLE)) * ln(greatest(a, 0.0001::DOUBLE) / greatest(e, 0.0001::DOUBLE))), 6) AS psi, CASE WHEN sum((greatest(a, 0.0001::DOUBLE) - greatest(e, 0.0001::DOUBLE)) * ln(greatest(a, 0.0001::DOUBLE) / greatest(e, 0.0001::DOUBLE))) < 0.1 THEN 'stable' WHEN sum((greatest(a, 0.0001::DOUBLE) - greatest(e, 0.0001::DOUBLE)) * ln(greatest(a, 0.0001::DOUBLE) / greatest(e, 0.0001::DOUBLE))) < 0.25 THEN 'watch' ELSE 'shift' END AS level FROM
-    (SELECT bin, coalesce(max(share) FILTER (NOT base), 0) AS a, coalesce(max(share) FILTER (base), 0) AS e FROM (SELECT base, bin, count(*) / CAST(sum(count(*)) OVER (PARTITION BY base) AS DOUBLE) AS share FROM (SELECT base, len(list_filter(q, lambda x: x < v)) AS bin FROM turned, (SELECT list_sort(list_distinct(quantile_disc(v, [0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9]))) AS q FROM turned WHERE base)) GROUP BY 1, 2) GROUP BY 1)""",
+    f"SELECT round(psi, 6) AS psi, {LEVEL} FROM (SELECT {PSI} AS psi FROM (SELECT bin, coalesce(max(share) FILTER (NOT base), 0) AS a, coalesce(max(share) FILTER (base), 0) AS e FROM (SELECT base, bin, count(*) / CAST(sum(count(*)) OVER (PARTITION BY base) AS DOUBLE) AS share FROM (SELECT base, len(list_filter(e, lambda x: x < v)) AS bin FROM turned, edged) GROUP BY 1, 2) GROUP BY 1))",
     turned="SELECT created < DATE '1999-01-01' AS base, CAST(sum(amount) AS DOUBLE) AS v FROM valid_sales WHERE created >= DATE '1998-01-01' AND created < DATE '2000-01-01' GROUP BY client_id, 1",
+    before="SELECT v FROM turned WHERE base",
+    edged=edges_sql("before"),
 )
 def e17_turnover(spark, d):
     """Drift of the buyers' turnover between two years, buyers without a sale in a year left out."""
@@ -330,7 +376,7 @@ def e17_turnover(spark, d):
 )
 def e18(spark, d):
     """The older five-factor score against the scorecard's probability, on the same label."""
-    m = checkpointed(matrix(spark, d))
+    m = checkpointed(labelled(spark, d))
     old = five(spark, d, m).select((-F.col("score")).cast("double").alias("s"), "label")
     new = rk.apply_scorecard(m, CARD).select(F.round("pd", 12).alias("s"), "label")
     both = [rk.binary_metrics(t, "s", "label").select(F.lit(n).alias("model"), F.round("auc", 6).alias("auc")) for n, t in (("five_factor", old), ("scorecard", new))]
@@ -338,14 +384,14 @@ def e18(spark, d):
 
 
 def fitted(spark, d, label="label"):
-    m = checkpointed(matrix(spark, d))
+    m = checkpointed(labelled(spark, d))
     return m, sc.fit_scorecard(m, DIRECTION, label)
 
 
 @P.add("e5_monotone_bins")
 def e5(spark, d):
     """Monotone weights of every feature by bin; the merging works on counts of a few bins."""
-    m = matrix(spark, d)
+    m = labelled(spark, d)
     found = sc.monotone_bins(m, DIRECTION, "label")
     rows = [(f, i, [None, *b["splits"]][i], [*b["splits"], None][i], round(b["woe"][min(i, len(b["woe"]) - 1)], 6)) for f, b in found.items() for i in range(len(b["splits"]) + 1)]
     return spark.createDataFrame(rows, "feature string, bin int, lo double, hi double, woe double")
@@ -388,7 +434,7 @@ def by_card(directions, c=0.5, l1=False, label="label"):
 @P.add("e9_challengers_out_of_fold")
 def e9(spark, d):
     """Scorecard and boosted trees on the same folds of clients: out-of-fold AUC, KS and Brier."""
-    m = checkpointed(matrix(spark, d))
+    m = checkpointed(labelled(spark, d))
     trees = lambda train: sc.fit_trees(train, list(DIRECTION), "label")
     return union([metrics(sc.out_of_fold(m, "client_id", 3, fit), name) for name, fit in (("scorecard", by_card(DIRECTION)), ("trees", trees))])
 
@@ -400,7 +446,7 @@ DERIVED = ["growth", "months_12", "new_3m"]
 @P.add("e16_tier_ablation")
 def e16(spark, d):
     """AUC of trees on nested groups of features: what is left of the skill without the debt table the label comes from."""
-    m = checkpointed(matrix(spark, d))
+    m = checkpointed(labelled(spark, d))
     free = [f for f in DIRECTION if f not in DEBT_TABLE + DERIVED]
     tiers = {"non_debt_table_only": free, "leading_no_aging_buckets": free + DERIVED, "primary_full": list(DIRECTION), "with_tautological": FEATURES}
     return union([metrics(sc.out_of_fold(m, "client_id", 2, lambda t, fs=fs: sc.fit_trees(t, fs, "label")), name).withColumn("n_features", F.lit(len(fs))) for name, fs in tiers.items()])
@@ -477,7 +523,7 @@ def e11(spark, d):
     behaviour, aging = sc.fit_scorecard(rows, BEHAVIOUR, "label"), sc.fit_scorecard(rows, AGING, "label")
     raw = {**behaviour, "a": 1.0, "b": 0.0}
     q = sc.exact_quantiles(rk.apply_scorecard(rows, raw).select("pd"), "pd", list(sc.FORWARD_CUTS.values()))
-    scored = rk.forward_score(matrix(spark, d), behaviour, aging, dict(zip(sc.FORWARD_CUTS, q)))
+    scored = rk.forward_score(matrix(spark, d, sentinel=3000), behaviour, aging, dict(zip(sc.FORWARD_CUTS, q)))
     return scored.select("client_id", "score", "pd_behavioral", "pd_with_aging", "band", "already_rolling")
 
 
