@@ -5,6 +5,10 @@ piece sequence is the encoding exactly when each neighbouring pair is the encodi
 a boundary would already happen in the pair alone), and each prefix has one encoding. So the lattice keeps the last
 piece of every prefix, an edge is open when its piece pairs with that one, and the longest open edge, the only one, is
 the backpointer. Whether two pieces pair is found by merging their characters once and then remembered.
+
+A word longer than LONG is walked in overlapping rows of one length, all together. A position's backpointer depends on those
+of the last `reach` positions alone, so a row that agrees with the row before it on that many positions goes on as the whole
+word would. A row that does not is walked again from the true ones; at worst that is one row after the other.
 """
 
 from __future__ import annotations
@@ -27,6 +31,9 @@ SPACE = "▁"
 BASE = np.uint64(0x9E3779B97F4A7C15)
 #: Remembered pairs of pieces; beyond, the memory starts anew.
 MOST_PAIRS = 1 << 20
+#: Lengths beyond the first are filled up to a multiple of it; longest word that is walked in one row; new characters of a row of a longer one, and those that it shares with the row
+#: before; all have many divisors, since a repeated pattern agrees where rows start at a multiple of its period. Rows at once.
+STEP, LONG, ROW, SHARED, MOST_ROWS = 48, 288, 240, 96, 8192
 
 
 class Pieces:
@@ -113,8 +120,11 @@ class Pieces:
         out[todo] = ok == 1
         return out
 
-    def _same_length(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Pieces of words (rows of code points of one length), joined, and their counts."""
+    def _lattice(self, codes: np.ndarray, seed: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """(last, step) [position, word]: the last piece of each prefix and its length, for words as rows of code points.
+
+        With seed, the last pieces up to its number of positions are given, and the walk goes on from there.
+        """
         n, length = codes.shape
         prefix = np.zeros((length + 1, n), np.uint64)
         for k in range(length):
@@ -124,7 +134,11 @@ class Pieces:
         np.multiply.accumulate(power, out=power)
         last = np.full((length + 1, n), -1, np.int32)
         step = np.zeros((length + 1, n), np.int32)
-        for end in range(1, length + 1):
+        first = 1
+        if seed is not None:
+            last[: len(seed)] = seed
+            first = len(seed)
+        for end in range(first, length + 1):
             open_ = np.arange(n)
             for size in sorted((s for s in self.keys if s <= end), reverse=True):
                 if size == 1 or not len(open_):
@@ -142,9 +156,15 @@ class Pieces:
                 open_ = np.delete(open_, hit[good])
             last[end][open_] = self.char[codes[open_, end - 1]]
             step[end][open_] = 1
+        return last, step
+
+    def _same_length(self, codes: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Pieces of words (rows of code points, filled up to one length), joined, and their counts."""
+        n, length = codes.shape
+        last, step = self._lattice(codes)
         back = np.zeros((n, length), np.int32)
         count = np.zeros(n, np.int64)
-        at, rows = np.full(n, length), np.arange(n)
+        at, rows = lengths.copy(), np.arange(n)
         while len(rows):
             back[rows, length - 1 - count[rows]] = last[at, rows]
             count[rows] += 1
@@ -152,6 +172,76 @@ class Pieces:
             rows, at = rows[at > 0], at[at > 0]
         return back[np.arange(length)[None, :] >= (length - count)[:, None]], count
 
+    def _long(self, words: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        """Pieces of words of more than LONG code points each, joined, and their counts.
+
+        Row k of a word covers its positions k * ROW to k * ROW + SHARED + ROW and is used for the last ROW of them.
+        """
+        reach, width = max(self.keys), SHARED + ROW
+        n_rows = np.array([max(1, -(-(len(w) - SHARED) // ROW)) for w in words])
+        owner = np.repeat(np.arange(len(words)), n_rows)
+        lead = np.concatenate(([0], np.cumsum(n_rows)))
+        codes = np.zeros((len(owner), width), np.uint32)
+        for i, w in enumerate(words):
+            full = np.zeros(n_rows[i] * ROW + SHARED, np.uint32)
+            full[: len(w)] = w[: len(full)]
+            codes[lead[i] : lead[i + 1]] = np.lib.stride_tricks.sliding_window_view(full, width)[::ROW]
+        last = np.zeros((width + 1, len(owner)), np.int32)
+        step = np.zeros((width + 1, len(owner)), np.int32)
+        for a in range(0, len(owner), MOST_ROWS):
+            last[:, a : a + MOST_ROWS], step[:, a : a + MOST_ROWS] = self._lattice(codes[a : a + MOST_ROWS])
+        self._mend(codes, last, step, np.concatenate(([False], owner[1:] == owner[:-1])))
+        flat, counts = [], np.zeros(len(words), np.int64)
+        for i, w in enumerate(words):
+            rows = slice(lead[i], lead[i + 1])
+            pieces = np.concatenate((last[1 : SHARED + 1, lead[i]], last[SHARED + 1 :, rows].T.ravel()))[: len(w)].tolist()
+            steps = np.concatenate((step[1 : SHARED + 1, lead[i]], step[SHARED + 1 :, rows].T.ravel()))[: len(w)].tolist()
+            at, path = len(w), []
+            while at > 0:
+                path.append(pieces[at - 1])
+                at -= steps[at - 1]
+            flat.append(np.array(path[::-1], np.int32))
+            counts[i] = len(path)
+        return np.concatenate(flat), counts
+
+    def _mend(self, codes: np.ndarray, last: np.ndarray, step: np.ndarray, inner: np.ndarray) -> None:
+        """Makes last and step of all rows what they are in the whole words; inner tells which rows follow one of their word.
+
+        Rows that start otherwise than the row before them ends are walked again from that, together, until none is left.
+        What a row of certain characters gives from a certain start is remembered, so that a repeated pattern that never agrees
+        is walked once, not row by row.
+        """
+        reach = max(self.keys)
+        begins = last[SHARED - reach + 1 : SHARED + 1].T.copy()
+        ends = last[len(last) - reach :].T.copy()
+        known: dict[tuple[bytes, bytes], tuple[np.ndarray, np.ndarray]] = {}
+        while True:
+            wrong = np.flatnonzero(inner)
+            wrong = wrong[(begins[wrong] != ends[wrong - 1]).any(axis=1)]
+            if not len(wrong):
+                return
+            todo = []
+            for i in wrong.tolist():
+                while True:
+                    found = known.get((codes[i].tobytes(), ends[i - 1].tobytes()))
+                    begins[i] = ends[i - 1]
+                    if found is None:
+                        todo.append(i)
+                        break
+                    last[SHARED + 1 :, i], step[SHARED + 1 :, i] = found
+                    ends[i] = last[len(last) - reach :, i]
+                    i += 1
+                    if i == len(inner) or not inner[i] or (begins[i] == ends[i - 1]).all():
+                        break
+            todo = sorted(set(todo))
+            for a in range(0, len(todo), MOST_ROWS):
+                some = np.array(todo[a : a + MOST_ROWS])
+                again, steps = self._lattice(codes[some, SHARED - reach + 1 :], begins[some].T)
+                last[SHARED + 1 :, some], step[SHARED + 1 :, some] = again[reach:], steps[reach:]
+                ends[some] = last[len(last) - reach :, some].T
+                for i in some.tolist() if len(known) < MOST_ROWS else ():
+                    known[codes[i].tobytes(), begins[i].tobytes()] = last[SHARED + 1 :, i].copy(), step[SHARED + 1 :, i].copy()
+
     def words(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Pieces of words (with their space marks), joined, and their offsets."""
         n = len(words)
@@ -160,17 +250,22 @@ class Pieces:
         at = np.concatenate(([0], np.cumsum(length)))
         flat, counts = [np.zeros(0, np.int32)], np.zeros(n, np.int64)
         order = np.argsort(length, kind="stable")
-        cuts = np.flatnonzero(np.diff(length[order])) + 1
+        filled = np.where(length <= STEP, length, -(-length // STEP) * STEP)  # few words are long, so their lengths are few too
+        cuts = np.flatnonzero(np.diff(filled[order])) + 1
         for rows in np.split(order, cuts):
-            size = int(length[rows[0]]) if len(rows) else 0
-            if not size:
+            size = int(filled[rows[0]]) if len(rows) else 0
+            if not 0 < size <= LONG:
                 continue
             most = max(1, 4_000_000 // size)
             for a in range(0, len(rows), most):
                 some = rows[a : a + most]
-                got, count = self._same_length(codes[at[some][:, None] + np.arange(size)])
+                got, count = self._same_length(codes[np.minimum(at[some][:, None] + np.arange(size), len(codes) - 1)], length[some])
                 flat.append(got)
                 counts[some] = count
+        far = order[length[order] > LONG]
+        if len(far):
+            got, counts[far] = self._long([codes[at[i] : at[i + 1]] for i in far])
+            flat.append(got)
         begin = np.zeros(n + 1, np.int64)
         np.cumsum(counts[order], out=begin[1:])
         back = np.empty(n, np.int64)
