@@ -15,9 +15,11 @@ the triangle inequality two linked members lie within 1 - threshold of each othe
 that meets another region and could reach it by the triangle inequality is replicated into it. A region of more than CELL
 members is joined recursively: it gets up to PIVOTS pivots of its own, its members go to the nearest one, and to every
 other that is at most twice 1 - threshold farther, and so on while that separates them. What is within the threshold of a
-pivot is linked to it at once; members of one component known so far need not meet again. So a region that no pivot
-separates, such as thousands of copies of one form, costs one distance a member, and only members outside of its largest
-component meet the others, in pairs of bounded blocks. A task emits a spanning forest of its links, never all pairs.
+pivot is linked to it at once; members of one component known so far need not meet again. Members of different components
+of a small region meet in one block, which emits a spanning forest of its links. Members of a region that stays large, such
+as thousands of copies of one form, meet by the region's rarest shingles: of two linked sets of n and m >= n shingles one of
+the n - 2pn / (1 + p) + 1 rarest of the smaller is among the m - pm + 1 rarest of the larger. So what all copies of a form
+have in common brings none of them together, unless they differ in so little that they are linked anyway.
 
 Sets hold 64-bit hashes of shingles, and equal sets are found by 128-bit hashes of them; a key with many rows is salted.
 """
@@ -34,7 +36,7 @@ from pyspark.sql import functions as F
 from tidemark.llm.components import components
 from tidemark.llm.io import free_name, materialise
 from tidemark.llm.shingles import shingle_sets
-from tidemark.llm.spread import SALTS, salts_of, spread_join
+from tidemark.llm.spread import salts_of, spread_join
 from tidemark.llm.words import column, slices, texts_of
 
 #: Share of the hash space that filter 1 looks at: one in 2 ** SLICE_BITS.
@@ -42,14 +44,15 @@ SLICE_BITS = 2
 FLUSH_BYTES = 64 << 20
 #: A document joins a pivot's region when within this distance of it.
 NEAR = 0.5
-#: Members of a region that one side of a task holds, and that a region may have without being split.
+#: Members that a region may have without being split, and of one shingle that one side of a key holds.
+CELL = 512
 BLOCK = 256
-CELL = 2 * BLOCK
 #: Pivots of a region that is split.
 PIVOTS = 8
 SLACK = 1e-9
-#: Hashes that filter 1 looks up in one table.
+#: Hashes that filter 1 looks up in one table, and bytes of rows for each of its ranges.
 TABLE = 1 << 20
+RANGE_BYTES = 64 << 20
 
 
 def _needed(n, percent: int):
@@ -74,10 +77,14 @@ def _of_sets(batch):
     yield lists.flatten().to_numpy(zero_copy_only=False).view(np.uint64), at - at[0]
 
 
-def _candidates(docs: DataFrame, read, percent: int) -> DataFrame:
-    """(doc_id, n, keep): set sizes, and whether filter 1 leaves the document; exact, as a partner shares needed(n)."""
+def _candidates(docs: DataFrame, read, percent: int, size) -> DataFrame:
+    """(doc_id, n, keep): set sizes, and whether filter 1 leaves the document; exact, as a partner shares needed(n).
+
+    size is the bytes that a row adds to the hash ranges, of which a task holds one at a time; their number follows the rows.
+    """
     spark = docs.sparkSession
-    parts = 1 << (2 * int(spark.conf.get("spark.sql.shuffle.partitions")) - 1).bit_length()
+    total = docs.agg(F.sum(size)).first()[0] or 0
+    parts = 1 << max(2 * int(spark.conf.get("spark.sql.shuffle.partitions")) - 1, total // RANGE_BYTES).bit_length()
     shift = np.uint64(64 - SLICE_BITS - (parts.bit_length() - 1))
 
     def sketch(batches):
@@ -221,15 +228,22 @@ def _measured(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return both.select(*pairs.columns, "inter", (F.col("na") + F.col("nb") - F.col("inter")).alias("uni"))
 
 
-def _posts(sets: DataFrame, percent: int) -> DataFrame:
-    """(doc_id, n, h): the prefix of each set in the order of rarity, without shingles that no other set has."""
-    tokens = sets.select("doc_id", "n", F.explode("hashes").alias("h"))
-    counts = tokens.groupBy("h").agg(F.count(F.lit(1)).alias("df"), salts_of("doc_id").alias("_salts")).where("df > 1")
-    shared = spread_join(tokens, counts, ["h"], "doc_id").groupBy("doc_id", "n").agg(F.sort_array(F.collect_list(F.struct("df", "h"))).alias("s"))
+def _posts(sets: DataFrame, percent: int, within: str | None = None) -> DataFrame:
+    """(doc_id, n, h, pos, short): the prefix of each set in the order of rarity, without shingles that no other set has.
+
+    pos counts the rarer shingles, short tells whether the shingle is of those that must meet larger sets. With within, a
+    column of sets, rarity and prefixes are those inside its groups, and it is kept.
+    """
+    keys = [within] if within else []
+    tokens = sets.select(*keys, "doc_id", "n", F.explode("hashes").alias("h"))
+    counts = tokens.groupBy(*keys, "h").agg(F.count(F.lit(1)).alias("df"), salts_of("doc_id").alias("_salts")).where("df > 1")
+    shared = spread_join(tokens, counts, [*keys, "h"], "doc_id").groupBy(*keys, "doc_id", "n").agg(F.sort_array(F.collect_list(F.struct("df", "h"))).alias("s"))
     spare = F.expr(f"n - (n * {percent} + 99) div 100")
     size = F.size("s").cast("long")
-    prefix = shared.where(F.col("n") - size <= spare).select("doc_id", "n", F.explode(F.slice("s", F.lit(1), (spare + 1 - (F.col("n") - size)).cast("int"))).alias("t"))
-    return prefix.select("doc_id", "n", F.col("t.h").alias("h"))
+    prefix = shared.where(F.col("n") - size <= spare).select(*keys, "doc_id", "n", (F.col("n") - size).alias("_alone"), F.posexplode(F.slice("s", F.lit(1), (spare + 1 - (F.col("n") - size)).cast("int"))).alias("_at", "t"))
+    first = F.expr(f"n - (n * {2 * percent} + {99 + percent}) div {100 + percent} + 1")
+    prefix = prefix.withColumn("pos", F.col("_alone") + F.col("_at"))
+    return prefix.select(*keys, "doc_id", "n", F.col("t.h").alias("h"), "pos", (F.col("pos") < first).alias("short"))
 
 
 def _regions(posts: DataFrame, sets: DataFrame) -> DataFrame:
@@ -254,10 +268,13 @@ def _links(sets: DataFrame, percent: int) -> DataFrame:
     r = 1 - percent / 100
     radius = home.groupBy("pivot").agg(F.max("d").alias("radius"))
 
-    # Boundary documents: those that meet a region of a smaller pivot and could reach it.
-    placed = posts.join(home, "doc_id").select("doc_id", "h", "pivot")
-    there = placed.select("h", F.col("pivot").alias("other")).distinct().join(placed.groupBy("h").agg(salts_of("doc_id").alias("_salts")), "h")
-    meets = spread_join(placed, there, ["h"], "doc_id").where("other < pivot").select(F.col("doc_id").alias("a"), F.col("other").alias("b")).distinct()
+    # Boundary documents: those that meet a region of a smaller pivot and could reach it. One of two linked sets shows its short
+    # prefix, so a long one meets only the short ones of a region.
+    placed = posts.join(home, "doc_id").select("doc_id", "h", "pivot", "short")
+    docs_of = placed.groupBy("h").agg(salts_of("doc_id").alias("docs"), salts_of("pivot").alias("_salts"))
+    pivots_of = placed.groupBy("h", F.col("pivot").alias("other")).agg(F.max("short").alias("shows"))
+    there = spread_join(pivots_of, docs_of, ["h"], "other").withColumnRenamed("docs", "_salts")
+    meets = spread_join(placed, there, ["h"], "doc_id").where("other < pivot and (short or shows)").select(F.col("doc_id").alias("a"), F.col("other").alias("b")).distinct()
     guests = _measured(meets, sets).select("a", "b", (1 - F.col("inter") / F.col("uni")).alias("d")).join(radius.withColumnRenamed("pivot", "b"), "b")
     guests = guests.where(F.col("d") <= F.col("radius") + r + SLACK).select(F.col("b").alias("pivot"), F.col("a").alias("doc_id"), "d", F.lit(True).alias("guest"))
     members = home.select("pivot", "doc_id", "d", F.lit(False).alias("guest")).union(guests)
@@ -322,30 +339,45 @@ def _recurse(cells: DataFrame, sets: DataFrame, percent: int) -> tuple[DataFrame
 
 
 def _met(cells: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Links between members of one region that have different labels, found in pairs of blocks.
+    """Links between members of one region that have different labels.
+
+    A region of up to CELL members is one block; larger ones meet by their rarest shingles.
+    """
+    counts = cells.groupBy("region", "label").agg(F.count(F.lit(1)).alias("c"), salts_of("doc_id").alias("s"))
+    region = counts.groupBy("region").agg(F.sum("c").alias("k"), F.count(F.lit(1)).alias("labels"), F.bit_or("s").alias("_salts")).where("labels > 1")
+    there = materialise(spread_join(cells, region, ["region"], "doc_id").select("region", "doc_id", "d", "guest", "label", "k"), "to-meet")
+    full = there.join(sets.select("doc_id", "n", "hashes").hint("merge"), "doc_id")
+    small = full.where(F.col("k") <= CELL).drop("k").groupBy("region").applyInArrow(_compare(percent), "a long, b long")
+    large = there.where(F.col("k") > CELL)
+    return small if large.isEmpty() else small.union(_met_by_shingle(full.where(F.col("k") > CELL), sets, percent))
+
+
+def _met_by_shingle(full: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links between members of a region with different labels that share a shingle of the smaller one's short prefix.
 
-    Members with a region's commonest label meet only the others. A region of up to CELL members is one block.
+    Rarity is the region's own. A shingle's members are dealt to blocks of about BLOCK and meet in pairs of blocks; of those pairs only
+    the ones whose sizes, places of the shingle and distances to the pivot allow a link are measured, each once.
     """
-    counts = cells.groupBy("region", "label").agg(F.count(F.lit(1)).alias("c"), F.bit_or(F.expr(f"shiftleft(1L, cast(pmod(xxhash64(doc_id), {SALTS}) as int))")).alias("s"))
-    region = counts.groupBy("region").agg(F.sum("c").alias("k"), F.max("c").alias("main"), F.max_by("label", F.struct("c", "label")).alias("main_label"), F.count(F.lit(1)).alias("labels"), F.bit_or("s").alias("_salts")).where("labels > 1")
-    minor, main = (F.when(F.col("k") <= CELL, one).otherwise(F.ceil(x / BLOCK)).cast("int") for x, one in ((F.col("k") - F.col("main"), 1), (F.col("main"), 0)))
-    region = region.select("region", "main_label", minor.alias("m"), main.alias("rest"), "_salts")
-    there = spread_join(cells, region, ["region"], "doc_id")
-    first = (F.col("rest") == 0) | (F.col("label") != F.col("main_label"))
-    own = F.when(first, F.pmod(F.xxhash64("doc_id", F.lit(1)), F.col("m"))).otherwise(F.col("m") + F.pmod(F.xxhash64("doc_id", F.lit(1)), F.greatest("rest", F.lit(1)))).cast("int")
-    others = F.sequence(F.lit(0), F.when(F.col("own") < F.col("m"), F.col("m") + F.col("rest")).otherwise(F.col("m")) - 1)
-    dealt = there.withColumn("own", own).select("region", "own", "doc_id", "d", "guest", "label", F.explode(others).alias("other"))
-    dealt = dealt.select("region", F.least("own", "other").alias("block"), F.greatest("own", "other").alias("block2"), (F.col("own") > F.col("other")).cast("int").alias("side"), "doc_id", "d", "guest", "label")
-    full = dealt.join(sets.select("doc_id", "n", "hashes").hint("merge"), "doc_id")
-    return full.groupBy("region", "block", "block2").applyInArrow(_compare(percent), "a long, b long")
+    posts = materialise(_posts(full, percent, "region").join(full.select("region", "doc_id", "d", "guest", "label").hint("merge"), ["region", "doc_id"]), "region-posts")
+    sizes = posts.groupBy("region", "h").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"), salts_of("doc_id").alias("_salts"), F.max("short").alias("any"), F.min("label").alias("l0"), F.max("label").alias("l1")).where("any and l0 <> l1")
+    dealt = spread_join(posts, sizes.select("region", "h", "blocks", "_salts"), ["region", "h"], "doc_id").withColumn("own", F.pmod(F.xxhash64("doc_id", F.lit(1)), F.col("blocks")).cast("int"))
+    every = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+    sides = [dealt.where("short") if k == "a" else dealt for k in "ab"]
+    a, b = (t.select("region", "h", *((F.col("own").alias("x"), every.alias("y")) if k == "a" else (every.alias("x"), F.col("own").alias("y"))), *(F.col(c).alias(f"{k}_{c}") for c in ("doc_id", "n", "pos", "d", "guest", "label"))) for t, k in zip(sides, "ab"))
+    r = 1 - percent / 100 + SLACK
+    pairs = a.join(b.hint("merge"), ["region", "h", "x", "y"]).where("a_label <> b_label and (a_n < b_n or a_n = b_n and a_doc_id < b_doc_id) and not (a_guest and b_guest)")
+    pairs = pairs.where((F.abs(F.col("a_d") - F.col("b_d")) <= r) & (F.col("a_n") * 100 >= F.col("b_n") * percent))
+    most = F.least(F.col("a_n") - F.col("a_pos"), F.col("b_n") - F.col("b_pos"))
+    pairs = pairs.where(most * (100 + percent) >= (F.col("a_n") + F.col("b_n")) * percent).select(F.col("a_doc_id").alias("a"), F.col("b_doc_id").alias("b")).distinct()
+    return _measured(pairs, sets).where(F.col("inter") * 100 >= F.col("uni") * percent).select("a", "b")
 
 
 def _compare(percent: int):
-    """Links between the two blocks of a group (or inside one), as a spanning forest."""
+    """Links inside a group of members, as a spanning forest."""
 
     def run(group: pa.Table) -> pa.Table:
         group = group.combine_chunks()
-        get = {c: group.column(c).to_numpy() for c in ("side", "doc_id", "d", "guest", "label", "n")}
+        get = {c: group.column(c).to_numpy() for c in ("doc_id", "d", "guest", "label", "n")}
         lists = group.column("hashes").chunk(0) if group.num_rows else None
         at = lists.offsets.to_numpy(zero_copy_only=False).astype(np.int64)
         at = at - at[0]
@@ -361,14 +393,10 @@ def _compare(percent: int):
                 i = parent[i]
             return i
 
-        two = bool((get["side"] == 1).any())
         r = 1 - percent / 100 + 1e-9
         out = []
         for i in range(len(n)):
-            if two and get["side"][i] == 1:
-                continue
-            can = (get["side"] == 1) if two else np.arange(len(n)) > i
-            can = can & (get["label"] != get["label"][i]) & ~(get["guest"] & get["guest"][i]) & (np.abs(d - d[i]) <= r) & (n * 100 >= n[i] * percent) & (n[i] * 100 >= n * percent)
+            can = (np.arange(len(n)) > i) & (get["label"] != get["label"][i]) & ~(get["guest"] & get["guest"][i]) & (np.abs(d - d[i]) <= r) & (n * 100 >= n[i] * percent) & (n[i] * 100 >= n * percent)
             if not can.any():
                 continue
             own = code[at[i] : at[i + 1]]
@@ -396,18 +424,23 @@ def jaccard_components(docs: DataFrame, width: int = 5, percent: int = 80, id_co
     ignored.
     """
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).where("doc_id is not null")
-    sizes = materialise(_candidates(base, _of_texts(width), percent), "sizes")
+    sizes = materialise(_candidates(base, _of_texts(width), percent, F.octet_length("text")), "sizes")
     few = sizes.where("keep").select("doc_id")
+    if few.isEmpty():
+        return sizes.groupBy("doc_id").agg(F.max("n").alias("n_shingles")).withColumn("component_id", F.col("doc_id"))
     found = _sets(base.join(few.hint("merge"), "doc_id", "left_semi"), width)
     one = found.groupBy("doc_id").agg(F.max_by(F.struct("n", "k1", "k2", "hashes"), F.struct("n", "k1", "k2")).alias("s"))
     sets = materialise(one.select("doc_id", "s.*"), "sets")
     classes = sets.groupBy("k1", "k2", "n").agg(F.min("doc_id").alias("rep"), salts_of("doc_id").alias("_salts"))
     member = materialise(spread_join(sets.select("doc_id", "k1", "k2", "n"), classes, ["k1", "k2", "n"], "doc_id").select("doc_id", "rep"), "members")
     reps = materialise(sets.join(member.where("doc_id = rep").select("doc_id").hint("merge"), "doc_id", "left_semi").select("doc_id", "n", "hashes"), "reps")
-    some = materialise(_candidates(reps.select("doc_id", "hashes"), _of_sets, percent).where("keep").select("doc_id"), "candidates")
-    left = materialise(reps.join(some.hint("merge"), "doc_id", "left_semi"), "sets")
-    label = components(_links(left, percent)).withColumnRenamed("node", "rep")
-    found = member.join(label, "rep", "left").select("doc_id", F.coalesce("component", "rep").alias("component"))
+    some = materialise(_candidates(reps.select("doc_id", "hashes"), _of_sets, percent, 8 * F.size("hashes")).where("keep").select("doc_id"), "candidates")
+    if some.isEmpty():
+        found = member.select("doc_id", F.col("rep").alias("component"))
+    else:
+        left = materialise(reps.join(some.hint("merge"), "doc_id", "left_semi"), "sets")
+        label = components(_links(left, percent)).withColumnRenamed("node", "rep")
+        found = member.join(label, "rep", "left").select("doc_id", F.coalesce("component", "rep").alias("component"))
     found = found.where("doc_id <> component")
     return sizes.groupBy("doc_id").agg(F.max("n").alias("n_shingles")).join(found, "doc_id", "left").select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
 

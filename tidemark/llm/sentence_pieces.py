@@ -338,7 +338,8 @@ def load(path: str) -> Pieces:
 
 
 def encode_documents(docs: DataFrame, model: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id and ids array<int> for every row; null and empty texts have no ids; other columns are ignored."""
+    """doc_id and ids array<int> for every row, repeated ones each; null and empty texts have no ids, null ids stay null, an empty
+    table gives no rows; other columns are ignored. A word of a megabyte takes seconds."""
 
     def run(batches):
         pieces = load(model)
@@ -351,7 +352,8 @@ def encode_documents(docs: DataFrame, model: str, id_col: str = "doc_id", text_c
 
 
 def decode_documents(encoded: DataFrame, model: str) -> DataFrame:
-    """doc_id and text from (doc_id, ids); null ids give an empty text."""
+    """doc_id and text from (doc_id, ids) for every row, repeated ones each; a null list gives an empty text, a null doc_id stays
+    null, an empty table gives no rows."""
 
     def run(batches):
         pieces = load(model)
@@ -366,8 +368,9 @@ def decode_documents(encoded: DataFrame, model: str) -> DataFrame:
 
 
 def encoding_report(docs: DataFrame, model: str) -> DataFrame:
-    """doc_id, n_pieces, n_bytes (pieces that stand for single bytes), ids_crc32, round_trip for every document.
+    """doc_id, n_pieces, n_bytes (pieces that stand for single bytes), ids_crc32, round_trip for every row, repeated ones each.
 
+    Null and empty texts have no pieces and make the round trip; null ids stay null; an empty table gives no rows.
     ids_crc32 is over little-endian unsigned 32-bit ids. round_trip tells whether the decoded bytes are the text's; it
     is false only where a text holds the space mark itself, which decodes to a space.
     """
