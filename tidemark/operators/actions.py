@@ -14,8 +14,8 @@ TYPE_RANK = {"debt_followup": 0, "reorder_due": 1, "churn_winback": 2, "cross_se
 NEXT = {"generated": ("open",), "open": ("in_progress", "done", "snoozed", "dismissed"), "in_progress": ("done", "snoozed", "dismissed", "open"), "snoozed": ("open", "dismissed"), "done": (), "dismissed": ()}
 TERMINAL = ("done", "dismissed")
 ACTIVE = ("generated", "open", "in_progress", "snoozed")
-#: Fixed value: days until an untouched task expires.
-TTL_DAYS = 14
+#: Days until an untouched task expires, and of a snooze without an end.
+TTL_DAYS, SNOOZE_DAYS = 14, 1
 HISTORY = "array<struct<`from`:string,`to`:string,`at`:timestamp,`by`:string>>"
 #: Shares of a manager's seats by type, caps, pace and feedback, label window and paydown share, ranking gate.
 TYPE_SHARE = {"debt_followup": 0.40, "reorder_due": 0.27, "churn_winback": 0.16, "cross_sell": 0.17}
@@ -254,6 +254,44 @@ def fold_events(events: DataFrame) -> DataFrame:
     return ordered.withColumn("s", done).select("task_key", F.nullif("s.status", F.lit("")).alias("status"), "s.rejected", F.col("s.amount").alias("amount"), F.size("e").alias("n_events"))
 
 
+def fold_with_clock(events: DataFrame, now: str) -> DataFrame:
+    """Task states at `now` from events (task_key, event_id, kind, at, amount, until), with what time alone does.
+
+    As in `fold_events`, and between events a snooze that is over opens the task, and an active one past its expiry is `expired`,
+    after which it can only begin anew. A task expires TTL_DAYS after it began or after its snooze ends; a snooze without an end
+    takes SNOOZE_DAYS.
+    """
+    ordered = events.groupBy("task_key").agg(F.sort_array(F.collect_list(F.struct("at", "event_id", "kind", "amount", "until"))).alias("e"))
+    allowed = F.create_map(*[F.lit(x) for k, v in NEXT.items() for x in (k, ",".join(v))])
+    ever, days = F.lit(None).cast("timestamp"), lambda n: F.make_dt_interval(F.lit(n))
+    start = F.struct(F.lit("").alias("status"), F.lit(0).alias("rejected"), F.lit(None).cast("decimal(18,2)").alias("amount"), ever.alias("snooze"), ever.alias("expires"))
+
+    def advanced(s: Column, t: Column) -> Column:
+        woken = F.when((s["status"] == "snoozed") & (s["snooze"] <= t), "open").otherwise(s["status"])
+        return F.when(woken.isin(*ACTIVE) & (s["expires"] < t), "expired").otherwise(woken)
+
+    # A step is two lambdas, so that the advanced status is worked out once: zip with one element stands for a let.
+    def step(acc: Column, x: Column) -> Column:
+        def go(status: Column) -> Column:
+            new = status.isin("", "expired")
+            ok = F.when(new, x["kind"].isin("generated", "open")).otherwise(F.array_contains(F.split(allowed[status], ","), x["kind"]))
+            until = F.coalesce(x["until"], x["at"] + days(SNOOZE_DAYS))
+            snoozes = ok & (x["kind"] == "snoozed")
+            expires = F.when(snoozes, F.greatest(until, x["at"]) + days(TTL_DAYS)).when(ok & new, x["at"] + days(TTL_DAYS)).otherwise(acc["expires"])
+            return F.struct(
+                F.when(ok, x["kind"]).otherwise(status).alias("status"),
+                (acc["rejected"] + (~ok).cast("int")).alias("rejected"),
+                F.when(ok & (x["kind"] == "done"), x["amount"]).otherwise(acc["amount"]).alias("amount"),
+                F.when(snoozes, until).when(~ok & (status == "snoozed"), acc["snooze"]).alias("snooze"),
+                expires.alias("expires"),
+            )
+
+        return F.transform(F.array(advanced(acc, x["at"])), go)[0]
+
+    done = ordered.withColumn("s", F.aggregate("e", start, step)).withColumn("status", advanced(F.col("s"), F.lit(now).cast("timestamp")))
+    return done.select("task_key", F.nullif("status", F.lit("")).alias("status"), "s.rejected", F.col("s.amount").alias("amount"), F.size("e").alias("n_events"), F.when(F.col("status") == "snoozed", F.col("s.snooze")).alias("snooze_until"), F.col("s.expires").alias("expires_at"))
+
+
 def is_active(status: Column) -> Column:
     return F.coalesce(status.isin(*ACTIVE), F.lit(False))
 

@@ -238,6 +238,40 @@ def z1(spark, d):
     return ac.fold_events(c.task_events(spark, d)).select("task_key", "status", "rejected", "n_events")
 
 
+def clocked(spark, d):
+    """The task log with snoozes: dismissals of odd events are snoozes of as many days as the event's number mod 9, none at 0."""
+    ev, odd = c.task_events(spark, d), (F.col("kind") == "dismissed") & (F.col("event_id") % 2 == 1)
+    until = F.when(odd & (F.col("event_id") % 9 > 0), F.col("at") + F.make_dt_interval((F.col("event_id") % 9).cast("int")))
+    return ev.withColumns({"kind": F.when(odd, "snoozed").otherwise(F.col("kind")), "until": until})
+
+
+def clock_sql() -> str:
+    """A left fold of each task's events; each name below is the text of an expression over the state a and the event x."""
+    def advanced(s, t):
+        woken = f"CASE WHEN {s}.status = 'snoozed' AND {s}.snooze <= {t} THEN 'open' ELSE {s}.status END"
+        return f"CASE WHEN ({woken}) IN ('generated', 'open', 'in_progress', 'snoozed') AND {s}.expires < {t} THEN 'expired' ELSE {woken} END"
+
+    st = f"({advanced('a', 'x.at')})"
+    fresh = f"{st} IN ('', 'expired')"
+    ok = f"(({fresh} AND x.kind IN ('generated', 'open')) OR ({st} = 'generated' AND x.kind = 'open') OR ({st} = 'open' AND x.kind IN ('in_progress', 'done', 'snoozed', 'dismissed')) OR ({st} = 'in_progress' AND x.kind IN ('done', 'snoozed', 'dismissed', 'open')) OR ({st} = 'snoozed' AND x.kind IN ('open', 'dismissed')))"
+    until = "coalesce(x.until, x.at + INTERVAL 1 DAY)"
+    snoozes = f"({ok} AND x.kind = 'snoozed')"
+    step = f"""{{'at': x.at, 'kind': x.kind, 'until': x.until, 'status': CASE WHEN {ok} THEN x.kind ELSE {st} END, 'rejected': a.rejected + CASE WHEN {ok} THEN 0 ELSE 1 END,
+      'snooze': CASE WHEN {snoozes} THEN {until} WHEN NOT {ok} AND {st} = 'snoozed' THEN a.snooze END, 'expires': CASE WHEN {snoozes} THEN greatest({until}, x.at) + INTERVAL 14 DAY WHEN {ok} AND {fresh} THEN x.at + INTERVAL 14 DAY ELSE a.expires END}}"""
+    none = "CAST(NULL AS TIMESTAMP)"
+    return f"""SELECT task_key, nullif({advanced('f', 't')}, '') AS status, CAST(f.rejected AS INTEGER) AS rejected, n_events, CASE WHEN ({advanced('f', 't')}) = 'snoozed' THEN strftime(f.snooze, '%Y-%m-%d %H:%M:%S.%f') END AS snooze_until, strftime(f.expires, '%Y-%m-%d %H:%M:%S.%f') AS expires_at FROM
+      (SELECT task_key, CAST(len(e) AS INTEGER) AS n_events, TIMESTAMP '2024-01-28' AS t, list_reduce(list_prepend({{'at': {none}, 'kind': '', 'until': {none}, 'status': '', 'rejected': 0, 'snooze': {none}, 'expires': {none}}}, e), lambda a, x: {step}) AS f FROM
+        (SELECT task_key, list({{'at': "at", 'kind': kind, 'until': until, 'status': '', 'rejected': 0, 'snooze': {none}, 'expires': {none}}} ORDER BY "at", event_id) AS e FROM
+          (SELECT task_key, event_id, CAST("at" AS TIMESTAMP) AS "at", CASE WHEN odd THEN 'snoozed' ELSE kind END AS kind, CASE WHEN odd AND event_id % 9 > 0 THEN CAST("at" AS TIMESTAMP) + to_days(CAST(event_id % 9 AS INTEGER)) END AS until FROM (SELECT *, kind = 'dismissed' AND event_id % 2 = 1 AS odd FROM task_events)) GROUP BY 1))"""
+
+
+@P.add("z1_task_states_with_timers", clock_sql())
+def z1_clock(spark, d):
+    """Snoozes that end and tasks that expire by the clock; the stream of `streaming.tasks` keeps the same states."""
+    text = lambda name: F.date_format(name, "yyyy-MM-dd HH:mm:ss.SSSSSS").alias(name)
+    return ac.fold_with_clock(clocked(spark, d), "2024-01-28 00:00:00").select("task_key", "status", "rejected", "n_events", text("snooze_until"), text("expires_at"))
+
+
 @P.add("z2_daily_throughput", """SELECT manager_id, CAST(CAST("at" AS DATE) AS VARCHAR) AS day, count(*) AS n, CAST(count(*) FILTER (kind = 'done') AS BIGINT) AS done, CAST(coalesce(sum(amount), 0) AS DOUBLE) AS revenue FROM task_events GROUP BY 1, 2""")
 def z2(spark, d):
     from tidemark.streaming.jobs import daily_throughput

@@ -5,8 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.operators.actions import fold_events
-
 
 def daily_throughput(events: DataFrame, late: str = "2 days") -> DataFrame:
     """Events, completions and revenue per manager and day; on a stream, rows later than `late` are dropped."""
@@ -26,23 +24,3 @@ def live_negatives(feedback: DataFrame, late: str = "2 days") -> DataFrame:
     """Dismissals without repeats of the same event within the watermark; readers filter by age."""
     dismissed = feedback.where("kind = 'dismissed'").select("event_id", "task_key", "at")
     return dismissed.withWatermark("at", late).dropDuplicatesWithinWatermark(["event_id"]) if dismissed.isStreaming else dismissed.dropDuplicates(["event_id"])
-
-
-def merge_states(log_path: str, state_path: str):
-    """A foreachBatch function: appends the batch to the log and rewrites the states of the tasks it touches, under a new
-    version folder, so that a repeated batch gives the same states."""
-
-    def run(batch: DataFrame, epoch: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{log_path}/epoch={epoch}")
-        spark = batch.sparkSession
-        log = spark.read.parquet(log_path).where(F.col("epoch") <= epoch).drop("epoch").dropDuplicates(["event_id"])
-        touched = log.join(batch.select("task_key").distinct(), "task_key", "left_semi")
-        fold_events(touched).write.mode("overwrite").parquet(f"{state_path}/epoch={epoch}")
-
-    return run
-
-
-def latest_states(states: DataFrame) -> DataFrame:
-    """The newest state of each task over all epochs."""
-    best = states.groupBy("task_key").agg(F.max_by(F.struct("status", "rejected", "amount", "n_events"), "epoch").alias("s"))
-    return best.select("task_key", "s.*")
