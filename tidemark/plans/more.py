@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tidemark.operators import actions as ac, catalogue, pricing as pr, ranking, reco, risk as rk, sales, supply as g, timeseries as ts
+from tidemark.operators.asof import first_at, shifted, totals_at
 from tidemark.plans import actions, assortment, risk, supply
 from tidemark.plans.base import Plans
 from tidemark.plans.sales import END, past, valid, year
@@ -206,30 +208,33 @@ def t21(spark, d):
     "SELECT client_id, CAST(m AS VARCHAR) AS month_end, CAST(sum(amount) AS DOUBLE) AS turnover FROM valid_sales JOIN (SELECT last_day(DATE '1999-06-01' + to_months(CAST(i AS INTEGER))) AS m FROM range(0, 7) t(i)) ON created <= m AND created > m - INTERVAL 12 MONTH GROUP BY 1, 2",
 )
 def t22(spark, d):
-    """The as-of dates are a column: one job for all month ends."""
-    ends = spark.range(7).select(F.last_day(F.add_months(F.lit("1999-06-01").cast("date"), F.col("id").cast("int"))).alias("m"))
-    lines = valid(spark, d).select("client_id", "created", "amount").join(F.broadcast(ends), (F.col("created") <= F.col("m")) & (F.col("created") > F.add_months("m", -12)))
-    return lines.groupBy("client_id", F.col("m").cast("string").alias("month_end")).agg(F.sum("amount").cast("double").alias("turnover"))
+    """A line enters the total at the first month end from its day on, and leaves it a year later."""
+    ends = [str(day) for day in pd.date_range("1999-06-30", periods=7, freq="ME").date]
+    lines, at = valid(spark, d).where(F.col("created") <= F.lit(ends[-1]).cast("date")), lambda back: first_at(F.col("created"), shifted(ends, back))
+    totals = totals_at(lines, ["client_id"], len(ends), {"come": (F.col("amount"), at(0)), "gone": (F.col("amount"), at(12)), "n0": (F.lit(1), at(0)), "n1": (F.lit(1), at(12))}).fillna(0, ["come", "gone", "n0", "n1"])
+    names = F.array(*[F.lit(e) for e in ends])
+    return totals.where("n0 > n1").select("client_id", F.get(names, F.col("date_index")).alias("month_end"), (F.col("come") - F.col("gone")).cast("double").alias("turnover"))
 
 
-MONTH_ENDS = ("1999-07-01", "1999-10-01", "2000-01-01")
+#: The first day after each month of the window.
+MONTH_ENDS = [f"{1999 + k // 12}-{k % 12 + 1:02d}-01" for k in range(1, 13)]
 SPARK_SQL = {}
 for _i, _t in enumerate(MONTH_ENDS):
     SPARK_SQL |= risk.matrix_sql(f"at{_i}", _t, "3000") | risk.card_sql(f"at{_i}")
+AT_FEATURES = [*risk.FEATURES, "prior_3m", "already_default"]
 
 
-@P.add(
-    "t22_score_sparkline",
-    " UNION ALL ".join(f"SELECT client_id, '{t}' AS as_of, CAST(round({risk.SCORE}) AS INTEGER) AS score FROM at{i}_card" for i, t in enumerate(MONTH_ENDS)),
-    **SPARK_SQL,
-)
+@P.add("t22_score_sparkline", " UNION ALL ".join(f"SELECT client_id, '{t}' AS as_of, CAST(round({risk.SCORE} + 0.000000001::DOUBLE) AS INTEGER) AS score FROM at{i}_card" for i, t in enumerate(MONTH_ENDS)), **SPARK_SQL)
 def t22_score(spark, d):
-    """The card's score of every buyer at the ends of quarters, each from the features of its own day, serving variant."""
-    parts = [rk.apply_scorecard(risk.matrix(spark, d, t, sentinel=3000), risk.CARD).select("client_id", F.lit(t).alias("as_of"), F.round("score").cast("int").alias("score")) for t in MONTH_ENDS]
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.unionByName(part)
-    return out
+    """The card's score of every buyer at the end of each month of the year, each from the features of its own day."""
+    scored = rk.apply_scorecard(risk.matrix_at(spark, d, MONTH_ENDS), risk.CARD)
+    return scored.select("client_id", F.col("as_of").cast("string").alias("as_of"), F.round(F.col("score") + 1e-9).cast("int").alias("score"))
+
+
+@P.add("t22_features_by_month_end", " UNION ALL ".join(f"SELECT client_id, '{t}' AS as_of, " + ", ".join(f"round(CAST({f} AS DOUBLE) + 0.0000001::DOUBLE, 3) AS {f}" for f in AT_FEATURES) + f" FROM at{i}" for i, t in enumerate(MONTH_ENDS)), **SPARK_SQL)
+def t22_features(spark, d):
+    """All features of every buyer at each month end, from one pass over each table."""
+    return risk.matrix_at(spark, d, MONTH_ENDS).select("client_id", F.col("as_of").cast("string").alias("as_of"), *[F.round(F.col(f).cast("double") + 1e-7, 3).alias(f) for f in AT_FEATURES])
 
 
 @P.add("c9_negatives_excluded", "SELECT p.client_id, p.group_id FROM (SELECT DISTINCT client_id, group_id FROM past_sales) p WHERE NOT EXISTS (SELECT 1 FROM return_lines r JOIN part ON p_partkey = r.product_id WHERE r.client_id = p.client_id AND p_brand = p.group_id AND r.return_date >= DATE '1999-10-03' AND r.return_date < DATE '2000-01-01')")

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import datetime as dt
+
 from pyspark.sql import functions as F
 
 from tidemark.operators import risk as rk, sales, scorecard as sc
+from tidemark.operators.asof import first_at, shifted, totals_at
 from tidemark.plans.base import Plans
 from tidemark.plans.sales import END, past, valid, year
 from tidemark.sources import canonical as c
@@ -159,6 +162,68 @@ def labelled(spark, d):
     return matrix(spark, d, label_day=LABEL_DAY)
 
 
+def growth(new, prior):
+    return F.when(prior > 0, F.least(new / prior, F.lit(10.0))).when(new > 0, 10.0).otherwise(0.0)
+
+
+def matrix_at(spark, d, dates, sentinel=3000):
+    """The serving features of all buyers at each of the ascending dates, as (client_id, as_of, features): each fact table is read once for all dates.
+
+    Debt is totalled in its own currency and converted at each date's rate.
+    """
+    n, back3, back6, back12 = len(dates), shifted(dates, 3), shifted(dates, 6), shifted(dates, 12)
+    last, one = F.lit(dates[-1]).cast("date"), F.lit(1).cast("long")
+    created = F.col("created")
+    enters, leaves = first_at(F.date_add(created, 1), dates), first_at(F.date_add(created, 1), back12)
+
+    orders = valid(spark, d).where(created < last).groupBy("client_id", "order_id", "created").agg(F.sum("amount").alias("amount"), F.sum("qty").alias("qty"))
+    sold = totals_at(
+        orders, ["client_id"], n,
+        {"a0": (F.col("amount"), enters), "a1": (F.col("amount"), leaves), "q0": (F.col("qty"), enters), "q1": (F.col("qty"), leaves), "o0": (one, enters), "o1": (one, leaves)},
+        {"first": (created, enters)}, {"last": (created, enters)},
+    )
+    lines = c.return_lines(spark, d).where(F.col("return_date") < last).groupBy("client_id", "return_id", "line_no", F.col("return_date").alias("created")).agg(F.max("qty").alias("qty"))
+    # Of a return line's rows the largest in the window counts: each while no larger one is in it. Windows are of one length, so an
+    # earlier row leaves first.
+    spans = lines.groupBy("client_id", "return_id", "line_no").agg(F.collect_list(F.struct("qty", "created", enters.alias("a"), leaves.alias("b"))).alias("rows"))
+    larger = lambda e, f: (f["qty"] > e["qty"]) | ((f["qty"] == e["qty"]) & (f["created"] > e["created"]))
+    starts = lambda e: F.aggregate(F.filter("rows", lambda f: larger(e, f) & (f["created"] < e["created"])), e["a"], lambda x, f: F.greatest(x, f["b"]))
+    stops = lambda e: F.aggregate(F.filter("rows", lambda f: larger(e, f) & (f["created"] > e["created"])), e["b"], lambda x, f: F.least(x, f["a"]))
+    spans = spans.select("client_id", F.explode(F.transform("rows", lambda e: F.struct(e["qty"].alias("qty"), starts(e).alias("a"), stops(e).alias("b")))).alias("e")).where("e.a < e.b")
+    back = totals_at(spans, ["client_id"], n, {"r0": (F.col("e.qty"), F.col("e.a")), "r1": (F.col("e.qty"), F.col("e.b"))})
+
+    terms = c.agreements(spark, d).join(buyers(spark, d), "client_id", "left_semi")
+    grace = terms.groupBy("client_id").agg(F.max("grace_days").alias("grace_days"), F.sum(F.when(F.col("control_amount"), F.col("amount_limit")).otherwise(0)).cast("double").alias("credit_limit"), F.max((F.col("control_amount") | F.col("control_days")).cast("int")).alias("has_control"))
+    owed = checkpointed(c.debt_lines(spark, d).where(created <= last).select("client_id", "currency_id", "total", "created").join(grace.select("client_id", "grace_days"), "client_id"))
+    past = lambda days: first_at(F.date_add(created, F.col("grace_days") + days), dates)
+    ages = {f"p{days}": (F.col("total"), past(days)) for days in (1, 31, 61, 91, 180, 181)}
+    debt = totals_at(owed, ["client_id", "currency_id"], n, {"p0": (F.col("total"), first_at(created, dates)), **ages, "l3": (F.col("total"), first_at(created, back3)), "l6": (F.col("total"), first_at(created, back6)), "lines": (one, first_at(created, dates))}, {"due": (F.date_add(created, F.col("grace_days")), first_at(created, dates))})
+    grid = spark.createDataFrame(list(enumerate(dates)), "date_index int, as_of string").withColumn("as_of", F.to_date("as_of"))
+    rated = rk.to_eur(debt.join(F.broadcast(grid), "date_index").withColumn("total", F.lit(1)), c.fx_rates(spark), "total", "as_of", "rate_eur")
+    eur = lambda plus, less, name: F.sum((F.col(plus) - (F.coalesce(less, F.lit(0)) if less else 0)).cast("double") * F.col("rate_eur")).alias(name)
+    rated = rated.fillna(0, [*ages, "l3", "l6"])
+    debt = rated.groupBy("client_id", "date_index").agg(
+        eur("p181", None, "overdue_180plus"), eur("p91", "p181", "overdue_91_180"), eur("p61", "p91", "overdue_61_90"), eur("p31", "p61", "overdue_31_60"), eur("p1", "p31", "overdue_1_30"), eur("p0", "p1", "current_debt"), eur("p0", None, "total_debt"),
+        eur("p0", "l3", "new_3m"), eur("l3", "l6", "prior_3m"), eur("p180", None, "_severe"), F.sum("lines").alias("n_lines"), F.min("due").alias("_due"),
+    )
+    months = owed.groupBy("client_id", F.date_format("created", "yyyy-MM").alias("ym")).agg(F.min("created").alias("a"), F.max("created").alias("b"))
+    months = totals_at(months, ["client_id"], n, {"m0": (one, first_at(F.col("a"), dates)), "m1": (one, first_at(F.col("b"), back12))})
+
+    df = grace.join(F.broadcast(grid))
+    for part in (sold, back, debt, months):
+        df = df.join(part, ["client_id", "date_index"], "left")
+    df = df.fillna(0, ["a0", "a1", "q0", "q1", "o0", "o1", "r0", "r1", "m0", "m1", "n_lines"]).fillna(0.0, ["overdue_180plus", "overdue_91_180", "overdue_61_90", "overdue_31_60", "overdue_1_30", "current_debt", "total_debt", "new_3m", "prior_3m", "_severe"])
+    t, first, qty = F.col("as_of"), F.col("first"), (F.col("q0") - F.col("q1")).cast("double")
+    limit, total = F.col("credit_limit"), F.col("total_debt")
+    return df.select(
+        "client_id", "as_of", "overdue_180plus", "overdue_91_180", "overdue_61_90", "overdue_31_60", "overdue_1_30", "current_debt", "total_debt", "new_3m", "prior_3m", "n_lines", "credit_limit", "grace_days", "has_control",
+        F.when(total > 0, F.col("overdue_180plus") / total).otherwise(0.0).alias("pct_180plus"), F.greatest(F.coalesce(F.datediff(t, "_due"), F.lit(0)), F.lit(0)).alias("max_overdue_days"), growth(F.col("new_3m"), F.col("prior_3m")).alias("growth"), (F.col("m0") - F.col("m1")).alias("months_12"),
+        (F.col("_severe") >= 100).cast("int").alias("already_default"), (F.col("a0") - F.col("a1")).cast("double").alias("turnover"), (F.col("o0") - F.col("o1")).alias("orders"), F.coalesce(F.datediff(t, "last"), F.lit(sentinel)).alias("recency"),
+        F.coalesce((F.year(t) - F.year(first)) * 12 + F.month(t) - F.month(first), F.lit(0)).alias("tenure"), F.when(qty > 0, (F.col("r0") - F.col("r1")).cast("double") / qty).otherwise(0.0).alias("return_rate"),
+        F.when(limit > 0, F.least(F.greatest(total / limit, F.lit(0.0)), F.lit(2.0))).otherwise(0.0).alias("utilization"),
+    )
+
+
 #: The columns of the matrix, and how risk runs in each of those that do not restate the label.
 DIRECTION = {
     "overdue_91_180": "up", "overdue_61_90": "up", "overdue_31_60": "up", "overdue_1_30": "up", "current_debt": "up", "total_debt": "up", "max_overdue_days": "up", "n_lines": "up", "growth": "up", "months_12": "up", "new_3m": "up",
@@ -458,19 +523,28 @@ VINTAGES = "SELECT CAST(DATE '1997-01-05' + to_days(CAST(i * 14 AS INTEGER)) AS
 def vintages(spark, d, n=40, horizon=180):
     """At-risk clients at biweekly dates with features of the day and whether they are severe `horizon` days later.
 
-    The date is a column. At risk: with debt, and less than 100 EUR of it 180 days past grace.
+    At risk: with debt, and less than 100 EUR of it 180 days past grace. Debt lines are read once for all dates; each is worth what it was on its own day.
     """
-    m = F.broadcast(spark.range(n).select(F.date_add(F.lit("1997-01-05").cast("date"), (F.col("id") * 14).cast("int")).alias("m")))
-    rated = rk.to_eur(c.debt_lines(spark, d).where("created <= date_add(date'1997-01-05', %d)" % ((n - 1) * 14 + horizon)), c.fx_rates(spark), "total", "created", "eur")
-    lines = rated.join(c.agreements(spark, d).select("client_id", "grace_days"), "client_id").join(m, F.col("created") <= F.date_add("m", horizon))
-    od, e, old = F.datediff("m", "created") - F.col("grace_days"), F.col("eur"), F.col("created") <= F.col("m")
-    part = lambda test, name: F.sum(F.when(old & test, e).otherwise(0.0)).alias(name)
-    agg = lines.groupBy("m", "client_id").agg(
-        part(od >= 180, "severe"), part(od.between(91, 179), "overdue_91_180"), part(od.between(61, 90), "overdue_61_90"), part(od.between(31, 60), "overdue_31_60"), part(od.between(1, 30), "overdue_1_30"), part(od <= 0, "current_debt"), part(F.lit(True), "total_debt"),
-        F.greatest(F.max(F.when(old, od)), F.lit(0)).alias("max_overdue_days"), F.sum(old.cast("long")).alias("n_lines"), part(F.col("created") > F.add_months("m", -3), "new_3m"),
-        F.countDistinct(F.when(old & (F.col("created") > F.add_months("m", -12)), F.date_format("created", "yyyy-MM"))).alias("months_12"), (F.sum(F.when(od + horizon >= 180, e).otherwise(0.0)) >= 100).cast("int").alias("label"),
-    )
-    return agg.where("total_debt > 0 and severe < 100").drop("severe").withColumnRenamed("m", "vintage")
+    dates = [(dt.date(1997, 1, 5) + dt.timedelta(days=14 * i)).isoformat() for i in range(n)]
+    created = F.col("created")
+    rated = rk.to_eur(c.debt_lines(spark, d).where(created <= F.lit(dates[-1]).cast("date")), c.fx_rates(spark), "total", "created", "eur")
+    lines = checkpointed(rated.join(c.agreements(spark, d).select("client_id", "grace_days"), "client_id").select("client_id", "created", "grace_days", F.col("eur").cast("decimal(28,8)").alias("eur")))
+    one, e, at = F.lit(1).cast("long"), F.col("eur"), first_at(created, dates)
+    past = lambda days: first_at(F.date_add(created, F.greatest(F.col("grace_days") + days, F.lit(0))), dates)
+    debt = totals_at(
+        lines, ["client_id"], n,
+        {"p": (e, at), **{f"p{k}": (e, past(k)) for k in (1, 31, 61, 91, 180)}, "l3": (e, first_at(created, shifted(dates, 3))), "n_lines": (one, at), "later": (e, past(180 - horizon))},
+        {"due": (F.date_add(created, F.col("grace_days")), at)},
+    )
+    months = lines.groupBy("client_id", F.date_format("created", "yyyy-MM").alias("ym")).agg(F.min("created").alias("a"), F.max("created").alias("b"))
+    months = totals_at(months, ["client_id"], n, {"m0": (one, first_at(F.col("a"), dates)), "m1": (one, first_at(F.col("b"), shifted(dates, 12)))})
+    df = debt.fillna(0, ["p1", "p31", "p61", "p91", "p180", "l3", "later"]).where("p > 0 and p180 < 100").join(months.fillna(0, ["m1"]), ["client_id", "date_index"])
+    grid = F.broadcast(spark.createDataFrame(list(enumerate(dates)), "date_index int, m string").withColumn("m", F.to_date("m")))
+    between = lambda a, b, name: (F.col(a) - F.col(b)).cast("double").alias(name)
+    return df.join(grid, "date_index").select(
+        F.col("m").alias("vintage"), "client_id", between("p91", "p180", "overdue_91_180"), between("p61", "p91", "overdue_61_90"), between("p31", "p61", "overdue_31_60"), between("p1", "p31", "overdue_1_30"), between("p", "p1", "current_debt"), F.col("p").cast("double").alias("total_debt"),
+        F.greatest(F.datediff("m", "due"), F.lit(0)).alias("max_overdue_days"), "n_lines", between("p", "l3", "new_3m"), (F.col("m0") - F.col("m1")).alias("months_12"), (F.col("later") >= 100).cast("int").alias("label"),
+    )
 
 
 @P.add(
