@@ -7,32 +7,39 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.operators.quantiles import grouped_quantiles, key_sizes
 from tidemark.sources.sinks import checkpointed
 
 MAD_K, MAD_SCALE, MAD_ROWS = 3.5, 1.4826, 4
 
 
 def mad_kept(df: DataFrame, keys: list[str], value: str) -> DataFrame:
-    """df without outliers: rows further than k scaled MADs from the group's median; thin or flat groups keep all."""
-    med = df.groupBy(*keys).agg(F.percentile(value, 0.5).alias("_med"), F.count(F.lit(1)).alias("_rows"))
-    with_med = df.join(med, keys)
-    mad = with_med.groupBy(*keys).agg(F.percentile(F.abs(F.col(value) - F.col("_med")), 0.5).alias("_mad"))
-    df = with_med.join(mad, keys)
-    keep = (F.col("_rows") < MAD_ROWS) | (F.col("_mad") <= 0) | (F.abs(F.col(value) - F.col("_med")) <= MAD_K * MAD_SCALE * F.col("_mad"))
-    return df.where(keep).drop("_med", "_rows", "_mad")
+    """df without outliers: rows further than k scaled MADs from the group's median; thin or flat groups keep all.
+
+    The rows are written once with their group's median and read for the rest. Both medians are exact, also of a group with most of the rows.
+    """
+    df = checkpointed(df)
+    sizes = key_sizes(df, keys)
+    med = grouped_quantiles(df, keys, value, [0.5], sizes=sizes, more=(F.count(F.lit(1)).alias("_rows"),)).withColumn("_med", F.col("q")[0]).drop("q")
+    far = checkpointed(df.join(med, keys).withColumn("_far", F.abs(F.col(value) - F.col("_med"))).drop("_med"))
+    mad = grouped_quantiles(far.where(F.col("_rows") >= MAD_ROWS), keys, "_far", [0.5], sizes=sizes).select(*keys, F.col("q")[0].alias("_mad"))
+    keep = F.col("_mad").isNull() | (F.col("_mad") <= 0) | (F.col("_far") <= MAD_K * MAD_SCALE * F.col("_mad"))
+    return far.join(mad, keys, "left").where(keep).drop("_rows", "_far", "_mad")
 
 
 def peer_band(sales: DataFrame) -> DataFrame:
     """P25, P50, P75 of trimmed line prices and the number of distinct buyers per product."""
-    kept = mad_kept(sales.where("price > 0").select("product_id", "agreement_id", "price"), ["product_id"], "price")
-    q = F.percentile("price", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
-    return kept.groupBy("product_id").agg(q.alias("q"), F.countDistinct("agreement_id").alias("n")).select("product_id", F.col("q")[0].alias("p25"), F.col("q")[1].alias("p50"), F.col("q")[2].alias("p75"), "n")
+    kept = checkpointed(mad_kept(sales.where("price > 0").select("product_id", "agreement_id", "price"), ["product_id"], "price"))
+    q = grouped_quantiles(kept, ["product_id"], "price", [0.25, 0.5, 0.75], more=(F.countDistinct("agreement_id").alias("n"),))
+    return q.select("product_id", F.col("q")[0].alias("p25"), F.col("q")[1].alias("p50"), F.col("q")[2].alias("p75"), "n")
 
 
 def unit_cost(lots: DataFrame) -> DataFrame:
     """Median cost of lots with stock, else the newest lot's; lot count and where the cost comes from."""
     clean = F.when((F.col("unit_cost") > 0) & (F.col("qty") > 0), F.col("unit_cost"))
-    agg = lots.groupBy("product_id").agg(F.median(clean).alias("median_cost"), F.max_by("unit_cost", "lot_id").alias("last_cost"), F.count(clean).alias("lot_count"))
+    lots = checkpointed(lots.select("product_id", "lot_id", "unit_cost", clean.alias("clean")))
+    last = lots.groupBy("product_id").agg(F.max_by("unit_cost", "lot_id").alias("last_cost"), F.count("clean").alias("lot_count"))
+    agg = last.join(grouped_quantiles(lots, ["product_id"], "clean", [0.5]).select("product_id", F.col("q")[0].alias("median_cost")), "product_id", "left")
     source = F.when(F.col("median_cost").isNotNull(), "median_lots").when(F.col("last_cost").isNotNull(), "latest_lot").otherwise("none")
     return agg.select("product_id", F.coalesce("median_cost", "last_cost").alias("unit_cost_eur"), "lot_count", source.alias("cost_source"))
 

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.columns import computed_once, inv_norm_cdf
+from tidemark.operators.quantiles import grouped_quantiles
 from tidemark.operators.ranking import bucket_of, range_cuts
 from tidemark.sources.sinks import checkpointed
 
@@ -42,7 +43,8 @@ def modal_currency(ordered: DataFrame) -> DataFrame:
 
 def supplier_costs(ordered_eur: DataFrame) -> DataFrame:
     """Median unit price in EUR by producer and product."""
-    return ordered_eur.groupBy("producer_id", "product_id").agg(F.percentile("price_eur", 0.5).alias("cost_eur"))
+    lines = checkpointed(ordered_eur.select("producer_id", "product_id", "price_eur"))
+    return grouped_quantiles(lines, ["producer_id", "product_id"], "price_eur", [0.5]).select("producer_id", "product_id", F.col("q")[0].alias("cost_eur"))
 
 
 def cheapest_alternative(costs: DataFrame, gain: float = 0.98) -> DataFrame:
@@ -80,7 +82,8 @@ def inventory_position(on_hand: DataFrame, reserved: DataFrame, on_order: DataFr
 
 def learned_factors(feedback: DataFrame, least: int = FACTOR_LEAST) -> DataFrame:
     """(producer_id, abc, factor, n): the median of final over suggested quantity, clamped, from `least` changes on."""
-    agg = feedback.groupBy("producer_id", "abc").agg(F.percentile("ratio", 0.5).alias("m"), F.count(F.lit(1)).alias("n")).where(F.col("n") >= least)
+    feedback = checkpointed(feedback.select("producer_id", "abc", "ratio"))
+    agg = grouped_quantiles(feedback, ["producer_id", "abc"], "ratio", [0.5], more=(F.count(F.lit(1)).alias("n"),)).withColumn("m", F.col("q")[0]).where(F.col("n") >= least)
     return agg.select("producer_id", "abc", F.round(F.least(F.greatest("m", F.lit(FACTOR_MIN)), F.lit(FACTOR_MAX)) + 1e-9, 4).alias("factor"), "n")
 
 

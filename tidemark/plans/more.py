@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from tidemark.operators import actions as ac, catalogue, pricing as pr, ranking, reco, risk as rk, sales, supply as g, timeseries as ts
 from tidemark.operators.asof import first_at, shifted, totals_at
+from tidemark.operators.quantiles import grouped_quantiles
 from tidemark.plans import actions, assortment, risk, supply
 from tidemark.plans.base import Plans
 from tidemark.plans.sales import END, past, valid, year
@@ -101,8 +102,8 @@ def a53(spark, d):
     "SELECT product_id, eur, round(eur / med, 4) AS ratio FROM (SELECT *, quantile_cont(eur, 0.5) OVER () AS med FROM (SELECT product_id, CAST(sum(amount) AS DOUBLE) AS eur FROM year_sales GROUP BY 1)) WHERE eur / med > 3",
 )
 def a56(spark, d):
-    per = year(spark, d).groupBy("product_id").agg(F.sum("amount").cast("double").alias("eur"))
-    med = per.agg(F.percentile("eur", 0.5).alias("med"))
+    per = checkpointed(year(spark, d).groupBy("product_id").agg(F.sum("amount").cast("double").alias("eur"), F.lit(0).alias("all")))
+    med = grouped_quantiles(per, ["all"], "eur", [0.5]).select(F.col("q")[0].alias("med"))
     return per.join(F.broadcast(med)).withColumn("r", F.col("eur") / F.col("med")).where("r > 3").select("product_id", "eur", F.round("r", 4).alias("ratio"))
 
 

@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tidemark.operators import pricing as pr, sales
+from tidemark.operators.quantiles import grouped_quantiles
 from tidemark.plans.base import Plans
 from tidemark.plans.sales import year
 from tidemark.sources import canonical as c
+from tidemark.sources.sinks import checkpointed
 
 P = Plans()
 BAND = {
@@ -27,14 +29,14 @@ def costs(spark, d):
 
 
 def segments(spark, d):
-    q = F.percentile(F.col("discount") * 100, F.array(F.lit(0.75), F.lit(0.90)))
-    return year(spark, d).groupBy("group_id").agg(q.alias("q")).select("group_id", F.col("q")[0].alias("seg_p75"), F.col("q")[1].alias("seg_p90"))
+    lines = checkpointed(year(spark, d).select("group_id", (F.col("discount") * 100).alias("pct")))
+    return grouped_quantiles(lines, ["group_id"], "pct", [0.75, 0.90]).select("group_id", F.col("q")[0].alias("seg_p75"), F.col("q")[1].alias("seg_p90"))
 
 
-def pairs(spark, d):
+def pairs(spark, d, lines=None):
     """Distinct (product, agreement) pairs of the year with list price and the agreement's tier price as baseline."""
     parts = c.read(spark, d, "part").select(F.col("p_partkey").alias("product_id"), (F.col("p_retailprice") * 30).alias("list_price"))
-    base = year(spark, d).select("product_id", "agreement_id", "group_id").distinct().join(parts, "product_id")
+    base = (year(spark, d) if lines is None else lines).select("product_id", "agreement_id", "group_id").distinct().join(parts, "product_id")
     return base.withColumn("baseline", F.col("list_price") * (1 - (F.col("agreement_id") % 4) * F.lit(0.05)))
 
 
@@ -50,7 +52,8 @@ def a15(spark, d):
 
 @P.add("a17_median_sale_price", "SELECT product_id, round(quantile_cont(price, 0.5) + 0.0000001::DOUBLE, 2) AS p FROM year_sales GROUP BY 1")
 def a17(spark, d):
-    return year(spark, d).groupBy("product_id").agg(F.round(F.percentile("price", 0.5) + 1e-7, 2).alias("p"))
+    lines = checkpointed(year(spark, d).select("product_id", "price"))
+    return grouped_quantiles(lines, ["product_id"], "price", [0.5]).select("product_id", F.round(F.col("q")[0] + 1e-7, 2).alias("p"))
 
 
 @P.add("a22_segment_discounts", "SELECT group_id, round(seg_p75, 4) AS seg_p75, round(seg_p90, 4) AS seg_p90 FROM segs", **BAND)
@@ -58,6 +61,13 @@ def a22(spark, d):
     return segments(spark, d).select("group_id", F.round("seg_p75", 4).alias("seg_p75"), F.round("seg_p90", 4).alias("seg_p90"))
 
 
+def recommendations(spark, d):
+    """The year's lines are put together once; pairs, peer bands and segments read that."""
+    lines = checkpointed(year(spark, d).select("product_id", "agreement_id", "group_id", "price", "discount"))
+    segs = grouped_quantiles(lines.select("group_id", (F.col("discount") * 100).alias("pct")), ["group_id"], "pct", [0.75, 0.90]).select("group_id", F.col("q")[0].alias("seg_p75"), F.col("q")[1].alias("seg_p90"))
+    return pr.recommend(pairs(spark, d, lines), pr.peer_band(lines), costs(spark, d), segs)
+
+
 @P.add(
     "r8_price_recommendations",
     """SELECT product_id, agreement_id, round(price + 0.0000001::DOUBLE, 2) AS recommended_price, round(fl + 0.0000001::DOUBLE, 2) AS price_floor,
@@ -70,7 +80,7 @@ def a22(spark, d):
     **BAND,
 )
 def r8(spark, d):
-    got = pr.recommend(pairs(spark, d), pr.peer_band(year(spark, d)), costs(spark, d), segments(spark, d))
+    got = recommendations(spark, d)
     return got.select("product_id", "agreement_id", F.round(F.col("recommended_price") + 1e-7, 2).alias("recommended_price"), F.round(F.col("price_floor") + 1e-7, 2).alias("price_floor"), "confidence", "rationale")
 
 
@@ -84,7 +94,7 @@ def r8(spark, d):
     **BAND,
 )
 def r5(spark, d):
-    got = pr.recommend(pairs(spark, d), pr.peer_band(year(spark, d)), costs(spark, d), segments(spark, d))
+    got = recommendations(spark, d)
     return got.select("product_id", "agreement_id", *[F.round(F.col(x) + 1e-7, 2).alias(x) for x in ("suggested_discount_pct", "band_min", "band_target", "band_max", "margin_pct")])
 
 

@@ -8,12 +8,13 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import columns as col
 from tidemark.operators import ranking, sales, supply as g
+from tidemark.operators.quantiles import grouped_quantiles
 from tidemark.plans import sales as sale_plans
 from tidemark.plans.base import Plans
 from tidemark.plans.sql import sql
 from tidemark.plans.sales import END, valid
 from tidemark.sources import canonical as c
-from tidemark.sources.sinks import seed_terms
+from tidemark.sources.sinks import checkpointed, seed_terms
 
 P = Plans()
 #: Days before a plan's date: of orders, costs, prices and classes, of demand, of open reservations.
@@ -143,7 +144,8 @@ def items(spark, d, as_of=END):
     daily = sales.window(lines, before(as_of, DEMAND), as_of).groupBy("product_id", "created").agg(F.sum("qty").cast("double").alias("u"))
     mean = F.sum("u") / DEMAND
     demand = daily.groupBy("product_id").agg(mean.alias("mean_daily"), F.sqrt(F.greatest(F.sum(F.col("u") * F.col("u")) / DEMAND - mean * mean, F.lit(0.0))).alias("std_daily"))
-    revenue = sales.window(lines, before(as_of, ORDERED), as_of).groupBy("product_id").agg(F.sum("amount").alias("revenue"), F.percentile("price", 0.5).alias("sale"))
+    sold = checkpointed(sales.window(lines, before(as_of, ORDERED), as_of).select("product_id", "amount", "price"))
+    revenue = grouped_quantiles(sold, ["product_id"], "price", [0.5], more=(F.sum("amount").alias("revenue"),)).select("product_id", "revenue", F.col("q")[0].alias("sale"))
     abc = ranking.abc_exclusive(revenue, "revenue", "product_id").select("product_id", "abc", "sale")
     costs = g.supplier_costs(rated(spark, d, as_of)).withColumnRenamed("cost_eur", "cost")
     df = costs.join(demand, "product_id", "left").fillna(0.0, ["mean_daily", "std_daily"]).join(g.lead_times(ordered(spark, d, as_of)), "producer_id")
