@@ -111,17 +111,6 @@ def test_mad_trim_keeps_flat_and_thin_groups(spark):
     assert {r.g: r["count"] for r in kept} == {"flat": 5, "thin": 2, "odd": 5}
 
 
-def test_elasticity_is_recovered(spark):
-    rnd = np.random.default_rng(5)
-    rows = []
-    for a in range(12):
-        for m in range(6):
-            p = float(np.exp(rnd.normal(2, 0.4)))
-            rows.append((1, a, f"1999-{m + 1:02d}", float(np.exp(5 - 1.8 * np.log(p) + 0.1 * a + rnd.normal(0, 0.05))), p))
-    got = pricing.elasticity(spark.createDataFrame(rows, "product_id long, agreement_id long, ym string, qty double, price double")).first()
-    assert got.note == "ok" and abs(got.elasticity - 1.8) < 0.15
-
-
 def test_recommended_price_rules(spark):
     rows = [(12.0, 11.0, 10.0), (5.0, 8.0, 10.0), (5.0, 20.0, 10.0), (5.0, 4.0, 10.0), (None, None, 10.0), (None, None, None), (5.0, 8.0, 0.0)]
     df = spark.createDataFrame(rows, "f double, p double, b double")

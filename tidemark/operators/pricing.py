@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -98,35 +96,6 @@ def recommend(pairs: DataFrame, peers: DataFrame, costs: DataFrame, segments: Da
     return df.select("product_id", "agreement_id", "recommended_price", "price_floor", "suggested_discount_pct", F.col("_a").alias("band_min"), target.alias("band_target"), F.col("_b").alias("band_max"), confidence(F.col("lot_count"), F.col("n"), F.col("unit_cost_eur"), F.col("baseline")).alias("confidence"), margin.alias("margin_pct"), rationale.alias("rationale"))
 
 
-def elasticity(cells: DataFrame, key: str = "product_id", least_df: int = 3, least_levels: int = 3, least_var: float = 1e-4) -> DataFrame:
-    """Own-price elasticity per key from cells (key, agreement_id, ym, qty, price): least squares of ln qty on ln price with
-    agreement and month effects. A group is one product's cells, so it is small; thin panels give null and a note."""
-    cells = cells.where("qty > 0 and price > 0")
-    cells = mad_kept(cells.withColumn("lnp", F.ln("price")), [key], "lnp").select(key, "agreement_id", "ym", F.ln("qty").alias("lnq"), "lnp")
-
-    def fit(pdf: pd.DataFrame) -> pd.DataFrame:
-        def out(e, note):
-            return pd.DataFrame({key: [pdf[key].iloc[0]], "elasticity": [e], "n_cells": [len(pdf)], "note": [note]})
-
-        if pdf["lnp"].round(6).nunique() < least_levels:
-            return out(None, "insufficient-price-levels")
-        within = pdf["lnp"].to_numpy()
-        for label in ("agreement_id", "ym"):
-            within = within - pd.Series(within).groupby(pdf[label].to_numpy()).transform("mean").to_numpy() + within.mean()
-        dummies = [pd.get_dummies(pdf[c]).to_numpy(float)[:, 1:] for c in ("agreement_id", "ym")]
-        x = np.hstack([np.ones((len(pdf), 1)), pdf[["lnp"]].to_numpy(), *dummies])
-        beta, _, rank, _ = np.linalg.lstsq(x, pdf["lnq"].to_numpy(), rcond=None)
-        if len(pdf) - rank < least_df:
-            return out(None, "insufficient-residual-df")
-        if within.var() < least_var:
-            return out(None, "no-within-price-variation")
-        if rank < x.shape[1]:
-            return out(None, "rank-deficient")
-        return out(-float(beta[1]), "ok")
-
-    return cells.groupBy(key).applyInPandas(fit, f"{key} {dict(cells.dtypes)[key]}, elasticity double, n_cells long, note string")
-
-
 def elastic_price(e: Column, cost: Column) -> Column:
     """Cost times e / (e - 1) for a sane e above 1."""
     return F.when((e > 1.0) & (e <= 5.0), cost * e / (e - 1))

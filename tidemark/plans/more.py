@@ -162,22 +162,6 @@ def r7(spark, d):
     return catalogue.tier_prices(prices, tiers, own, groups).withColumn("price", F.round(F.col("price") + 1e-9, 2))
 
 
-@P.add("r12_elasticity_direction")
-def r12(spark, d):
-    """Whether groups whose price rose between two years sold less, against the earlier fit's sign."""
-    cells = sales.panel_cells(sales.window(valid(spark, d), "1995-01-01", "1999-01-01").withColumn("product_id", F.col("group_id")).withColumn("agreement_id", F.col("region_id"))).withColumnRenamed("product_id", "group_id")
-    fits = pr.elasticity(cells, "group_id").where("elasticity is not null")
-
-    def level(a, b, name):
-        q = F.sum("qty").cast("double")
-        return sales.window(valid(spark, d), a, b).groupBy("group_id").agg(q.alias(f"q_{name}"), (F.sum("amount").cast("double") / q).alias(f"p_{name}"))
-
-    two = level("1998-01-01", "1999-01-01", "a").join(level("1999-01-01", END, "b"), "group_id").join(fits, "group_id")
-    real = F.signum(F.col("q_b") - F.col("q_a"))
-    said = F.signum(-F.col("elasticity") * (F.col("p_b") - F.col("p_a")))
-    return two.agg(F.count(F.lit(1)).alias("n"), F.avg((real == said).cast("double")).alias("agreement"))
-
-
 @P.add(
     "t8_daily_croston",
     """SELECT product_id, round(CASE WHEN n < 2 THEN total / 120 ELSE z / p * 0.95::DOUBLE END + 0.000000001::DOUBLE, 6) AS rate FROM (SELECT product_id, max(n) AS n, sum(u) AS total, sum(u * w) AS z, sum(gap * w) AS p FROM

@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tidemark.operators import pricing as pr, sales
+from tidemark.operators import elasticity as el, pricing as pr, sales
 from tidemark.operators.quantiles import grouped_quantiles
 from tidemark.plans.base import Plans
-from tidemark.plans.sales import year
+from tidemark.plans.sales import END, valid, year
 from tidemark.sources import canonical as c
 from tidemark.sources.sinks import checkpointed
 
@@ -98,12 +98,32 @@ def r5(spark, d):
     return got.select("product_id", "agreement_id", *[F.round(F.col(x) + 1e-7, 2).alias(x) for x in ("suggested_discount_pct", "band_min", "band_target", "band_max", "margin_pct")])
 
 
+def group_cells(spark, d, lines=None):
+    """Cells of groups, with regions as agreements: panels dense enough to fit."""
+    lines = valid(spark, d) if lines is None else lines
+    return sales.panel_cells(lines.withColumn("product_id", F.col("group_id")).withColumn("agreement_id", F.col("region_id"))).withColumnRenamed("product_id", "group_id")
+
+
+@P.add("r9_elasticity_by_product")
+def r9_product(spark, d):
+    """Every product's own fit on its agreements and months; most products here have too few cells, which the note says."""
+    fits = el.elasticity(sales.panel_cells(valid(spark, d)))
+    return fits.select("product_id", F.round("elasticity", 6).alias("elasticity"), F.round("r_squared", 6).alias("r_squared"), "n_cells", "n_kept", "note")
+
+
 @P.add("r9_elasticity_by_group")
 def r9(spark, d):
-    """Groups stand in for products, whose cells are too few here."""
-    cells = sales.panel_cells(c.valid_sales(c.sale_lines(spark, d)).withColumn("product_id", F.col("group_id")).withColumn("agreement_id", F.col("region_id")))
-    fits = pr.elasticity(cells.withColumnRenamed("product_id", "group_id"), "group_id")
-    return fits.select("group_id", F.round("elasticity", 6).alias("elasticity"), "n_cells", "note")
+    """The same fit for groups over regions."""
+    fits = el.elasticity(group_cells(spark, d), "group_id")
+    return fits.select("group_id", F.round("elasticity", 6).alias("elasticity"), F.round("r_squared", 6).alias("r_squared"), "n_cells", "n_kept", "note")
+
+
+@P.add("r11_elastic_price_by_product")
+def r11_product(spark, d):
+    """Cost times e / (e - 1) of each product with a cost, where its own fit is sane, and the source of the price."""
+    fits = el.elasticity(sales.panel_cells(valid(spark, d))).select("product_id", "elasticity")
+    price = F.round(pr.elastic_price(F.col("elasticity"), F.col("unit_cost_eur")), 2)
+    return costs(spark, d).join(fits, "product_id", "left").select("product_id", price.alias("elastic_price"), F.when(price.isNotNull(), "elasticity").otherwise("none").alias("source"))
 
 
 @P.add("r11_elastic_price")
@@ -112,3 +132,22 @@ def r11(spark, d):
     cost = year(spark, d).groupBy("group_id").agg(F.avg(F.col("price") * 0.7).alias("cost"))
     price = F.round(pr.elastic_price(F.col("elasticity"), F.col("cost")), 2)
     return r9(spark, d).join(cost, "group_id").select("group_id", price.alias("elastic_price"), F.when(price.isNotNull(), "elasticity").otherwise("none").alias("source"))
+
+
+def levels(lines, key, a, b):
+    q = F.sum("qty").cast("double")
+    return sales.window(lines, a, b).groupBy(key).agg(q.alias("qty"), (F.sum("amount").cast("double") / q).alias("price"))
+
+
+@P.add("r12_elasticity_direction")
+def r12(spark, d):
+    """Fits of products and of groups before a day against what price and quantity did after it: a row each."""
+    lines = valid(spark, d)
+    out = None
+    for level, key in (("product", "product_id"), ("group", "group_id")):
+        past_ = sales.window(lines, "1995-01-01", "1999-01-01")
+        fits = el.elasticity(sales.panel_cells(past_) if key == "product_id" else group_cells(spark, d, past_), key)
+        row = el.backtest(fits, levels(lines, key, "1998-01-01", "1999-01-01"), levels(lines, key, "1999-01-01", END), key)
+        row = row.select(F.lit(level).alias("level"), "*")
+        out = row if out is None else out.unionByName(row)
+    return out
