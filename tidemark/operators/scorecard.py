@@ -11,10 +11,11 @@ from pyspark.ml.classification import GBTClassifier, LogisticRegression
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import IsotonicRegression
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.operators import ranking
+from tidemark.sources.sinks import checkpointed
 
 WOE_CLIP, LEAST_SHARE, LEAST_ROWS, ZERO_SHARE = 4.0, 0.03, 20, 0.30
 #: The points scale and the bands by probability of default.
@@ -169,6 +170,9 @@ def card_from(table: DataFrame) -> dict:
     return {**scale, "bands": {k[5:]: v for k, v in head.items() if k.startswith("band_")}, "features": features}
 
 
+FOLD_BUCKETS = 256
+
+
 def fold_of(key: str, k: int) -> Column:
     """The fold of a client, so that all its rows fall together."""
     return F.pmod(F.xxhash64(key), F.lit(k)).cast("int")
@@ -182,9 +186,27 @@ def fit_trees(df: DataFrame, features: list[str], label: str, rounds: int = 20,
     return lambda t: model.transform(assembler.transform(numbers(t))).withColumn("p", vector_to_array("probability")[1]).drop("_x", "rawPrediction", "probability", "prediction", *[f"_f{i}" for i in range(len(features))])
 
 
-def out_of_fold(df: DataFrame, key: str, k: int, fit) -> DataFrame:
-    """df with `p` by models that did not see the row's fold; fit(train) gives a function that adds p."""
-    parts = [fit(df.where(fold_of(key, k) != i))(df.where(fold_of(key, k) == i)).withColumn("fold", F.lit(i)) for i in range(k)]
+def stratified_folds(df: DataFrame, key: str, label: str, k: int) -> DataFrame:
+    """(key, fold): clients dealt to k folds so that all rows of one fall together and rows and positives are even.
+
+    Clients go in turn, those with most positives first, then those with most rows; the turn's direction changes each round, so no
+    fold always gets the larger one, and folds differ in positives by those of one client at most. The place in that order is a count of the classes and key buckets before, one row each,
+    and a rank inside a bucket; so no task orders all clients. Null labels count as 0; null keys are one client.
+    """
+    groups = df.groupBy(key).agg(F.coalesce(F.sum(F.col(label).cast("long")), F.lit(0)).alias("_pos"), F.count(F.lit(1)).alias("_n"))
+    groups = checkpointed(groups.withColumn("_b", F.coalesce(F.pmod(F.col(key).cast("long"), F.lit(FOLD_BUCKETS)), F.lit(0))))
+    order = [F.desc("_pos"), F.desc("_n"), F.col("_b")]
+    counts = groups.groupBy("_pos", "_n", "_b").agg(F.count(F.lit(1)).alias("_c"))
+    before = counts.select("_pos", "_n", "_b", (F.sum("_c").over(Window.orderBy(*order)) - F.col("_c")).alias("_before"))
+    place = F.col("_before") + F.row_number().over(Window.partitionBy("_pos", "_n", "_b").orderBy(key)) - 1
+    at, turn = F.pmod(place, F.lit(k)), F.floor(place / k) % 2
+    return groups.join(F.broadcast(before), ["_pos", "_n", "_b"]).select(key, F.when(turn == 0, at).otherwise(k - 1 - at).cast("int").alias("fold"))
+
+
+def out_of_fold(df: DataFrame, key: str, k: int, fit, fold: Column | None = None) -> DataFrame:
+    """df with `p` by models that did not see the row's fold; fit(train) gives a function that adds p. fold is by hash of key if not given."""
+    own = fold_of(key, k) if fold is None else fold
+    parts = [fit(df.where(own != i))(df.where(own == i)).withColumn("fold", F.lit(i)) for i in range(k)]
     out = parts[0]
     for part in parts[1:]:
         out = out.unionByName(part)

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.columns import computed_once, inv_norm_cdf
+from tidemark.operators.asof import first_at
 from tidemark.operators.quantiles import grouped_quantiles
 from tidemark.operators.ranking import bucket_of, range_cuts
 from tidemark.sources.sinks import checkpointed
@@ -80,6 +81,27 @@ def inventory_position(on_hand: DataFrame, reserved: DataFrame, on_order: DataFr
     return df.select("product_id", "on_hand", "reserved", "on_order", (F.col("on_hand") - F.col("reserved") + F.col("on_order")).alias("position"))
 
 
+def ledger(movements: DataFrame, keys: list[str]) -> DataFrame:
+    """Balances as validity intervals (keys, since, until, qty, value) of signed movements (keys, day, qty, value).
+
+    A balance holds from its day up to the next day with a movement, which until excludes; the last one's is null. Movements
+    without a day or key are left out. Decimals sum exactly. A key's rows are as many as days.
+    """
+    daily = movements.dropna(subset=[*keys, "day"]).groupBy(*keys, "day").agg(F.sum("qty").alias("qty"), F.sum("value").alias("value"))
+    order = Window.partitionBy(*keys).orderBy("day")
+    upto = order.rowsBetween(Window.unboundedPreceding, 0)
+    return daily.select(*keys, F.col("day").alias("since"), F.lead("day").over(order).alias("until"), *[F.sum(c).over(upto).alias(c) for c in ("qty", "value")])
+
+
+def balances_at(book: DataFrame, keys: list[str], dates: list[str]) -> DataFrame:
+    """(keys, as_of, qty, value) at each of the ascending dates, from intervals; balances of nothing are left out. An interval is
+    looked up by its ends, so the dates cost no join."""
+    first, last = first_at(F.col("since"), dates), first_at(F.col("until"), dates)
+    held = book.where("qty <> 0 or value <> 0").withColumns({"_a": first, "_b": last}).where("_a < _b")
+    names = F.array(*[F.lit(d) for d in dates])
+    return held.withColumn("_i", F.explode(F.sequence("_a", F.col("_b") - 1))).select(*keys, F.get(names, F.col("_i")).cast("date").alias("as_of"), "qty", "value")
+
+
 def learned_factors(feedback: DataFrame, least: int = FACTOR_LEAST) -> DataFrame:
     """(producer_id, abc, factor, n): the median of final over suggested quantity, clamped, from `least` changes on."""
     feedback = checkpointed(feedback.select("producer_id", "abc", "ratio"))

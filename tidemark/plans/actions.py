@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.columns import saturation
-from tidemark.operators import actions as ac, ranking, reco, sales
+from tidemark.operators import actions as ac, payloads as pl, ranking, reco, sales
 from tidemark.plans import risk
 from tidemark.plans.base import Plans
 from tidemark.plans.sales import END, past, valid, year
@@ -383,3 +383,46 @@ def n22(spark, d):
 @P.add("w10_backlog_trim", "SELECT manager_id, client_id, task_type, rank FROM inbox WHERE rank > 40 AND urgency IN ('normal', 'low')", **TASKS)
 def w10(spark, d):
     return ac.inbox(tasks(spark, d)).where((F.col("rank") > 40) & F.col("urgency").isin("normal", "low")).select("manager_id", "client_id", "task_type", "rank")
+
+
+def payload_tasks(spark, d):
+    """The task log's events as tasks with a payload: products k and k + 2 and one without an id; every tenth payload is cut off."""
+    log = logged(spark, d)
+    k = F.substring_index("task_key", ":", -1)
+    text = F.concat(F.lit('{"products": [{"product_id": '), k, F.lit(', "score": 0.5}, {"product_id": "'), (k.cast("int") + 2).cast("string"), F.lit('"}, {"score": 0.1}], "note": "x"}'))
+    payload = F.when(k.cast("int") % 10 == 0, F.substring(text, 1, 30)).when(k.cast("int") % 11 == 0, None).otherwise(text)
+    return log.select("event_id", "client_id", "task_type", F.col("kind").alias("status"), F.when(F.col("kind") == "done", F.col("amount") > 250).alias("sold"), F.col("at").alias("updated_at"), payload.alias("payload"))
+
+
+PAYLOADS = {
+    "logged": TASKS["logged"],
+    "payloads": "SELECT client_id, task_type, event_type, value, \"at\", k, CASE WHEN k % 10 = 0 THEN 'corrupt' WHEN k % 11 = 0 THEN 'none' ELSE 'good' END AS state FROM (SELECT l.*, e.value FROM logged l JOIN (SELECT user_id, ts, event_type, value, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events) e ON e.user_id = l.user_id AND e.ts = l.\"at\" AND e.event_type = l.event_type AND e.k = l.k)",
+}
+
+
+@P.add("f7_payload_states", "SELECT task_type, count(*) AS n, CAST(count(*) FILTER (state = 'corrupt') AS BIGINT) AS corrupt, CAST(count(*) FILTER (state = 'none') AS BIGINT) AS without, CAST(count(*) FILTER (state = 'good') * 3 AS BIGINT) AS products FROM payloads GROUP BY 1", **PAYLOADS)
+def f7_states(spark, d):
+    """How payloads parse: by type, those that do not, those that are missing, and the entries of the others."""
+    df = pl.parsed(payload_tasks(spark, d), "payload", pl.PRODUCTS)
+    n = lambda c: F.sum(F.coalesce(c, F.lit(0)).cast("long"))
+    return df.groupBy("task_type").agg(F.count(F.lit(1)).alias("n"), n(F.col("corrupt").isNotNull().cast("int")).alias("corrupt"), n(F.col("payload").isNull().cast("int")).alias("without"), n(F.when(F.col("parsed").isNotNull(), F.size("parsed.products"))).alias("products"))
+
+
+@P.add(
+    "f7_cross_sell_negatives",
+    """SELECT DISTINCT client_id, product_id FROM (SELECT client_id, unnest([k, k + 2]) AS product_id FROM payloads WHERE state = 'good' AND task_type = 'cross_sell' AND "at" >= TIMESTAMP '2024-04-10' - INTERVAL 90 DAY AND (event_type NOT IN ('signup', 'view', 'click', 'purchase') OR (event_type = 'purchase' AND NOT CAST(value AS DECIMAL(18,2)) > 250)))""",
+    **PAYLOADS,
+)
+def f7_negatives(spark, d):
+    return pl.cross_sell_negatives(payload_tasks(spark, d), "2024-04-10 00:00:00")
+
+
+@P.add(
+    "f7_signals_json",
+    """SELECT client_id, task_type, '{"urgency":"' || urgency || '","rank":' || rank || '}' AS signals FROM inbox WHERE rank <= 20""",
+    **TASKS,
+)
+def f7_signals(spark, d):
+    """Signals of the first tasks of each manager as JSON text."""
+    top = ac.inbox(tasks(spark, d)).where("rank <= 20")
+    return pl.as_json(top, ["urgency", "rank"], "signals").select("client_id", "task_type", "signals")

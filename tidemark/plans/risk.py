@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
+import uuid
 
 from pyspark.sql import functions as F
 
@@ -11,7 +12,8 @@ from tidemark.operators.asof import first_at, shifted, totals_at
 from tidemark.plans.base import Plans
 from tidemark.plans.sales import END, past, valid, year
 from tidemark.sources import canonical as c
-from tidemark.sources.sinks import checkpointed
+from tidemark.sources.published import publish, read_published
+from tidemark.sources.sinks import checkpointed, shared_dir
 
 P = Plans()
 T = {
@@ -471,9 +473,11 @@ def e8(spark, d):
 
 @P.add("e7_s5_score_by_model_table")
 def e7(spark, d):
-    """The fitted card written as a model table, read back and applied: probability, points and band of every buyer."""
+    """The fitted card published as a version of the model table, read back pinned to it and applied: probability, points and band."""
     m, card = fitted(spark, d)
-    read = sc.card_from(checkpointed(sc.card_rows(spark, card)))
+    path = f"{shared_dir(spark)}/{spark.sparkContext.applicationId}/card-{uuid.uuid4().hex}"
+    version = publish(sc.card_rows(spark, card), path)
+    read = sc.card_from(read_published(spark, path, version))
     return rk.apply_scorecard(m, read).select("client_id", F.round("pd", 6).alias("pd"), "score", "band", F.col("contributions")[0]["feature"].alias("leading"))
 
 
@@ -569,12 +573,32 @@ def halves(spark, d):
     return rows, rows.where("vintage < date'1997-10-12'"), rows.where("vintage >= date'1997-10-12'")
 
 
+POOL = """SELECT client_id, label FROM (SELECT m, client_id, sum(eur) FILTER (created <= m) AS total, coalesce(sum(eur) FILTER (created <= m AND od >= 180), 0) AS severe, CAST(coalesce(sum(eur) FILTER (od + 180 >= 180), 0) >= 100 AS INTEGER) AS label FROM
+      (SELECT dates.m, d.client_id, d.created, d.eur, date_diff('day', d.created, dates.m) - grace_days AS od FROM dates JOIN (SELECT d.*, CAST(d.total AS DOUBLE) * coalesce(f.rate, 1.0::DOUBLE) AS eur FROM debt_lines d ASOF LEFT JOIN fx_rates f ON d.currency_id = f.currency_id AND d.created >= f.valid_from) d ON d.created <= dates.m + 180 JOIN agreements a ON a.client_id = d.client_id)
+      GROUP BY 1, 2) WHERE total > 0 AND severe < 100"""
+
+
+@P.add(
+    "e14_fold_sizes",
+    """SELECT fold, count(*) AS clients, CAST(sum(n) AS BIGINT) AS n_rows, CAST(sum(pos) AS BIGINT) AS positives, round(sum(pos) / sum(n), 6) AS rate FROM (SELECT n, pos, CAST(CASE WHEN (place // 5) % 2 = 0 THEN place % 5 ELSE 4 - place % 5 END AS INTEGER) AS fold FROM
+      (SELECT n, pos, row_number() OVER (ORDER BY pos DESC, n DESC, client_id % 256, client_id) - 1 AS place FROM (SELECT client_id, count(*) AS n, sum(label) AS pos FROM pool GROUP BY 1))) GROUP BY 1""",
+    dates=VINTAGES,
+    pool=POOL,
+)
+def e14_sizes(spark, d):
+    """Clients, rows, positives and rate of each stratified fold of the vintages."""
+    rows = checkpointed(vintages(spark, d).select("client_id", "label"))
+    both = rows.join(sc.stratified_folds(rows, "client_id", "label", 5), "client_id")
+    return both.groupBy("fold").agg(F.countDistinct("client_id").alias("clients"), F.count(F.lit(1)).alias("n_rows"), F.sum("label").cast("long").alias("positives"), F.round(F.avg("label"), 6).alias("rate"))
+
+
 @P.add("e14_folds_and_penalties")
 def e14(spark, d):
-    """Grouped folds by client over all vintages, then penalties tried on the early half and tested on the later one."""
+    """Stratified folds by client over all vintages, then all penalties tried on the early half and tested on the later one."""
     rows, early, late = halves(spark, d)
-    grouped = metrics(sc.out_of_fold(rows, "client_id", 3, by_card(BEHAVIOUR)), "grouped folds").withColumns({"penalty": F.lit("l2"), "c": F.lit(0.5)})
-    sweep = [metrics(by_card(BEHAVIOUR, c_, l1)(early)(late), "later half").withColumns({"penalty": F.lit("l1" if l1 else "l2"), "c": F.lit(c_)}) for l1 in (False, True) for c_ in (0.05, 0.5, 2.0)]
+    dealt = checkpointed(rows.join(sc.stratified_folds(rows, "client_id", "label", 5), "client_id"))
+    grouped = metrics(sc.out_of_fold(dealt, "client_id", 5, by_card(BEHAVIOUR), F.col("fold")), "stratified folds").withColumns({"penalty": F.lit("l2"), "c": F.lit(0.5)})
+    sweep = [metrics(by_card(BEHAVIOUR, c_, l1)(early)(late), "later half").withColumns({"penalty": F.lit("l1" if l1 else "l2"), "c": F.lit(c_)}) for l1 in (False, True) for c_ in (0.05, 0.1, 0.25, 0.5, 1.0, 2.0)]
     return union([grouped, *sweep])
 
 

@@ -100,6 +100,21 @@ def a10(spark, d):
     return sales.stock_by_product(c.stock_lots(spark, d))
 
 
+STOCK_DAYS = [f"{1998 + k // 12}-{k % 12 + 1:02d}-01" for k in range(6, 25)]
+
+
+@P.add(
+    "a10_on_hand_by_month",
+    "SELECT product_id, CAST(day AS VARCHAR) AS as_of, CAST(sum(qty) AS DOUBLE) AS qty_on_hand, CAST(sum(value) AS DOUBLE) AS eur_value FROM lots JOIN (SELECT CAST(DATE '1998-07-01' + to_months(CAST(i AS INTEGER)) AS DATE) AS day FROM range(0, 19) t(i)) ON received < day AND received + INTERVAL 12 MONTH >= day GROUP BY 1, 2",
+)
+def a10_month(spark, d):
+    """Stock at past dates from the lot ledger: receipts and issues, their running balances, and a look-up for each month."""
+    from tidemark.operators import supply as g
+
+    book = g.ledger(c.lot_movements(spark, d), ["product_id"])
+    return g.balances_at(book, ["product_id"], STOCK_DAYS).select("product_id", F.col("as_of").cast("string").alias("as_of"), F.col("qty").cast("double").alias("qty_on_hand"), F.col("value").cast("double").alias("eur_value"))
+
+
 @P.add(
     "a11_sellable_and_reserved",
     "SELECT coalesce(o.product_id, r.product_id) AS product_id, coalesce(on_hand, 0.0::DOUBLE) AS on_hand, coalesce(reserved, 0.0::DOUBLE) AS reserved FROM onh o FULL JOIN res r ON o.product_id = r.product_id",

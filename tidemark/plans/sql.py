@@ -18,6 +18,8 @@ TABLES = {
       CAST(o_orderdate AS DATE) + CAST((date_diff('day', CAST(o_orderdate AS DATE), CAST(l_shipdate AS DATE)) % 121 + 121) % 121 AS INTEGER) AS arrived
       FROM lineitem JOIN orders ON l_orderkey = o_orderkey""",
     "supply_lines": """SELECT *, 'ordered' AS kind FROM supply_base UNION ALL BY NAME SELECT * REPLACE (arrived AS event_date), 'received' AS kind FROM supply_base WHERE arrived >= event_date""",
+    "lots": """SELECT l_partkey AS product_id, CAST(l_shipdate AS DATE) AS received, CAST(l_quantity AS DECIMAL(18,2)) AS qty, CAST(CAST(l_extendedprice AS DECIMAL(18,2)) * CAST('0.70' AS DECIMAL(3,2)) AS DECIMAL(20,4)) AS value
+      FROM lineitem WHERE l_returnflag = 'A' AND l_linestatus = 'O' AND l_partkey NOT IN (1) AND (CASE WHEN l_discount = 0.10::DOUBLE THEN 1 ELSE 2 END) <> 1""",
     "stock_lots": """SELECT l_orderkey * 10 + l_linenumber AS lot_id, l_partkey AS product_id, CAST(l_quantity AS DECIMAL(18,2)) AS qty,
       CAST(CAST(l_extendedprice AS DECIMAL(18,2)) * CAST('0.70' AS DECIMAL(3,2)) AS DECIMAL(20,4)) AS value, l_extendedprice * 0.7::DOUBLE / l_quantity AS unit_cost,
       CASE WHEN l_discount = 0.10::DOUBLE THEN 1 WHEN l_discount > 0 THEN 2 END AS doc_type FROM lineitem

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
+import uuid
 
 from pyspark.sql import functions as F
 
@@ -14,7 +15,8 @@ from tidemark.plans.base import Plans
 from tidemark.plans.sql import sql
 from tidemark.plans.sales import END, valid
 from tidemark.sources import canonical as c
-from tidemark.sources.sinks import checkpointed, seed_terms
+from tidemark.sources.published import publish, read_published, upsert_derived
+from tidemark.sources.sinks import checkpointed, seed_terms, shared_dir
 
 P = Plans()
 #: Days before a plan's date: of orders, costs, prices and classes, of demand, of open reservations.
@@ -98,7 +100,7 @@ def plan_sql(as_of: str) -> dict[str, str]:
     return {
         "daily": f"SELECT product_id, created, CAST(sum(qty) AS DOUBLE) AS u FROM valid_sales WHERE created >= DATE '{before(as_of, DEMAND)}' AND created < DATE '{as_of}' GROUP BY 1, 2",
         "demand": "SELECT product_id, sum(u) / 120 AS mean_daily, sqrt(greatest(sum(u * u) / 120 - (sum(u) / 120) * (sum(u) / 120), 0.0::DOUBLE)) AS std_daily FROM daily GROUP BY 1",
-        "onh": "SELECT product_id, CAST(sum(qty) AS DOUBLE) AS on_hand FROM stock_lots GROUP BY 1",
+        "onh": f"SELECT product_id, CAST(sum(qty) AS DOUBLE) AS on_hand FROM lots WHERE received < DATE '{as_of}' AND received + INTERVAL 12 MONTH >= DATE '{as_of}' GROUP BY 1",
         "res": f"SELECT product_id, CAST(sum(qty) AS DOUBLE) AS reserved FROM valid_sales WHERE line_status = 'O' AND return_flag = 'N' AND created >= DATE '{before(as_of, RESERVED)}' AND created < DATE '{as_of}' GROUP BY 1",
         "opened": f"""SELECT product_id, CAST(sum(CASE WHEN kind = 'ordered' THEN qty ELSE -qty END) AS DOUBLE) AS on_order FROM supply_lines WHERE event_date < DATE '{as_of}' GROUP BY 1 HAVING sum(CASE WHEN kind = 'ordered' THEN qty ELSE -qty END) > 0.001""",
         "classes": f"""SELECT product_id, sale, CASE WHEN before / total < 0.80 THEN 'A' WHEN before / total < 0.95 THEN 'B' ELSE 'C' END AS abc FROM
@@ -126,8 +128,9 @@ PLAN = plan_sql(END)
 
 
 def position(spark, d, as_of=END):
-    """Stock on hand is what it is now, whatever the date; reservations and open orders are those of the date."""
-    on_hand = c.stock_lots(spark, d).groupBy("product_id").agg(F.sum("qty").cast("double").alias("on_hand"))
+    """Stock on hand, reservations and open orders of the date; stock is what the lot ledger says then."""
+    book = g.ledger(c.lot_movements(spark, d), ["product_id"])
+    on_hand = g.balances_at(book, ["product_id"], [as_of]).select("product_id", F.col("qty").cast("double").alias("on_hand"))
     held = sales.window(valid(spark, d).where("line_status = 'O' and return_flag = 'N'"), before(as_of, RESERVED), as_of)
     return g.inventory_position(on_hand, held.groupBy("product_id").agg(F.sum("qty").cast("double").alias("reserved")), sale_plans.a12(spark, d, as_of))
 
@@ -155,6 +158,21 @@ def items(spark, d, as_of=END):
     return df.join(terms(spark, d), ["producer_id", "product_id"], "left").join(factors, ["producer_id", "abc"], "left")
 
 
+@P.add(
+    "s6_published_terms",
+    """SELECT producer_id, product_id, CASE WHEN product_id % 10 = 0 THEN 12.0::DOUBLE ELSE moq END AS moq, CASE WHEN product_id % 10 = 0 THEN 'curated' ELSE 'derived' END AS source FROM
+      (SELECT l_suppkey AS producer_id, l_partkey AS product_id, CAST(min(l_quantity) AS DOUBLE) AS moq, count(*) AS n FROM lineitem GROUP BY 1, 2) WHERE n >= 2 OR product_id % 10 = 0""",
+)
+def s6_terms(spark, d):
+    """Terms as a published table: curated ones first, then what history gives is put in, twice; curated rows stay."""
+    path = f"{shared_dir(spark)}/{spark.sparkContext.applicationId}/terms-{uuid.uuid4().hex}"
+    publish(c.curated_terms(spark, d).withColumn("source", F.lit("curated")), path)
+    seen = checkpointed(a19(spark, d).select("producer_id", "product_id", "moq", F.lit(None).cast("double").alias("multiple")))
+    for part in (seen.withColumn("moq", F.col("moq") + 1), seen):
+        upsert_derived(part, path, ["producer_id", "product_id"])
+    return read_published(spark, path).select("producer_id", "product_id", "moq", "source")
+
+
 @P.add("g1_inventory_position", "SELECT coalesce(o.product_id, r.product_id, n.product_id) AS product_id, coalesce(on_hand, 0) AS on_hand, coalesce(reserved, 0) AS reserved, coalesce(on_order, 0) AS on_order, coalesce(on_hand, 0) - coalesce(reserved, 0) + coalesce(on_order, 0) AS position FROM onh o FULL JOIN res r ON o.product_id = r.product_id FULL JOIN opened n ON n.product_id = coalesce(o.product_id, r.product_id)", **RATE, **PLAN)
 def g1(spark, d):
     return position(spark, d)

@@ -79,24 +79,36 @@ def supply_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ordered.unionByName(received)
 
 
-def stock_lots(spark: SparkSession, sf_dir: str, exclude_doc_type: int | None = DEBT_IMPORT) -> DataFrame:
-    """Sellable lots: product, quantity left, unit cost and origin document. A lot without an origin counts as stock.
-
-    Lots of the year before AS_OF are left; older ones are sold.
-    """
-    left = half_open(F.to_date("l_shipdate"), "1999-01-01", AS_OF)
-    lots = read(spark, sf_dir, "lineitem").where("l_returnflag = 'A' and l_linestatus = 'O'").where(left).select(
+def lots(spark: SparkSession, sf_dir: str, exclude_doc_type: int | None = DEBT_IMPORT) -> DataFrame:
+    """Sellable lots of all times: the day received, product, quantity, value, unit cost and origin document. A lot without an
+    origin counts as stock."""
+    all_lots = read(spark, sf_dir, "lineitem").where("l_returnflag = 'A' and l_linestatus = 'O'").select(
         (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("lot_id"),
         F.col("l_partkey").alias("product_id"),
+        F.to_date("l_shipdate").alias("received"),
         F.col("l_quantity").cast("decimal(18,2)").alias("qty"),
         (F.col("l_extendedprice").cast("decimal(18,2)") * F.lit("0.70").cast("decimal(3,2)")).cast("decimal(20,4)").alias("value"),
         (F.col("l_extendedprice") * 0.7 / F.col("l_quantity")).alias("unit_cost"),
         F.when(F.col("l_discount") == 0.10, 1).when(F.col("l_discount") > 0.0, 2).alias("doc_type"),
     )
-    real = lots.where(~F.col("product_id").isin(*SYNTHETIC_IDS))
+    real = all_lots.where(~F.col("product_id").isin(*SYNTHETIC_IDS))
     return real if exclude_doc_type is None else real.where(F.col("doc_type").isNull() | (F.col("doc_type") != exclude_doc_type))
 
 
+def stock_lots(spark: SparkSession, sf_dir: str, exclude_doc_type: int | None = DEBT_IMPORT) -> DataFrame:
+    """Lots with stock at AS_OF: those of the year before; older ones are sold."""
+    return lots(spark, sf_dir, exclude_doc_type).where(half_open(F.col("received"), "1999-01-01", AS_OF)).drop("received")
+
+
+def lot_movements(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Receipts and issues of lots as signed rows (product_id, day, kind, qty, value): a lot is in stock from the day after it is
+    received, and is issued a year later."""
+    every = lots(spark, sf_dir)
+    sides = [("receipt", F.date_add("received", 1), 1), ("issue", F.date_add(F.add_months("received", 12), 1), -1)]
+    moves = F.array(*[F.struct(day.alias("day"), F.lit(kind).alias("kind"), (F.col("qty") * sign).alias("qty"), (F.col("value") * sign).alias("value")) for kind, day, sign in sides])
+    return every.select("product_id", F.explode(moves).alias("m")).select("product_id", "m.*")
+
+
 def return_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Returned lines by their own date; the same (return, line) can appear more than once."""
     return sale_lines(spark, sf_dir).where("return_flag = 'R'").select(
