@@ -143,18 +143,19 @@ def neighbour_items(similar: DataFrame, pairs: DataFrame, item: str, least: int
     return scored.join(pairs, ["client_id", item], "left_anti").select("client_id", item, "score")
 
 
-def together(pairs: DataFrame, item: str, most: int = BLOCK) -> DataFrame:
-    """(seed, cand, co): for every two items, also an item with itself, the clients that have both. pairs has each (client_id, item) once.
+def together(pairs: DataFrame, item: str, by: list[str] | None = None, most: int = BLOCK) -> DataFrame:
+    """(by, seed, cand, co): for every two items, also an item with itself, the clients that have both. pairs has each (by, client_id, item) once.
 
     A basket meets itself in blocks: one of n items is dealt to n / most blocks by item, and each two of its blocks are a key of
     their own. So no key makes more than about most ** 2 pairs, however large a basket is, and small ones are not copied.
     """
-    sizes = pairs.groupBy("client_id").agg(F.ceil(F.count(F.lit(1)) / most).cast("int").alias("_n"))
-    dealt = pairs.join(sizes, "client_id").withColumn("_own", F.pmod(F.xxhash64(item), F.col("_n")).cast("int"))
+    by = by or []
+    sizes = pairs.groupBy(*by, "client_id").agg(F.ceil(F.count(F.lit(1)) / most).cast("int").alias("_n"))
+    dealt = pairs.join(sizes, [*by, "client_id"]).withColumn("_own", F.pmod(F.xxhash64(item), F.col("_n")).cast("int"))
     every = F.explode(F.sequence(F.lit(0), F.col("_n") - 1))
-    a = dealt.select("client_id", F.col(item).alias("seed"), F.col("_own").alias("_a"), every.alias("_b"))
-    b = dealt.select("client_id", F.col(item).alias("cand"), every.alias("_a"), F.col("_own").alias("_b"))
-    return a.join(b, ["client_id", "_a", "_b"]).groupBy("seed", "cand").agg(F.count(F.lit(1)).alias("co"))
+    a = dealt.select(*by, "client_id", F.col(item).alias("seed"), F.col("_own").alias("_a"), every.alias("_b"))
+    b = dealt.select(*by, "client_id", F.col(item).alias("cand"), every.alias("_a"), F.col("_own").alias("_b"))
+    return a.join(b, [*by, "client_id", "_a", "_b"]).groupBy(*by, "seed", "cand").agg(F.count(F.lit(1)).alias("co"))
 
 
 def co_purchase(pairs: DataFrame, item: str, least: int = 2, itself: bool = False) -> DataFrame:

@@ -10,7 +10,8 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.columns import saturation
-from tidemark.operators import actions as ac, pricing as pr, risk as rk, sales, scorecard as sc, supply
+from tidemark.operators import actions as ac, pricing as pr, reco, risk as rk, sales, scorecard as sc, supply
+from tidemark.operators.asof import first_at, totals_at
 from tidemark.operators.ranking import first_per
 from tidemark.plans import actions, reco as reco_plans, risk
 from tidemark.plans.base import Plans
@@ -76,61 +77,74 @@ INPUTS = ["monetary", "recency_days", "order_count", *[f"is_{t}" for t in ac.SIG
 
 
 def training_rows(spark, d, snapshots=SNAPSHOTS):
-    """Candidates of the four types at each snapshot with features of the day and outcomes of the 60 days after.
+    """Candidates of all types at each snapshot with features, signals, label and the old priority.
 
-    The snapshot is a column: each table is joined once with the few snapshots, and all of them advance together.
+    Every table is read once: what a client has at a snapshot are totals of what has entered and left by then, and labels are
+    totals of what enters when its outcome window opens and leaves when the window has passed it.
     """
-    m = F.broadcast(spark.createDataFrame([(x,) for x in snapshots], "m string").select(F.to_date("m").alias("m")))
+    n, created, one = len(snapshots), F.col("created"), F.lit(1).cast("long")
     last = F.date_add(F.lit(snapshots[-1]).cast("date"), ac.OUTCOME_DAYS)
-    lines = checkpointed(valid(spark, d).where(F.col("created") <= last).select("client_id", "group_id", "order_id", "created", "amount"))
-    seen = checkpointed(lines.join(m, F.col("created") < F.col("m")))
-    after = lines.join(m, (F.col("created") > F.col("m")) & (F.col("created") <= F.date_add("m", ac.OUTCOME_DAYS)))
-    bought = after.select("m", "client_id", "group_id").distinct().withColumn("hit", F.lit(1))
-    ordered = after.select("m", "client_id").distinct().withColumn("hit", F.lit(1))
+    at = lambda days, day=created: first_at(F.date_add(day, days), snapshots)
+    grid = F.broadcast(spark.createDataFrame(list(enumerate(snapshots)), "date_index int, m string").withColumn("m", F.to_date("m")))
+    lines = checkpointed(valid(spark, d).where(created <= last).select("client_id", "group_id", "order_id", "created", "amount"))
+
+    orders = lines.groupBy("client_id", "order_id", "created").agg(F.sum("amount").alias("amount"))
+    totals = totals_at(orders, ["client_id"], n, {"a0": (F.col("amount"), at(1)), "a1": (F.col("amount"), at(366)), "o0": (one, at(1)), "o90": (one, at(91)), "o184": (one, at(185)), "o365": (one, at(366))}, highs={"last": (created, at(1))})
+    totals = checkpointed(totals.fillna(0, ["a1", "o90", "o184", "o365"]).join(grid, "date_index").withColumn("silence_days", F.datediff("m", "last")))
+    lots = lines.select("client_id", "group_id", "order_id", "created").distinct()
+    per = checkpointed(totals_at(lots, ["client_id", "group_id"], n, {"n_orders": (one, at(1))}, {"a": (created, at(1))}, {"b": (created, at(1))}))
+    ahead = lambda keys: totals_at(lines.select(*keys, "created").distinct(), keys, n, {"h0": (one, at(-ac.OUTCOME_DAYS)), "h1": (one, at(0))}).where("h0 > coalesce(h1, 0)").select("date_index", *keys, F.lit(1).alias("hit"))
+    bought = checkpointed(ahead(["client_id", "group_id"]))
+    item = ["date_index", "client_id", "group_id"]
 
-    per = seen.groupBy("m", "client_id", "group_id").agg(F.countDistinct("order_id").alias("n_orders"), F.min("created").alias("a"), F.max("created").alias("b")).where("n_orders >= 3 and b > a")
     cycle, gone = F.greatest(F.datediff("b", "a") / (F.col("n_orders") - 1), F.lit(7.0)), F.datediff("m", "b")
-    due = per.select("m", "client_id", "group_id", "n_orders", cycle.alias("cycle_days"), gone.alias("elapsed_days")).where("elapsed_days between cycle_days and 3 * cycle_days")
-    reorder = due.join(bought, ["m", "client_id", "group_id"], "left").withColumns({"task_type": F.lit("reorder_due"), "overdue_ratio": F.col("elapsed_days") / F.col("cycle_days"), "u": ac.reorder_urgency(F.col("elapsed_days"), F.col("cycle_days"))})
-
-    eur = lambda t, day: rk.to_eur(t, c.fx_rates(spark), "total" if "total" in t.columns else "amount", day, "eur")
-    owed = eur(c.debt_lines(spark, d).where(F.col("created") <= last), "created").join(c.agreements(spark, d).select("client_id", "grace_days"), "client_id").join(m, F.col("created") <= F.col("m"))
-    age = F.datediff("m", "created")
-    debt = owed.where((age > F.col("grace_days")) & (age <= 365)).groupBy("m", "client_id").agg(F.sum("eur").alias("overdue_amount"), F.max(age - F.col("grace_days")).alias("days_past_terms"), F.max(age).alias("max_overdue_days"), F.count(F.lit(1)).alias("debt_lines")).where("overdue_amount >= 10")
-    paid = eur(c.payments(spark, d).where(F.col("from_date") <= last), "from_date").join(m, (F.col("from_date") > F.col("m")) & (F.col("from_date") <= F.date_add("m", ac.OUTCOME_DAYS))).groupBy("m", "client_id").agg(F.sum("eur").alias("paid"))
-    debt = debt.join(paid, ["m", "client_id"], "left").withColumns({"task_type": F.lit("debt_followup"), "hit": (F.coalesce("paid", F.lit(0.0)) >= ac.PAYDOWN * F.col("overdue_amount")).cast("int"), "u": ac.debt_urgency(F.col("days_past_terms"))}).drop("paid")
-
-    orders = seen.select("m", "client_id", "order_id", "created").distinct()
-    new, old = age <= 90, (age > 90) & (age <= 365)
-    churn = orders.groupBy("m", "client_id").agg(F.sum(new.cast("long")).alias("recent_orders"), F.sum(old.cast("long")).alias("prior_orders"), F.min(age).alias("silence_days")).where("prior_orders >= 2 and recent_orders / 90 < 0.5 * (prior_orders / 275)")
-    churn = churn.join(ordered, ["m", "client_id"], "left").withColumns({"task_type": F.lit("churn_winback"), "drop_ratio": F.col("recent_orders") / F.col("prior_orders")})
+    due = per.where("n_orders >= 3 and b > a").join(grid, "date_index").select(*item, "n_orders", cycle.alias("cycle_days"), gone.alias("elapsed_days")).where("elapsed_days between cycle_days and 3 * cycle_days")
+    reorder = due.join(bought, item, "left").withColumns({"task_type": F.lit("reorder_due"), "overdue_ratio": F.col("elapsed_days") / F.col("cycle_days"), "u": ac.reorder_urgency(F.col("elapsed_days"), F.col("cycle_days"))})
+
+    eur = lambda t, amount, day: rk.to_eur(t, c.fx_rates(spark), amount, day, "eur").withColumn("eur", F.col("eur").cast("decimal(28,8)"))
+    owed = eur(c.debt_lines(spark, d).where(created <= last), "total", "created").join(c.agreements(spark, d).select("client_id", "grace_days"), "client_id")
+    owed = owed.groupBy("client_id", "grace_days", "created").agg(F.sum("eur").alias("eur"), F.count(F.lit(1)).alias("n"))
+    owed = owed.withColumns({"enters": first_at(F.date_add(created, F.col("grace_days") + 1), snapshots), "leaves": at(366)}).where("enters < leaves")
+    # The oldest line in the window is the one whose elders have left it; a row per day.
+    elder = F.lag("leaves").over(Window.partitionBy("client_id").orderBy("created"))
+    owed = checkpointed(owed.withColumn("leads", F.greatest("enters", elder)).withColumn("day", F.unix_date("created").cast("long")))
+    oldest = totals_at(owed.where("leads < leaves"), ["client_id"], n, {"d0": (F.col("day"), F.col("leads")), "d1": (F.col("day"), F.col("leaves"))})
+    debt = totals_at(owed, ["client_id"], n, {"e0": (F.col("eur"), F.col("enters")), "e1": (F.col("eur"), F.col("leaves")), "n0": (F.col("n"), F.col("enters")), "n1": (F.col("n"), F.col("leaves"))}).fillna(0, ["e1", "n1"]).where("n0 > n1")
+    debt = debt.join(oldest.fillna(0, ["d1"]), ["client_id", "date_index"]).join(grid, "date_index").join(c.agreements(spark, d).select("client_id", "grace_days"), "client_id")
+    age = F.datediff("m", F.date_from_unix_date((F.col("d0") - F.col("d1")).cast("int")))
+    debt = debt.select("date_index", "client_id", (F.col("e0") - F.col("e1")).cast("double").alias("overdue_amount"), (age - F.col("grace_days")).alias("days_past_terms"), age.alias("max_overdue_days"), (F.col("n0") - F.col("n1")).alias("debt_lines")).where("overdue_amount >= 10")
+    paid = eur(c.payments(spark, d).where(F.col("from_date") <= last), "amount", "from_date")
+    paid = totals_at(paid, ["client_id"], n, {"p0": (F.col("eur"), at(-ac.OUTCOME_DAYS, F.col("from_date"))), "p1": (F.col("eur"), at(0, F.col("from_date")))}).select("date_index", "client_id", (F.col("p0") - F.coalesce("p1", F.lit(0))).cast("double").alias("paid"))
+    debt = debt.join(paid, ["date_index", "client_id"], "left").withColumns({"task_type": F.lit("debt_followup"), "hit": (F.coalesce("paid", F.lit(0.0)) >= ac.PAYDOWN * F.col("overdue_amount")).cast("int"), "u": ac.debt_urgency(F.col("days_past_terms"))}).drop("paid")
+
+    churn = totals.select("date_index", "client_id", (F.col("o0") - F.col("o90")).alias("recent_orders"), (F.col("o90") - F.col("o365")).alias("prior_orders"), "silence_days").where("prior_orders >= 2 and recent_orders / 90 < 0.5 * (prior_orders / 275)")
+    churn = churn.join(ahead(["client_id"]), ["date_index", "client_id"], "left").withColumns({"task_type": F.lit("churn_winback"), "drop_ratio": F.col("recent_orders") / F.col("prior_orders")})
     churn = churn.withColumn("u", ac.churn_urgency(F.col("drop_ratio"), F.col("silence_days")))
 
-    own = seen.select("m", "client_id", "group_id").distinct()
-    degree = own.groupBy("m", "group_id").agg(F.count(F.lit(1)).alias("deg"))
-    side = lambda n: own.select("m", "client_id", F.col("group_id").alias(n))
-    deg = lambda n: degree.select("m", F.col("group_id").alias(n), F.col("deg").alias(f"d_{n}"))
-    co = side("seed").join(side("cand"), ["m", "client_id"]).where("seed <> cand").groupBy("m", "seed", "cand").agg(F.count(F.lit(1)).alias("co")).where("co >= 2")
-    sim = co.join(deg("seed"), ["m", "seed"]).join(deg("cand"), ["m", "cand"]).select("m", "seed", F.col("cand").alias("group_id"), (F.col("co") / F.sqrt(F.col("d_seed") * F.col("d_cand"))).alias("sim"))
-    score = side("seed").join(sim, ["m", "seed"]).groupBy("m", "client_id", "group_id").agg(F.sum("sim").alias("s")).join(own, ["m", "client_id", "group_id"], "left_anti")
-    score = score.withColumn("score", F.round(F.col("s") / F.max("s").over(Window.partitionBy("m", "client_id")), 9)).where("score >= 0.05")
-    active = seen.where(age <= 184).select("m", "client_id").distinct()
-    found = first_per(score.join(active, ["m", "client_id"], "left_semi"), ["m", "client_id"], [F.desc("score"), F.col("group_id")], 5).join(bought, ["m", "client_id", "group_id"], "left")
-    cross = found.groupBy("m", "client_id").agg(F.max("score").alias("top_score"), F.count(F.lit(1)).alias("reco_candidates"), F.max("hit").alias("hit")).withColumn("task_type", F.lit("cross_sell"))
+    own = per.select(*item)
+    degree = own.groupBy("date_index", "group_id").agg(F.count(F.lit(1)).alias("deg"))
+    deg = lambda name: degree.select("date_index", F.col("group_id").alias(name), F.col("deg").alias(f"d_{name}"))
+    co = reco.together(own, "group_id", ["date_index"]).where("seed <> cand and co >= 2")
+    sim = co.join(deg("seed"), ["date_index", "seed"]).join(deg("cand"), ["date_index", "cand"]).select("date_index", "seed", F.col("cand").alias("group_id"), (F.col("co") / F.sqrt(F.col("d_seed") * F.col("d_cand"))).alias("sim"))
+    score = own.withColumnRenamed("group_id", "seed").join(sim, ["date_index", "seed"]).groupBy(*item).agg(F.sum("sim").alias("s")).join(own, item, "left_anti")
+    score = score.withColumn("score", F.round(F.col("s") / F.max("s").over(Window.partitionBy("date_index", "client_id")), 9)).where("score >= 0.05")
+    active = totals.where("o0 > o184").select("date_index", "client_id")
+    found = first_per(score.join(active, ["date_index", "client_id"], "left_semi"), ["date_index", "client_id"], [F.desc("score"), F.col("group_id")], 5).join(bought, item, "left")
+    cross = found.groupBy("date_index", "client_id").agg(F.max("score").alias("top_score"), F.count(F.lit(1)).alias("reco_candidates"), F.max("hit").alias("hit")).withColumn("task_type", F.lit("cross_sell"))
     cross = cross.withColumn("u", ac.cross_sell_urgency(F.col("top_score")))
 
-    feats = seen.where(age <= 365).groupBy("m", "client_id").agg(F.sum("amount").cast("double").alias("monetary"), F.countDistinct("order_id").alias("order_count"), F.min(age).alias("recency_days"))
+    feats = totals.where("o0 > o365").select("date_index", "client_id", (F.col("a0") - F.col("a1")).cast("double").alias("monetary"), (F.col("o0") - F.col("o365")).alias("order_count"), F.col("silence_days").alias("recency_days"))
     rows = reorder
     for part in (debt, churn, cross):
         rows = rows.unionByName(part, allowMissingColumns=True)
-    rows = rows.join(feats, ["m", "client_id"], "left")
+    rows = rows.join(feats, ["date_index", "client_id"], "left").join(grid, "date_index")
     worth = saturation(F.when(F.col("task_type") == "debt_followup", F.col("overdue_amount")).otherwise(F.coalesce("monetary", F.lit(0.0))), 6000.0)
     legacy = ac.priority(F.col("u"), worth, ac.legacy_confidence(F.col("task_type"), F.col("n_orders"), F.col("prior_orders"), F.col("top_score")))
     number = lambda k: F.coalesce(F.col(k).cast("double"), F.lit(9999.0 if k == "recency_days" else 0.0)).alias(k)
     return rows.select(
         F.col("m").cast("string").alias("vintage"), "task_type", "client_id", F.coalesce("group_id", F.lit("")).alias("group_id"), *map(number, ("monetary", "recency_days", "order_count")), *[(F.col("task_type") == t).cast("int").alias(f"is_{t}") for t in ac.SIGNALS],
         *[F.coalesce(F.col(k).cast("double"), F.lit(0.0)).alias(f"sig_{k}") for ks in ac.SIGNALS.values() for k in ks], F.coalesce("hit", F.lit(0)).cast("int").alias("label"), F.round(legacy + 1e-9, 2).alias("old_priority"),
-    )
+    )
 
 
 @P.add("n10_snapshots", "SELECT strftime(DATE '1999-08-01' + to_months(CAST(i AS INTEGER)), '%Y-%m-%d') AS snapshot, (SELECT count(DISTINCT client_id) FROM past_sales WHERE created < DATE '1999-08-01' + to_months(CAST(i AS INTEGER))) AS n_clients FROM range(0, 4) t(i)")
@@ -162,17 +176,31 @@ ROWS = {
 }
 
 
+HITS = {
+    "reorder_due": "CAST(EXISTS (SELECT 1 FROM later l WHERE l.m = x.m AND l.client_id = x.client_id AND l.group_id = x.group_id) AS INTEGER)",
+    "churn_winback": "CAST(EXISTS (SELECT 1 FROM later l WHERE l.m = x.m AND l.client_id = x.client_id) AS INTEGER)",
+}
+SIGNALLED = f"""SELECT m, 'reorder_due' AS task_type, client_id, group_id, elapsed AS elapsed_days, cycle AS cycle_days, ratio AS overdue_ratio, n AS n_orders, greatest(0, least(1, 0.3::DOUBLE + 0.25::DOUBLE * (ratio - 1))) AS u, least(1, 0.4::DOUBLE + 0.1::DOUBLE * n) AS sure, {HITS["reorder_due"]} AS label FROM due x
+  UNION ALL BY NAME SELECT x.m, 'debt_followup' AS task_type, x.client_id, '' AS group_id, overdue AS overdue_amount, past AS days_past_terms, age AS max_overdue_days, n AS debt_lines, CASE WHEN past <= 0 THEN 0 ELSE 0.6::DOUBLE + 0.4::DOUBLE * (past / (past + 60)) END AS u, 1.0::DOUBLE AS sure, CAST(coalesce(paid, 0) >= 0.5::DOUBLE * overdue AS INTEGER) AS label FROM debts x LEFT JOIN paydown p ON p.m = x.m AND p.client_id = x.client_id
+  UNION ALL BY NAME SELECT m, 'churn_winback' AS task_type, client_id, '' AS group_id, recent / prior AS drop_ratio, silence AS silence_days, recent AS recent_orders, prior AS prior_orders, 0.6::DOUBLE * (1 - recent / prior) + 0.4::DOUBLE * CASE WHEN silence > 0 THEN silence / (silence + 120) ELSE 0 END AS u, least(1, 0.5::DOUBLE + 0.05::DOUBLE * prior) AS sure, {HITS["churn_winback"]} AS label FROM quiet x
+  UNION ALL BY NAME SELECT m, 'cross_sell' AS task_type, client_id, '' AS group_id, max(share) AS top_score, count(*) AS reco_candidates, 0.3::DOUBLE + 0.5::DOUBLE * max(share) AS u, max(share) AS sure, max({HITS["reorder_due"]}) AS label FROM wishes x GROUP BY m, client_id"""
+
+
 @P.add(
     "n8_training_set",
-    """SELECT CAST(l.m AS VARCHAR) AS vintage, task_type, l.client_id, group_id, coalesce(monetary, 0.0::DOUBLE) AS monetary, CAST(coalesce(recency_days, 9999) AS DOUBLE) AS recency_days, CAST(coalesce(order_count, 0) AS DOUBLE) AS order_count, round(s1 + 0.000000001::DOUBLE, 4) AS s1, round(s2 + 0.000000001::DOUBLE, 4) AS s2, label FROM labelled l LEFT JOIN bases b ON b.m = l.m AND b.client_id = l.client_id""",
+    "SELECT CAST(s.m AS VARCHAR) AS vintage, task_type, s.client_id, group_id, coalesce(monetary, 0.0::DOUBLE) AS monetary, CAST(coalesce(recency_days, 9999) AS DOUBLE) AS recency_days, CAST(coalesce(order_count, 0) AS DOUBLE) AS order_count, "
+    + ", ".join(f"CAST(task_type = '{t}' AS INTEGER) AS is_{t}" for t in ac.SIGNALS)
+    + ", "
+    + ", ".join(f"round(coalesce(CAST({k} AS DOUBLE), 0.0::DOUBLE) + 0.000000001::DOUBLE, 4) AS sig_{k}" for ks in ac.SIGNALS.values() for k in ks)
+    + """, label, round(round(100 * greatest(0, least(1, 0.5::DOUBLE * u + 0.3::DOUBLE * CASE WHEN worth > 0 THEN worth / (worth + 6000) ELSE 0 END + 0.2::DOUBLE * sure)), 2) + 0.000000001::DOUBLE, 2) AS old_priority
+    FROM (SELECT s.*, monetary, recency_days, order_count, CASE task_type WHEN 'debt_followup' THEN overdue_amount ELSE coalesce(monetary, 0) END AS worth FROM signalled s LEFT JOIN bases b ON b.m = s.m AND b.client_id = s.client_id) s""",
     **ROWS,
+    signalled=SIGNALLED,
 )
 def n8(spark, d):
-    """The training set; of each type's signals two are shown."""
-    pair = {"reorder_due": ("elapsed_days", "overdue_ratio"), "debt_followup": ("overdue_amount", "days_past_terms"), "churn_winback": ("drop_ratio", "silence_days"), "cross_sell": ("top_score", "reco_candidates")}
-    shown = lambda i: sum((F.when(F.col("task_type") == t, F.col(f"sig_{k[i]}")).otherwise(0.0) for t, k in pair.items()), F.lit(0.0))
+    """The training set of all types: features, one-hot types, all signals, label and the old priority."""
     rows = training_rows(spark, d)
-    return rows.select("vintage", "task_type", "client_id", "group_id", "monetary", "recency_days", "order_count", F.round(shown(0) + 1e-9, 4).alias("s1"), F.round(shown(1) + 1e-9, 4).alias("s2"), "label")
+    return rows.withColumns({x: F.round(F.col(x) + 1e-9, 4) for x in SIGNAL_COLUMNS})
 
 
 @P.add(
