@@ -119,8 +119,8 @@ def purchase_plan(items: DataFrame, horizon: int = 30) -> DataFrame:
     df = df.withColumn("reorder_point", F.col("mean_daily") * F.col("lead_days") + F.col("safety_stock")).withColumn("order_upto", F.col("reorder_point") + F.col("mean_daily") * horizon)
     need = F.when(F.col("position") <= F.col("reorder_point"), F.greatest(F.lit(0.0), F.col("order_upto") - F.col("position"))).otherwise(0.0)
     cover = F.when(F.col("mean_daily") > 0, F.greatest(F.lit(0.0), F.col("position") / F.col("mean_daily"))).otherwise(99999.0)
-    df = df.withColumns({"urgency": urgency(F.col("position"), F.col("safety_stock"), F.col("reorder_point"), F.col("order_upto")), "days_of_cover": cover, "raw_qty": F.round(need, 2)})
-    scaled = F.round(F.col("raw_qty") * F.coalesce("factor", F.lit(1.0)), 2)
+    df = df.withColumns({"urgency": urgency(F.col("position"), F.col("safety_stock"), F.col("reorder_point"), F.col("order_upto")), "days_of_cover": cover, "raw_qty": F.round(need + 1e-9, 2)})
+    scaled = F.round(F.col("raw_qty") * F.coalesce("factor", F.lit(1.0)) + 1e-9, 2)
     return df.withColumn("suggested_qty", F.round(round_order(scaled, F.col("moq"), F.col("multiple")), 2))
 
 

@@ -116,8 +116,8 @@ def plan_sql(as_of: str) -> dict[str, str]:
           FROM (SELECT *, CASE abc WHEN 'A' THEN 0.95 WHEN 'B' THEN 0.85 ELSE 0.50 END::DOUBLE AS floor_sl FROM item)""",
         "safe": f"SELECT *, ({acklam('sl')}) * sqrt(lead_days * std_daily * std_daily + mean_daily * mean_daily * lead_std * lead_std) AS safety FROM leveled",
         "pointed": "SELECT *, mean_daily * lead_days + safety AS point, mean_daily * lead_days + safety + mean_daily * 30 AS upto FROM safe",
-        "asked": "SELECT *, CASE WHEN position <= greatest(safety, 0) THEN 'critical' WHEN position <= point THEN 'high' WHEN position <= upto THEN 'normal' ELSE 'none' END AS urgency, CASE WHEN position <= point THEN round(greatest(upto - position, 0), 2) ELSE 0 END::DOUBLE AS raw_qty FROM pointed",
-        "scaled": "SELECT *, round(raw_qty * coalesce(factor, 1.0::DOUBLE), 2) AS sc FROM asked",
+        "asked": "SELECT *, CASE WHEN position <= greatest(safety, 0) THEN 'critical' WHEN position <= point THEN 'high' WHEN position <= upto THEN 'normal' ELSE 'none' END AS urgency, CASE WHEN position <= point THEN round(greatest(upto - position, 0) + 0.000000001::DOUBLE, 2) ELSE 0 END::DOUBLE AS raw_qty FROM pointed",
+        "scaled": "SELECT *, round(raw_qty * coalesce(factor, 1.0::DOUBLE) + 0.000000001::DOUBLE, 2) AS sc FROM asked",
         "plan": "SELECT *, round(CASE WHEN sc <= 0 THEN 0.0::DOUBLE WHEN multiple > 1 THEN ceil(greatest(sc, coalesce(moq, 0)) / multiple) * multiple ELSE greatest(sc, coalesce(moq, 0)) END, 2)::DOUBLE AS suggested FROM scaled",
         "valued": """SELECT *, CASE WHEN line_cost > 0 THEN round(risk / line_cost, 4) ELSE 0.0::DOUBLE END AS density FROM (SELECT *, round(cost * suggested, 2) AS line_cost,
           coalesce(greatest(sale - cost, 0) * suggested * CASE urgency WHEN 'critical' THEN 1.0 WHEN 'high' THEN 0.7 WHEN 'normal' THEN 0.4 ELSE 0.1 END::DOUBLE, 0.0::DOUBLE) AS risk FROM plan)""",
