@@ -85,7 +85,10 @@ def test_later_rows_change_no_series(spark):
     assert ts.densify(base, "product_id", "qty", "2000-01-01", 12).collect() == ts.densify(more, "product_id", "qty", "2000-01-01", 12).collect()
 
 
-def test_running_sum_with_ties_nulls_and_one_heavy_value(spark):
+@pytest.mark.parametrize("rows", [500_000, 40])
+def test_running_sum_with_ties_nulls_and_one_heavy_value(spark, monkeypatch, rows):
+    """Also with buckets so small that one value fills several."""
+    monkeypatch.setattr(ranking, "BUCKET_ROWS", rows)
     rows = [(i, 7.0 if i % 3 else float(i % 50)) for i in range(1, 600)] + [(1000, None)]
     df = spark.createDataFrame(rows, "k long, v double").withColumn("v", F.col("v").cast("decimal(18,2)"))
     got = {r.k: float(r.running) for r in ranking.running_sum(df, "v", "k").collect()}

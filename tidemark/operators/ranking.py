@@ -34,24 +34,28 @@ def running_sum(df: DataFrame, value: str, key: str, descending: bool = True, ou
     """Adds the running sum of value in the order (value, key), including the row itself, and `out`_total.
 
     Rows go to range buckets of value by approximate quantiles; any cuts give the same sums. Inside a bucket a window
-    adds up, split by key ranges where one value fills a bucket; the totals of earlier buckets, one row each, are
-    broadcast; their number is at most MOST_BUCKETS. Nulls count as 0 and come last.
+    adds up; a bucket that one value fills is split by ranges of key, so that its parts hold about BUCKET_ROWS rows as well.
+    The totals of earlier buckets, one row each, are broadcast; their number is at most about MOST_BUCKETS. Nulls count as 0 and
+    come last.
     """
     df = checkpointed(df)
     v = F.coalesce(F.col(value), F.lit(0).cast(df.schema[value].dataType))
     cuts = range_cuts(df, v.cast("double"), buckets)
     bucket = bucket_of(v.cast("double"), cuts)
     keyed = df.withColumn("_b", -bucket if descending else bucket).withColumn("_v", v)
-    # a heavy value splits by its keys
-    halves = keyed.groupBy("_b").agg(F.percentile_approx(key, [0.25, 0.5, 0.75], 1000).alias("_k"))
-    keyed = keyed.join(F.broadcast(halves), "_b")
-    lows = keyed.groupBy("_b").agg(F.min("_v").alias("_lo"), F.max("_v").alias("_hi"))
-    keyed = keyed.join(F.broadcast(lows), "_b").withColumn("_s", F.when(F.col("_lo") == F.col("_hi"), F.size(F.filter("_k", lambda c: c < F.col(key)))).otherwise(0))
+    full = keyed.groupBy("_b").agg(F.count(F.lit(1)).alias("_n"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi")).where((F.col("_lo") == F.col("_hi")) & (F.col("_n") > BUCKET_ROWS))
+    most = full.agg(F.max("_n")).first()[0]
+    if most is None:
+        keyed = keyed.withColumn("_s", F.lit(0))
+    else:  # a value that fills buckets splits by its keys
+        k = min(MOST_BUCKETS, -(-most // BUCKET_ROWS))
+        parts = keyed.join(F.broadcast(full.select("_b")), "_b").groupBy("_b").agg(F.percentile_approx(key, [i / k for i in range(1, k)] or [0.5], max(1000, 10 * k)).alias("_k"))
+        keyed = keyed.join(F.broadcast(parts), "_b", "left").withColumn("_s", F.when(F.col("_k").isNull(), 0).otherwise(F.size(F.filter("_k", lambda c: c < F.col(key))))).drop("_k")
     totals = keyed.groupBy("_b", "_s").agg(F.sum("_v").alias("_t"))
     before = totals.select("_b", "_s", (F.sum("_t").over(Window.orderBy("_b", "_s")) - F.col("_t")).alias("_before"), F.sum("_t").over(Window.partitionBy()).alias(f"{out}_total"))
     order = [F.col("_v").desc() if descending else F.col("_v").asc(), F.col(key).asc()]
     inside = Window.partitionBy("_b", "_s").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    return keyed.join(F.broadcast(before), ["_b", "_s"]).withColumn(out, F.sum("_v").over(inside) + F.col("_before")).drop("_b", "_s", "_v", "_k", "_lo", "_hi", "_before")
+    return keyed.join(F.broadcast(before), ["_b", "_s"]).withColumn(out, F.sum("_v").over(inside) + F.col("_before")).drop("_b", "_s", "_v", "_before")
 
 
 def abc_inclusive(df: DataFrame, value: str, key: str, a: float = 0.80, b: float = 0.95) -> DataFrame:
