@@ -191,9 +191,9 @@ def admit(tasks: DataFrame, quotas: DataFrame, existing: DataFrame, muted: DataF
         for i, kind in enumerate(types):
             if kind == "debt_followup" and critical[i] and active - before < reserve:
                 take(i, "reserve", cap + reserve)
-        out = pdf.iloc[sorted(via)].copy()
-        out["via"] = [via[i] for i in sorted(via)]
-        return out[["manager_id", "client_id", "task_type", "ev_score", "via"]]
+        took = sorted(via)
+        rows = list(pdf[["manager_id", "client_id", "task_type", "ev_score"]].iloc[took].itertuples(index=False, name=None))
+        return pd.DataFrame([(*row, via[i]) for row, i in zip(rows, took)], columns=["manager_id", "client_id", "task_type", "ev_score", "via"])
 
     return rows.groupBy("manager_id").applyInPandas(run, "manager_id int, client_id long, task_type string, ev_score double, via string")
 

@@ -209,8 +209,8 @@ def keyed(df):
 
 
 def admission_inputs(spark, d):
-    """Candidates, seats, the task table and muted triples from the task log."""
-    candidates, existing = checkpointed(keyed(boosted(spark, d))), checkpointed(task_table(spark, d))
+    """Candidates, seats, the task table after a sweep, and muted triples from the task log."""
+    candidates, existing = checkpointed(keyed(boosted(spark, d))), checkpointed(ac.sweep(task_table(spark, d), "2024-03-01 00:00:00"))
     muted = rejections(spark, d, ac.MUTE_DAYS).join(existing.select("client_id", "manager_id").distinct(), "client_id").select("manager_id", "client_id", "task_type")
     return candidates, ac.type_quotas(candidates), existing, muted
 
@@ -347,10 +347,11 @@ def n19(spark, d):
 @P.add(
     "n17_task_keys",
     """SELECT t.manager_id, t.client_id, t.task_type, x.status, x.task_key IS NOT NULL AS known, coalesce(h.held, 0) AS held, m.client_id IS NOT NULL AS muted FROM task t
-    LEFT JOIN task_table x ON x.task_key = concat_ws(':', CAST(t.client_id AS VARCHAR), CASE t.task_type WHEN 'debt_followup' THEN '0' WHEN 'reorder_due' THEN '1' WHEN 'churn_winback' THEN '2' ELSE '3' END)
-    LEFT JOIN (SELECT manager_id, client_id, count(*) AS held FROM task_table WHERE status NOT IN ('done', 'dismissed') GROUP BY ALL) h ON h.manager_id = t.manager_id AND h.client_id = t.client_id
+    LEFT JOIN swept x ON x.task_key = concat_ws(':', CAST(t.client_id AS VARCHAR), CASE t.task_type WHEN 'debt_followup' THEN '0' WHEN 'reorder_due' THEN '1' WHEN 'churn_winback' THEN '2' ELSE '3' END)
+    LEFT JOIN (SELECT manager_id, client_id, count(*) AS held FROM swept WHERE status NOT IN ('done', 'dismissed') GROUP BY ALL) h ON h.manager_id = t.manager_id AND h.client_id = t.client_id
     LEFT JOIN (SELECT DISTINCT client_id, task_type FROM logged WHERE event_type NOT IN ('signup', 'view', 'click', 'purchase') AND "at" > (SELECT max("at") FROM logged) - INTERVAL 30 DAY) m ON m.client_id = t.client_id AND m.task_type = t.task_type""",
     **TASKS,
+    swept="SELECT * REPLACE (CASE WHEN status = 'snoozed' AND snooze_until <= TIMESTAMP '2024-03-01' THEN 'open' ELSE status END AS status) FROM task_table WHERE status IN ('done', 'dismissed') OR expires_at IS NULL OR expires_at >= TIMESTAMP '2024-03-01'",
     **{k: v for k, v in TASK_TABLE.items() if k != "logged"},
 )
 def n17_keys(spark, d):
