@@ -62,6 +62,7 @@ def forms(rnd, copies, fields, values):
 def test_copies_of_a_form_do_not_meet_all(spark, monkeypatch, values):
     monkeypatch.setattr(jaccard_join, "BLOCK", 6)
     monkeypatch.setattr(jaccard_join, "CELL", 12)
+    monkeypatch.setattr(jaccard_join, "COPIES", 2)
     measured = []
     real = jaccard_join._met_by_shingle
 

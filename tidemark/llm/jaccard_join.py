@@ -15,11 +15,12 @@ the triangle inequality two linked members lie within 1 - threshold of each othe
 that meets another region and could reach it by the triangle inequality is replicated into it. A region of more than CELL
 members is joined recursively: it gets up to PIVOTS pivots of its own, its members go to the nearest one, and to every
 other that is at most twice 1 - threshold farther, and so on while that separates them. What is within the threshold of a
-pivot is linked to it at once; members of one component known so far need not meet again. Members of different components
-of a small region meet in one block, which emits a spanning forest of its links. Members of a region that stays large, such
-as thousands of copies of one form, meet by the region's rarest shingles: of two linked sets of n and m >= n shingles one of
-the n - 2pn / (1 + p) + 1 rarest of the smaller is among the m - pm + 1 rarest of the larger. So what all copies of a form
-have in common brings none of them together, unless they differ in so little that they are linked anyway.
+pivot is linked to it at once; members of one component known so far need not meet again. So a large region that is mostly
+one component costs one distance a member and some for the others, which meet in pairs of bounded blocks; a task emits a spanning
+forest of its links. Members of a region with many components, such as thousands of copies of one form, meet by the region's rarest
+shingles: of two linked sets of n and m >= n shingles one of the n - 2pn / (1 + p) + 1 rarest of the smaller is among the
+m - pm + 1 rarest of the larger. So what all copies of a form have in common brings none of them together, unless they
+differ in so little that they are linked anyway.
 
 Sets hold 64-bit hashes of shingles, and equal sets are found by 128-bit hashes of them; a key with many rows is salted.
 """
@@ -47,6 +48,8 @@ NEAR = 0.5
 #: Members that a region may have without being split, and of one shingle that one side of a key holds.
 CELL = 512
 BLOCK = 256
+#: Copies of a member's set, on average, from which on a region's members meet by shingles; what those cost in sets.
+COPIES = 10
 #: Pivots of a region that is split.
 PIVOTS = 8
 SLACK = 1e-9
@@ -235,15 +238,16 @@ def _posts(sets: DataFrame, percent: int, within: str | None = None) -> DataFram
     column of sets, rarity and prefixes are those inside its groups, and it is kept.
     """
     keys = [within] if within else []
-    tokens = sets.select(*keys, "doc_id", "n", F.explode("hashes").alias("h"))
+    tokens = sets.select(*keys, "doc_id", F.explode("hashes").alias("h"))
     counts = tokens.groupBy(*keys, "h").agg(F.count(F.lit(1)).alias("df"), salts_of("doc_id").alias("_salts")).where("df > 1")
-    shared = spread_join(tokens, counts, [*keys, "h"], "doc_id").groupBy(*keys, "doc_id", "n").agg(F.sort_array(F.collect_list(F.struct("df", "h"))).alias("s"))
+    shared = spread_join(tokens, counts, [*keys, "h"], "doc_id").groupBy(*keys, "doc_id").agg(F.sort_array(F.collect_list(F.struct("df", "h"))).alias("s"))
+    shared = shared.join(sets.select(*keys, "doc_id", "n").hint("merge"), [*keys, "doc_id"])
     spare = F.expr(f"n - (n * {percent} + 99) div 100")
-    size = F.size("s").cast("long")
-    prefix = shared.where(F.col("n") - size <= spare).select(*keys, "doc_id", "n", (F.col("n") - size).alias("_alone"), F.posexplode(F.slice("s", F.lit(1), (spare + 1 - (F.col("n") - size)).cast("int"))).alias("_at", "t"))
+    alone = F.col("n") - F.size("s")
+    prefix = shared.where(alone <= spare).select(*keys, "doc_id", "n", alone.alias("_alone"), F.posexplode(F.slice("s", F.lit(1), (spare + 1 - alone).cast("int"))).alias("_at", "t"))
     first = F.expr(f"n - (n * {2 * percent} + {99 + percent}) div {100 + percent} + 1")
-    prefix = prefix.withColumn("pos", F.col("_alone") + F.col("_at"))
-    return prefix.select(*keys, "doc_id", "n", F.col("t.h").alias("h"), "pos", (F.col("pos") < first).alias("short"))
+    pos = F.col("_alone") + F.col("_at")
+    return prefix.select(*keys, "doc_id", "n", F.col("t.h").alias("h"), pos.alias("pos"), (pos < first).alias("short"))
 
 
 def _regions(posts: DataFrame, sets: DataFrame) -> DataFrame:
@@ -263,7 +267,7 @@ def _regions(posts: DataFrame, sets: DataFrame) -> DataFrame:
 
 def _links(sets: DataFrame, percent: int) -> DataFrame:
     """Edges (a, b) among representatives whose components are those of all links."""
-    posts = materialise(_posts(sets, percent), "posts")
+    posts = materialise(_posts(sets, percent).select("doc_id", "h", "short"), "posts")
     home = _regions(posts, sets)
     r = 1 - percent / 100
     radius = home.groupBy("pivot").agg(F.max("d").alias("radius"))
@@ -271,7 +275,8 @@ def _links(sets: DataFrame, percent: int) -> DataFrame:
     # Boundary documents: those that meet a region of a smaller pivot and could reach it. One of two linked sets shows its short
     # prefix, so a long one meets only the short ones of a region.
     placed = posts.join(home, "doc_id").select("doc_id", "h", "pivot", "short")
-    docs_of = placed.groupBy("h").agg(salts_of("doc_id").alias("docs"), salts_of("pivot").alias("_salts"))
+    docs_of = placed.groupBy("h").agg(salts_of("doc_id").alias("docs"), salts_of("pivot").alias("_salts"), F.min("pivot").alias("p0"), F.max("pivot").alias("p1"))
+    docs_of = docs_of.where("p0 <> p1").drop("p0", "p1")  # the others meet one region, their own
     pivots_of = placed.groupBy("h", F.col("pivot").alias("other")).agg(F.max("short").alias("shows"))
     there = spread_join(pivots_of, docs_of, ["h"], "other").withColumnRenamed("docs", "_salts")
     meets = spread_join(placed, there, ["h"], "doc_id").where("other < pivot and (short or shows)").select(F.col("doc_id").alias("a"), F.col("other").alias("b")).distinct()
@@ -341,15 +346,26 @@ def _recurse(cells: DataFrame, sets: DataFrame, percent: int) -> tuple[DataFrame
 def _met(cells: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Links between members of one region that have different labels.
 
-    A region of up to CELL members is one block; larger ones meet by their rarest shingles.
+    Members with a region's commonest label meet only the others. A region of up to CELL members is one block; a larger one is dealt
+    to blocks that meet in pairs, where that copies a member's set COPIES times at most on average, and else meets by shingles.
     """
     counts = cells.groupBy("region", "label").agg(F.count(F.lit(1)).alias("c"), salts_of("doc_id").alias("s"))
-    region = counts.groupBy("region").agg(F.sum("c").alias("k"), F.count(F.lit(1)).alias("labels"), F.bit_or("s").alias("_salts")).where("labels > 1")
-    there = materialise(spread_join(cells, region, ["region"], "doc_id").select("region", "doc_id", "d", "guest", "label", "k"), "to-meet")
-    full = there.join(sets.select("doc_id", "n", "hashes").hint("merge"), "doc_id")
-    small = full.where(F.col("k") <= CELL).drop("k").groupBy("region").applyInArrow(_compare(percent), "a long, b long")
-    large = there.where(F.col("k") > CELL)
-    return small if large.isEmpty() else small.union(_met_by_shingle(full.where(F.col("k") > CELL), sets, percent))
+    region = counts.groupBy("region").agg(F.sum("c").alias("k"), F.max("c").alias("main"), F.max_by("label", F.struct("c", "label")).alias("main_label"), F.count(F.lit(1)).alias("labels"), F.bit_or("s").alias("_salts")).where("labels > 1")
+    minor, main = (F.when(F.col("k") <= CELL, one).otherwise(F.ceil(x / BLOCK)).cast("int") for x, one in ((F.col("k") - F.col("main"), 1), (F.col("main"), 0)))
+    copies = F.col("main") * F.col("m") + (F.col("k") - F.col("main")) * (F.col("m") + F.col("rest"))
+    region = region.withColumns({"m": minor, "rest": main}).withColumn("many", (F.col("k") > CELL) & (copies > COPIES * F.col("k")))
+    there = materialise(spread_join(cells, region.select("region", "main_label", "m", "rest", "many", "_salts"), ["region"], "doc_id"), "to-meet")
+    few, many = there.where(~F.col("many")), there.where("many")
+    first = (F.col("rest") == 0) | (F.col("label") != F.col("main_label"))
+    own = F.when(first, F.pmod(F.xxhash64("doc_id", F.lit(1)), F.col("m"))).otherwise(F.col("m") + F.pmod(F.xxhash64("doc_id", F.lit(1)), F.greatest("rest", F.lit(1)))).cast("int")
+    others = F.sequence(F.lit(0), F.when(F.col("own") < F.col("m"), F.col("m") + F.col("rest")).otherwise(F.col("m")) - 1)
+    dealt = few.withColumn("own", own).select("region", "own", "doc_id", "d", "guest", "label", F.explode(others).alias("other"))
+    dealt = dealt.select("region", F.least("own", "other").alias("block"), F.greatest("own", "other").alias("block2"), (F.col("own") > F.col("other")).cast("int").alias("side"), "doc_id", "d", "guest", "label")
+    full = dealt.join(sets.select("doc_id", "n", "hashes").hint("merge"), "doc_id")
+    links = full.groupBy("region", "block", "block2").applyInArrow(_compare(percent), "a long, b long")
+    if many.isEmpty():
+        return links
+    return links.union(_met_by_shingle(many.select(F.xxhash64("region").alias("region"), "doc_id", "d", "guest", "label").join(sets.hint("merge"), "doc_id"), sets, percent))
 
 
 def _met_by_shingle(full: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -373,11 +389,11 @@ def _met_by_shingle(full: DataFrame, sets: DataFrame, percent: int) -> DataFrame
 
 
 def _compare(percent: int):
-    """Links inside a group of members, as a spanning forest."""
+    """Links between the two blocks of a group (or inside one), as a spanning forest."""
 
     def run(group: pa.Table) -> pa.Table:
         group = group.combine_chunks()
-        get = {c: group.column(c).to_numpy() for c in ("doc_id", "d", "guest", "label", "n")}
+        get = {c: group.column(c).to_numpy() for c in ("side", "doc_id", "d", "guest", "label", "n")}
         lists = group.column("hashes").chunk(0) if group.num_rows else None
         at = lists.offsets.to_numpy(zero_copy_only=False).astype(np.int64)
         at = at - at[0]
@@ -393,10 +409,14 @@ def _compare(percent: int):
                 i = parent[i]
             return i
 
+        two = bool((get["side"] == 1).any())
         r = 1 - percent / 100 + 1e-9
         out = []
         for i in range(len(n)):
-            can = (np.arange(len(n)) > i) & (get["label"] != get["label"][i]) & ~(get["guest"] & get["guest"][i]) & (np.abs(d - d[i]) <= r) & (n * 100 >= n[i] * percent) & (n[i] * 100 >= n * percent)
+            if two and get["side"][i] == 1:
+                continue
+            can = (get["side"] == 1) if two else np.arange(len(n)) > i
+            can = can & (get["label"] != get["label"][i]) & ~(get["guest"] & get["guest"][i]) & (np.abs(d - d[i]) <= r) & (n * 100 >= n[i] * percent) & (n[i] * 100 >= n * percent)
             if not can.any():
                 continue
             own = code[at[i] : at[i + 1]]
