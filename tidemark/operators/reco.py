@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.operators.minhash import alike
 from tidemark.operators.ranking import first_per
+from tidemark.sources.sinks import checkpointed
 
 
 #: Weights of frequency by segment, list lengths, items of one group, how far lists reach beyond their quota.
@@ -14,6 +16,8 @@ TOP, REPURCHASE, PER_GROUP, SPARE_REPURCHASE, SPARE_DISCOVERY = 25, 20, 3, 10, 5
 UBIQUITOUS, OWN_SHARE = 0.20, 0.6
 #: Items of a basket that meet in one key.
 BLOCK = 1000
+#: Fixed value: latest lines of a client by which it looks for similar ones.
+RECENT_LINES = 500
 
 
 def owned(sales: DataFrame, item: str) -> DataFrame:
@@ -125,15 +129,40 @@ def repurchase_scores(sales: DataFrame, item: str, segment: DataFrame, as_of: st
     return scored.select("client_id", item, (wf * F.col("freq") + (1 - wf) * F.col("rec")).alias("score"))
 
 
-def similar_clients(pairs: DataFrame, item: str, least: float = 0.05, most: int = 100, candidates: int = 400) -> DataFrame:
-    """(client_id, other, jaccard) of the clients with the largest overlap. Common items should be left out before."""
-    sizes = pairs.groupBy("client_id").agg(F.count(F.lit(1)).alias("size"))
-    a, b = pairs.select("client_id", item), pairs.select(F.col("client_id").alias("other"), item)
+def newest_pairs(lines: DataFrame, item: str, most: int = RECENT_LINES) -> DataFrame:
+    """(client_id, item), each once, of every client's `most` newest lines; of one day the larger order, then the smaller item, counts as
+    newer."""
+    newest = first_per(lines.select("client_id", item, "order_id", "created"), ["client_id"], [F.desc("created"), F.desc("order_id"), F.col(item)], most)
+    return owned(newest, item)
+
+
+def nearest(compared: DataFrame, least: float, most: int) -> DataFrame:
+    """(client_id, other, jaccard) of the `most` most alike with at least `least`."""
+    return first_per(compared.where(F.col("jaccard") >= least), ["client_id"], [F.desc("jaccard"), F.col("other")], most).select("client_id", "other", "jaccard")
+
+
+def similar_clients(pairs: DataFrame, item: str, least: float = 0.05, most: int = 100, candidates: int = 400, newest: DataFrame | None = None) -> DataFrame:
+    """(client_id, other, jaccard) of the clients with the largest overlap. Common items should be left out before.
+
+    newest, if given, holds the pairs by which a client asks, such as those of its latest lines; the others answer with all of
+    theirs, so that the similarity need not be the same both ways.
+    """
+    count = lambda df: df.groupBy("client_id").agg(F.count(F.lit(1)).alias("size"))
+    asking = pairs if newest is None else newest
+    a, b = asking.select("client_id", item), pairs.select(F.col("client_id").alias("other"), item)
     overlap = a.join(b, item).where("client_id <> other").groupBy("client_id", "other").agg(F.count(F.lit(1)).alias("both"))
     overlap = first_per(overlap, ["client_id"], [F.desc("both"), F.col("other")], candidates).drop("rank")
-    sized = overlap.join(sizes, "client_id").join(sizes.select(F.col("client_id").alias("other"), F.col("size").alias("other_size")), "other")
-    jac = sized.withColumn("jaccard", F.col("both") / (F.col("size") + F.col("other_size") - F.col("both"))).where(F.col("jaccard") >= least)
-    return first_per(jac, ["client_id"], [F.desc("jaccard"), F.col("other")], most).select("client_id", "other", "jaccard")
+    sized = overlap.join(count(asking), "client_id").join(count(pairs).select(F.col("client_id").alias("other"), F.col("size").alias("other_size")), "other")
+    return nearest(sized.withColumn("jaccard", F.col("both") / (F.col("size") + F.col("other_size") - F.col("both"))), least, most)
+
+
+def similar_clients_by_minhash(pairs: DataFrame, item: str, least: float = 0.05, most: int = 100, candidates: int = 400, recall: float = 0.96) -> DataFrame:
+    """`similar_clients` among the pairs that meet in a band of minimum hashes: a pair at `least` is found with probability `recall`,
+    a more similar one with a higher, and its similarity is exact. Work grows with the pairs that meet, not with the square
+    of an item's clients."""
+    found = checkpointed(alike(pairs, "client_id", item, least, recall))
+    both_ways = found.unionByName(found.select(F.col("other").alias("client_id"), F.col("client_id").alias("other"), "both", "jaccard"))
+    return nearest(first_per(both_ways, ["client_id"], [F.desc("both"), F.col("other")], candidates).drop("rank"), least, most)
 
 
 def neighbour_items(similar: DataFrame, pairs: DataFrame, item: str, least: int = 2) -> DataFrame:

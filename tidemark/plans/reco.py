@@ -20,9 +20,11 @@ T = {
     "co": "SELECT a.product_id AS seed, b.product_id AS cand, count(*) AS co FROM pairs a JOIN pairs b ON a.client_id = b.client_id AND a.product_id <> b.product_id GROUP BY 1, 2 HAVING count(*) >= 2",
     "sim": "SELECT seed, cand, co, co / sqrt(CAST(x.deg AS DOUBLE) * y.deg) AS sim FROM co JOIN deg x ON x.product_id = seed JOIN deg y ON y.product_id = cand",
     "sizes": "SELECT client_id, count(*) AS size FROM pairs GROUP BY 1",
-    "over": "SELECT a.client_id, b.client_id AS other, count(*) AS shared FROM pairs a JOIN pairs b ON a.product_id = b.product_id AND a.client_id <> b.client_id GROUP BY 1, 2",
+    "newest": "SELECT DISTINCT client_id, product_id FROM (SELECT *, row_number() OVER (PARTITION BY client_id ORDER BY created DESC, order_id DESC, product_id) AS r FROM past_sales) WHERE r <= 500 AND product_id NOT IN (SELECT product_id FROM common)",
+    "asking": "SELECT client_id, count(*) AS size FROM newest GROUP BY 1",
+    "over": "SELECT a.client_id, b.client_id AS other, count(*) AS shared FROM newest a JOIN pairs b ON a.product_id = b.product_id AND a.client_id <> b.client_id GROUP BY 1, 2",
     "top": "SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY client_id ORDER BY shared DESC, other) AS r FROM over) WHERE r <= 400",
-    "jac": "SELECT t.client_id, other, shared / (x.size + y.size - shared) AS jaccard FROM top t JOIN sizes x ON x.client_id = t.client_id JOIN sizes y ON y.client_id = other",
+    "jac": "SELECT t.client_id, other, shared / (x.size + y.size - shared) AS jaccard FROM top t JOIN asking x ON x.client_id = t.client_id JOIN sizes y ON y.client_id = other",
     "alike": "SELECT client_id, other, jaccard FROM (SELECT *, row_number() OVER (PARTITION BY client_id ORDER BY jaccard DESC, other) AS r2 FROM jac WHERE jaccard >= 0.05::DOUBLE) WHERE r2 <= 100",
     "per": "SELECT client_id, group_id, CAST(count(DISTINCT order_id) AS DOUBLE) AS f, exp(-date_diff('day', max(created), DATE '2000-01-01') / 21.0::DOUBLE) AS r FROM past_sales GROUP BY 1, 2",
     "own": "SELECT client_id, group_id, 0.30::DOUBLE * f / max(f) OVER (PARTITION BY client_id) + 0.70::DOUBLE * r / max(r) OVER (PARTITION BY client_id) AS score FROM per",
@@ -40,6 +42,12 @@ def pairs(spark, d):
     return checkpointed(reco.owned(plain(spark, d), "product_id"))
 
 
+def newest(spark, d):
+    """The pairs of each client's newest lines, without the common products; by these a client looks for similar ones."""
+    lines = past(spark, d)
+    return checkpointed(reco.newest_pairs(lines, "product_id").join(sales.ubiquitous_products(lines, reco.UBIQUITOUS), "product_id", "left_anti"))
+
+
 @P.add(
     "c1_client_segments",
     """SELECT o.client_id, n_orders, CASE WHEN n_orders >= 500 THEN 'HEAVY' WHEN n_orders >= 100 AND rate >= 0.40::DOUBLE THEN 'REGULAR_CONSISTENT' WHEN n_orders >= 100 THEN 'REGULAR_EXPLORATORY' ELSE 'LIGHT' END AS segment FROM (SELECT client_id, count(DISTINCT order_id) AS n_orders FROM past_sales GROUP BY 1) o
@@ -62,13 +70,29 @@ def c5(spark, d):
 
 @P.add("j9_c3_similar_clients", "SELECT client_id, other, round(jaccard, 6) AS jaccard FROM alike", **T)
 def c3(spark, d):
-    return reco.similar_clients(pairs(spark, d), "product_id").withColumn("jaccard", F.round("jaccard", 6))
+    return reco.similar_clients(pairs(spark, d), "product_id", newest=newest(spark, d)).withColumn("jaccard", F.round("jaccard", 6))
+
+
+@P.add("c3_minhash_similar_clients")
+def c3_minhash(spark, d):
+    """Similar clients among those that meet in a band of minimum hashes; all pairs of a client count."""
+    return reco.similar_clients_by_minhash(pairs(spark, d), "product_id").withColumn("jaccard", F.round("jaccard", 6))
+
+
+@P.add("c3_minhash_recall", "SELECT count(*) AS n_exact, TRUE AS nine_in_ten FROM alike", **T)
+def c3_recall(spark, d):
+    """How many of the exact similar pairs there are, and whether the minimum hashes find at least nine in ten of them."""
+    own = pairs(spark, d)
+    exact = reco.similar_clients(own, "product_id", newest=newest(spark, d)).select("client_id", "other")
+    found = reco.similar_clients_by_minhash(own, "product_id").select("client_id", "other", F.lit(1).alias("found"))
+    both = exact.join(found, ["client_id", "other"], "left").agg(F.count(F.lit(1)).alias("n_exact"), F.count("found").alias("n_found"))
+    return both.select("n_exact", (F.col("n_found") >= 0.9 * F.col("n_exact")).alias("nine_in_ten"))
 
 
 @P.add("c4_neighbour_items", "SELECT s.client_id, p.product_id, round(avg(jaccard), 6) AS score FROM alike s JOIN pairs p ON p.client_id = s.other WHERE NOT EXISTS (SELECT 1 FROM pairs q WHERE q.client_id = s.client_id AND q.product_id = p.product_id) GROUP BY 1, 2 HAVING count(*) >= 2", **T)
 def c4(spark, d):
     own = pairs(spark, d)
-    return reco.neighbour_items(reco.similar_clients(own, "product_id"), own, "product_id").withColumn("score", F.round("score", 6))
+    return reco.neighbour_items(reco.similar_clients(own, "product_id", newest=newest(spark, d)), own, "product_id").withColumn("score", F.round("score", 6))
 
 
 def hybrid(spark, d, top=reco.TOP):
@@ -133,7 +157,7 @@ def c7(spark, d):
     own = pairs(spark, d)
     lines = past(spark, d)
     first = reco.repurchase_scores(lines, "product_id", reco.segments(lines, "product_id"), END)
-    second = reco.neighbour_items(reco.similar_clients(own, "product_id"), own, "product_id")
+    second = reco.neighbour_items(reco.similar_clients(own, "product_id", newest=newest(spark, d)), own, "product_id")
     third = reco.co_scores(own, reco.co_purchase(own, "product_id", 3), "product_id").join(own, ["client_id", "product_id"], "left_anti")
     return reco.tiered([t.withColumn("score", F.round("score", 6)) for t in (first, second, third)], "product_id", 25)
 
@@ -184,7 +208,7 @@ def c7_backfilled(spark, d):
     own = checkpointed(reco.owned(lines, "product_id"))
     even = lambda df: df.withColumn("score", F.round("score", 9))
     first = even(reco.repurchase_scores(lines, "product_id", reco.segments(lines, "product_id"), END))
-    second = even(reco.neighbour_items(reco.similar_clients(own, "product_id"), own, "product_id"))
+    second = even(reco.neighbour_items(reco.similar_clients(own, "product_id", newest=newest(spark, d)), own, "product_id"))
     third = even(reco.co_scores(own, reco.co_purchase(own, "product_id", 3), "product_id").join(own, ["client_id", "product_id"], "left_anti"))
     lists = checkpointed(reco.quota_lists(first, second, groups(spark, d), "product_id"))
     return reco.backfilled(lists, own, third, lines, "product_id")
