@@ -73,6 +73,24 @@ def test_discoveries_at_cut_offs_send_candidates_not_their_baskets(spark):
     assert records < 20 * len(lines)
 
 
+@pytest.mark.parametrize("items, itself", [(400, False), (400, True), (8, True)])
+def test_co_purchase_and_scores_of_many_and_of_few_items(spark, items, itself):
+    sets = baskets(6, 90, items, min(items, 20))
+    pairs = table(spark, sets)
+    of = {i: {c for c, s in sets.items() if i in s} for i in range(items)}
+    sim = {(a, b): len(of[a] & of[b]) / (len(of[a]) * len(of[b])) ** 0.5 for a in of for b in of if len(of[a] & of[b]) >= 2 and (itself or a != b)}
+    co = reco.co_purchase(pairs, "item", itself=itself)
+    got, records = shuffled(spark, co.collect)
+    assert {(x.seed, x.cand): (x.co, x.sim) for x in got} == {(a, b): (len(of[a] & of[b]), pytest.approx(s)) for (a, b), s in sim.items()}
+    assert records < 6 * sum(map(len, sets.values()))
+    scores = {}
+    for c, s in sets.items():
+        for (a, b), x in sim.items():
+            if a in s:
+                scores[c, b] = scores.get((c, b), 0) + x
+    assert {(x.client_id, x.item): x.score for x in reco.co_scores(pairs, co, "item").collect()} == {k: pytest.approx(v) for k, v in scores.items()}
+
+
 def test_nothing_meets_in_empty_tables(spark):
     none = table(spark, {})
     assert reco.similar_clients(none, "item").count() == 0
