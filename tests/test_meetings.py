@@ -95,3 +95,17 @@ def test_nothing_meets_in_empty_tables(spark):
     none = table(spark, {})
     assert reco.similar_clients(none, "item").count() == 0
     assert reco.co_scores(none, reco.co_purchase(none, "item"), "item").count() == 0
+
+
+def test_substitutes_need_no_links_of_a_whole_number(spark):
+    from tidemark.operators import catalogue
+
+    r = random.Random(4)
+    products = spark.createDataFrame([(i, f"number-{i % 3}" if i % 7 else "-") for i in range(300)], "product_id long, number string")
+    pairs = spark.createDataFrame([(i, r.randrange(300)) for i in range(0, 300, 4)], "product_id long, other_id long")
+    health = spark.createDataFrame([(i, float(r.randint(0, 2)), float(r.randint(1, 3))) for i in range(300) if i % 11], "product_id long, qty_on_hand double, health double")
+    rows = lambda df: sorted((x.product_id, x.other_id, x.rank) for x in df.collect())
+    all_links = rows(catalogue.substitutes(catalogue.links(pairs, products), health))
+    got, records = shuffled(spark, lambda: rows(catalogue.best_substitutes(pairs, products, health)))
+    assert got == all_links
+    assert records < 20 * 300

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.operators.ranking import first_per
@@ -12,20 +12,44 @@ from tidemark.sources.sinks import checkpointed
 JUNK_NUMBERS = ("", "-", "0", "n/a")
 
 
+def curated(pairs: DataFrame) -> DataFrame:
+    """(product_id, other_id, curated) of the curated links in both directions."""
+    both = pairs.select("product_id", "other_id").union(pairs.select(F.col("other_id"), F.col("product_id"))).distinct()
+    return both.where("product_id <> other_id").withColumn("curated", F.lit(1))
+
+
+def numbered(products: DataFrame, least_length: int = 4) -> DataFrame:
+    """(product_id, k): products with a cleaned number that means one."""
+    clean = products.select("product_id", F.lower(F.trim("number")).alias("k"))
+    return clean.where((F.length("k") >= least_length) & ~F.col("k").isin(*JUNK_NUMBERS))
+
+
 def links(pairs: DataFrame, products: DataFrame, least_length: int = 4) -> DataFrame:
     """(product_id, other_id, curated): curated links in both directions, and products of the same cleaned number; curated wins."""
-    both = pairs.select("product_id", "other_id").union(pairs.select(F.col("other_id"), F.col("product_id"))).distinct().withColumn("curated", F.lit(1))
-    number = F.lower(F.trim("number"))
-    clean = products.select("product_id", number.alias("k")).where((F.length("k") >= least_length) & ~F.col("k").isin(*JUNK_NUMBERS))
+    clean = numbered(products, least_length)
     same = clean.join(clean.select(F.col("product_id").alias("other_id"), "k"), "k").where("product_id <> other_id").select("product_id", "other_id", F.lit(0).alias("curated"))
-    return both.unionByName(same).where("product_id <> other_id").groupBy("product_id", "other_id").agg(F.max("curated").alias("curated"))
+    return curated(pairs).unionByName(same).groupBy("product_id", "other_id").agg(F.max("curated").alias("curated"))
+
+
+def best_substitutes(pairs: DataFrame, products: DataFrame, health: DataFrame, most: int = 5, least_length: int = 4) -> DataFrame:
+    """`substitutes` of `links` without all links of a number: of its products the first most + 1 suffice for each, since at most
+    one of them is the product itself, and being curated as well only moves another one forward."""
+    clean = numbered(products, least_length)
+    others = clean.select(F.col("product_id").alias("other_id"), "k").join(health.select(F.col("product_id").alias("other_id"), "qty_on_hand", "health"), "other_id")
+    first = first_per(others, ["k"], preferred(), most + 1).select("k", "other_id")
+    same = clean.join(first, "k").where("product_id <> other_id").select("product_id", "other_id", F.lit(0).alias("curated"))
+    link = curated(pairs).unionByName(same).groupBy("product_id", "other_id").agg(F.max("curated").alias("curated"))
+    return substitutes(link, health, most)
+
+
+def preferred(*before_id: Column) -> list[Column]:
+    return [F.desc(F.col("qty_on_hand") > 0), F.desc("health"), F.desc("qty_on_hand"), *before_id, F.col("other_id")]
 
 
 def substitutes(link: DataFrame, health: DataFrame, most: int = 5) -> DataFrame:
     """The best substitutes per product: in stock, health, quantity, link source, id."""
     df = link.join(health.select(F.col("product_id").alias("other_id"), "qty_on_hand", "health"), "other_id")
-    order = [F.desc(F.col("qty_on_hand") > 0), F.desc("health"), F.desc("qty_on_hand"), F.desc("curated"), F.col("other_id")]
-    return first_per(df, ["product_id"], order, most)
+    return first_per(df, ["product_id"], preferred(F.desc("curated")), most)
 
 
 def tier_roots(tiers: DataFrame) -> DataFrame:

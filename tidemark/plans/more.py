@@ -121,11 +121,15 @@ LINKS = {
 }
 
 
-def linked(spark, d):
+def link_sources(spark, d):
+    """Curated pairs, and products with their numbers."""
     parts = c.read(spark, d, "part")
     products = parts.select(F.col("p_partkey").alias("product_id"), F.concat_ws("-", "p_name", "p_size").alias("number"))
-    pairs = parts.where("p_partkey % 10 = 0").select(F.col("p_partkey").alias("product_id"), (F.col("p_partkey") + 1).alias("other_id"))
-    return catalogue.links(pairs, products)
+    return parts.where("p_partkey % 10 = 0").select(F.col("p_partkey").alias("product_id"), (F.col("p_partkey") + 1).alias("other_id")), products
+
+
+def linked(spark, d):
+    return catalogue.links(*link_sources(spark, d))
 
 
 @P.add("j11_u2_product_links", "SELECT product_id, other_id, CAST(curated AS INTEGER) AS curated FROM link", **LINKS)
@@ -140,7 +144,8 @@ def j11(spark, d):
     **assortment.TABLES,
 )
 def h8(spark, d):
-    return catalogue.substitutes(linked(spark, d), assortment.table(spark, d)).select("product_id", "other_id", "rank")
+    table = checkpointed(assortment.table(spark, d).select("product_id", "qty_on_hand", "health"))  # read twice
+    return catalogue.best_substitutes(*link_sources(spark, d), table).select("product_id", "other_id", "rank")
 
 
 TIERS = [(0, None, 0.0), (1, 0, 5.0), (2, 1, 3.0), (3, 0, -2.0), (4, 2, 8.0), (5, None, 0.0), (6, 5, 12.0)]
