@@ -97,6 +97,21 @@ def test_nothing_meets_in_empty_tables(spark):
     assert reco.co_scores(none, reco.co_purchase(none, "item"), "item").count() == 0
 
 
+def test_minhash_sends_few_of_the_baskets_that_meet(spark):
+    """Baskets of 30 among 3,000 items meet but are hardly alike; a few are."""
+    from tidemark.operators import minhash
+
+    r = random.Random(2)
+    sets = {c: set(r.sample(range(3000), 30)) for c in range(300)}
+    for c in range(0, 300, 10):
+        sets[c + 1] = set(r.sample(sorted(sets[c]), 20)) | set(r.sample(range(3000), 10))
+    exact = {(a, b): len(sets[a] & sets[b]) for a, b in itertools.combinations(sets, 2) if len(sets[a] & sets[b]) / len(sets[a] | sets[b]) >= 0.3}
+    met = spark.createDataFrame(list(itertools.combinations(sets, 2)), "client_id long, other long")
+    got, records = shuffled(spark, lambda: minhash.compared(met, table(spark, sets), "client_id", "item", 0.3).collect())
+    assert {(x.client_id, x.other): x.both for x in got} == exact and len(exact) >= 25
+    assert records < 3 * 300 * 299 / 2
+
+
 def test_substitutes_need_no_links_of_a_whole_number(spark):
     from tidemark.operators import catalogue
 

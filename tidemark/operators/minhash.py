@@ -4,13 +4,15 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.sources.sinks import checkpointed
 
 #: Members of a bucket that meet as they are; larger buckets are hashed again.
 BUCKET = 500
+#: Words of 64 bits in which a set's items are marked.
+WORDS = 32
 
 
 def bands_for(least: float, recall: float, rows: int = 1) -> int:
@@ -62,14 +64,28 @@ def alike(pairs: DataFrame, key: str, item: str, least: float, recall: float = 0
     return compared(met, pairs, key, item, least)
 
 
+def marks(item: str) -> Column:
+    """Aggregate: WORDS * 64 bits, of which each item sets one."""
+    at = F.pmod(F.xxhash64(F.lit("mark"), item), F.lit(WORDS * 64))
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), (at % 64).cast("int"))
+    return F.array(*[F.bit_or(F.when(F.floor(at / 64) == i, bit).otherwise(F.lit(0).cast("long"))) for i in range(WORDS)])
+
+
 def compared(met: DataFrame, pairs: DataFrame, key: str, item: str, least: float) -> DataFrame:
-    """(key, other, both, jaccard) of the met pairs that reach `least`. Sizes alone rule some out; of the others the smaller set is
-    looked up in the larger, item by item, so that no set is held whole."""
-    sizes = pairs.groupBy(key).agg(F.count(F.lit(1)).alias("_size"))
-    sized = met.join(sizes.withColumnRenamed("_size", "_s"), key).join(sizes.select(F.col(key).alias("other"), F.col("_size").alias("_t")), "other")
+    """(key, other, both, jaccard) of the met pairs that reach `least`. Sizes alone rule some out, and marks most of the others: two
+    sets have at most as many items in common as marks, and as many more as the items of one that share a mark with another. Of
+    those that remain the smaller set is looked up in the larger, item by item, so that no set is held whole."""
+    sets = pairs.groupBy(key).agg(F.count(F.lit(1)).alias("_size"), marks(item).alias("_bits"))
+    side = lambda name, size, bits: sets.select(F.col(key).alias(name), F.col("_size").alias(size), F.col("_bits").alias(bits))
+    sized = met.join(side(key, "_s", "_x"), key).join(side("other", "_t", "_y"), "other")
     sized = sized.where(F.least("_s", "_t") >= least * F.greatest("_s", "_t"))
+    add = lambda terms: sum(terms[1:], terms[0])
+    ones = lambda bits: add([F.bit_count(F.col(bits)[i]) for i in range(WORDS)])
+    common = add([F.bit_count(F.col("_x")[i].bitwiseAND(F.col("_y")[i])) for i in range(WORDS)])
+    bounded = sized.select(key, "other", "_s", "_t", (common + F.least(F.col("_s") - ones("_x"), F.col("_t") - ones("_y"))).alias("_most"))
+    bounded = bounded.where(F.least("_most", "_s", "_t") / (F.col("_s") + F.col("_t") - F.least("_most", "_s", "_t")) >= least)
     small = F.col("_s") <= F.col("_t")
-    sided = sized.select(key, "other", "_s", "_t", F.when(small, F.col(key)).otherwise(F.col("other")).alias("_small"), F.when(small, F.col("other")).otherwise(F.col(key)).alias("_large"))
+    sided = bounded.select(key, "other", "_s", "_t", F.when(small, F.col(key)).otherwise(F.col("other")).alias("_small"), F.when(small, F.col("other")).otherwise(F.col(key)).alias("_large"))
     looked = sided.join(pairs.select(F.col(key).alias("_small"), F.col(item).alias("_item")), "_small")
     found = looked.join(pairs.select(F.col(key).alias("_large"), F.col(item).alias("_item")), ["_large", "_item"])
     both = found.groupBy(key, "other", "_s", "_t").agg(F.count(F.lit(1)).alias("both"))
