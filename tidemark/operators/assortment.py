@@ -117,10 +117,11 @@ def portfolio(sales_year: DataFrame, sales_half: DataFrame, stock: DataFrame, re
 
 
 def overview(table: DataFrame) -> DataFrame:
-    """Tallies by band, lifecycle, action, ABC and XYZ in one pass, and the grand total."""
+    """Tallies by band, lifecycle, action, ABC and XYZ in one pass, and the grand total. Values have four decimals and scores one, so
+    they sum as decimals: exactly, in whatever order."""
     keys = ["band", "lifecycle", "action_label", "abc", "xyz"]
     sets = table.groupingSets([[k] for k in keys] + [[]], *keys)
-    out = sets.agg(F.grouping_id().alias("gid"), F.count(F.lit(1)).alias("n"), F.sum("eur_value").alias("eur_value"), F.avg("health").alias("avg_health"))
+    out = sets.agg(F.grouping_id().alias("gid"), F.count(F.lit(1)).alias("n"), F.sum(F.col("eur_value").cast("decimal(28,4)")).cast("double").alias("eur_value"), (F.sum(F.col("health").cast("decimal(18,1)")).cast("double") / F.count("health")).alias("avg_health"))
     return out.select(F.concat_ws(":", *[F.when(F.col(k).isNotNull(), F.concat(F.lit(k + "="), F.col(k))) for k in keys]).alias("slice"), "n", F.round("eur_value", 4).alias("eur_value"), F.round(F.col("avg_health") + 1e-9, 1).alias("avg_health"))
 
 
