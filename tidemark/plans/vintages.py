@@ -126,7 +126,8 @@ def training_rows(spark, d, snapshots=SNAPSHOTS):
     deg = lambda name: degree.select("date_index", F.col("group_id").alias(name), F.col("deg").alias(f"d_{name}"))
     co = reco.together(own, "group_id", ["date_index"]).where("seed <> cand and co >= 2")
     sim = co.join(deg("seed"), ["date_index", "seed"]).join(deg("cand"), ["date_index", "cand"]).select("date_index", "seed", F.col("cand").alias("group_id"), (F.col("co") / F.sqrt(F.col("d_seed") * F.col("d_cand"))).alias("sim"))
-    score = own.withColumnRenamed("group_id", "seed").join(sim, ["date_index", "seed"]).groupBy(*item).agg(F.sum("sim").alias("s")).join(own, item, "left_anti")
+    # the pairs of groups at a few dates go to all tasks, and a client's rows lie together, so that its scores are summed where they arise
+    score = own.withColumnRenamed("group_id", "seed").repartition("client_id").join(F.broadcast(sim), ["date_index", "seed"]).groupBy(*item).agg(F.sum("sim").alias("s")).join(own, item, "left_anti")
     score = score.withColumn("score", F.round(F.col("s") / F.max("s").over(Window.partitionBy("date_index", "client_id")), 9)).where("score >= 0.05")
     active = totals.where("o0 > o184").select("date_index", "client_id")
     found = first_per(score.join(active, ["date_index", "client_id"], "left_semi"), ["date_index", "client_id"], [F.desc("score"), F.col("group_id")], 5).join(bought, item, "left")
