@@ -6,7 +6,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.functions.columns import clamp, saturation
+from tidemark.functions.columns import clamp, saturation, scaled_round
 
 #: Rank of urgency and type in an inbox, allowed next states, terminal states.
 URGENCY_RANK = {"critical": 0, "high": 1, "normal": 2, "low": 3}
@@ -96,7 +96,7 @@ def urgency_band(u: Column) -> Column:
 
 
 def priority(u: Column, value: Column, confidence: Column) -> Column:
-    return F.round(100.0 * clamp(0.5 * u + 0.3 * value + 0.2 * confidence, 0.0, 1.0), 2)
+    return scaled_round(100.0 * clamp(0.5 * u + 0.3 * value + 0.2 * confidence, 0.0, 1.0), 2)
 
 
 def expected_value(task_type: Column, monetary: Column, orders: Column, overdue: Column) -> Column:
