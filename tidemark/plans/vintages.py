@@ -124,13 +124,14 @@ def training_rows(spark, d, snapshots=SNAPSHOTS):
     own = per.select(*item)
     degree = own.groupBy("date_index", "group_id").agg(F.count(F.lit(1)).alias("deg"))
     deg = lambda name: degree.select("date_index", F.col("group_id").alias(name), F.col("deg").alias(f"d_{name}"))
-    co = reco.together(own, "group_id", ["date_index"]).where("seed <> cand and co >= 2")
+    # what a client has it keeps, so two groups meet in it once and count at all dates from then on
+    met = reco.together(own.groupBy("client_id", "group_id").agg(F.min("date_index").alias("since")), "group_id", since="since").where("seed <> cand")
+    co = met.join(grid, F.col("date_index") >= F.col("since")).groupBy("date_index", "seed", "cand").agg(F.sum("co").alias("co")).where("co >= 2")
     sim = co.join(deg("seed"), ["date_index", "seed"]).join(deg("cand"), ["date_index", "cand"]).select("date_index", "seed", F.col("cand").alias("group_id"), (F.col("co") / F.sqrt(F.col("d_seed") * F.col("d_cand"))).alias("sim"))
-    # the pairs of groups at a few dates go to all tasks, and a client's rows lie together, so that its scores are summed where they arise
-    score = own.withColumnRenamed("group_id", "seed").repartition("client_id").join(F.broadcast(sim), ["date_index", "seed"]).groupBy(*item).agg(F.sum("sim").alias("s")).join(own, item, "left_anti")
-    score = score.withColumn("score", F.round(F.col("s") / F.max("s").over(Window.partitionBy("date_index", "client_id")), 9)).where("score >= 0.05")
     active = totals.where("o0 > o184").select("date_index", "client_id")
-    found = first_per(score.join(active, ["date_index", "client_id"], "left_semi"), ["date_index", "client_id"], [F.desc("score"), F.col("group_id")], 5).join(bought, item, "left")
+    score = reco.lacking_scores(own.join(active, ["date_index", "client_id"], "left_semi"), sim.withColumnRenamed("group_id", "cand"), "group_id", ["date_index"])
+    score = score.withColumn("score", F.round(F.col("score") / F.max("score").over(Window.partitionBy("date_index", "client_id")), 9)).where("score >= 0.05")
+    found = first_per(score, ["date_index", "client_id"], [F.desc("score"), F.col("group_id")], 5).join(bought, item, "left")
     cross = found.groupBy("date_index", "client_id").agg(F.max("score").alias("top_score"), F.count(F.lit(1)).alias("reco_candidates"), F.max("hit").alias("hit")).withColumn("task_type", F.lit("cross_sell"))
     cross = cross.withColumn("u", ac.cross_sell_urgency(F.col("top_score")))
 
