@@ -1,16 +1,20 @@
-"""Pairs of alike sets by banded minimum hashes; every pair that meets is compared exactly."""
+"""Pairs of alike sets by the items of smallest hashes; the similarity of every pair is exact."""
 
 from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.sources.sinks import checkpointed
 
-#: Members of a bucket that meet as they are; larger buckets are hashed again.
+#: Items by which a set meets others: all, or those of the smallest hashes.
+SKETCH = 256
+#: Sets that meet by an item, or in a bucket, as they are; those of a more frequent item are hashed again.
 BUCKET = 500
+#: Meetings that one task counts.
+MEETINGS_A_TASK = 1_000_000
 #: Words of 64 bits in which a set's items are marked.
 WORDS = 32
 
@@ -20,6 +24,41 @@ def bands_for(least: float, recall: float, rows: int = 1) -> int:
     return max(1, math.ceil(math.log(1 - recall) / math.log(1 - least**rows)))
 
 
+def enough(least: float, recall: float, size: int) -> int:
+    """The most of `size` smallest hashes that two larger sets of Jaccard similarity `least` share with probability `recall`."""
+    below, m = 0.0, 0
+    while m < size:
+        below += math.comb(size, m) * least**m * (1 - least) ** (size - m)
+        if below > 1 - recall:
+            break
+        m += 1
+    return max(1, m)
+
+
+def sketches(pairs: DataFrame, key: str, item: str) -> DataFrame:
+    """(key, item, _s): the SKETCH items of smallest hash of each set, and the set's size."""
+    w = Window.partitionBy(key)
+    ranked = pairs.select(key, item, F.count(F.lit(1)).over(w).cast("int").alias("_s"), F.row_number().over(w.orderBy(F.xxhash64(item), item)).alias("_r"))
+    return ranked.where(F.col("_r") <= SKETCH).drop("_r")
+
+
+def counted(posted: DataFrame, key: str, item: str) -> DataFrame:
+    """(key, other, _s, _t, _h, _g, both), key < other, of each two sets that share an item of posted (key, item, _s, _h), with the
+    number that they share; _t and _g are the other's _s and _h.
+
+    The sets of an item stand in order in one array, of which each is sent those after it; so a meeting costs a few bytes in
+    the shuffle and nothing after it, and the number of tasks follows the meetings."""
+    held = posted.groupBy(item).agg(F.array_sort(F.collect_list(F.struct(F.col(key).alias("k"), "_s", "_h"))).alias("_met"))
+    n = F.size("_met")
+    total = posted.groupBy(item).agg(F.count(F.lit(1)).alias("n")).agg(F.sum(F.expr("n * (n - 1) div 2"))).first()[0] or 0
+    each = held.select("_met", F.posexplode("_met").alias("_at", "_x")).where(F.col("_at") + 1 < n)
+    after = F.slice("_met", F.col("_at") + 2, n)
+    own = [F.col("_x")["k"].alias(key), F.col("_x")["_s"].alias("_s"), F.col("_x")["_h"].alias("_h")]
+    sent = each.select(*own, after.alias("_y")).select(key, "_s", "_h", *[F.col("_y")[a].alias(b) for a, b in (("k", "other"), ("_s", "_t"), ("_h", "_g"))])
+    met = sent.repartition(1 + total // MEETINGS_A_TASK, key).select(key, "_s", "_h", F.inline(F.arrays_zip("other", "_t", "_g")))
+    return met.groupBy(key, "other").agg(*[F.max(c).alias(c) for c in ("_s", "_t", "_h", "_g")], F.count(F.lit(1)).alias("both"))
+
+
 def signatures(pairs: DataFrame, key: str, item: str, n: int, level: int) -> DataFrame:
     """(key, hashes): n minimum hashes of each set, one aggregate of fixed size a key. Levels are independent."""
     mins = [F.min(F.xxhash64(F.lit(level), F.lit(i), item)).alias(f"_{i}") for i in range(n)]
@@ -44,24 +83,42 @@ def meeting(posted: DataFrame, key: str, most: int) -> DataFrame:
 
 
 def alike(pairs: DataFrame, key: str, item: str, least: float, recall: float = 0.96, rows: int = 1, most: int = BUCKET) -> DataFrame:
-    """(key, other, both, jaccard), key < other, of sets that meet in a band and have at least the similarity `least`.
-
-    pairs has each (key, item) once; rows with a null are left out. A pair of similarity s is found with probability
-    1 - (1 - s ** rows) ** bands, about `recall` at s = least and more above it; what is found is exact. A bucket of more than
-    `most` members, as around an item that many sets share, is hashed again by bands of a second, independent signature, which
-    only its members need; what is then still large meets in blocks. So a pair that meets only in large buckets is found with
-    `recall` once more, and no cap drops one.
+    """(key, other, both, jaccard), key < other, of sets that share enough items of smallest hash and have at least the similarity
+    `least`.
+
+    pairs has each (key, item) once; rows with a null are left out. A set of at most SKETCH items is its own sketch, so that two of
+    them are counted exactly where they meet, and none is lost. Of a larger set the items of smallest hash meet; a pair of
+    similarity `least` has `enough` of them in common with probability `recall`, a more similar one with a higher, and what has is
+    compared. An item of more than `most` sets is hashed again by bands of a second signature, which only its sets need; what is
+    then still large meets in blocks. A pair that has only such items in common is found with `recall`, and no cap drops one.
     """
     pairs = checkpointed(pairs.select(key, item).dropna())
-    n = bands_for(least, recall, rows)
-    posted = checkpointed(posts(signatures(pairs, key, item, n * rows, 0), key, rows, n))
-    sizes = checkpointed(posted.groupBy("bucket").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1"))
-    crowded = checkpointed(posted.join(sizes.where(F.col("_n") > most).select("bucket"), "bucket").select(key, "bucket"))
-    again = signatures(pairs.join(crowded.select(key).distinct(), key, "left_semi"), key, item, n * rows, 1)
-    second = posts(crowded.join(again, key), key, rows, n)
-    first = posted.join(sizes.where(F.col("_n") <= most).select("bucket"), "bucket").select(key, "bucket")
-    met = meeting(first, key, most).unionByName(meeting(checkpointed(second), key, most)).distinct()
-    return compared(met, pairs, key, item, least)
+    sketch = checkpointed(sketches(pairs, key, item))
+    counts = sketch.groupBy(item).agg(F.count(F.lit(1)).alias("_n")).where("_n > 1")
+    common = checkpointed(counts.where(F.col("_n") > most).select(item))
+    none = common.isEmpty()
+    if none:
+        hot, posted = None, sketch.withColumn("_h", F.lit(0))
+    else:
+        hot = checkpointed(sketch.join(common, item).select(key, item))
+        held = hot.groupBy(key).agg(F.count(F.lit(1)).cast("int").alias("_h"))
+        posted = sketch.join(common, item, "left_anti").join(held, key, "left").withColumn("_h", F.coalesce("_h", F.lit(0)))
+    met = counted(posted, key, item)
+    whole = F.greatest("_s", "_t") <= SKETCH
+    exact = whole & (F.least("_h", "_g") == 0)
+    most_both = F.least("_s", "_t", F.col("both") + F.least("_h", "_g"))
+    likely = F.when(whole, most_both >= least * (F.col("_s") + F.col("_t") - most_both)).otherwise(F.col("both") + F.least("_h", "_g") >= enough(least, recall, SKETCH))
+    near = checkpointed(met.where(likely & (F.least("_s", "_t") >= least * F.greatest("_s", "_t"))).withColumn("_exact", exact))
+    found = near.where("_exact").select(key, "other", "both", (F.col("both") / (F.col("_s") + F.col("_t") - F.col("both"))).alias("jaccard")).where(F.col("jaccard") >= least)
+    unsure = near.where("not _exact").select(key, "other")
+    if none and unsure.isEmpty():
+        return found
+    if not none:
+        n = bands_for(least, recall, rows)
+        again = signatures(pairs.join(hot.select(key).distinct(), key, "left_semi"), key, item, n * rows, 1)
+        second = posts(hot.select(key, F.col(item).alias("bucket")).join(again, key), key, rows, n)
+        unsure = unsure.unionByName(meeting(checkpointed(second), key, most)).distinct()
+    return found.unionByName(compared(unsure, pairs, key, item, least)).distinct()
 
 
 def marks(item: str) -> Column:
@@ -76,14 +133,14 @@ def compared(met: DataFrame, pairs: DataFrame, key: str, item: str, least: float
     sets have at most as many items in common as marks, and as many more as the items of one that share a mark with another. Of
     those that remain the smaller set is looked up in the larger, item by item, so that no set is held whole."""
     sets = pairs.groupBy(key).agg(F.count(F.lit(1)).alias("_size"), marks(item).alias("_bits"))
-    side = lambda name, size, bits: sets.select(F.col(key).alias(name), F.col("_size").alias(size), F.col("_bits").alias(bits))
-    sized = met.join(side(key, "_s", "_x"), key).join(side("other", "_t", "_y"), "other")
+    add = lambda numbers: F.aggregate(numbers, F.lit(0), lambda a, n: a + n)
+    sets = sets.withColumn("_ones", add(F.transform("_bits", F.bit_count)))
+    side = lambda name, *to: sets.select(F.col(key).alias(name), *[F.col(a).alias(b) for a, b in zip(("_size", "_bits", "_ones"), to)])
+    sized = met.join(side(key, "_s", "_x", "_m"), key).join(side("other", "_t", "_y", "_n"), "other")
     sized = sized.where(F.least("_s", "_t") >= least * F.greatest("_s", "_t"))
-    add = lambda terms: sum(terms[1:], terms[0])
-    ones = lambda bits: add([F.bit_count(F.col(bits)[i]) for i in range(WORDS)])
-    common = add([F.bit_count(F.col("_x")[i].bitwiseAND(F.col("_y")[i])) for i in range(WORDS)])
-    bounded = sized.select(key, "other", "_s", "_t", (common + F.least(F.col("_s") - ones("_x"), F.col("_t") - ones("_y"))).alias("_most"))
-    bounded = bounded.where(F.least("_most", "_s", "_t") / (F.col("_s") + F.col("_t") - F.least("_most", "_s", "_t")) >= least)
+    common = add(F.zip_with("_x", "_y", lambda a, b: F.bit_count(a.bitwiseAND(b))))
+    bounded = sized.select(key, "other", "_s", "_t", F.least("_s", "_t", common + F.least(F.col("_s") - F.col("_m"), F.col("_t") - F.col("_n"))).alias("_most"))
+    bounded = bounded.where(F.col("_most") / (F.col("_s") + F.col("_t") - F.col("_most")) >= least)
     small = F.col("_s") <= F.col("_t")
     sided = bounded.select(key, "other", "_s", "_t", F.when(small, F.col(key)).otherwise(F.col("other")).alias("_small"), F.when(small, F.col("other")).otherwise(F.col(key)).alias("_large"))
     looked = sided.join(pairs.select(F.col(key).alias("_small"), F.col(item).alias("_item")), "_small")
