@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.operators.ranking import first_per
@@ -10,6 +10,8 @@ from tidemark.sources.sinks import checkpointed
 
 #: Part numbers that mean none.
 JUNK_NUMBERS = ("", "-", "0", "n/a")
+#: Products of a number that meet in one key, and links that one task makes.
+BLOCK, LINKS_A_TASK = 10_000, 20_000_000
 
 
 def curated(pairs: DataFrame) -> DataFrame:
@@ -25,10 +27,26 @@ def numbered(products: DataFrame, least_length: int = 4) -> DataFrame:
 
 
 def links(pairs: DataFrame, products: DataFrame, least_length: int = 4) -> DataFrame:
-    """(product_id, other_id, curated): curated links in both directions, and products of the same cleaned number; curated wins."""
-    clean = numbered(products, least_length)
-    same = clean.join(clean.select(F.col("product_id").alias("other_id"), "k"), "k").where("product_id <> other_id").select("product_id", "other_id", F.lit(0).alias("curated"))
-    return curated(pairs).unionByName(same).groupBy("product_id", "other_id").agg(F.max("curated").alias("curated"))
+    """(product_id, other_id, curated): curated links in both directions, and products of the same cleaned number; curated wins.
+
+    Links of a number are as many as the square of its products, so they are not shuffled: the others of a number come to each product
+    as an array, beside its curated links, which are left out there. A number's products are dealt to blocks of about BLOCK, and each
+    two blocks are a key of their own. Two products with several numbers in common are linked by the first.
+    """
+    known = curated(pairs)
+    before = Window.partitionBy("product_id").orderBy("k").rowsBetween(Window.unboundedPreceding, -1)
+    clean = checkpointed(numbered(products, least_length).distinct().withColumn("_less", F.collect_list("k").over(before)))
+    sizes = checkpointed(clean.groupBy("k").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1"))
+    tasks = 1 + (sizes.agg(F.sum(F.col("_n") * F.col("_n"))).first()[0] or 0) // LINKS_A_TASK
+    dealt = clean.join(sizes, "k").withColumn("_n", F.ceil(F.col("_n") / BLOCK)).withColumn("_own", F.pmod(F.xxhash64("product_id"), F.col("_n")))
+    every, keys = F.explode(F.sequence(F.lit(0).cast("long"), F.col("_n") - 1)), ["k", "_a", "_b"]
+    asking = dealt.join(known.groupBy("product_id").agg(F.collect_set("other_id").alias("_known")), "product_id", "left").select("product_id", "_known", "_less", "k", F.col("_own").alias("_a"), every.alias("_b"))
+    others = dealt.select("k", every.alias("_a"), F.col("_own").alias("_b"), F.struct(F.col("product_id").alias("other_id"), F.col("_less").alias("_also")).alias("_x"))
+    others = others.groupBy(*keys).agg(F.collect_list("_x").alias("_met"))
+    met = asking.repartition(tasks, *keys).join(others.repartition(tasks, *keys), keys).select("product_id", "_known", "_less", F.inline("_met"))
+    new = ~F.coalesce(F.array_contains("_known", F.col("other_id")), F.lit(False)) & ~F.arrays_overlap("_less", "_also")
+    same = met.where((F.col("product_id") != F.col("other_id")) & new).select("product_id", "other_id", F.lit(0).alias("curated"))
+    return known.unionByName(same)
 
 
 def best_substitutes(pairs: DataFrame, products: DataFrame, health: DataFrame, most: int = 5, least_length: int = 4) -> DataFrame:
